@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from keelson.llm import url_filter
 from keelson.llm.common import table
+from keelson.llm.html_text import extract_text
 from keelson.llm.media_ogg import media_report
 from keelson.llm.secret_scan import secret_report
 
 
+def op2_urls(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_secrets(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -15,9 +21,17 @@ def op8_ogg(spark, sf_dir):
     return media_report(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_urls": op2_urls,
     "op4_secrets": op4_secrets,
     "op8_ogg": op8_ogg,
+    "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_urls": url_filter.SQL,
+}
