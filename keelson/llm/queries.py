@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from keelson.llm import url_filter
+from keelson.llm import decontamination, url_filter
 from keelson.llm.common import table
 from keelson.llm.html_text import extract_text
 from keelson.llm.media_ogg import media_report
+from keelson.llm.packing import packing_report
 from keelson.llm.secret_scan import secret_report
 
 
@@ -17,6 +18,16 @@ def op4_secrets(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_decontamination(spark, sf_dir):
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_ogg(spark, sf_dir):
     return media_report(table(spark, sf_dir, "documents"))
 
@@ -28,10 +39,13 @@ def op10_html(spark, sf_dir):
 QUERIES = {
     "op2_urls": op2_urls,
     "op4_secrets": op4_secrets,
+    "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
     "op8_ogg": op8_ogg,
     "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_urls": url_filter.SQL,
+    "op7_decontamination": decontamination.SQL,
 }
