@@ -5,6 +5,7 @@ from __future__ import annotations
 from keelson.llm import decontamination, url_filter
 from keelson.llm.common import table
 from keelson.llm.html_text import extract_text
+from keelson.llm.license_scan import license_report
 from keelson.llm.media_ogg import media_report
 from keelson.llm.packing import packing_report
 from keelson.llm.secret_scan import secret_report
@@ -14,6 +15,10 @@ def op2_urls(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_licenses(spark, sf_dir):
+    return license_report(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op10_html(spark, sf_dir):
 
 QUERIES = {
     "op2_urls": op2_urls,
+    "op3_licenses": op3_licenses,
     "op4_secrets": op4_secrets,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
