@@ -9,6 +9,7 @@ from keelson.llm.license_scan import license_report
 from keelson.llm.media_ogg import media_report
 from keelson.llm.packing import packing_report
 from keelson.llm.secret_scan import secret_report
+from keelson.llm.simhash import simhash_report
 
 
 def op2_urls(spark, sf_dir):
@@ -23,6 +24,10 @@ def op4_secrets(spark, sf_dir):
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark, sf_dir):
+    return simhash_report(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op2_urls": op2_urls,
     "op3_licenses": op3_licenses,
     "op4_secrets": op4_secrets,
+    "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_ogg": op8_ogg,
