@@ -10,6 +10,11 @@ from keelson.llm.media_ogg import media_report
 from keelson.llm.packing import packing_report
 from keelson.llm.secret_scan import secret_report
 from keelson.llm.simhash import simhash_report
+from keelson.llm.toxicity import toxicity_report
+
+
+def op1_toxicity(spark, sf_dir):
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_urls(spark, sf_dir):
@@ -47,6 +52,7 @@ def op10_html(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_urls": op2_urls,
     "op3_licenses": op3_licenses,
     "op4_secrets": op4_secrets,
