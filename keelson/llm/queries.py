@@ -8,6 +8,7 @@ from keelson.llm.html_text import extract_text
 from keelson.llm.license_scan import license_report
 from keelson.llm.media_ogg import media_report
 from keelson.llm.packing import packing_report
+from keelson.llm.repeats import repeats_report
 from keelson.llm.secret_scan import secret_report
 from keelson.llm.simhash import simhash_report
 from keelson.llm.toxicity import toxicity_report
@@ -47,6 +48,10 @@ def op8_ogg(spark, sf_dir):
     return media_report(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark, sf_dir):
+    return repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op10_html(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_ogg": op8_ogg,
+    "op9_repeats": op9_repeats,
     "op10_html": op10_html,
 }
 
