@@ -146,28 +146,48 @@ def _joined(docs: DataFrame, windows) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, text string, {RESULT}")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: id, text, n_words, spans of hit words, items with an occurring window."""
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> Iterator[Windows]:
+    """Windows of each block of items, ordered by the word counts over ``docs(text)``."""
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    out = src.select("id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<bigint>").alias("items"))
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         windows = Windows([(r["item"], r["text"]) for r in block.toLocalIterator()], window)
         counts = np.zeros(len(windows.vocabulary), np.int64)
         if windows.windows:
-            for word, n in _word_counts(src, spark.sparkContext.broadcast(windows)).items():
+            for word, n in _word_counts(docs, docs.sparkSession.sparkContext.broadcast(windows)).items():
                 counts[word] = n
         windows.order(counts)
-        out = _joined(out, spark.sparkContext.broadcast(windows))
-        if blocks > 1:
-            out = cut(out)
+        yield windows
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per document: id, text, n_words, spans of hit words, items with an occurring window."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = src.select("id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<bigint>").alias("items"))
+    for k, windows in enumerate(_blocks(src, benchmark, item_col, item_text_col, window)):
+        out = _joined(cut(out) if k else out, docs.sparkSession.sparkContext.broadcast(windows))
     return out.withColumnRenamed("id", id_col)
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, unchanged and with all their columns, in which no window of any item occurs."""
+    src = docs.select(F.col(text_col).alias("text"))
+    for windows in _blocks(src, benchmark, item_col, item_text_col, window):
+        docs = docs.where(~_hit_by(docs.sparkSession.sparkContext.broadcast(windows))(text_col))
+    return docs
+
+
+def _hit_by(windows):
+    @F.pandas_udf("boolean")
+    def hit(texts):
+        w = windows.value
+        return texts.map(lambda t: bool(len(w.find(w.numbers(words_of(t)))[0])) if t else False)
+
+    return hit
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns."""
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])

@@ -205,15 +205,14 @@ def secret_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_or_redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """Replace every span of ``text`` by ``mask``; overlapping spans become one.  All other columns stay.
+def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """Replace every span of ``text`` by ``mask``; overlapping spans become one.
 
-    Rows without a span are returned unchanged, nulls included.
+    ``n_chars``, if there, follows the text where it changes; all other columns
+    stay.  Rows without a span are returned unchanged, nulls included.
     """
 
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def redact(texts):
         def one(t):
             spans = find_spans(t)
@@ -228,6 +227,10 @@ def drop_or_redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
         return texts.map(one, na_action="ignore")
 
-    return docs.withColumn("text", redact("text"))
+    masked = docs.withColumn("__masked", redact("text"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        masked = masked.withColumn("n_chars", F.when(F.col("__masked") != F.col("text"), F.length("__masked").cast(kind)).otherwise(F.col("n_chars")))
+    return masked.withColumn("text", F.col("__masked")).select(*docs.columns)
 
 

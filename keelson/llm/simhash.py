@@ -33,7 +33,7 @@ SEED, BITS = 42, 64
 #: Fingerprints of a leaf, of a shard on average, of a shard before it is split; pairs held before they are united.
 LEAF, SHARD, SPLIT, HELD = 64, 1000, 25_000, 1 << 20
 #: Bins of the sketch that verifies links by resemblance.
-BINS = 256
+BINS = 128
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -65,7 +65,7 @@ def sketch(hashes: np.ndarray) -> bytes:
     """One byte for each of BINS bins of the hash range: of the least hash there, or 0 if there is none."""
     h = np.unique(hashes * np.uint64(0x9E3779B97F4A7C15))
     out = np.zeros(BINS, np.uint8)
-    bins, first = np.unique((h >> np.uint64(56)).astype(np.int64), return_index=True)
+    bins, first = np.unique((h >> np.uint64(57)).astype(np.int64), return_index=True)
     out[bins] = (h[first] >> np.uint64(16)) % np.uint64(255) + np.uint64(1)
     return out.tobytes()
 
@@ -235,3 +235,25 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str
 def simhash_report(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = 8, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their near-duplicate group.
+
+    Texts link if their fingerprints over ``words``-word shingles lie within
+    ``radius`` bits and the sketches of their shingle sets resemble each other
+    by ``least`` or more.  Of a group the row with the least id stays (null ids
+    come last, then the least text hash); of repeated rows, one.
+    """
+    last = F.lit((1 << 63) - 1)
+    keys = [F.coalesce(F.col(id_col), last).alias("k1"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("k2")]
+    own = docs.select(F.struct(*keys).alias("key"), F.col(text_col).alias("text"))
+    prints = cut(fingerprints(own, words, "key", "text", sketched=True).select("id", "fp", "sketch", F.xxhash64("fp", "sketch").alias("node")))
+    distinct = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.count("*").alias("n"), F.count_distinct("id").alias("ids")))
+    roots = connected_components(links(distinct.select("node", "fp", "sketch"), radius, least))
+    named = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
+    kept = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).join(first, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_semi")
+    if not distinct.where("n > ids").isEmpty():
+        kept = kept.dropDuplicates(["__k1", "__k2"])
+    return kept.drop("__k1", "__k2")
