@@ -1,11 +1,634 @@
-"""Every registered query and its SQL counterpart."""
+"""Every registered query of the engine and its SQL counterpart.
+
+Queries are the embeddings with ``vec_id`` below 20 against all embeddings as
+keys.  Clusters are runs of four positions, which both sides can state; slices
+are four of sixteen dimensions.  Sums are rounded to six places.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from keelson.functions import text as scorers
+from keelson.functions import vec
+from keelson.operators import attention, clusterings, enclosures, index, metrics, search, subspace, thresholds
+from keelson.sources.tables import keys_of, queries_of
+
+DIM, BF, PARTS, K, SCALE = 64, 4, 4, 20, 0.125
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+#: Common table expressions of the SQL side.
+BASE = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id < 20),
+k AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS key FROM embeddings),
+s AS (SELECT query_id, pos, query, key, list_dot_product(query, key) AS score FROM q, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM s),
+t AS (SELECT query_id, score AS t FROM r WHERE rank = 20)"""
+NODES = """dims AS (SELECT cluster, d, avg(x) AS c, min(x) AS lo, max(x) AS hi FROM (SELECT pos // 4 AS cluster, unnest(key) AS x, generate_subscripts(key, 1) AS d FROM k) GROUP BY cluster, d),
+boxes AS (SELECT cluster, list(c ORDER BY d) AS center, list(lo ORDER BY d) AS lo, list(hi ORDER BY d) AS hi FROM dims GROUP BY cluster),
+nodes AS (SELECT b.cluster, count(*) AS size, any_value(center) AS center, any_value(lo) AS lo, any_value(hi) AS hi, max(list_distance(key, center)) AS radius FROM boxes b JOIN k ON b.cluster = pos // 4 GROUP BY b.cluster)"""
+SOFT = """w AS (SELECT query_id, pos, score, exp((score - max(score) OVER (PARTITION BY query_id)) * 0.125) AS e FROM s),
+p AS (SELECT query_id, pos, score, e / sum(e) OVER (PARTITION BY query_id) AS p FROM w)"""
+
 
-def queries() -> dict:
-    return {}
+def query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _scored(spark, d) -> DataFrame:
+    return search.scores(queries_of(spark, d), keys_of(spark, d))
+
+
+def _limits(scored: DataFrame, k: int = K) -> DataFrame:
+    """t of each query: its k-th best score; one row a query."""
+    return thresholds.kth_best(scored, k)
+
+
+def _asked(spark, d) -> DataFrame:
+    """The queries with their thresholds: few rows, computed once."""
+    return queries_of(spark, d).join(_limits(_scored(spark, d)), "query_id").cache()
+
+
+def _weighted(spark, d) -> DataFrame:
+    return attention.weights(_scored(spark, d).select("query_id", "pos", "score", "value"), SCALE)
+
+
+def _six(c) -> F.Column:
+    return F.round(c, 6) + 0.0
+
+
+def _slices(spark, d):
+    """Query slices, key slices with clusters of four by slice sum, and their balls."""
+    qs = subspace.slices_of(queries_of(spark, d), "query", DIM, PARTS, ("query_id",)).withColumnRenamed("sub", "qs")
+    members = index.flush_groups(keys_of(spark, d), DIM, PARTS, BF)
+    return qs, members, subspace.slice_balls(members, DIM, PARTS)
+
+
+# Halfspace search
+
+
+@query("halfspace_topk", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
+def halfspace_topk(spark, d):
+    s = _scored(spark, d)
+    return search.exact(s.join(F.broadcast(_limits(s)), "query_id"), F.col("t")).select("query_id", "pos", _six("score").alias("score"))
+
+
+@query("halfspace_scaled", f"WITH {BASE} SELECT query_id, pos, round(score * 0.125, 6) + 0.0 AS score FROM s WHERE score >= 0.2")
+def halfspace_scaled(spark, d):
+    return search.exact(_scored(spark, d), F.lit(0.2), SCALE).select("query_id", "pos", _six("score").alias("score"))
+
+
+@query("halfspace_full", f"WITH {BASE} SELECT query_id, count(*) AS n, round(sum(score), 6) + 0.0 AS total FROM s GROUP BY query_id")
+def halfspace_full(spark, d):
+    s = _scored(spark, d)
+    return search.exact(s.join(F.broadcast(thresholds.full_search(queries_of(spark, d))), "query_id"), F.col("t")).groupBy("query_id").agg(F.count("*").alias("n"), _six(F.sum("score")).alias("total"))
+
+
+@query("halfspace_unit_queries", f"WITH {BASE}, u AS (SELECT query_id, list_transform(query, lambda x: x * 3 * (1.0 / sqrt(list_dot_product(list_transform(query, lambda y: y * 3), list_transform(query, lambda y: y * 3))))) AS query FROM q) SELECT query_id, pos, round(list_dot_product(u.query, key), 6) + 0.0 AS score FROM u, k WHERE list_dot_product(u.query, key) >= 0.2")
+def halfspace_unit_queries(spark, d):
+    q = queries_of(spark, d).withColumn("query", vec.unit(vec.scaled("query", 3.0)))
+    return search.exact(search.scores(q, keys_of(spark, d)), F.lit(0.2)).select("query_id", "pos", _six("score").alias("score"))
+
+
+@query("halfspace_grouped_heads", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s WHERE pos % 2 = (query_id % 4) // 2 AND score >= 0.1")
+def halfspace_grouped_heads(spark, d):
+    q = queries_of(spark, d, heads=4).withColumn("kv_head", search.kv_head(F.col("q_head"), 4, 2))
+    return search.exact(search.scores(q, keys_of(spark, d, 2), F.col("head") == F.col("kv_head")), F.lit(0.1)).select("query_id", "pos", _six("score").alias("score"))
+
+
+@query("halfspace_blocks", f"WITH {BASE} SELECT query_id, count(*) AS n, round(sum(score), 6) + 0.0 AS total FROM s WHERE score >= 0.15 GROUP BY query_id")
+def halfspace_blocks(spark, d):
+    q = queries_of(spark, d).withColumn("t", F.lit(0.15))
+    return search.halfspace_blocks(q, keys_of(spark, d)).groupBy("query_id").agg(F.count("*").alias("n"), _six(F.sum("score")).alias("total"))
+
+
+@query("top_k", f"WITH {BASE} SELECT query_id, rank, pos FROM r WHERE rank <= 10")
+def top_k(spark, d):
+    return search.top_k(_scored(spark, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "pos")
+
+
+@query("top_k_causal", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id BETWEEN 100 AND 119), k AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS key FROM embeddings), r AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(query, key) DESC, pos) AS rank FROM q JOIN k ON pos < query_id) SELECT * FROM r WHERE rank <= 5")
+def top_k_causal(spark, d):
+    q = queries_of(spark, d, 120).where("query_id >= 100")
+    return search.top_k(search.scores(q, keys_of(spark, d), F.col("pos") < F.col("query_id")), 5).select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
+
+
+# Gates and trees
+
+
+@query("ball_gate", f"WITH {BASE}, {NODES} SELECT query_id, count(*) AS clusters, sum(size)::BIGINT AS scanned FROM nodes, q JOIN t USING (query_id) WHERE list_dot_product(query, center) + sqrt(list_dot_product(query, query)) * radius + 1e-9 >= t GROUP BY query_id")
+def ball_gate(spark, d):
+    nodes = index.balls(index.by_position(keys_of(spark, d), BF), DIM)
+    ok = enclosures.ball() + vec.SLACK >= F.col("t")
+    return nodes.crossJoin(F.broadcast(_asked(spark, d))).where(ok).groupBy("query_id").agg(F.count("*").alias("clusters"), F.sum("size").alias("scanned"))
+
+
+@query("gated_search", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
+def gated_search(spark, d):
+    m = index.by_position(keys_of(spark, d), BF)
+    return search.gated(_asked(spark, d), index.balls(m, DIM), m).select("query_id", "pos", _six("score").alias("score"))
+
+
+@query("gated_candidates", f"WITH {BASE}, {NODES} SELECT query_id, count(*) AS n, round(sum(score), 6) + 0.0 AS total FROM s JOIN t USING (query_id) JOIN nodes ON cluster = pos // 4 WHERE list_dot_product(query, center) + sqrt(list_dot_product(query, query)) * radius + 1e-9 > t GROUP BY query_id")
+def gated_candidates(spark, d):
+    m = index.by_position(keys_of(spark, d), BF)
+    return search.gated(_asked(spark, d), index.balls(m, DIM), m, strict=True, emit="candidates").groupBy("query_id").agg(F.count("*").alias("n"), _six(F.sum("score")).alias("total"))
+
+
+@query("tree_search", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
+def tree_search(spark, d):
+    nodes, leaves = index.tree(keys_of(spark, d), DIM, BF, 3)
+    hits, _ = search.descend(_asked(spark, d), nodes, leaves, 3)
+    return hits.select("query_id", "pos", _six("score").alias("score"))
+
+
+@query("tree_levels", f"WITH {BASE} SELECT level::INTEGER AS level, count(DISTINCT pos // (4 ** level)::BIGINT) AS nodes FROM k, range(1, 4) l(level) GROUP BY level")
+def tree_levels(spark, d):
+    nodes, _ = index.tree(keys_of(spark, d), DIM, BF, 3)
+    return nodes.groupBy("level").agg(F.count("*").alias("nodes"))
+
+
+@query("tree_radii", f"WITH {BASE}, {NODES} SELECT cluster AS node, cluster // 4 AS parent, round(radius, 6) AS radius FROM nodes")
+def tree_radii(spark, d):
+    nodes, _ = index.tree(keys_of(spark, d), DIM, BF, 1)
+    return nodes.select("node", "parent", _six("radius").alias("radius"))
+
+
+@query("tree_profile")
+def tree_profile(spark, d):
+    nodes, leaves = index.tree(keys_of(spark, d), DIM, BF, 3)
+    return search.descend(_asked(spark, d), nodes, leaves, 3)[1].groupBy("level").agg(F.sum("checked").alias("checked"), F.sum("passed").alias("passed"))
+
+
+@query("index_memory", f"WITH {BASE} SELECT (SELECT count(DISTINCT pos // 4) FROM k) AS n_nodes, (SELECT count(*) FROM k) AS n_children, ((SELECT count(DISTINCT pos // 4) FROM k) * 65 + (SELECT count(*) FROM k) * 64) * 4 AS bytes")
+def index_memory(spark, d):
+    nodes, _ = index.tree(keys_of(spark, d), DIM, BF, 1)
+    return index.memory_bytes(nodes, keys_of(spark, d))
+
+
+@query("append_subtree", f"WITH {BASE}, n AS (SELECT DISTINCT pos // 4 AS c FROM k), m AS (SELECT max(c) + 1 AS m FROM n) SELECT c AS node FROM n UNION ALL SELECT c + m FROM n, m")
+def append_subtree(spark, d):
+    nodes, _ = index.tree(keys_of(spark, d), DIM, BF, 1)
+    return index.append_subtree(nodes, nodes).select("node")
+
+
+@query("nearest_center", f"WITH {BASE}, {NODES}, c AS (SELECT cluster, center FROM nodes WHERE cluster % 16 = 0), x AS (SELECT pos, cluster, list_distance(key, center) AS dist, row_number() OVER (PARTITION BY pos ORDER BY list_distance(key, center), cluster) AS r FROM k, c) SELECT pos, cluster, round(dist, 6) AS distance FROM x WHERE r = 1")
+def nearest_center(spark, d):
+    k = keys_of(spark, d)
+    c = index.centers(index.by_position(k, BF), DIM).where("cluster % 16 = 0")
+    return index.nearest_center(k, c).select("pos", "cluster", _six("distance").alias("distance"))
+
+
+@query("place_arrivals")
+def place_arrivals(spark, d):
+    k = keys_of(spark, d)
+    old, new = index.centers(index.by_position(k.where("pos < 400"), BF), DIM), k.where("pos >= 400").select("pos", "key")
+    placed, orphans = index.place_arrivals(old, new, 2 * BF)
+    return placed.union(orphans).select("pos", "cluster")
+
+
+@query("variance_tree")
+def variance_tree(spark, d):
+    members = index.flush_groups(keys_of(spark, d), DIM, PARTS, BF).drop("cluster")
+    return index.variance_tree(members, DIM // PARTS, 32).groupBy("s", "cluster").agg(F.count("*").alias("size"))
+
+
+@query("flush_groups", f"WITH {BASE}, x AS (SELECT pos, i AS s, key[i * 16 + 1:i * 16 + 16] AS sub FROM k, range(4) g(i)) SELECT s::INTEGER AS s, pos, (row_number() OVER (PARTITION BY s ORDER BY list_reduce(list_prepend(0.0::DOUBLE, sub), lambda a, b: a + b), pos) - 1) // 4 AS cluster FROM x")
+def flush_groups(spark, d):
+    return index.flush_groups(keys_of(spark, d), DIM, PARTS, BF).select("s", "pos", "cluster")
+
+
+# Subspaces and the threshold algorithm
+
+SLICED = """qs AS (SELECT query_id, i AS s, query[i * 16 + 1:i * 16 + 16] AS qs FROM q, range(4) g(i)),
+ks AS (SELECT pos, i AS s, key[i * 16 + 1:i * 16 + 16] AS sub FROM k, range(4) g(i)),
+ts AS (SELECT query_id, s, min(list_dot_product(qs, sub)) AS t FROM r JOIN qs USING (query_id) JOIN ks USING (pos, s) WHERE rank <= 20 GROUP BY query_id, s),
+m AS (SELECT pos, s, sub, (row_number() OVER (PARTITION BY s ORDER BY list_reduce(list_prepend(0.0::DOUBLE, sub), lambda a, b: a + b), pos) - 1) // 4 AS cluster FROM ks),
+sd AS (SELECT s, cluster, d, avg(x) AS c FROM (SELECT s, cluster, unnest(sub) AS x, generate_subscripts(sub, 1) AS d FROM m) GROUP BY s, cluster, d),
+sc AS (SELECT s, cluster, list(c ORDER BY d) AS center FROM sd GROUP BY s, cluster),
+sn AS (SELECT s, cluster, any_value(center) AS center, max(list_distance(sub, center)) AS radius FROM m JOIN sc USING (s, cluster) GROUP BY s, cluster),
+gate AS (SELECT query_id, s, cluster FROM sn JOIN qs USING (s) JOIN ts USING (query_id, s) WHERE list_dot_product(qs, center) + sqrt(list_dot_product(qs, qs)) * radius + 1e-9 >= t)"""
+
+
+def _slice_limits(spark, d):
+    top = search.top_k(_scored(spark, d), K).select("query_id", "pos", "key")
+    return subspace.slice_thresholds(queries_of(spark, d), top, DIM, PARTS)
+
+
+@query("slice_thresholds", f"WITH {BASE}, {SLICED} SELECT query_id, s::INTEGER AS s, round(t, 6) + 0.0 AS t FROM ts")
+def slice_thresholds(spark, d):
+    return _slice_limits(spark, d).select("query_id", "s", _six("t").alias("t"))
+
+
+@query("cluster_gate", f"WITH {BASE}, {SLICED} SELECT query_id, s::INTEGER AS s, count(*) AS clusters FROM gate GROUP BY query_id, s")
+def cluster_gate(spark, d):
+    return subspace.cluster_gate(_slice_limits(spark, d), _slices(spark, d)[2]).groupBy("query_id", "s").agg(F.count("*").alias("clusters"))
+
+
+def _through(mode):
+    def run(spark, d):
+        _, members, nodes = _slices(spark, d)
+        return subspace.keys_through(subspace.cluster_gate(_slice_limits(spark, d), nodes), members, PARTS, mode).groupBy("query_id").agg(F.count("*").alias("kept"))
+
+    return run
+
+
+for _mode, _count in (("and", "= 4"), ("or", "> 0")):
+    query(f"subspace_{_mode}", f"WITH {BASE}, {SLICED}, x AS (SELECT query_id, pos FROM gate JOIN m USING (s, cluster) GROUP BY query_id, pos HAVING count(*) {_count}) SELECT query_id, count(*) AS kept FROM x GROUP BY query_id")(_through(_mode))
+
+
+@query("point_sets", f"WITH {BASE}, {SLICED}, h AS (SELECT query_id, pos, count(*) AS n FROM qs JOIN ks USING (s) JOIN ts USING (query_id, s) WHERE list_dot_product(qs, sub) >= t GROUP BY query_id, pos), x AS (SELECT query_id, pos FROM h WHERE n = 4), tt AS (SELECT query_id, pos FROM r WHERE rank <= 20), o AS (SELECT query_id, pos FROM h) SELECT q.query_id, (SELECT count(*) FROM x WHERE x.query_id = q.query_id) AS all_slices, (SELECT count(*) FROM o WHERE o.query_id = q.query_id) AS any_slice, (SELECT count(*) FROM (SELECT pos FROM o WHERE o.query_id = q.query_id EXCEPT SELECT pos FROM tt WHERE tt.query_id = q.query_id)) AS extra FROM q")
+def point_sets(spark, d):
+    pieces = subspace.slices_of(keys_of(spark, d), "key", DIM, PARTS, ("pos",))
+    limits = _slice_limits(spark, d)
+    both = subspace.point_gate(limits, pieces, PARTS, "and").groupBy("query_id").agg(F.count("*").alias("all_slices"))
+    any_ = subspace.point_gate(limits, pieces, PARTS, "or")
+    extra = any_.exceptAll(search.top_k(_scored(spark, d), K).select("query_id", "pos")).groupBy("query_id").agg(F.count("*").alias("extra"))
+    out = queries_of(spark, d).select("query_id").join(both, "query_id", "left").join(any_.groupBy("query_id").agg(F.count("*").alias("any_slice")), "query_id", "left").join(extra, "query_id", "left")
+    return out.select("query_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("all_slices", "any_slice", "extra")])
+
+
+def _ta_sql(sign: str) -> str:
+    return f"""{BASE}, {SLICED}, rk AS (SELECT query_id, s, cluster, list_dot_product(qs, center) {sign} AS m, row_number() OVER (PARTITION BY query_id, s ORDER BY list_dot_product(qs, center) {sign} DESC, cluster) AS rk FROM sn JOIN qs USING (s)),
+rs AS (SELECT query_id, rk, sum(m) AS total FROM rk GROUP BY query_id, rk), dp AS (SELECT query_id, coalesce(min(CASE WHEN total < t THEN rk END), max(rk)) AS depth FROM rs JOIN t USING (query_id) GROUP BY query_id),
+cand AS (SELECT DISTINCT query_id, pos FROM rk JOIN dp USING (query_id) JOIN m USING (s, cluster) WHERE rk <= depth)"""
+
+
+def _ta(bound):
+    def run(spark, d):
+        _, members, nodes = _slices(spark, d)
+        s = _scored(spark, d)
+        limits = _limits(s)
+        ranks = subspace.ta_ranks(queries_of(spark, d), nodes, DIM, PARTS, bound)
+        depth = subspace.ta_depth(ranks, limits)
+        found = subspace.ta_candidates(ranks, depth, members).join(s.select("query_id", "pos", "score"), ["query_id", "pos"]).join(F.broadcast(limits), "query_id")
+        return found.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= F.col("t")).alias("hits")).join(depth, "query_id").select("query_id", F.col("depth").cast("long").alias("depth"), "candidates", "hits")
+
+    return run
+
+
+for _bound, _sign in (("middle", ""), ("upper", "+ radius * sqrt(list_dot_product(qs, qs))"), ("lower", "- radius * sqrt(list_dot_product(qs, qs))")):
+    query(f"ta_{_bound}", f"WITH {_ta_sql(_sign)} SELECT query_id, any_value(depth) AS depth, count(*) AS candidates, count(*) FILTER (score >= t) AS hits FROM cand JOIN s USING (query_id, pos) JOIN t USING (query_id) JOIN dp USING (query_id) GROUP BY query_id")(_ta(_bound))
+
+
+# Enclosures
+
+NAMES = ("ball_centroid", "aabb", "span_ball", "l1_ball", "linf_ball", "hybrid", "ellipsoid", "axis_interval")
+_norm = "sqrt(list_dot_product(query, query))"
+_box = "list_sum(list_transform(list_zip(query, lo, hi), lambda x: greatest(x[1] * x[2], x[1] * x[3])))"
+BOUND_SQL = {
+    "ball_centroid": f"list_dot_product(query, center) + {_norm} * radius",
+    "aabb": _box,
+    "span_ball": f"list_dot_product(query, list_transform(list_zip(lo, hi), lambda x: (x[1] + x[2]) / 2)) + {_norm} * sqrt(list_sum(list_transform(list_zip(lo, hi), lambda x: ((x[2] - x[1]) / 2) ** 2)))",
+    "l1_ball": "list_dot_product(query, center) + radius_1 * list_max(list_transform(query, lambda x: abs(x)))",
+    "linf_ball": "list_dot_product(query, center) + radius_inf * list_sum(list_transform(query, lambda x: abs(x)))",
+    "hybrid": f"least(list_dot_product(query, center) + {_norm} * radius, {_box})",
+    "ellipsoid": f"list_dot_product(query, center) + least(radius_m * sqrt(list_sum(list_transform(list_zip(query, sigma), lambda x: (x[1] * x[2]) ** 2))), {_norm} * radius)",
+    "axis_interval": "greatest(list_dot_product(query, axis) * along_lo, list_dot_product(query, axis) * along_hi) + sqrt(greatest(0, list_dot_product(query, query) - list_dot_product(query, axis) ** 2)) * rest",
+}
+SUMMARY = f"""{NODES},
+away AS (SELECT n.cluster, key, center, list_transform(list_zip(key, center), lambda x: x[1] - x[2]) AS a, list_transform(center, lambda x: x / sqrt(list_dot_product(center, center))) AS axis FROM nodes n JOIN k ON n.cluster = pos // 4),
+more AS (SELECT cluster, any_value(axis) AS axis, max(list_sum(list_transform(a, lambda x: abs(x)))) AS radius_1, max(list_max(list_transform(a, lambda x: abs(x)))) AS radius_inf, min(list_dot_product(key, axis)) AS along_lo, max(list_dot_product(key, axis)) AS along_hi, max(sqrt(greatest(0, list_dot_product(key, key) - list_dot_product(key, axis) ** 2))) AS rest FROM away GROUP BY cluster),
+sg AS (SELECT cluster, list(x ORDER BY d) AS sigma FROM (SELECT cluster, d, max(abs(x)) AS x FROM (SELECT cluster, unnest(a) AS x, generate_subscripts(a, 1) AS d FROM away) GROUP BY cluster, d) GROUP BY cluster),
+mh AS (SELECT cluster, any_value(sigma) AS sigma, max(sqrt(list_sum(list_transform(list_zip(a, sigma), lambda x: CASE WHEN x[2] > 0 THEN (x[1] / x[2]) ** 2 ELSE 0 END)))) AS radius_m FROM away JOIN sg USING (cluster) GROUP BY cluster)"""
+
+
+def _scan_sql(names) -> str:
+    every = " UNION ALL ".join(f"SELECT query_id, '{n}' AS enclosing, size, {BOUND_SQL[n]} + 1e-9 > t AS ok FROM x" for n in names)
+    return f"WITH {BASE}, {SUMMARY}, x AS (SELECT * FROM nodes JOIN more USING (cluster) JOIN mh USING (cluster), q JOIN t USING (query_id)), y AS ({every}), z AS (SELECT query_id, enclosing, sum(CASE WHEN ok THEN size ELSE 0 END) / sum(size) AS scanned FROM y GROUP BY ALL)"
+
+
+@query("enclosure_scan", f"{_scan_sql(NAMES)} SELECT query_id, enclosing, round(scanned, 6) AS scanned FROM z")
+def enclosure_scan(spark, d):
+    summary = enclosures.summaries(index.by_position(keys_of(spark, d), BF), DIM)
+    return enclosures.scanned(enclosures.passes(summary, _asked(spark, d), DIM, list(NAMES)), list(NAMES)).withColumn("scanned", _six("scanned"))
+
+
+@query("analytic_cost", f"{_scan_sql(NAMES)}, c AS (SELECT enclosing, avg(scanned) AS scanned, CASE WHEN enclosing IN ('ball_centroid', 'span_ball') THEN 1.0 ELSE 2.0 END / 4 + avg(scanned) AS ratio FROM z GROUP BY enclosing) SELECT enclosing, round(scanned, 6) AS scanned, round(ratio, 6) AS ratio, round(1 / ratio, 6) AS speedup FROM c")
+def analytic_cost(spark, d):
+    summary = enclosures.summaries(index.by_position(keys_of(spark, d), BF), DIM)
+    cost = metrics.analytic_cost(enclosures.scanned(enclosures.passes(summary, _asked(spark, d), DIM, list(NAMES)), list(NAMES)), BF)
+    return cost.select("enclosing", *[_six(c).alias(c) for c in ("scanned", "ratio", "speedup")])
+
+
+@query("every_enclosure")
+def every_enclosure(spark, d):
+    names = list(enclosures.BOUNDS)
+    summary = enclosures.summaries(index.by_position(keys_of(spark, d), 8), DIM)
+    return enclosures.scanned(enclosures.passes(summary, _asked(spark, d), DIM, names), names).groupBy("enclosing").agg(F.avg("scanned").alias("scanned"))
+
+
+@query("rotated_box")
+def rotated_box(spark, d):
+    keys = keys_of(spark, d)
+    basis = enclosures.principal_basis(keys, "key", DIM)
+    boxes = index.centers(index.by_position(enclosures.rotated(keys, "key", basis), BF), DIM)
+    asked = enclosures.rotated(_asked(spark, d), "query", basis)
+    both = boxes.crossJoin(F.broadcast(asked)).withColumn("ok", enclosures.box() + vec.SLACK > F.col("t"))
+    return both.groupBy("query_id").agg((F.sum(F.when(F.col("ok"), F.col("size")).otherwise(0)) / F.sum("size")).alias("scanned"))
+
+
+@query("box_relation", f"WITH {BASE}, {NODES}, x AS (SELECT query_id, cluster, {_box} AS ub, list_sum(list_transform(list_zip(query, lo, hi), lambda x: least(x[1] * x[2], x[1] * x[3]))) AS lb, t FROM nodes, q JOIN t USING (query_id)), h AS (SELECT DISTINCT query_id, pos // 4 AS cluster FROM s JOIN t USING (query_id) WHERE score >= t) SELECT query_id, CASE WHEN lb > t + 1e-9 THEN 'inside' WHEN ub + 1e-9 < t THEN 'outside' WHEN h.cluster IS NOT NULL THEN 'crossing, hit' ELSE 'crossing, none' END AS relation, count(*) AS clusters FROM x LEFT JOIN h USING (query_id, cluster) GROUP BY ALL")
+def box_relation(spark, d):
+    m, asked = index.by_position(keys_of(spark, d), BF), _asked(spark, d)
+    low = -vec.box_bound(vec.scaled("query", -1.0), F.col("lo"), F.col("hi"))
+    x = index.centers(m, DIM).crossJoin(F.broadcast(asked)).select("query_id", "cluster", enclosures.box().alias("ub"), low.alias("lb"), "t")
+    h = search.exact(search.scores(asked, m), F.col("t")).select("query_id", "cluster", F.lit(True).alias("hit")).distinct()
+    kind = F.when(F.col("lb") > F.col("t") + vec.SLACK, "inside").when(F.col("ub") + vec.SLACK < F.col("t"), "outside").when(F.col("hit"), "crossing, hit").otherwise("crossing, none")
+    return x.join(h, ["query_id", "cluster"], "left").groupBy("query_id", kind.alias("relation")).agg(F.count("*").alias("clusters"))
+
+
+@query("box_levels", f"WITH {BASE}, {NODES}, up AS (SELECT cluster // 4 AS parent, d, min(lo) AS lo, max(hi) AS hi FROM dims GROUP BY ALL), ub AS (SELECT parent, list(lo ORDER BY d) AS lo, list(hi ORDER BY d) AS hi FROM up GROUP BY parent), a AS (SELECT query_id, query, t, parent FROM ub, q JOIN t USING (query_id) WHERE {_box} + 1e-9 >= t), b AS (SELECT query_id, cluster FROM a JOIN nodes ON cluster // 4 = parent WHERE {_box} + 1e-9 >= t) SELECT query_id, (SELECT count(*) FROM a WHERE a.query_id = q.query_id) AS parents, (SELECT count(*) FROM b WHERE b.query_id = q.query_id) AS clusters FROM q")
+def box_levels(spark, d):
+    asked = _asked(spark, d)
+    leaves = index.centers(index.by_position(keys_of(spark, d), BF), DIM).withColumn("parent", F.floor(F.col("cluster") / BF))
+    up = leaves.groupBy("parent").agg(vec.each_dim(DIM, lambda i: F.min(F.get("lo", F.lit(i)))).alias("lo"), vec.each_dim(DIM, lambda i: F.max(F.get("hi", F.lit(i)))).alias("hi"))
+    ok = enclosures.box() + vec.SLACK >= F.col("t")
+    a = up.crossJoin(F.broadcast(asked)).where(ok).select("query_id", "query", "t", "parent")
+    b = leaves.join(a, "parent").where(ok)
+    return a.groupBy("query_id").agg(F.count("*").alias("parents")).join(b.groupBy("query_id").agg(F.count("*").alias("clusters")), "query_id", "left").select("query_id", "parents", F.coalesce("clusters", F.lit(0)).alias("clusters"))
+
+
+# Clusterings
+
+
+@query("every_clustering")
+def every_clustering(spark, d):
+    """clustering, clusters, scanned by ball: one row a method."""
+    keys, asked, out = keys_of(spark, d).select("head", "pos", "key"), _asked(spark, d), None
+    for name in sorted(clusterings.CLUSTERINGS):
+        nodes = index.balls(clusterings.CLUSTERINGS[name](keys, 8), DIM)
+        both = nodes.crossJoin(F.broadcast(asked)).withColumn("ok", enclosures.ball() + vec.SLACK >= F.col("t"))
+        row = both.agg(F.lit(name).alias("clustering"), F.count_distinct("cluster").alias("clusters"), (F.sum(F.when(F.col("ok"), F.col("size")).otherwise(0)) / F.sum("size")).alias("scanned"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+# Threshold oracles
+
+
+def _sample(scored: DataFrame) -> DataFrame:
+    return scored.where(F.col("pos") % 8 == 0)
+
+
+_SAMPLE = "x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS sr, count(*) OVER (PARTITION BY query_id) AS m FROM s WHERE pos % 8 = 0)"
+_ORACLE_SQL = {
+    "topk": "SELECT query_id, min(score) AS t FROM r WHERE rank <= 64 GROUP BY query_id",
+    "sample_max": "SELECT query_id, max(score) AS t FROM x GROUP BY query_id",
+    "sample_mean_max": "SELECT query_id, (avg(score) + max(score)) / 2 AS t FROM x GROUP BY query_id",
+    "sample_topk": "SELECT query_id, min(score) AS t FROM x WHERE sr <= 16 GROUP BY query_id",
+    "sample_gap": "SELECT query_id, arg_min(below, sr) AS t FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score - below DESC, sr) AS g FROM (SELECT *, lead(score) OVER (PARTITION BY query_id ORDER BY sr) AS below FROM x WHERE sr <= greatest(2, floor(m * 0.25))) WHERE below IS NOT NULL) WHERE g <= 3 GROUP BY query_id",
+    "budget": "SELECT query_id, score AS t FROM x WHERE sr = greatest(1, floor(m * 0.1))",
+    "sample_mean_topk": "SELECT query_id, ((SELECT avg(score) FROM x WHERE x.query_id = q.query_id) + (SELECT avg(score) FROM r WHERE r.query_id = q.query_id AND rank <= 16)) / 2 AS t FROM q",
+}
+
+
+def _oracle(name):
+    def run(spark, d):
+        s = _scored(spark, d).select("query_id", "pos", "score")
+        return thresholds.ORACLES[name](s, _sample(s)).select("query_id", _six("t").alias("t"))
+
+    return run
+
+
+for _name, _text in _ORACLE_SQL.items():
+    query(f"threshold_{_name}", f"WITH {BASE}, {_SAMPLE}, y AS ({_text}) SELECT query_id, round(t, 6) + 0.0 AS t FROM y")(_oracle(_name))
+
+
+@query("threshold_sweep", f"WITH {BASE}, {_SAMPLE}, y AS ({' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS oracle, * FROM ({t})' for n, t in _ORACLE_SQL.items() if n not in ('sample_mean_max', 'sample_mean_topk'))}), z AS (SELECT oracle, query_id, avg((score >= t)::INT) AS share, count(*) FILTER (score >= t AND rank <= 10) / 10 AS recall FROM r JOIN y USING (query_id) GROUP BY ALL) SELECT oracle, round(avg(share), 6) AS share, round(avg(recall), 6) AS recall, round(stddev_pop(share), 6) AS share_sd FROM z GROUP BY oracle")
+def threshold_sweep(spark, d):
+    s = _scored(spark, d).select("query_id", "pos", "score")
+    out = None
+    for name in _ORACLE_SQL:
+        if name not in ("sample_mean_max", "sample_mean_topk"):
+            row = thresholds.judge(s, thresholds.ORACLES[name](s, _sample(s))).withColumn("oracle", F.lit(name))
+            out = row if out is None else out.union(row)
+    return out.groupBy("oracle").agg(_six(F.avg("share")).alias("share"), _six(F.avg("recall")).alias("recall"), _six(F.stddev_pop("share")).alias("share_sd"))
+
+
+# Attention
+
+
+def _dims(out: DataFrame) -> DataFrame:
+    return out.select("query_id", F.posexplode("output").alias("d", "x")).select("query_id", "d", _six("x").alias("x"))
+
+
+_VALUES = "v AS (SELECT query_id, d - 1 AS d, sum(p * (x * 0.5 + 0.25)) AS x FROM (SELECT query_id, p, unnest(key) AS x, generate_subscripts(key, 1) AS d FROM p JOIN k USING (pos)) GROUP BY ALL) SELECT query_id, d::INTEGER AS d, round(x, 6) + 0.0 AS x FROM v"
+
+
+@query("attention_dense", f"WITH {BASE}, {SOFT}, {_VALUES}")
+def attention_dense(spark, d):
+    return _dims(attention.attend(_scored(spark, d).select("query_id", "pos", "score", "value"), queries_of(spark, d), DIM, SCALE))
+
+
+def _buffered(spark, d, limit: float) -> DataFrame:
+    """Indexed survivors of a threshold and every row of the buffer (the positions from 400 on)."""
+    s = _scored(spark, d).select("query_id", "pos", "score", "value")
+    return attention.with_buffer(search.exact(s.where("pos < 400"), F.lit(limit)), s.where("pos >= 400"))
+
+
+@query("attention_buffered", f"WITH {BASE.replace('s AS (SELECT query_id, pos, query, key, list_dot_product(query, key) AS score FROM q, k)', 's AS (SELECT query_id, pos, query, key, list_dot_product(query, key) AS score FROM q, k WHERE pos >= 400 OR list_dot_product(query, key) >= 0.15)')}, {SOFT}, {_VALUES}")
+def attention_buffered(spark, d):
+    return _dims(attention.attend(_buffered(spark, d, 0.15), queries_of(spark, d), DIM, SCALE))
+
+
+@query("attention_nothing", f"WITH {BASE} SELECT query_id, d::INTEGER AS d, 0.0::DOUBLE AS x FROM q, range(64) g(d)")
+def attention_nothing(spark, d):
+    return _dims(attention.attend(_scored(spark, d).select("query_id", "pos", "score", "value").where("score > 5"), queries_of(spark, d), DIM, SCALE))
+
+
+# Selection policies
+
+
+def _count(selected: DataFrame) -> DataFrame:
+    return selected.groupBy("query_id").agg(F.count("*").alias("kept"), F.sum("pos").alias("positions"))
+
+
+_COUNT = "SELECT query_id, count(*) AS kept, sum(pos)::BIGINT AS positions FROM x GROUP BY query_id"
+
+
+@query("policy_window", f"WITH {BASE}, x AS (SELECT * FROM s WHERE pos < 4 OR pos >= (SELECT count(*) FROM k) - 16) {_COUNT}")
+def policy_window(spark, d):
+    return _count(attention.streaming_window(_scored(spark, d), keys_of(spark, d).count()))
+
+
+@query("policy_heavy_hitters", f"WITH {BASE}, {SOFT}, g AS (SELECT pos, round(sum(p), 9) AS mass FROM p GROUP BY pos), n AS (SELECT count(*) AS n FROM k), x AS ((SELECT pos FROM g, n WHERE pos < n - 16 ORDER BY mass DESC, pos LIMIT 16) UNION ALL (SELECT pos FROM k, n WHERE pos >= n - 16)) SELECT pos FROM x")
+def policy_heavy_hitters(spark, d):
+    return attention.heavy_hitters(_scored(spark, d), keys_of(spark, d).count(), 16, 16, SCALE)
+
+
+def _pages(exact):
+    return lambda spark, d: _count(attention.page_policy(queries_of(spark, d), keys_of(spark, d), DIM, 16, 64, keys_of(spark, d).count(), exact))
+
+
+_PAGE = "n AS (SELECT count(*) // 16 * 16 AS n FROM k), g AS ({score}), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, page) AS r FROM g), x AS (SELECT query_id, pos FROM b JOIN k ON page = pos // 16, n WHERE r <= 4 AND pos < n UNION ALL SELECT query_id, pos FROM q, k, n WHERE pos >= n)"
+_PAGE_BOX = "SELECT query_id, page, greatest(list_dot_product(query, list(hi ORDER BY d)), list_dot_product(query, list(lo ORDER BY d))) AS score FROM (SELECT pos // 16 AS page, d, min(x) AS lo, max(x) AS hi FROM (SELECT pos, unnest(key) AS x, generate_subscripts(key, 1) AS d FROM k, n WHERE pos < n) GROUP BY ALL), q GROUP BY query_id, query, page"
+query("policy_pages_box", f"WITH {BASE}, {_PAGE.format(score=_PAGE_BOX)} {_COUNT}")(_pages(False))
+query("policy_pages_exact", f"WITH {BASE}, {_PAGE.format(score='SELECT query_id, pos // 16 AS page, max(score) AS score FROM s, n WHERE pos < n GROUP BY ALL')} {_COUNT}")(_pages(True))
+
+
+@query("policy_clusters", f"WITH {BASE}, {NODES}, c AS (SELECT query_id, cluster, size, list_dot_product(query, center) AS score FROM nodes, q), b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY query_id ORDER BY score DESC, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c), x AS (SELECT query_id, pos FROM b JOIN k ON cluster = pos // 4 WHERE before < 50) {_COUNT}")
+def policy_clusters(spark, d):
+    m = index.by_position(keys_of(spark, d), BF)
+    return _count(attention.cluster_policy(queries_of(spark, d), index.centers(m, DIM), m, 50))
+
+
+_TOP_P = f"{SOFT}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rk, count(*) OVER (PARTITION BY query_id) AS n FROM p), b AS (SELECT *, round(coalesce(sum(p) OVER (PARTITION BY query_id ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS before FROM o)"
+
+
+def _top_p(mode):
+    return lambda spark, d: _count(attention.top_p(_scored(spark, d), 0.9, mode, SCALE))
+
+
+query("policy_top_p_rank", f"WITH {BASE}, {_TOP_P}, x AS (SELECT * FROM o WHERE rk <= greatest(1, floor(0.1 * n + 1e-9))) {_COUNT}")(_top_p("rank"))
+for _mode in ("mass", "exclusive"):
+    query(f"policy_top_p_{_mode}", f"WITH {BASE}, {_TOP_P}, x AS (SELECT * FROM b WHERE before < 0.9) {_COUNT}")(_top_p(_mode))
+
+PLANES = np.round(np.random.default_rng(42).standard_normal((16, DIM)), 3).tolist()
+
+
+@query("policy_signs", f"WITH {BASE}, pl AS (SELECT * FROM (VALUES {', '.join(f'({i}, {g}::DOUBLE[])' for i, g in enumerate(PLANES))}) z(i, g)), h AS (SELECT query_id, pos, count(*) FILTER ((list_dot_product(query, g) > 0) <> (list_dot_product(key, g) > 0)) AS hd FROM q, k, pl GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hd, pos) AS rk FROM h), x AS (SELECT * FROM o WHERE rk <= 40) {_COUNT}")
+def policy_signs(spark, d):
+    return _count(attention.hamming_policy(queries_of(spark, d), keys_of(spark, d), PLANES, 2 * K))
+
+
+@query("policy_lists", f"WITH {BASE}, {NODES}, c AS (SELECT query_id, cluster, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(query, center) DESC, cluster) AS r FROM nodes, q), o AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rk FROM s JOIN c USING (query_id) WHERE c.cluster = pos // 4 AND r <= 12), x AS (SELECT * FROM o WHERE rk <= 20) {_COUNT}")
+def policy_lists(spark, d):
+    m = index.by_position(keys_of(spark, d), BF)
+    return _count(attention.probe_policy(queries_of(spark, d), index.centers(m, DIM), m, 12, K))
+
+
+@query("policy_codes", f"WITH {BASE}, {SLICED}, o AS (SELECT query_id, pos, round(sum(list_dot_product(qs, center)), 9) AS score FROM m JOIN sn USING (s, cluster) JOIN qs USING (s) GROUP BY ALL), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rk FROM o), x AS (SELECT * FROM z WHERE rk <= 20) {_COUNT}")
+def policy_codes(spark, d):
+    qs, members, nodes = _slices(spark, d)
+    return _count(attention.code_policy(queries_of(spark, d), members, nodes, qs, K))
+
+
+@query("policy_recall", f"WITH {BASE}, {NODES}, best AS (SELECT query_id, pos FROM r WHERE rank <= 10), c AS (SELECT query_id, cluster, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(query, center) DESC, cluster) AS rr FROM nodes, q), x AS (SELECT query_id, pos FROM s JOIN c USING (query_id) WHERE c.cluster = pos // 4 AND rr <= 12) SELECT q.query_id, (SELECT count(*) FROM best JOIN x USING (query_id, pos) WHERE query_id = q.query_id) / 10 AS recall, (SELECT count(*) FROM x WHERE x.query_id = q.query_id) AS retrieved FROM q")
+def policy_recall(spark, d):
+    m = index.by_position(keys_of(spark, d), BF)
+    got = attention.probe_policy(queries_of(spark, d), index.centers(m, DIM), m, 12, 1 << 30)
+    return metrics.recall_at(got, search.top_k(_scored(spark, d), 10).select("query_id", "pos"))
+
+
+# Metrics
+
+
+@query("score_concentration", f"WITH {BASE}, {SOFT}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, pos) AS rk, count(*) OVER (PARTITION BY query_id) AS n FROM p), c AS (SELECT *, round(sum(p) OVER (PARTITION BY query_id ORDER BY rk), 9) AS cum FROM o) SELECT query_id, round(sum(CASE WHEN rk <= 8 THEN p ELSE 0 END), 6) AS top8, round(sum(CASE WHEN rk <= 32 THEN p ELSE 0 END), 6) AS top32, round(sum(CASE WHEN rk <= 128 THEN p ELSE 0 END), 6) AS top128, round((count(*) FILTER (cum < 0.5) + 1) / max(n), 6) AS cov50, round(1 / sum(p * p), 5) AS eff_size, round(-sum(p * ln(p)), 6) AS entropy, round(avg((p * n > 1)::INT), 6) AS above_uniform FROM c GROUP BY query_id")
+def score_concentration(spark, d):
+    c = metrics.concentration(_weighted(spark, d))
+    return c.select("query_id", *[_six(x).alias(x) for x in c.columns if x not in ("query_id", "eff_size")], F.round("eff_size", 5).alias("eff_size"))
+
+
+@query("norm_marginals", "WITH n AS (SELECT vec_id % 2 AS head, label, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings) SELECT head, label, count(norm) AS n, round(avg(norm), 6) AS mean, round(stddev_pop(norm), 6) + 0.0 AS sd FROM n GROUP BY GROUPING SETS ((head), (label), ())")
+def norm_marginals(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("vec_id") % 2).alias("head"), "label", F.col("embedding").alias("key"))
+    return metrics.norm_marginals(e, ("head", "label")).select("head", "label", "n", _six("mean").alias("mean"), _six("sd").alias("sd"))
+
+
+@query("orthants", "SELECT array_to_string(list_transform(embedding[1:6], lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS orthant, count(*) AS n FROM embeddings GROUP BY 1")
+def orthants(spark, d):
+    return metrics.orthants(keys_of(spark, d), "key", 6)
+
+
+@query("orthant_summary", "WITH o AS (SELECT array_to_string(list_transform(embedding[1:6], lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS orthant, count(*) AS n FROM embeddings GROUP BY 1), p AS (SELECT *, n / sum(n) OVER () AS p, row_number() OVER (ORDER BY n DESC, orthant) AS r FROM o) SELECT count(*) AS kinds, round(sum(CASE WHEN r <= 1 THEN p ELSE 0 END), 6) AS top1, round(sum(CASE WHEN r <= 5 THEN p ELSE 0 END), 6) AS top5, round(sum(CASE WHEN r <= 10 THEN p ELSE 0 END), 6) AS top10, round(-sum(p * log2(p)), 6) AS bits, round(2 ** -sum(p * log2(p)), 5) AS effective, round(1 / sum(p * p), 5) AS inverse_hhi FROM p")
+def orthant_summary(spark, d):
+    o = metrics.orthant_summary(metrics.orthants(keys_of(spark, d), "key", 6))
+    return o.select("kinds", *[F.round(c, 5 if c in ("effective", "inverse_hhi") else 6).alias(c) for c in o.columns[1:]])
+
+
+@query("pair_overlap", f"WITH {BASE}, x AS (SELECT query_id, pos FROM r WHERE rank <= 50), c AS (SELECT a.query_id AS a, b.query_id AS b, count(*) AS common FROM x a JOIN x b ON a.pos = b.pos AND a.query_id < b.query_id GROUP BY ALL) SELECT a.query_id AS a, b.query_id AS b, coalesce(common, 0) AS common, round(coalesce(common, 0) / (100 - coalesce(common, 0)), 6) AS jaccard, round(coalesce(common, 0) / 50, 6) AS overlap FROM q a JOIN q b ON a.query_id < b.query_id LEFT JOIN c ON c.a = a.query_id AND c.b = b.query_id")
+def pair_overlap(spark, d):
+    sets = search.top_k(_scored(spark, d), 50).select("query_id", F.col("pos").alias("item"))
+    return metrics.pair_overlap(sets).select("a", "b", "common", _six("jaccard").alias("jaccard"), _six("overlap").alias("overlap"))
+
+
+@query("pca_summary")
+def pca_summary(spark, d):
+    return metrics.pca_summary(keys_of(spark, d), "key", DIM)
+
+
+@query("drop_divergence", f"WITH {BASE}, {SOFT}, n AS (SELECT count(*) AS n FROM k), f AS (SELECT query_id, pos, p / sum(p) OVER (PARTITION BY query_id) AS r FROM p, n WHERE pos = 0 OR pos >= n - 100) SELECT query_id, round(sum(p.p * ln(p.p / greatest(coalesce(r, 0), 1e-12))), 6) AS kl, arg_max(pos, (round(p.p, 12), -pos)) = arg_max(pos, (round(coalesce(r, -1), 12), -pos)) AS top1_agrees FROM p LEFT JOIN f USING (query_id, pos) GROUP BY query_id")
+def drop_divergence(spark, d):
+    dense = _weighted(spark, d).select("query_id", "pos", "p")
+    n = keys_of(spark, d).count()
+    kept = dense.where(metrics.kept_positions(n, "window", 100)).withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("query_id")))
+    return metrics.divergence(dense, kept).withColumn("kl", _six("kl"))
+
+
+@query("sum_threshold", f"WITH {BASE}, {SOFT}, i AS (SELECT * FROM p WHERE pos > 0 AND pos < (SELECT count(*) FROM k) - 1), c AS (SELECT query_id, round(sum(p / m) OVER (PARTITION BY query_id ORDER BY p DESC, pos), 9) AS cum FROM (SELECT *, sum(p) OVER (PARTITION BY query_id) AS m FROM i)) SELECT query_id, count(*) FILTER (cum < 0.8) + 1 AS k FROM c GROUP BY query_id")
+def sum_threshold(spark, d):
+    return metrics.sum_threshold(_weighted(spark, d), keys_of(spark, d).count(), 0.8)
+
+
+@query("rolling_scores", f"WITH {BASE} SELECT query_id, pos, round(median(score) OVER w, 6) + 0.0 AS median, round(min(score) OVER w, 6) + 0.0 AS low, round(max(score) OVER w, 6) + 0.0 AS high FROM s WINDOW w AS (PARTITION BY query_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
+def rolling_scores(spark, d):
+    r = metrics.rolling(_scored(spark, d).select("query_id", "pos", "score"), "score", "pos", "query_id", 3)
+    return r.select("query_id", "pos", *[_six(c).alias(c) for c in ("median", "low", "high")])
+
+
+@query("turn_context", "SELECT conv_id, turn, string_agg(role, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM conversations")
+def turn_context(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    return metrics.context(c.select("conv_id", "turn", "role"), "role", "turn", "conv_id", 1).select("conv_id", "turn", "context")
+
+
+# Answer scorers over the benchmark's texts: each item against the next
+
+_PAIRS = "b AS (SELECT item_id, text AS p, lead(text, 1, text) OVER (ORDER BY item_id) AS g FROM benchmark)"
+
+
+def _normal(x):
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _answers(spark, d) -> DataFrame:
+    b = spark.read.parquet(f"{d}/benchmark.parquet")
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("g"))
+    return b.select("item_id", F.col("text").alias("p")).join(nxt, "item_id", "left").withColumn("g", F.coalesce("g", "p"))
+
+
+@query("answer_f1", f"WITH {_PAIRS}, n AS (SELECT item_id, list_filter(string_split({_normal('p')}, ' '), lambda x: x <> '') AS p, list_filter(string_split({_normal('g')}, ' '), lambda x: x <> '') AS g FROM b), c AS (SELECT *, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))) AS c FROM n) SELECT item_id, round(CASE WHEN c = 0 THEN 0 ELSE 2 * c / (len(p) + len(g)) END, 6)::DOUBLE AS f1 FROM c")
+def answer_f1(spark, d):
+    return _answers(spark, d).select("item_id", _six(scorers.token_f1(F.col("p"), F.col("g"))).alias("f1"))
+
+
+@query("answer_contains", f"WITH {_PAIRS} SELECT item_id, contains({_normal('p')}, {_normal('g')}) AS hit FROM b")
+def answer_contains(spark, d):
+    return _answers(spark, d).select("item_id", scorers.contains_answer(F.col("p"), F.array("g")).alias("hit"))
+
+
+@query("substring_share", "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(text), 'token') THEN 0.5 ELSE 0 END AS share FROM documents")
+def substring_share(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", scorers.substring_share(F.col("text"), F.array(F.lit("license"), F.lit("TOKEN"))).alias("share"))
+
+
+@query("last_number", r"SELECT doc_id, list_extract(regexp_extract_all(text, '-?\d+(?:\.\d+)?'), -1) AS answer FROM documents WHERE len(regexp_extract_all(text, '-?\d+(?:\.\d+)?')) > 0")
+def last_number(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", scorers.competition_answer(F.col("text")).alias("answer")).where("answer IS NOT NULL")
+
+
+@query("label_agreement", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
+def label_agreement(spark, d):
+    return spark.read.parquet(f"{d}/labels.parquet").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
