@@ -114,7 +114,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def found_of(t: int) -> Column:
         label, text, keys = TEMPLATES[t]
         own = text.split()
-        total = sum(idf[w] for w in own)
+        total = sum(idf[w] for w in own) or 1.0
 
         def cover(o: Column) -> Column:
             agrees = [F.when(F.coalesce(_low(F.get(words, o + j)) == w, F.lit(False)), idf[w] / total).otherwise(0.0) for j, w in enumerate(own)]
