@@ -1,0 +1,162 @@
+"""The index as one object: build, append, update, search and attend, as a decode loop calls them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, fields, replace
+from pathlib import Path
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from keelson.functions import vec
+from keelson.operators import attention, index, search, subspace, thresholds
+from keelson.operators.clusterings import CLUSTERINGS
+
+
+@dataclass(frozen=True)
+class Config:
+    """What an index is made of; every choice where readings of the method differ is a field."""
+
+    dim: int = 64
+    bf: int = 4
+    clustering: str = "by_position"
+    update_every: int = 256
+    exact_flush: bool = False  # an update needs exactly ``update_every`` buffered keys
+    mode: str = "incremental"  # or "full": rebuild everything at each update
+    strict_gate: bool = False
+    emit: str = "exact"  # or "candidates"
+    slack: float = vec.SLACK
+    threshold: str = "topk"
+    k: int = 64
+    scale: float | None = None  # of scores in the softmax; 1 / sqrt(dim) if none
+
+    @classmethod
+    def from_dict(cls, values: dict) -> Config:
+        if unknown := set(values) - {f.name for f in fields(cls)}:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**values)
+
+    @classmethod
+    def from_yaml(cls, path: str) -> Config:
+        """A flat file of ``name: value`` lines."""
+        kinds, out = {f.name: f.type for f in fields(cls)}, {}
+        for line in Path(path).read_text().splitlines():
+            name, found, value = line.split("#")[0].partition(":")
+            if found and (name := name.strip()) in kinds:
+                value = value.strip().strip("'\"")
+                kind = kinds[name]
+                out[name] = int(value) if kind == "int" else value.lower() == "true" if kind == "bool" else float(value) if "float" in kind else value
+            elif found and name.strip():
+                raise ValueError(f"unknown setting: {name.strip()}")
+        return cls(**out)
+
+
+class SparseIndex:
+    """Clusters with balls over ``keys(head, pos, key, value)``, and a buffer of keys not yet indexed.
+
+    Objects are immutable: ``append`` and ``update`` return new ones, so that a
+    reader keeps the version it holds while the next is made.  Searches and
+    attention always see the index and the whole buffer.
+    """
+
+    def __init__(self, config: Config, members: DataFrame, nodes: DataFrame, buffer: DataFrame | None = None, version: int = 0):
+        self.config, self.members, self.nodes, self.buffer, self.version = config, members, nodes, buffer, version
+
+    @classmethod
+    def build(cls, keys: DataFrame, config: Config = Config()) -> SparseIndex:  # noqa: B008  (frozen)
+        members = CLUSTERINGS[config.clustering](keys, config.bf)
+        return cls(config, members, index.balls(members, config.dim))
+
+    def append(self, keys: DataFrame) -> SparseIndex:
+        return SparseIndex(self.config, self.members, self.nodes, keys if self.buffer is None else self.buffer.unionByName(keys), self.version)
+
+    def update(self) -> SparseIndex:
+        """Index the buffer: its own clusters beside the old ones, or everything anew."""
+        if self.buffer is None:
+            return self
+        if self.config.exact_flush and (n := self.buffer.count()) != self.config.update_every:
+            raise ValueError(f"an update takes {self.config.update_every} keys, not {n}")
+        columns = self.buffer.columns
+        if self.config.mode == "full":
+            fresh = SparseIndex.build(self.members.select(*columns).unionByName(self.buffer), self.config)
+            return SparseIndex(self.config, fresh.members, fresh.nodes, None, self.version + 1)
+        own = CLUSTERINGS[self.config.clustering](self.buffer, self.config.bf)
+        shift = self.nodes.agg(F.coalesce(F.max("cluster") + 1, F.lit(0)).alias("shift"))
+        own = own.crossJoin(F.broadcast(shift)).withColumn("cluster", F.col("cluster") + F.col("shift")).select(*self.members.columns)
+        return SparseIndex(self.config, self.members.unionByName(own), self.nodes.unionByName(index.balls(own, self.config.dim)), None, self.version + 1)
+
+    def due(self) -> bool:
+        return self.buffer is not None and self.buffer.count() >= self.config.update_every
+
+    def everything(self) -> DataFrame:
+        own = self.members.drop("cluster")
+        return own if self.buffer is None else own.unionByName(self.buffer.select(*own.columns))
+
+    def with_thresholds(self, queries: DataFrame) -> DataFrame:
+        """Queries with ``t`` by the configured oracle; given ones stay."""
+        if "t" in queries.columns:
+            return queries
+        scored = search.scores(queries, self.everything()).select("query_id", "pos", "score")
+        if self.config.threshold == "topk":
+            return queries.join(thresholds.kth_best(scored, self.config.k), "query_id")
+        sample = scored.where(F.col("pos") % 8 == 0)
+        return queries.join(thresholds.ORACLES[self.config.threshold](scored, sample), "query_id")
+
+    def search(self, queries: DataFrame, scaling: float = 1.0) -> DataFrame:
+        """query_id, pos, score of indexed keys at or above each query's threshold; scaled after."""
+        c = self.config
+        found = search.gated(self.with_thresholds(queries), self.nodes, self.members, c.strict_gate, c.emit, c.slack)
+        return found if scaling == 1.0 else found.withColumn("score", F.col("score") * scaling)
+
+    def selected(self, queries: DataFrame) -> DataFrame:
+        """query_id, pos, score, value of survivors and of the whole buffer."""
+        hits = self.search(queries).join(self.members.select("pos", "value"), "pos").select("query_id", "pos", "score", "value")
+        if self.buffer is None:
+            return hits
+        return attention.with_buffer(hits, search.scores(queries.select("query_id", "query"), self.buffer).select("query_id", "pos", "score", "value"))
+
+    def attend(self, queries: DataFrame) -> DataFrame:
+        """query_id, output: softmax over survivors and buffer, zeros where both are empty."""
+        scale = self.config.scale or self.config.dim**-0.5
+        return attention.attend(self.selected(queries), queries, self.config.dim, scale)
+
+    def metrics(self) -> DataFrame:
+        """n_nodes, n_children, bytes, n_buffered."""
+        n = self.buffer.count() if self.buffer is not None else 0
+        return index.memory_bytes(self.nodes, self.members).withColumn("n_buffered", F.lit(n))
+
+    def configured(self, **changes) -> SparseIndex:
+        return SparseIndex(replace(self.config, **changes), self.members, self.nodes, self.buffer, self.version)
+
+
+def dense(queries: DataFrame, keys: DataFrame, dim: int, scale: float, causal: bool = False) -> DataFrame:
+    """Reference attention over all keys; with ``causal`` over those before the query's step."""
+    scored = search.scores(queries, keys, F.col("pos") <= F.col("step") if causal else None)
+    return attention.attend(scored.select("query_id", "pos", "score", "value"), queries, dim, scale)
+
+
+#: Attention by name, for callers that pick one: (queries, keys, config) -> query_id, output.
+ATTENTIONS: dict[str, Callable[[DataFrame, DataFrame, Config], DataFrame]] = {
+    "dense": lambda q, k, c: dense(q, k, c.dim, c.scale or c.dim**-0.5),
+    "halfspace": lambda q, k, c: SparseIndex.build(k, c).attend(q),
+    "window": lambda q, k, c: _over(attention.streaming_window(_rows(q, k), k.count()), q, c),
+    "top_p": lambda q, k, c: _over(attention.top_p(_rows(q, k), 0.9, "mass", c.scale or c.dim**-0.5), q, c),
+    "pages": lambda q, k, c: _over(_rows(q, k).join(attention.page_policy(q, k, c.dim, 16, 64, k.count()), ["query_id", "pos"], "left_semi"), q, c),
+    "threshold_algorithm": lambda q, k, c: _over(_rows(q, k).join(_ta(q, k, c), ["query_id", "pos"], "left_semi"), q, c),
+}
+
+
+def _rows(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    return search.scores(queries, keys).select("query_id", "pos", "score", "value")
+
+
+def _over(rows: DataFrame, queries: DataFrame, config: Config) -> DataFrame:
+    return attention.attend(rows.select("query_id", "pos", "score", "value"), queries, config.dim, config.scale or config.dim**-0.5)
+
+
+def _ta(queries: DataFrame, keys: DataFrame, config: Config, parts: int = 4) -> DataFrame:
+    members = index.flush_groups(keys, config.dim, parts, config.bf)
+    ranks = subspace.ta_ranks(queries, subspace.slice_balls(members, config.dim, parts), config.dim, parts)
+    limits = thresholds.kth_best(search.scores(queries, keys).select("query_id", "pos", "score"), config.k)
+    return subspace.ta_candidates(ranks, subspace.ta_depth(ranks, limits, 256), members)

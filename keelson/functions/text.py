@@ -76,6 +76,6 @@ def boxed_answer(texts):  # nested braces are beyond regular expressions
 def normalised_math(text: Column) -> Column:
     """A formula without spacing, dollar signs, \\left, \\right, text commands and trailing dots."""
     t = F.regexp_replace(text, r"\\(left|right|,|!|;|:|displaystyle)", "")
-    t = F.regexp_replace(t, r"\\(d|t)frac", r"\\\\frac")
+    t = F.regexp_replace(t, r"\\(d|t)frac", r"\\frac")
     t = F.regexp_replace(t, r"\\text\{([^{}]*)\}", "$1")
     return F.regexp_replace(F.regexp_replace(t, r"[\s$]", ""), r"\.$", "")
