@@ -193,14 +193,16 @@ def blocks_of(radius: int, count: int) -> list[tuple[int, int]]:
     return [(a, min(b - a, need)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def links(prints: DataFrame, radius: int, least: float = 0.0) -> DataFrame:
+def links(prints: DataFrame, radius: int, least: float = 0.0, sure: int | None = None) -> DataFrame:
     """Edges ``u, v`` of signed node numbers that connect what links within shards.
 
-    ``prints(node, fp[, sketch])``: distinct nodes.
+    ``prints(node, fp[, sketch])``: distinct nodes.  Fingerprints within ``sure``
+    bits (``radius`` if not given) are certain to share a shard; those between
+    ``sure`` and ``radius`` link where they happen to.
     """
     count = prints.count()
     sketched = "sketch" in prints.columns
-    keys = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1).alias("value")) for k, (shift, width) in enumerate(blocks_of(radius, count))]
+    keys = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1).alias("value")) for k, (shift, width) in enumerate(blocks_of(radius if sure is None else sure, count))]
     dealt = prints.withColumn("key", F.explode(F.array(*keys))).select("node", "fp", *["sketch"] * sketched, "key.block", "key.value")
     # shards that are too large for one task: at most blocks * count / SPLIT of them
     large = dealt.groupBy("block", "value").count().where(F.col("count") > SPLIT).select("block", "value", F.ceil(F.col("count") / SPLIT).cast("int").alias("chunks"))
@@ -237,12 +239,12 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = 8, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = 12, least: float = 0.8, sure: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their near-duplicate group.
 
     Texts link if their fingerprints over ``words``-word shingles lie within
-    ``radius`` bits and the sketches of their shingle sets resemble each other
-    by ``least`` or more.  Of a group the row with the least id stays (null ids
+    ``radius`` bits (found for certain within ``sure`` bits) and the sketches of
+    their shingle sets resemble each other by ``least`` or more.  Of a group the row with the least id stays (null ids
     come last, then the least text hash); of repeated rows, one.
     """
     last = F.lit((1 << 63) - 1)
@@ -250,7 +252,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = 8, least: fl
     own = docs.select(F.struct(*keys).alias("key"), F.col(text_col).alias("text"))
     prints = cut(fingerprints(own, words, "key", "text", sketched=True).select("id", "fp", "sketch", F.xxhash64("fp", "sketch").alias("node")))
     distinct = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.count("*").alias("n"), F.count_distinct("id").alias("ids")))
-    roots = connected_components(links(distinct.select("node", "fp", "sketch"), radius, least))
+    roots = connected_components(links(distinct.select("node", "fp", "sketch"), radius, least, sure))
     named = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
     kept = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).join(first, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_semi")
