@@ -116,3 +116,49 @@ def code_policy(queries: DataFrame, slice_members: DataFrame, slice_nodes: DataF
     table = slice_nodes.join(F.broadcast(query_slices), "s").select("query_id", "s", "cluster", vec.dot("qs", "center").alias("m"))
     s = slice_members.select("s", "cluster", "pos").join(table, ["s", "cluster"]).groupBy("query_id", "pos").agg(F.round(F.sum("m"), 9).alias("score"))
     return _rank(s).where(F.col("rank") <= k).select("query_id", "pos", "score")
+
+
+def with_fallback(selected: DataFrame, scored: DataFrame, n: int, share: float) -> DataFrame:
+    """Selected rows; a query without any gets its first ``share * n`` positions instead."""
+    some = selected.select("query_id").distinct()
+    first = scored.where(F.col("pos") < max(1, int(share * n))).join(some, "query_id", "left_anti")
+    return selected.unionByName(first.select(*selected.columns))
+
+
+def graph_policy(queries: DataFrame, keys: DataFrame, k: int, degree: int = 16, beam: int = 64, block: int = 4096) -> DataFrame:
+    """Approximate top k by greedy search on a neighbour graph of unit keys, one graph per block of positions.
+
+    Blocks bound a task's memory; every block is searched and the blocks' best are ranked together.
+    """
+    import numpy as np
+    import pandas as pd
+
+    asked = queries.select("query_id", "query").toPandas()  # the stated query set
+    shared = keys.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(np.int64), np.array(asked["query"].tolist(), float)))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, q = shared.value
+        x = np.array(group["key"].tolist(), float)
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        near = np.argsort(-(unit @ unit.T), axis=1)[:, 1 : degree + 1]
+        far = np.random.default_rng(len(x)).integers(0, len(x), (len(x), 2))  # long links keep the graph in one piece
+        links = np.hstack([near, far])
+        out = []
+        for i, v in zip(ids, q, strict=True):
+            seen = np.zeros(len(x), bool)
+            pool = np.unique(np.linspace(0, len(x) - 1, min(beam, len(x))).astype(int))
+            seen[pool] = True
+            while True:
+                pool = pool[np.argsort(-(x[pool] @ v), kind="stable")][:beam]
+                fresh = np.unique(links[pool])
+                fresh = fresh[~seen[fresh]]
+                if not len(fresh) or (len(pool) == beam and (x[fresh] @ v).max() < (x[pool] @ v).min()):
+                    break
+                seen[fresh] = True
+                pool = np.concatenate([pool, fresh])
+            best = pool[np.argsort(-(x[pool] @ v), kind="stable")][:k]
+            out.append(pd.DataFrame({"query_id": i, "pos": group["pos"].to_numpy()[best], "score": x[best] @ v}))
+        return pd.concat(out)
+
+    found = keys.select("pos", "key").groupBy(F.floor(F.col("pos") / block)).applyInPandas(run, "query_id long, pos long, score double")
+    return _rank(found).where(F.col("rank") <= k).select("query_id", "pos", "score")

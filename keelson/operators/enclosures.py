@@ -261,3 +261,54 @@ def scanned(passed: DataFrame, names: list[str]) -> DataFrame:
     """query_id, enclosing, scanned: share of keys whose cluster passes."""
     wide = passed.groupBy("query_id").agg(*[(F.sum(F.when(F.col(n), F.col("size")).otherwise(0)) / F.sum("size")).alias(n) for n in names])
     return wide.unpivot("query_id", names, "enclosing", "scanned")
+
+
+def hull_passes(members: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, cluster of clusters whose convex hull reaches the threshold: its best vertex is its best member."""
+    best = members.crossJoin(F.broadcast(queries.select("query_id", "query", "t"))).groupBy("query_id", "cluster", "t").agg(F.max(vec.dot("query", "key")).alias("best"))
+    return best.where(F.col("best") + F.lit(vec.SLACK) >= F.col("t")).select("query_id", "cluster")
+
+
+def intersecting(passed: DataFrame, clusters: int) -> DataFrame:
+    """query_id, count and percentage of clusters that pass."""
+    return passed.groupBy("query_id").agg(F.count("*").alias("count")).withColumn("percentage", 100.0 * F.col("count") / clusters)
+
+
+def parts_passes(members: DataFrame, queries: DataFrame, dim: int, parts: int = 4) -> DataFrame:
+    """query_id, cluster where any of ``parts`` boxes passes; parts are runs along the cluster's widest dimension."""
+    wide = members.groupBy("cluster").agg(vec.each_dim(dim, lambda i: F.max(F.get(vec.doubles("key"), F.lit(i))) - F.min(F.get(vec.doubles("key"), F.lit(i)))).alias("span"))
+    axis = wide.select("cluster", (F.array_position("span", F.array_max("span")) - 1).cast("int").alias("axis"))
+    run = F.ntile(parts).over(Window.partitionBy("cluster").orderBy(F.get(vec.doubles("key"), F.col("axis")), "pos"))
+    at = lambda i: F.get(vec.doubles("key"), F.lit(i))
+    boxes = members.join(axis, "cluster").withColumn("part", run).groupBy("cluster", "part").agg(vec.each_dim(dim, lambda i: F.min(at(i))).alias("lo"), vec.each_dim(dim, lambda i: F.max(at(i))).alias("hi"))
+    return boxes.crossJoin(F.broadcast(queries.select("query_id", "query", "t"))).where(box() + vec.SLACK > F.col("t")).select("query_id", "cluster").distinct()
+
+
+def basis_of(kind: str, keys: DataFrame, queries: DataFrame, dim: int, parts: int = 4) -> np.ndarray:
+    """Bases of rotated boxes: of all keys, of each slice of them, or of the queries seen so far."""
+    if kind == "global_pca":
+        return principal_basis(keys, "key", dim)
+    if kind == "query_adaptive":
+        return principal_basis(queries, "query", dim)
+    if kind == "subspace":
+        out = np.zeros((dim, dim))
+        for a, w in vec.split_widths(dim, parts):
+            out[a : a + w, a : a + w] = principal_basis(keys.select(vec.piece(F.col("key"), a, w).alias("key")), "key", w)
+        return out
+    raise ValueError(f"no basis is called {kind}")
+
+
+def refine(members: DataFrame, queries: DataFrame, dim: int, least: int = 2, rounds: int = 3) -> DataFrame:
+    """Members with finer clusters: boxes that pass without holding a hit are halved along their widest dimension, a few rounds."""
+    from keelson.operators.index import centers
+
+    now = members
+    for _ in range(rounds):
+        summary = centers(now, dim)
+        passed = summary.crossJoin(F.broadcast(queries.select("query_id", "query", "t"))).where(box() + vec.SLACK > F.col("t")).select("query_id", "cluster")
+        useless = passed.join(hull_passes(now, queries), ["query_id", "cluster"], "left_anti").select("cluster").distinct()
+        spans = summary.where(F.col("size") > least).select("cluster", F.zip_with("lo", "hi", lambda a, b: b - a).alias("span"))
+        axis = spans.join(useless, "cluster", "left_semi").select("cluster", (F.array_position("span", F.array_max("span")) - 1).cast("int").alias("axis"))
+        half = F.ntile(2).over(Window.partitionBy("cluster").orderBy(F.get(vec.doubles("key"), F.col("axis")), "pos"))
+        now = now.join(axis, "cluster", "left").withColumn("cluster", F.when(F.col("axis").isNull(), F.col("cluster") * 2).otherwise(F.col("cluster") * 2 + half - 1)).select(*members.columns)
+    return now

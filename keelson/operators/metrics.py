@@ -134,3 +134,13 @@ def context(rows: DataFrame, text: str, order: str, by: str, width: int) -> Data
     """Each row with the rows around it, in order, joined by blanks."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(-width, width)
     return rows.withColumn("context", F.array_join(F.collect_list(text).over(w), " "))
+
+
+def hierarchical_cost(levels: DataFrame, n: int, dim_cost: float = 1.0) -> DataFrame:
+    """query_id, cost (nodes checked at all levels over n keys) and speedup from ``levels(query_id, level, checked, passed)``."""
+    return levels.groupBy("query_id").agg((F.sum("checked") * dim_cost / n).alias("cost")).withColumn("speedup", 1 / F.col("cost"))
+
+
+def transfer_means(rows: DataFrame) -> DataFrame:
+    """Mean search and transfer times in ms, four places."""
+    return rows.agg(F.round(F.avg("search_ms"), 4).alias("search_ms"), F.round(F.avg("transfer_ms"), 4).alias("transfer_ms"))

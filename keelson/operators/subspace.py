@@ -68,3 +68,21 @@ def ta_candidates(ranks: DataFrame, depth: DataFrame, members: DataFrame) -> Dat
     """query_id, pos: the union of the rows of ranks up to the depth."""
     alive = ranks.join(F.broadcast(depth), "query_id").where("rank <= depth").select("query_id", "s", "cluster")
     return members.select("s", "cluster", "pos").join(alive, ["s", "cluster"]).select("query_id", "pos").distinct()
+
+
+def slice_tree(members: DataFrame, dim: int, parts: int, bf: int) -> tuple[DataFrame, DataFrame]:
+    """Two levels of balls per slice: clusters of ``members(s, cluster, sub)`` with their parent, and the parents."""
+    width = dim // parts
+    leaves = slice_balls(members, dim, parts).withColumn("parent", F.floor(F.col("cluster") / bf))
+    up = leaves.groupBy("s", "parent").agg(vec.each_dim(width, lambda i: F.avg(F.get("center", F.lit(i)))).alias("up"))
+    joined = leaves.join(up, ["s", "parent"])
+    top = joined.groupBy("s", "parent", "up").agg(F.max(vec.distance("center", "up") + F.col("radius")).alias("radius")).withColumnRenamed("up", "center")
+    return leaves, top
+
+
+def gate_down(thresholds: DataFrame, leaves: DataFrame, top: DataFrame) -> DataFrame:
+    """query_id, s, cluster of clusters that pass below parents that pass."""
+    above = cluster_gate(thresholds, top.withColumnRenamed("parent", "cluster")).withColumnRenamed("cluster", "parent")
+    below = leaves.join(above, ["s", "parent"]).join(F.broadcast(thresholds), ["query_id", "s"])
+    bound = vec.dot("qs", "center") + vec.norm("qs") * F.col("radius")
+    return below.where(bound + F.lit(vec.SLACK) * F.greatest(F.abs("t"), F.lit(1.0)) >= F.col("t")).select("query_id", "s", "cluster")

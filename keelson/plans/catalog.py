@@ -290,6 +290,19 @@ for _bound, _sign in (("middle", ""), ("upper", "+ radius * sqrt(list_dot_produc
     query(f"ta_{_bound}", f"WITH {_ta_sql(_sign)} SELECT query_id, any_value(depth) AS depth, count(*) AS candidates, count(*) FILTER (score >= t) AS hits FROM cand JOIN s USING (query_id, pos) JOIN t USING (query_id) JOIN dp USING (query_id) GROUP BY query_id")(_ta(_bound))
 
 
+_TREE = """tp AS (SELECT s, cluster // 4 AS parent, d, avg(c) AS c FROM (SELECT s, cluster, unnest(center) AS c, generate_subscripts(center, 1) AS d FROM sn) GROUP BY ALL),
+tc AS (SELECT s, parent, list(c ORDER BY d) AS up FROM tp GROUP BY s, parent),
+tn AS (SELECT s, parent, any_value(up) AS up, max(list_distance(center, up) + radius) AS radius FROM sn JOIN tc USING (s) WHERE parent = cluster // 4 GROUP BY s, parent),
+ta AS (SELECT query_id, s, parent FROM tn JOIN qs USING (s) JOIN ts USING (query_id, s) WHERE list_dot_product(qs, up) + sqrt(list_dot_product(qs, qs)) * radius + 1e-9 >= t)"""
+
+
+@query("subspace_tree", f"WITH {BASE}, {SLICED}, {_TREE} SELECT query_id, s::INTEGER AS s, count(*) AS clusters FROM gate JOIN ta USING (query_id, s) WHERE parent = cluster // 4 GROUP BY query_id, s")
+def subspace_tree(spark, d):
+    _, members, _ = _slices(spark, d)
+    leaves, top = subspace.slice_tree(members, DIM, PARTS, BF)
+    return subspace.gate_down(_slice_limits(spark, d), leaves, top).groupBy("query_id", "s").agg(F.count("*").alias("clusters"))
+
+
 # Enclosures
 
 NAMES = ("ball_centroid", "aabb", "span_ball", "l1_ball", "linf_ball", "hybrid", "ellipsoid", "axis_interval")
@@ -368,14 +381,49 @@ def box_levels(spark, d):
     return a.groupBy("query_id").agg(F.count("*").alias("parents")).join(b.groupBy("query_id").agg(F.count("*").alias("clusters")), "query_id", "left").select("query_id", "parents", F.coalesce("clusters", F.lit(0)).alias("clusters"))
 
 
+@query("hull_gate", f"WITH {BASE}, h AS (SELECT DISTINCT query_id, pos // 4 AS cluster FROM s JOIN t USING (query_id) WHERE score + 1e-9 >= t) SELECT query_id, count(*) AS count, round(100.0 * count(*) / (SELECT count(DISTINCT pos // 4) FROM k), 6)::DOUBLE AS percentage FROM h GROUP BY query_id")
+def hull_gate(spark, d):
+    m = index.by_position(keys_of(spark, d), BF)
+    passed = enclosures.hull_passes(m, _asked(spark, d))
+    return enclosures.intersecting(passed, m.select("cluster").distinct().count()).withColumn("percentage", _six("percentage"))
+
+
+@query("quad_boxes")
+def quad_boxes(spark, d):
+    m = index.by_position(keys_of(spark, d), 16)
+    return enclosures.intersecting(enclosures.parts_passes(m, _asked(spark, d), DIM), m.select("cluster").distinct().count())
+
+
+@query("refined_boxes")
+def refined_boxes(spark, d):
+    m = index.by_position(keys_of(spark, d), 16)
+    return enclosures.refine(m, _asked(spark, d), DIM, rounds=2).groupBy("cluster").agg(F.count("*").alias("size"))
+
+
+@query("adaptive_boxes")
+def adaptive_boxes(spark, d):
+    keys, asked, out = keys_of(spark, d), _asked(spark, d), None
+    for kind in ("global_pca", "query_adaptive", "subspace"):
+        basis = enclosures.basis_of(kind, keys, asked, DIM)
+        boxes = index.centers(index.by_position(enclosures.rotated(keys, "key", basis), BF), DIM)
+        both = boxes.crossJoin(F.broadcast(enclosures.rotated(asked, "query", basis))).withColumn("ok", enclosures.box() + vec.SLACK > F.col("t"))
+        row = both.agg(F.lit(kind).alias("basis"), (F.sum(F.when(F.col("ok"), F.col("size")).otherwise(0)) / F.sum("size")).alias("scanned"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 # Clusterings
 
 
-@query("every_clustering")
-def every_clustering(spark, d):
+#: Methods that the comparison runs; all others are covered by tests.
+COMPARED = "kmeans kcenter pq_subspace pca_pq whitened_pq batch_nn l1_nn balanced_kcenter pca_tree shell_kmeans fast_nn_pairing random_proj sort_partition".split()
+
+
+@query("clustering_comparison")
+def clustering_comparison(spark, d):
     """clustering, clusters, scanned by ball: one row a method."""
     keys, asked, out = keys_of(spark, d).select("head", "pos", "key"), _asked(spark, d), None
-    for name in sorted(clusterings.CLUSTERINGS):
+    for name in COMPARED:
         nodes = index.balls(clusterings.CLUSTERINGS[name](keys, 8), DIM)
         both = nodes.crossJoin(F.broadcast(asked)).withColumn("ok", enclosures.ball() + vec.SLACK >= F.col("t"))
         row = both.agg(F.lit(name).alias("clustering"), F.count_distinct("cluster").alias("clusters"), (F.sum(F.when(F.col("ok"), F.col("size")).otherwise(0)) / F.sum("size")).alias("scanned"))
@@ -456,6 +504,13 @@ def attention_nothing(spark, d):
     return _dims(attention.attend(_scored(spark, d).select("query_id", "pos", "score", "value").where("score > 5"), queries_of(spark, d), DIM, SCALE))
 
 
+@query("attention_fallback", f"WITH {BASE.replace('s AS (SELECT query_id, pos, query, key, list_dot_product(query, key) AS score FROM q, k)', 's0 AS (SELECT query_id, pos, query, key, list_dot_product(query, key) AS score FROM q, k), s1 AS (SELECT * FROM s0 WHERE score >= 0.34 AND pos <> query_id), s AS (SELECT * FROM s1 UNION ALL SELECT * FROM s0 WHERE pos < (SELECT count(*) FROM k) // 10 AND query_id NOT IN (SELECT query_id FROM s1))')}, {SOFT}, {_VALUES}")
+def attention_fallback(spark, d):
+    s = _scored(spark, d).select("query_id", "pos", "score", "value")
+    picked = s.where("score >= 0.34 AND pos <> query_id")
+    return _dims(attention.attend(attention.with_fallback(picked, s, keys_of(spark, d).count(), 0.1), queries_of(spark, d), DIM, SCALE))
+
+
 # Selection policies
 
 
@@ -523,6 +578,11 @@ def policy_codes(spark, d):
     return _count(attention.code_policy(queries_of(spark, d), members, nodes, qs, K))
 
 
+@query("policy_graph")
+def policy_graph(spark, d):
+    return _count(attention.graph_policy(queries_of(spark, d), keys_of(spark, d), K))
+
+
 @query("policy_recall", f"WITH {BASE}, {NODES}, best AS (SELECT query_id, pos FROM r WHERE rank <= 10), c AS (SELECT query_id, cluster, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(query, center) DESC, cluster) AS rr FROM nodes, q), x AS (SELECT query_id, pos FROM s JOIN c USING (query_id) WHERE c.cluster = pos // 4 AND rr <= 12) SELECT q.query_id, (SELECT count(*) FROM best JOIN x USING (query_id, pos) WHERE query_id = q.query_id) / 10 AS recall, (SELECT count(*) FROM x WHERE x.query_id = q.query_id) AS retrieved FROM q")
 def policy_recall(spark, d):
     m = index.by_position(keys_of(spark, d), BF)
@@ -562,6 +622,12 @@ def pair_overlap(spark, d):
     return metrics.pair_overlap(sets).select("a", "b", "common", _six("jaccard").alias("jaccard"), _six("overlap").alias("overlap"))
 
 
+@query("hierarchical_cost")
+def hierarchical_cost(spark, d):
+    nodes, leaves = index.tree(keys_of(spark, d), DIM, BF, 2)
+    return metrics.hierarchical_cost(search.descend(_asked(spark, d), nodes, leaves, 2)[1], keys_of(spark, d).count())
+
+
 @query("pca_summary")
 def pca_summary(spark, d):
     return metrics.pca_summary(keys_of(spark, d), "key", DIM)
