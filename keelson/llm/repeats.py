@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from keelson.llm.common import cut, slices
 
 LENGTH, GRAM = 100, 32
-#: Bytes hashed at once, contexts of a bucket and of a shard, occurrences of a hot anchor, hot anchors, bits of the filter, texts of the copy table.
-BLOCK, BUCKET, SHARD, HOT, MOST_HOT, FILTER_BYTES, MOST_COPIES = 1 << 19, 16_384, 4_096, 20_000, 1_000_000, 32 << 20, 1_000_000
+#: Bytes hashed at once, contexts of a bucket and of a shard, occurrences of a hot anchor, hot anchors, bytes of the filter, rows of the broadcast copies and hot windows.
+BLOCK, BUCKET, SHARD, HOT, MOST_HOT, FILTER_BYTES, MOST_COPIES, MOST_WINDOWS = 1 << 19, 16_384, 4_096, 20_000, 1_000_000, 32 << 20, 500_000, 200_000
 LEFT = LENGTH - GRAM  # bytes of a window before and after its anchor, at most
 WIDTH = LEFT + LENGTH
 FIRST_ID = -(1 << 63)
@@ -304,9 +304,10 @@ def _spans(docs: DataFrame) -> DataFrame:
         return found[:, 0], found[:, 1], ids[d], keys[d], start
 
     every = _candidates(docs, WINDOWS, windows)
-    least = every.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).where("least < most").select("w1", "w2", "least")
-    more = every.join(least, ["w1", "w2"]).where(F.struct("id", "start") > F.col("least")).select("id", "h", "start", (F.col("start") + LENGTH).alias("end"))
-    return spans.union(more)
+    least = cut(every.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).where("least < most").select("w1", "w2", "least"))
+    few = least.count() <= MOST_WINDOWS
+    more = every.join(F.broadcast(least) if few else least, ["w1", "w2"]).where(F.struct("id", "start") > F.col("least")).select("id", "h", "start", (F.col("start") + LENGTH).alias("end"))
+    return spans.union(more if few else cut(more))  # by itself, so that skewed windows are split
 
 
 KEPT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
