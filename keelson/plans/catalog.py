@@ -683,7 +683,7 @@ def answer_contains(spark, d):
     return _answers(spark, d).select("item_id", scorers.contains_answer(F.col("p"), F.array("g")).alias("hit"))
 
 
-@query("substring_share", "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(text), 'token') THEN 0.5 ELSE 0 END AS share FROM documents")
+@query("substring_share", "SELECT doc_id, (CASE WHEN contains(lower(text), 'license') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(text), 'token') THEN 0.5 ELSE 0 END)::DOUBLE AS share FROM documents")
 def substring_share(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", scorers.substring_share(F.col("text"), F.array(F.lit("license"), F.lit("TOKEN"))).alias("share"))
