@@ -51,8 +51,8 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.Recor
         yield batch.slice(at, step)
 
 
-def map_columns(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]]) -> DataFrame:
-    """``mapInArrow`` over Python lists: ``fn`` gets a slice's columns and returns the output columns."""
+def map_columns(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], limit: int = SLICE_BYTES) -> DataFrame:
+    """``mapInArrow`` over Python lists: ``fn`` gets the columns of a slice of ``limit`` bytes and returns the output columns."""
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -61,7 +61,7 @@ def map_columns(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit):
                 cols = fn({k: piece.column(i).to_pylist() for i, k in enumerate(piece.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in out], schema=out)
 

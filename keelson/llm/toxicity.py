@@ -173,7 +173,7 @@ def _beginnings(sample: DataFrame) -> DataFrame:
             toxic += [label] * (len(words) - len(toxic))
         return {"word": words, "context": contexts, "toxic": toxic}
 
-    rows = map_columns(sample, "word string, context string, toxic int", run)
+    rows = map_columns(sample, "word string, context string, toxic int", run, 1 << 19)  # a slice becomes many small strings
     once = rows.groupBy("word", F.xxhash64("context").alias("c")).agg(F.max("toxic").alias("toxic"))
     by_word = once.groupBy("word").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     starts = F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST))), lambda n: F.substring("word", F.lit(1), n))
