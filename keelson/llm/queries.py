@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from keelson.llm import decontamination, url_filter
+from keelson.llm import decontamination, license_scan, url_filter
 from keelson.llm.common import table
 from keelson.llm.html_text import extract_text
-from keelson.llm.license_scan import license_report
 from keelson.llm.media_ogg import media_report
 from keelson.llm.packing import packing_report
 from keelson.llm.repeats import repeats_report
@@ -23,7 +22,7 @@ def op2_urls(spark, sf_dir):
 
 
 def op3_licenses(spark, sf_dir):
-    return license_report(table(spark, sf_dir, "documents"))
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
 
 
 def op4_secrets(spark, sf_dir):
@@ -71,5 +70,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_urls": url_filter.SQL,
+    "op3_licenses": license_scan.SQL,
     "op7_decontamination": decontamination.SQL,
 }
