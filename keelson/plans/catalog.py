@@ -154,9 +154,15 @@ def gated_candidates(spark, d):
     return search.gated(_asked(spark, d), index.balls(m, DIM), m, strict=True, emit="candidates").groupBy("query_id").agg(F.count("*").alias("n"), _six(F.sum("score")).alias("total"))
 
 
+def _tree(spark, d, levels: int):
+    """Nodes and keys of a tree; the nodes, an index, are computed once."""
+    nodes, leaves = index.tree(keys_of(spark, d), DIM, BF, levels)
+    return nodes.cache(), leaves
+
+
 @query("tree_search", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
 def tree_search(spark, d):
-    nodes, leaves = index.tree(keys_of(spark, d), DIM, BF, 3)
+    nodes, leaves = _tree(spark, d, 3)
     hits, _ = search.descend(_asked(spark, d), nodes, leaves, 3)
     return hits.select("query_id", "pos", _six("score").alias("score"))
 
@@ -175,7 +181,7 @@ def tree_radii(spark, d):
 
 @query("tree_profile")
 def tree_profile(spark, d):
-    nodes, leaves = index.tree(keys_of(spark, d), DIM, BF, 3)
+    nodes, leaves = _tree(spark, d, 3)
     return search.descend(_asked(spark, d), nodes, leaves, 3)[1].groupBy("level").agg(F.sum("checked").alias("checked"), F.sum("passed").alias("passed"))
 
 
@@ -624,7 +630,7 @@ def pair_overlap(spark, d):
 
 @query("hierarchical_cost")
 def hierarchical_cost(spark, d):
-    nodes, leaves = index.tree(keys_of(spark, d), DIM, BF, 2)
+    nodes, leaves = _tree(spark, d, 2)
     return metrics.hierarchical_cost(search.descend(_asked(spark, d), nodes, leaves, 2)[1], keys_of(spark, d).count())
 
 
