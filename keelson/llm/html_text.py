@@ -40,31 +40,35 @@ NAMES = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 
 _token = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>")
-_attribute = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_modifier = re.compile(r"(has|have|with|without|no|not|is|show|hide)[-_]")
 _space = re.compile(r"\s+")
 
 
-def _apart(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is something beside the main text."""
+def _apart(tag: str, attributes: str, in_article: bool, named: bool = True) -> bool:
+    """Whether an element is something beside the main text, by its tag, and by names, roles and hiding if ``named``."""
     if tag in ASIDE or tag == "header" and not in_article:
         return True
-    if not attributes or tag in ("html", "body"):
+    if not attributes or not named or tag in ("html", "body", "main"):
         return False
     for m in _attribute.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
         if name in ("class", "id"):
-            words = set(value.split()) | set(re.split(r"[\s_-]+", value))
-            if words & NAMES or "header" in words and not in_article:
-                return True
+            for token in value.split():
+                if _modifier.match(token):  # says something of the page's layout, not what the element is
+                    continue
+                words = {token, *re.split("[_-]+", token)}
+                if words & NAMES or "header" in words and not in_article:
+                    return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
+def lines_of(page: str, named: bool = True) -> list[tuple[str, int, bool, bool, bool]]:
     """Lines of a page: text, characters in links, whether apart, in the article, a heading."""
     out: list[tuple[str, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, apart, article
+    stack: list[tuple[str, int, bool]] = []  # tag, change of apart, article
     parts: list[str] = []
     linked = 0
     apart = article = link = 0
@@ -113,7 +117,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if tag == "a":
             link = 0 if closing else 1
         if tag in INLINE:
-            if not closing and tag not in VOID and tag != "a" and attributes and _apart(tag, attributes, article > 0):
+            if not closing and tag not in VOID and tag != "a" and attributes and _apart(tag, attributes, article > 0, named):
                 close = page.find(f"</{tag}", at)
                 at = close if close >= 0 else at
             continue
@@ -128,11 +132,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if tag in LOOSE:
             if stack and stack[-1][0] == tag:
                 leave(len(stack) - 1)
-        is_apart = _apart(tag, attributes, article > 0)
+        is_apart = _apart(tag, attributes, article > 0, named)
         is_article = tag in ("article", "main") and not is_apart
         heading = tag in ("h1", "h2", "h3")
-        stack.append((tag, is_apart, is_article))
-        apart, article = apart + is_apart, article + is_article
+        change = -apart if tag == "main" else int(is_apart)  # the main part isn't apart, whatever surrounds it
+        stack.append((tag, change, is_article))
+        apart, article = apart + change, article + is_article
     flush()
     return out
 
@@ -141,7 +146,11 @@ def main_text(page: str | None) -> str:
     """The lines between surge and dive points, joined by one space."""
     if not page:
         return ""
-    lines = lines_of(page)
+    # an unclosed advert may swallow a page, and a page be named like a sidebar: then names don't count
+    return _kept(lines_of(page)) or _kept(lines_of(page, named=False))
+
+
+def _kept(lines: list[tuple[str, int, bool, bool, bool]]) -> str:
     marked = any(text and inside and not apart for text, _, apart, inside, _ in lines)
     weights = []
     for text, linked, apart, inside, _ in lines:

@@ -305,6 +305,24 @@ def test_html():
     assert html_text.main_text(flat) == "Title " + "word " * 40 + "Short."
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<body><div style="overflow:hidden" class="has-sidebar"><article><p>Short.</p></article></div></body>', "Short."),
+        ('<div class="ad">Buy<article><p>Kept text.</p></article>', "Kept text."),
+        ("<div id=sidebar><main><p>Kept.</p><ul class=comments><li>No</ul></main></div>", "Kept."),
+        ("<article><p>a&nbsp;&lt;b&gt;<p hidden>no<p>c<span>d</span>e<br/>f</article>", "a <b> cde f"),
+        ("<article><p>One</p><article class='comment'><p>No</p></article><p>Two</p></article><aside>x</aside>", "One Two"),
+        ("<article><table><tr><td>a<td>b<tr><td>c</table><noscript>no</noscript></article>", "a b c"),
+        ("<p>tiny</p>", "tiny"),
+        ("<script>never closed <p>no", ""),
+        ("a < b and <", "a < b and <"),
+    ],
+)
+def test_html_forms(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_of_the_corpus():
     import html
 
