@@ -2,8 +2,8 @@
 
 A text's fingerprint has a bit where over half of its shingles' hashes have
 it.  Two fingerprints within ``radius`` bits agree on one of ``radius + 1``
-blocks of bits, so distinct fingerprints are dealt to shards by the value of
-each block, and every shard is one BK-tree: a node's children are keyed by
+blocks of bits (on two of ``radius + 2``, and so on), so distinct fingerprints
+are dealt to shards by the value of each block or choice of blocks, and every shard is one BK-tree: a node's children are keyed by
 their integer Hamming distance to it, and a search follows only the edges
 within the radius of its own distance.  Shards are dealt out instead of being
 broadcast whole, since their number grows with the corpus; a shard of more
@@ -19,19 +19,19 @@ component's least known id.
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import cut, map_columns
 from keelson.llm.components import connected_components
 
 SEED, BITS = 42, 64
-#: Fingerprints of a leaf, of a shard on average, of a shard before it is split; pairs held before they are united.
-LEAF, SHARD, SPLIT, HELD = 64, 1000, 25_000, 1 << 20
+#: Fingerprints of a leaf, of a shard on average, of a shard before it is split, of a shard before more blocks make its key; pairs held before they are united.
+LEAF, SHARD, SPLIT, LARGE, HELD = 64, 1000, 25_000, 64_000, 1 << 20
 #: Bins of the sketch that verifies links by resemblance.
 BINS = 128
 
@@ -185,12 +185,28 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     return map_columns(src, f"id {kind}, fp bigint" + ", sketch binary" * sketched, run)
 
 
-def blocks_of(radius: int, count: int) -> list[tuple[int, int]]:
-    """(shift, width) of ``radius + 1`` disjoint blocks, as wide as ``count`` fingerprints need, at most all bits."""
+def block_keys(radius: int, count: int) -> list[list[tuple[int, int]]]:
+    """Groups of (shift, width) blocks, one of which two fingerprints within ``radius`` bits share whatever bits differ.
+
+    Of ``radius + c`` blocks at least c are equal, so all choices of c blocks
+    are keys: c is 1, and more only where single blocks would leave more than
+    ``LARGE`` of ``count`` fingerprints in a shard.  Blocks are cut to the bits
+    that leave about ``SHARD``.
+    """
     need = (max(count, 1) // SHARD).bit_length()
-    n = radius + 1 if need else 1
-    edges = [round(i * BITS / n) for i in range(n + 1)]
-    return [(a, min(b - a, need)) for a, b in zip(edges, edges[1:], strict=False)]
+    if not need:
+        return [[(0, 0)]]
+    c = next((c for c in (1, 2, 3) if count >> (BITS * c // (radius + c)) <= LARGE), 4)
+    edges = [round(i * BITS / (radius + c)) for i in range(radius + c + 1)]
+    blocks = [(a, min(b - a, -(-need // c))) for a, b in zip(edges, edges[1:], strict=False)]
+    return [list(chosen) for chosen in combinations(blocks, c)]
+
+
+def _value(blocks: list[tuple[int, int]]) -> Column:
+    out = F.lit(0).cast("long")
+    for shift, width in blocks:
+        out = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1))
+    return out
 
 
 def links(prints: DataFrame, radius: int, least: float = 0.0, sure: int | None = None) -> DataFrame:
@@ -202,7 +218,7 @@ def links(prints: DataFrame, radius: int, least: float = 0.0, sure: int | None =
     """
     count = prints.count()
     sketched = "sketch" in prints.columns
-    keys = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1).alias("value")) for k, (shift, width) in enumerate(blocks_of(radius if sure is None else sure, count))]
+    keys = [F.struct(F.lit(k).alias("block"), _value(blocks).alias("value")) for k, blocks in enumerate(block_keys(radius if sure is None else sure, count))]
     dealt = prints.withColumn("key", F.explode(F.array(*keys))).select("node", "fp", *["sketch"] * sketched, "key.block", "key.value")
     # shards that are too large for one task: at most blocks * count / SPLIT of them
     large = dealt.groupBy("block", "value").count().where(F.col("count") > SPLIT).select("block", "value", F.ceil(F.col("count") / SPLIT).cast("int").alias("chunks"))

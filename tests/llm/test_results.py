@@ -152,9 +152,10 @@ def test_shards_find_all_links(spark, monkeypatch):
     parent = np.arange(len(prints))
     simhash.unite(parent, *np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None]) <= 4))
     frame = spark.createDataFrame([(int(x), int(x)) for x in prints.view(np.int64)], "node long, fp long")
-    for shard, split in ((100, 25_000), (100, 40), (10_000, 300)):
+    for shard, split, large in ((300, 25_000, 64_000), (300, 60, 64_000), (10_000, 300, 64_000), (300, 25_000, 0)):
         monkeypatch.setattr(simhash, "SHARD", shard)
         monkeypatch.setattr(simhash, "SPLIT", split)
+        monkeypatch.setattr(simhash, "LARGE", large)
         roots = {r["node"]: r["root"] for r in components.connected_components(simhash.links(frame, 4)).collect()}
         mine = [roots.get(int(x), int(x)) for x in prints.view(np.int64)]
         groups = lambda keys: sorted(sorted(np.flatnonzero(np.array(keys) == k)) for k in set(keys))
