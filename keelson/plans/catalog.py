@@ -1,7 +1,7 @@
 """Every registered query of the engine and its SQL counterpart.
 
-Queries are the embeddings with ``vec_id`` below 20 against all embeddings as
-keys.  Clusters are runs of four positions, which both sides can state; slices
+Queries are the embeddings whose ``vec_id`` is divisible by 50, against all
+embeddings as keys.  Clusters are runs of four positions, which both sides can state; slices
 are four of sixteen dimensions.  Sums are rounded to six places.
 """
 
@@ -24,7 +24,7 @@ _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 #: Common table expressions of the SQL side.
-BASE = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id < 20),
+BASE = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id % 50 = 0),
 k AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS key FROM embeddings),
 s AS (SELECT query_id, pos, query, key, list_dot_product(query, key) AS score FROM q, k),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM s),
@@ -126,10 +126,9 @@ def top_k(spark, d):
     return search.top_k(_scored(spark, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "pos")
 
 
-@query("top_k_causal", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id BETWEEN 100 AND 119), k AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS key FROM embeddings), r AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(query, key) DESC, pos) AS rank FROM q JOIN k ON pos < query_id) SELECT * FROM r WHERE rank <= 5")
+@query("top_k_causal", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id % 50 = 0), k AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS key FROM embeddings), r AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(query, key) DESC, pos) AS rank FROM q JOIN k ON pos < query_id) SELECT * FROM r WHERE rank <= 5")
 def top_k_causal(spark, d):
-    q = queries_of(spark, d, 120).where("query_id >= 100")
-    return search.top_k(search.scores(q, keys_of(spark, d), F.col("pos") < F.col("query_id")), 5).select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
+    return search.top_k(search.scores(queries_of(spark, d), keys_of(spark, d), F.col("pos") < F.col("query_id")), 5).select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
 # Gates and trees
@@ -197,11 +196,10 @@ def append_subtree(spark, d):
     return index.append_subtree(nodes, nodes).select("node")
 
 
-@query("nearest_center", f"WITH {BASE}, {NODES}, c AS (SELECT cluster, center FROM nodes WHERE cluster % 16 = 0), x AS (SELECT pos, cluster, list_distance(key, center) AS dist, row_number() OVER (PARTITION BY pos ORDER BY list_distance(key, center), cluster) AS r FROM k, c) SELECT pos, cluster, round(dist, 6) AS distance FROM x WHERE r = 1")
+@query("nearest_center", f"WITH {BASE}, {NODES}, c AS (SELECT cluster, center FROM nodes), x AS (SELECT pos, cluster, list_distance(key, center) AS dist, row_number() OVER (PARTITION BY pos ORDER BY list_distance(key, center), cluster) AS r FROM k, c) SELECT pos, cluster, round(dist, 6) AS distance FROM x WHERE r = 1")
 def nearest_center(spark, d):
     k = keys_of(spark, d)
-    c = index.centers(index.by_position(k, BF), DIM).where("cluster % 16 = 0")
-    return index.nearest_center(k, c).select("pos", "cluster", _six("distance").alias("distance"))
+    return index.nearest_center(k, index.centers(index.by_position(k, BF), DIM)).select("pos", "cluster", _six("distance").alias("distance"))
 
 
 @query("place_arrivals")

@@ -17,9 +17,9 @@ def keys_of(spark: SparkSession, sf_dir: str, heads: int = 1) -> DataFrame:
     return e.select((F.col("vec_id") % heads).cast("int").alias("head"), F.col("vec_id").alias("pos"), F.col("embedding").alias("key"), F.transform("embedding", lambda x: x.cast("double") * 0.5 + 0.25).alias("value"))
 
 
-def queries_of(spark: SparkSession, sf_dir: str, count: int = 20, heads: int = 1) -> DataFrame:
-    """The first ``count`` embeddings as queries: a stated query set."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") < count)
+def queries_of(spark: SparkSession, sf_dir: str, every: int = 50, heads: int = 1) -> DataFrame:
+    """The stated query set: the embeddings whose id is divisible by ``every``."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") % every == 0)
     return e.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % heads).cast("int").alias("q_head"), F.col("embedding").alias("query"))
 
 
