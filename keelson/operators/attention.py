@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
+from keelson.operators.blocks import against, measured, split
 
 
 def weights(scored: DataFrame, scale: float) -> DataFrame:
     """p: softmax over each query's rows of ``score * scale``, stable at any size."""
-    best = scored.groupBy("query_id").agg(F.max("score").alias("best"))
-    e = scored.join(F.broadcast(best), "query_id").withColumn("e", F.exp((F.col("score") - F.col("best")) * scale))
+    best = measured(scored.groupBy("query_id").agg(F.max("score").alias("best")))
+    e = scored.join(best, "query_id").withColumn("e", F.exp((F.col("score") - F.col("best")) * scale))
     mass = e.groupBy("query_id").agg(F.sum("e").alias("mass"))
-    return e.join(F.broadcast(mass), "query_id").withColumn("p", F.col("e") / F.col("mass")).drop("e", "mass", "best")
+    return e.join(measured(mass), "query_id").withColumn("p", F.col("e") / F.col("mass")).drop("e", "mass", "best")
 
 
 def attend(scored: DataFrame, queries: DataFrame, dim: int, scale: float) -> DataFrame:
@@ -55,19 +58,19 @@ def page_policy(queries: DataFrame, keys: DataFrame, dim: int, page: int, budget
     full = n // page * page
     paged = keys.where(F.col("pos") < full).withColumn("page", F.floor(F.col("pos") / page).cast("long"))
     if exact:
-        s = paged.crossJoin(F.broadcast(queries)).groupBy("query_id", "page").agg(F.max(vec.dot("query", "key")).alias("s"))
+        s = against(paged, queries).groupBy("query_id", "page").agg(F.max(vec.dot("query", "key")).alias("s"))
     else:
         at = lambda i: F.get(vec.doubles("key"), F.lit(i))
         box = paged.groupBy("page").agg(vec.each_dim(dim, lambda i: F.min(at(i))).alias("lo"), vec.each_dim(dim, lambda i: F.max(at(i))).alias("hi"))
-        s = box.crossJoin(F.broadcast(queries)).select("query_id", "page", F.greatest(vec.dot("query", "hi"), vec.dot("query", "lo")).alias("s"))
+        s = against(box, queries).select("query_id", "page", F.greatest(vec.dot("query", "hi"), vec.dot("query", "lo")).alias("s"))
     best = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "page"))).where(F.col("r") <= max(1, budget // page))
     chosen = paged.select("pos", "page").join(best.select("query_id", "page"), "page").select("query_id", "pos")
-    return chosen.union(keys.where(F.col("pos") >= full).select("pos").crossJoin(F.broadcast(queries.select("query_id"))).select("query_id", "pos"))
+    return chosen.union(against(keys.where(F.col("pos") >= full).select("pos"), queries.select("query_id")).select("query_id", "pos"))
 
 
 def cluster_policy(queries: DataFrame, nodes: DataFrame, members: DataFrame, budget: int) -> DataFrame:
     """query_id, pos: whole clusters by centre score while those before hold fewer than ``budget`` keys."""
-    s = nodes.crossJoin(F.broadcast(queries)).select("query_id", "cluster", "size", vec.dot("query", "center").alias("s"))
+    s = against(nodes, queries).select("query_id", "cluster", "size", vec.dot("query", "center").alias("s"))
     before = F.sum("size").over(Window.partitionBy("query_id").orderBy(F.desc("s"), "cluster").rowsBetween(Window.unboundedPreceding, -1))
     chosen = s.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < budget)
     return members.select("cluster", "pos").join(chosen.select("query_id", "cluster"), "cluster").select("query_id", "pos")
@@ -99,13 +102,13 @@ def hamming_policy(queries: DataFrame, keys: DataFrame, planes: list[list[float]
     """query_id, pos of the ``keep`` keys whose sign codes are nearest; codes are made once per row."""
     q = queries.withColumn("qc", sign_code(F.col("query"), planes)).select("query_id", "qc")
     k = keys.withColumn("kc", sign_code(F.col("key"), planes)).select("pos", "kc")
-    d = k.crossJoin(F.broadcast(q)).withColumn("d", F.bit_count(F.col("qc").bitwiseXOR(F.col("kc"))))
+    d = against(k, q).withColumn("d", F.bit_count(F.col("qc").bitwiseXOR(F.col("kc"))))
     return d.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "pos"))).where(F.col("r") <= keep).select("query_id", "pos")
 
 
 def probe_policy(queries: DataFrame, nodes: DataFrame, members: DataFrame, probes: int, k: int) -> DataFrame:
     """Inverted lists: the ``probes`` best centres of each query, then the k best keys in their lists."""
-    s = nodes.crossJoin(F.broadcast(queries)).withColumn("s", vec.dot("query", "center"))
+    s = against(nodes, queries).withColumn("s", vec.dot("query", "center"))
     best = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "cluster"))).where(F.col("r") <= probes)
     found = members.join(best.select("query_id", "query", "cluster"), "cluster").withColumn("score", vec.dot("query", "key"))
     return _rank(found.select("query_id", "pos", "score")).where(F.col("rank") <= k).select("query_id", "pos", "score")
@@ -113,7 +116,7 @@ def probe_policy(queries: DataFrame, nodes: DataFrame, members: DataFrame, probe
 
 def code_policy(queries: DataFrame, slice_members: DataFrame, slice_nodes: DataFrame, query_slices: DataFrame, k: int) -> DataFrame:
     """Product codes: a key's score is the sum over slices of its code's centre score; the k best."""
-    table = slice_nodes.join(F.broadcast(query_slices), "s").select("query_id", "s", "cluster", vec.dot("qs", "center").alias("m"))
+    table = against(slice_nodes, query_slices, "s").select("query_id", "s", "cluster", vec.dot("qs", "center").alias("m"))
     s = slice_members.select("s", "cluster", "pos").join(table, ["s", "cluster"]).groupBy("query_id", "pos").agg(F.round(F.sum("m"), 9).alias("score"))
     return _rank(s).where(F.col("rank") <= k).select("query_id", "pos", "score")
 
@@ -133,7 +136,9 @@ def graph_policy(queries: DataFrame, keys: DataFrame, k: int, degree: int = 16,
     import numpy as np
     import pandas as pd
 
-    asked = queries.select("query_id", "query").toPandas()  # the stated query set
+    if len(parts := split(queries)) > 1:
+        return reduce(DataFrame.union, [graph_policy(p, keys, k, degree, beam, block) for p in parts])
+    asked = queries.select("query_id", "query").toPandas()
     shared = keys.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(np.int64), np.array(asked["query"].tolist(), float)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
+from keelson.operators.blocks import against
 
 #: Share of keys that ``hot_key_aabb`` checks one by one; random directions of the slab bundle.
 HOT_SHARE, SLABS = 0.03, 8
@@ -252,7 +253,7 @@ def principal_basis(rows: DataFrame, column: str, dim: int) -> np.ndarray:
 
 def passes(summary: DataFrame, queries: DataFrame, dim: int, names: list[str]) -> DataFrame:
     """query_id, cluster, size and one boolean per bound: whether the cluster may hold a key at or above ``t``."""
-    both = summary.crossJoin(F.broadcast(queries.select("query_id", "query", "t")))
+    both = against(summary, queries.select("query_id", "query", "t"))
     slack = F.lit(vec.SLACK) * F.greatest(F.abs("t"), F.lit(1.0))
     return both.select("query_id", "cluster", "size", *[(BOUNDS[n](dim) + slack > F.col("t")).alias(n) for n in names])
 
@@ -265,7 +266,7 @@ def scanned(passed: DataFrame, names: list[str]) -> DataFrame:
 
 def hull_passes(members: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, cluster of clusters whose convex hull reaches the threshold: its best vertex is its best member."""
-    best = members.crossJoin(F.broadcast(queries.select("query_id", "query", "t"))).groupBy("query_id", "cluster", "t").agg(F.max(vec.dot("query", "key")).alias("best"))
+    best = against(members, queries.select("query_id", "query", "t")).groupBy("query_id", "cluster", "t").agg(F.max(vec.dot("query", "key")).alias("best"))
     return best.where(F.col("best") + F.lit(vec.SLACK) >= F.col("t")).select("query_id", "cluster")
 
 
@@ -281,7 +282,7 @@ def parts_passes(members: DataFrame, queries: DataFrame, dim: int, parts: int =
     run = F.ntile(parts).over(Window.partitionBy("cluster").orderBy(F.get(vec.doubles("key"), F.col("axis")), "pos"))
     at = lambda i: F.get(vec.doubles("key"), F.lit(i))
     boxes = members.join(axis, "cluster").withColumn("part", run).groupBy("cluster", "part").agg(vec.each_dim(dim, lambda i: F.min(at(i))).alias("lo"), vec.each_dim(dim, lambda i: F.max(at(i))).alias("hi"))
-    return boxes.crossJoin(F.broadcast(queries.select("query_id", "query", "t"))).where(box() + vec.SLACK > F.col("t")).select("query_id", "cluster").distinct()
+    return against(boxes, queries.select("query_id", "query", "t")).where(box() + vec.SLACK > F.col("t")).select("query_id", "cluster").distinct()
 
 
 def basis_of(kind: str, keys: DataFrame, queries: DataFrame, dim: int, parts: int = 4) -> np.ndarray:
@@ -305,7 +306,7 @@ def refine(members: DataFrame, queries: DataFrame, dim: int, least: int = 2, rou
     now = members
     for _ in range(rounds):
         summary = centers(now, dim)
-        passed = summary.crossJoin(F.broadcast(queries.select("query_id", "query", "t"))).where(box() + vec.SLACK > F.col("t")).select("query_id", "cluster")
+        passed = against(summary, queries.select("query_id", "query", "t")).where(box() + vec.SLACK > F.col("t")).select("query_id", "cluster")
         useless = passed.join(hull_passes(now, queries), ["query_id", "cluster"], "left_anti").select("cluster").distinct()
         spans = summary.where(F.col("size") > least).select("cluster", F.zip_with("lo", "hi", lambda a, b: b - a).alias("span"))
         axis = spans.join(useless, "cluster", "left_semi").select("cluster", (F.array_position("span", F.array_max("span")) - 1).cast("int").alias("axis"))

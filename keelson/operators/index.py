@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
+from keelson.operators.blocks import against
 
 
 def by_position(keys: DataFrame, bf: int) -> DataFrame:
@@ -69,11 +70,11 @@ def append_subtree(nodes: DataFrame, more: DataFrame) -> DataFrame:
 def place_arrivals(nodes: DataFrame, arrivals: DataFrame, bf: int) -> tuple[DataFrame, DataFrame]:
     """Arrivals to their nearest parent while it has room; the rest are orphans in new parents of ``bf``.
 
-    ``nodes(cluster, center, size)``, a bounded level; ``arrivals(pos, key)``.
+    ``nodes(cluster, center, size)``, which come in blocks; ``arrivals(pos, key)``.
     Returns placed (pos, key, cluster) and the orphans, numbered into new
     clusters behind the old.
     """
-    d = arrivals.crossJoin(F.broadcast(nodes.select("cluster", "center", "size"))).withColumn("d", vec.distance("key", "center"))
+    d = against(arrivals, nodes.select("cluster", "center", "size"), id_col="cluster").withColumn("d", vec.distance("key", "center"))
     nearest = d.groupBy("pos").agg(F.min(F.struct("d", "cluster", "size")).alias("m")).select("pos", "m.d", "m.cluster", "m.size")
     ranked = nearest.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("d", "pos")))
     ranked = ranked.withColumn("fits", F.col("size") + F.col("rank") <= bf).join(arrivals, "pos")
@@ -129,7 +130,7 @@ def memory_bytes(nodes: DataFrame, keys: DataFrame, width: int = 4) -> DataFrame
 
 
 def nearest_center(keys: DataFrame, center_rows: DataFrame) -> DataFrame:
-    """Each key's nearest centre (argmin of the distance, ties to the smaller cluster); centres are a bounded table."""
-    d = keys.crossJoin(F.broadcast(center_rows.select("cluster", "center"))).withColumn("d", vec.distance("key", "center"))
+    """Each key's nearest centre (argmin of the distance, ties to the smaller cluster); centres come in blocks."""
+    d = against(keys, center_rows.select("cluster", "center"), id_col="cluster").withColumn("d", vec.distance("key", "center"))
     best: Column = F.min(F.struct("d", "cluster"))
     return keys.join(d.groupBy("pos").agg(best.alias("m")).select("pos", F.col("m.cluster").alias("cluster"), F.col("m.d").alias("distance")), "pos")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
+from keelson.operators.blocks import measured
 
 #: Gate cost of a bound relative to a dot product; others cost DEFAULT_COST.
 GATE_COST = {"ball_centroid": 1.0, "span_ball": 1.0, "aabb": 2.0, "fp16_aabb": 2.0, "ellipsoid": 2.0}
@@ -101,7 +102,7 @@ def sum_threshold(weighted: DataFrame, n: int, share: float) -> DataFrame:
     inner = weighted.where((F.col("pos") > 0) & (F.col("pos") < n - 1))
     mass = inner.groupBy("query_id").agg(F.sum("p").alias("m"))
     w = Window.partitionBy("query_id").orderBy(F.desc("p"), "pos").rowsBetween(Window.unboundedPreceding, 0)
-    cum = inner.join(F.broadcast(mass), "query_id").withColumn("cum", F.round(F.sum(F.col("p") / F.col("m")).over(w), 9))
+    cum = inner.join(measured(mass), "query_id").withColumn("cum", F.round(F.sum(F.col("p") / F.col("m")).over(w), 9))
     return cum.groupBy("query_id").agg((F.count_if(F.col("cum") < share) + 1).alias("k"))
 
 

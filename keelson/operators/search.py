@@ -1,7 +1,6 @@
 """Halfspace search: every key whose inner product with a query reaches its threshold.
 
-Queries are a stated set and small, so they travel to the keys: a broadcast
-where their size is known to be bounded, blocks of queries beyond that.
+Queries are a stated set that travels to the keys in blocks of a checked size.
 Absence of a row means rejection; a score of exactly 0 is a score.
 """
 
@@ -15,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
-
-#: Queries of a broadcast at most.
-BLOCK = 4096
+from keelson.operators.blocks import BLOCK, against, measured
 
 
 def kv_head(q_head: Column, q_heads: int, kv_heads: int) -> Column:
@@ -29,8 +26,7 @@ def kv_head(q_head: Column, q_heads: int, kv_heads: int) -> Column:
 
 def scores(queries: DataFrame, keys: DataFrame, on: Column | None = None) -> DataFrame:
     """Each query against each key (of its head, if ``on`` says so): the query set is blocked onto every key row."""
-    joined = keys.join(F.broadcast(queries), on) if on is not None else keys.crossJoin(F.broadcast(queries))
-    return joined.withColumn("score", vec.dot("query", "key"))
+    return against(keys, queries, on).withColumn("score", vec.dot("query", "key"))
 
 
 def exact(scored: DataFrame, threshold: Column, scaling: float = 1.0) -> DataFrame:
@@ -39,6 +35,11 @@ def exact(scored: DataFrame, threshold: Column, scaling: float = 1.0) -> DataFra
     return kept if scaling == 1.0 else kept.withColumn("score", F.col("score") * scaling)
 
 
+def with_limits(scored: DataFrame, limits: DataFrame) -> DataFrame:
+    """Each scored row with the ``t`` of its query."""
+    return scored.join(measured(limits), "query_id")
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "pos") -> DataFrame:
     """The k best keys of each query, ties by position; partial top-k runs before the shuffle (rank limit push-down)."""
     w = Window.partitionBy(by).orderBy(F.desc("score"), tie)
@@ -90,7 +91,7 @@ def gated(queries: DataFrame, nodes: DataFrame, members: DataFrame, strict: bool
     bound = vec.dot("query", "center") + vec.norm("query") * F.col("radius")
     margin = F.lit(slack) * F.greatest(F.abs("t"), F.lit(1.0))
     ok = bound + margin > F.col("t") if strict else bound + margin >= F.col("t")
-    alive = nodes.crossJoin(F.broadcast(queries)).where(ok).select("query_id", "query", "t", "cluster")
+    alive = against(nodes, queries).where(ok).select("query_id", "query", "t", "cluster")
     found = members.join(alive, "cluster").withColumn("score", vec.dot("query", "key"))
     if emit == "candidates":
         return found.select("query_id", "pos", "score")
@@ -105,7 +106,7 @@ def descend(queries: DataFrame, nodes: DataFrame, keys: DataFrame, levels: int,
     """
     bound = vec.dot("query", "center") + vec.norm("query") * F.col("radius")
     ok = bound + F.lit(slack) * F.greatest(F.abs("t"), F.lit(1.0)) >= F.col("t")
-    frontier = nodes.where(F.col("level") == levels).crossJoin(F.broadcast(queries))
+    frontier = against(nodes.where(F.col("level") == levels), queries)
     stats = []
     for level in range(levels, 0, -1):
         judged = frontier.withColumn("ok", ok)

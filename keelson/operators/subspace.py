@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
+from keelson.operators.blocks import against, measured
 from keelson.operators.index import balls
 
 
@@ -19,14 +20,14 @@ def slice_thresholds(queries: DataFrame, top: DataFrame, dim: int, parts: int) -
     """query_id, s, t: in each slice the least score among the query's ``top(query_id, pos, key)`` keys."""
     q = slices_of(queries, "query", dim, parts, ("query_id",)).withColumnRenamed("sub", "qs")
     k = slices_of(top, "key", dim, parts, ("query_id", "pos"))
-    return k.join(F.broadcast(q), ["query_id", "s"]).groupBy("query_id", "s", "qs").agg(F.min(vec.dot("qs", "sub")).alias("t"))
+    return k.join(q, ["query_id", "s"]).groupBy("query_id", "s", "qs").agg(F.min(vec.dot("qs", "sub")).alias("t"))
 
 
 def cluster_gate(thresholds: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, s, cluster of every slice cluster whose ball reaches the slice threshold."""
     bound = vec.dot("qs", "center") + vec.norm("qs") * F.col("radius")
     slack = F.lit(vec.SLACK) * F.greatest(F.abs("t"), F.lit(1.0))
-    return nodes.join(F.broadcast(thresholds), "s").where(bound + slack >= F.col("t")).select("query_id", "s", "cluster")
+    return against(nodes, thresholds, "s").where(bound + slack >= F.col("t")).select("query_id", "s", "cluster")
 
 
 def keys_through(gate: DataFrame, members: DataFrame, parts: int, mode: str = "and") -> DataFrame:
@@ -37,7 +38,7 @@ def keys_through(gate: DataFrame, members: DataFrame, parts: int, mode: str = "a
 
 def point_gate(thresholds: DataFrame, pieces: DataFrame, parts: int, mode: str = "and") -> DataFrame:
     """The same on single keys, without clusters."""
-    ok = pieces.join(F.broadcast(thresholds), "s").where(vec.dot("qs", "sub") >= F.col("t")).groupBy("query_id", "pos").agg(F.count("*").alias("n"))
+    ok = against(pieces, thresholds, "s").where(vec.dot("qs", "sub") >= F.col("t")).groupBy("query_id", "pos").agg(F.count("*").alias("n"))
     return ok.where(F.col("n") == parts if mode == "and" else F.col("n") > 0).select("query_id", "pos")
 
 
@@ -53,20 +54,20 @@ def ta_ranks(queries: DataFrame, nodes: DataFrame, dim: int, parts: int, bound:
     q = slices_of(queries, "query", dim, parts, ("query_id",)).withColumnRenamed("sub", "qs")
     sign = {"middle": 0.0, "upper": 1.0, "lower": -1.0}[bound]
     m = vec.dot("qs", "center") + F.lit(sign) * F.col("radius") * vec.norm("qs")
-    scored = nodes.join(F.broadcast(q), "s").withColumn("m", m)
+    scored = against(nodes, q, "s").withColumn("m", m)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "s").orderBy(F.desc("m"), "cluster"))).select("query_id", "s", "cluster", "m", "rank")
 
 
 def ta_depth(ranks: DataFrame, thresholds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """query_id, depth: the first rank whose sum over the slices is below the threshold, itself included; the last if none is."""
-    sums = ranks.groupBy("query_id", "rank").agg(F.sum("m").alias("total")).join(F.broadcast(thresholds), "query_id")
+    sums = ranks.groupBy("query_id", "rank").agg(F.sum("m").alias("total")).join(measured(thresholds), "query_id")
     depth = sums.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("total") < F.col("t"), F.col("rank"))), F.max("rank")).alias("depth"))
     return depth if max_depth is None else depth.withColumn("depth", F.least("depth", F.lit(max_depth)))
 
 
 def ta_candidates(ranks: DataFrame, depth: DataFrame, members: DataFrame) -> DataFrame:
     """query_id, pos: the union of the rows of ranks up to the depth."""
-    alive = ranks.join(F.broadcast(depth), "query_id").where("rank <= depth").select("query_id", "s", "cluster")
+    alive = ranks.join(measured(depth), "query_id").where("rank <= depth").select("query_id", "s", "cluster")
     return members.select("s", "cluster", "pos").join(alive, ["s", "cluster"]).select("query_id", "pos").distinct()
 
 
@@ -83,6 +84,6 @@ def slice_tree(members: DataFrame, dim: int, parts: int, bf: int) -> tuple[DataF
 def gate_down(thresholds: DataFrame, leaves: DataFrame, top: DataFrame) -> DataFrame:
     """query_id, s, cluster of clusters that pass below parents that pass."""
     above = cluster_gate(thresholds, top.withColumnRenamed("parent", "cluster")).withColumnRenamed("cluster", "parent")
-    below = leaves.join(above, ["s", "parent"]).join(F.broadcast(thresholds), ["query_id", "s"])
+    below = leaves.join(above, ["s", "parent"]).join(thresholds, ["query_id", "s"])
     bound = vec.dot("qs", "center") + vec.norm("qs") * F.col("radius")
     return below.where(bound + F.lit(vec.SLACK) * F.greatest(F.abs("t"), F.lit(1.0)) >= F.col("t")).select("query_id", "s", "cluster")

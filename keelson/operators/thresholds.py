@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.operators.blocks import measured
+
 
 def in_sample(pos, size: int, n: int):
     """A deterministic stand-in for a reservoir of about ``size`` of ``n``: every (n // size)-th position."""
@@ -72,7 +74,7 @@ ORACLES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 
 def judge(scored: DataFrame, thresholds: DataFrame, k: int = 10) -> DataFrame:
     """Per query: retrieved share, and recall of the k best (1 if there are none)."""
-    ranked = _ranked(scored).join(F.broadcast(thresholds), "query_id")
+    ranked = _ranked(scored).join(measured(thresholds), "query_id")
     hit = F.col("score") >= F.col("t")
     return ranked.groupBy("query_id").agg(
         F.avg(hit.cast("double")).alias("share"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from keelson.functions import text as scorers
 from keelson.functions import vec
 from keelson.operators import attention, clusterings, enclosures, index, metrics, search, subspace, thresholds
+from keelson.operators.blocks import against
 from keelson.sources.tables import keys_of, queries_of
 
 DIM, BF, PARTS, K, SCALE = 64, 4, 4, 20, 0.125
@@ -89,7 +90,7 @@ def _slices(spark, d):
 @query("halfspace_topk", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
 def halfspace_topk(spark, d):
     s = _scored(spark, d)
-    return search.exact(s.join(F.broadcast(_limits(s)), "query_id"), F.col("t")).select("query_id", "pos", _six("score").alias("score"))
+    return search.exact(search.with_limits(s, _limits(s)), F.col("t")).select("query_id", "pos", _six("score").alias("score"))
 
 
 @query("halfspace_scaled", f"WITH {BASE} SELECT query_id, pos, round(score * 0.125, 6) + 0.0 AS score FROM s WHERE score >= 0.2")
@@ -100,7 +101,7 @@ def halfspace_scaled(spark, d):
 @query("halfspace_full", f"WITH {BASE} SELECT query_id, count(*) AS n, round(sum(score), 6) + 0.0 AS total FROM s GROUP BY query_id")
 def halfspace_full(spark, d):
     s = _scored(spark, d)
-    return search.exact(s.join(F.broadcast(thresholds.full_search(queries_of(spark, d))), "query_id"), F.col("t")).groupBy("query_id").agg(F.count("*").alias("n"), _six(F.sum("score")).alias("total"))
+    return search.exact(search.with_limits(s, thresholds.full_search(queries_of(spark, d))), F.col("t")).groupBy("query_id").agg(F.count("*").alias("n"), _six(F.sum("score")).alias("total"))
 
 
 @query("halfspace_unit_queries", f"WITH {BASE}, u AS (SELECT query_id, list_transform(query, lambda x: x * 3 * (1.0 / sqrt(list_dot_product(list_transform(query, lambda y: y * 3), list_transform(query, lambda y: y * 3))))) AS query FROM q) SELECT query_id, pos, round(list_dot_product(u.query, key), 6) + 0.0 AS score FROM u, k WHERE list_dot_product(u.query, key) >= 0.2")
@@ -138,7 +139,7 @@ def top_k_causal(spark, d):
 def ball_gate(spark, d):
     nodes = index.balls(index.by_position(keys_of(spark, d), BF), DIM)
     ok = enclosures.ball() + vec.SLACK >= F.col("t")
-    return nodes.crossJoin(F.broadcast(_asked(spark, d))).where(ok).groupBy("query_id").agg(F.count("*").alias("clusters"), F.sum("size").alias("scanned"))
+    return against(nodes, _asked(spark, d)).where(ok).groupBy("query_id").agg(F.count("*").alias("clusters"), F.sum("size").alias("scanned"))
 
 
 @query("gated_search", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
@@ -235,7 +236,7 @@ gate AS (SELECT query_id, s, cluster FROM sn JOIN qs USING (s) JOIN ts USING (qu
 
 def _slice_limits(spark, d):
     top = search.top_k(_scored(spark, d), K).select("query_id", "pos", "key")
-    return subspace.slice_thresholds(queries_of(spark, d), top, DIM, PARTS)
+    return subspace.slice_thresholds(queries_of(spark, d), top, DIM, PARTS).cache()
 
 
 @query("slice_thresholds", f"WITH {BASE}, {SLICED} SELECT query_id, s::INTEGER AS s, round(t, 6) + 0.0 AS t FROM ts")
@@ -284,7 +285,7 @@ def _ta(bound):
         limits = _limits(s)
         ranks = subspace.ta_ranks(queries_of(spark, d), nodes, DIM, PARTS, bound)
         depth = subspace.ta_depth(ranks, limits)
-        found = subspace.ta_candidates(ranks, depth, members).join(s.select("query_id", "pos", "score"), ["query_id", "pos"]).join(F.broadcast(limits), "query_id")
+        found = search.with_limits(subspace.ta_candidates(ranks, depth, members).join(s.select("query_id", "pos", "score"), ["query_id", "pos"]), limits)
         return found.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= F.col("t")).alias("hits")).join(depth, "query_id").select("query_id", F.col("depth").cast("long").alias("depth"), "candidates", "hits")
 
     return run
@@ -360,7 +361,7 @@ def rotated_box(spark, d):
     basis = enclosures.principal_basis(keys, "key", DIM)
     boxes = index.centers(index.by_position(enclosures.rotated(keys, "key", basis), BF), DIM)
     asked = enclosures.rotated(_asked(spark, d), "query", basis)
-    both = boxes.crossJoin(F.broadcast(asked)).withColumn("ok", enclosures.box() + vec.SLACK > F.col("t"))
+    both = against(boxes, asked).withColumn("ok", enclosures.box() + vec.SLACK > F.col("t"))
     return both.groupBy("query_id").agg((F.sum(F.when(F.col("ok"), F.col("size")).otherwise(0)) / F.sum("size")).alias("scanned"))
 
 
@@ -368,7 +369,7 @@ def rotated_box(spark, d):
 def box_relation(spark, d):
     m, asked = index.by_position(keys_of(spark, d), BF), _asked(spark, d)
     low = -vec.box_bound(vec.scaled("query", -1.0), F.col("lo"), F.col("hi"))
-    x = index.centers(m, DIM).crossJoin(F.broadcast(asked)).select("query_id", "cluster", enclosures.box().alias("ub"), low.alias("lb"), "t")
+    x = against(index.centers(m, DIM), asked).select("query_id", "cluster", enclosures.box().alias("ub"), low.alias("lb"), "t")
     h = search.exact(search.scores(asked, m), F.col("t")).select("query_id", "cluster", F.lit(True).alias("hit")).distinct()
     kind = F.when(F.col("lb") > F.col("t") + vec.SLACK, "inside").when(F.col("ub") + vec.SLACK < F.col("t"), "outside").when(F.col("hit"), "crossing, hit").otherwise("crossing, none")
     return x.join(h, ["query_id", "cluster"], "left").groupBy("query_id", kind.alias("relation")).agg(F.count("*").alias("clusters"))
@@ -380,7 +381,7 @@ def box_levels(spark, d):
     leaves = index.centers(index.by_position(keys_of(spark, d), BF), DIM).withColumn("parent", F.floor(F.col("cluster") / BF))
     up = leaves.groupBy("parent").agg(vec.each_dim(DIM, lambda i: F.min(F.get("lo", F.lit(i)))).alias("lo"), vec.each_dim(DIM, lambda i: F.max(F.get("hi", F.lit(i)))).alias("hi"))
     ok = enclosures.box() + vec.SLACK >= F.col("t")
-    a = up.crossJoin(F.broadcast(asked)).where(ok).select("query_id", "query", "t", "parent")
+    a = against(up, asked).where(ok).select("query_id", "query", "t", "parent")
     b = leaves.join(a, "parent").where(ok)
     return a.groupBy("query_id").agg(F.count("*").alias("parents")).join(b.groupBy("query_id").agg(F.count("*").alias("clusters")), "query_id", "left").select("query_id", "parents", F.coalesce("clusters", F.lit(0)).alias("clusters"))
 
@@ -410,7 +411,7 @@ def adaptive_boxes(spark, d):
     for kind in ("global_pca", "query_adaptive", "subspace"):
         basis = enclosures.basis_of(kind, keys, asked, DIM)
         boxes = index.centers(index.by_position(enclosures.rotated(keys, "key", basis), BF), DIM)
-        both = boxes.crossJoin(F.broadcast(enclosures.rotated(asked, "query", basis))).withColumn("ok", enclosures.box() + vec.SLACK > F.col("t"))
+        both = against(boxes, enclosures.rotated(asked, "query", basis)).withColumn("ok", enclosures.box() + vec.SLACK > F.col("t"))
         row = both.agg(F.lit(kind).alias("basis"), (F.sum(F.when(F.col("ok"), F.col("size")).otherwise(0)) / F.sum("size")).alias("scanned"))
         out = row if out is None else out.union(row)
     return out
@@ -429,7 +430,7 @@ def clustering_comparison(spark, d):
     keys, asked, out = keys_of(spark, d).select("head", "pos", "key"), _asked(spark, d), None
     for name in COMPARED:
         nodes = index.balls(clusterings.CLUSTERINGS[name](keys, 8), DIM)
-        both = nodes.crossJoin(F.broadcast(asked)).withColumn("ok", enclosures.ball() + vec.SLACK >= F.col("t"))
+        both = against(nodes, asked).withColumn("ok", enclosures.ball() + vec.SLACK >= F.col("t"))
         row = both.agg(F.lit(name).alias("clustering"), F.count_distinct("cluster").alias("clusters"), (F.sum(F.when(F.col("ok"), F.col("size")).otherwise(0)) / F.sum("size")).alias("scanned"))
         out = row if out is None else out.union(row)
     return out
