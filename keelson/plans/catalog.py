@@ -7,6 +7,8 @@ are four of sixteen dimensions.  Sums are rounded to six places.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +20,7 @@ from keelson.functions import vec
 from keelson.operators import attention, clusterings, enclosures, index, metrics, search, subspace, thresholds
 from keelson.operators.blocks import against
 from keelson.sources.tables import keys_of, queries_of
+from keelson.streaming import state
 
 DIM, BF, PARTS, K, SCALE = 64, 4, 4, 20, 0.125
 
@@ -703,3 +706,63 @@ def last_number(spark, d):
 @query("label_agreement", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
 def label_agreement(spark, d):
     return spark.read.parquet(f"{d}/labels.parquet").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@query("boxed_answers", r"SELECT doc_id, '\frac{' || doc_id || '}{2}' AS answer FROM documents")
+def boxed_answers(spark, d):
+    """Solutions that end in a boxed fraction, made from ids."""
+    said = F.concat(F.lit(r"first \boxed{0}, then $\boxed{\left\dfrac{"), F.col("doc_id").cast("string"), F.lit(r"}{ 2 }}$."))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", scorers.normalised_math(scorers.boxed_answer(said)).alias("answer"))
+
+
+# Costs of updates, and decode-time state
+
+
+@query("update_costs", "WITH e AS (SELECT value AS kernel, CASE WHEN event_id % 10 = 0 THEN value ELSE 0 END AS wait, (event_id % 100)::DOUBLE AS search_ms, (event_id % 7)::DOUBLE AS transfer_ms FROM events) SELECT round(1 - sum(wait) / sum(kernel), 6) AS hide_ratio, round(avg(search_ms), 4) AS search_ms, round(avg(transfer_ms), 4) AS transfer_ms, round(avg(search_ms) + avg(transfer_ms) / 256, 6) AS amortised_ms FROM e")
+def update_costs(spark, d):
+    """Events as update telemetry: every tenth update was waited for."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(
+        F.col("value").alias("kernel"),
+        F.when(F.col("event_id") % 10 == 0, F.col("value")).otherwise(0.0).alias("wait"),
+        (F.col("event_id") % 100).cast("double").alias("search_ms"),
+        (F.col("event_id") % 7).cast("double").alias("transfer_ms"),
+    )
+    each = e.agg(F.round(metrics.amortised(F.avg("search_ms"), F.avg("transfer_ms"), 256), 6).alias("amortised_ms"))
+    return metrics.hide_ratio(e).select(F.round("hide_ratio", 6).alias("hide_ratio")).crossJoin(metrics.transfer_means(e)).crossJoin(each)
+
+
+@query("drop_positions", f"WITH {BASE}, n AS (SELECT count(*) AS n FROM k), x AS (SELECT query_id, rank, pos = 0 OR pos >= n - 100 AS last, (pos * 7919) % n < 100 AS random, score >= 0.2 AS relevant FROM r, n) SELECT query_id, count_if(last AND rank <= 20) AS in_window, count_if(random AND rank <= 20) AS in_random, count_if(relevant AND rank <= 20) AS in_relevant FROM x GROUP BY query_id")
+def drop_positions(spark, d):
+    """How many of each query's best keys the three position sets of the drop experiments keep."""
+    n, modes = keys_of(spark, d).count(), ("window", "random", "relevant")
+    best = search.top_k(_scored(spark, d).select("query_id", "pos", "score"), K)
+    kept = {m: metrics.kept_positions(n, m, 100, F.col("score") >= 0.2) for m in modes}
+    return best.groupBy("query_id").agg(*[F.count_if(kept[m]).alias(f"in_{m}") for m in modes])
+
+
+def _streamed(spark, d, operator, mode: str, name: str) -> DataFrame:
+    """Rows that a stateful operator writes for ``events`` as a stream, in the shared folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keelson-stream-")
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a plain path must be a folder
+    out = operator(state.arrivals_of(rows))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch_id", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/{number}")
+
+    out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows/*")
+
+
+@query("buffer_flushes", "WITH a AS (SELECT (user_id % 4)::INTEGER AS head, event_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id % 4) AS n FROM events) SELECT head, (i // 256)::BIGINT AS batch, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM a WHERE i < n // 256 * 256 GROUP BY ALL")
+def buffer_flushes(spark, d):
+    """Full buffers of 256 arrivals of each head; what is left over stays in state."""
+    rows = _streamed(spark, d, state.flushes, "append", "flushes")
+    return rows.groupBy("head", "batch").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+@query("reservoir_sizes", "SELECT (user_id % 4)::INTEGER AS head, count(*) AS seen, least(64, count(*)) AS kept FROM events GROUP BY ALL")
+def reservoir_sizes(spark, d):
+    """How many arrivals each head has seen, and how many different ones its reservoir holds."""
+    rows = _streamed(spark, d, lambda a: state.reservoir(a, 64), "update", "reservoir")
+    return rows.groupBy("head").agg(F.max("seen").alias("seen"), F.max_by(F.size(F.array_distinct("sample")), "seen").cast("long").alias("kept"))

@@ -31,9 +31,11 @@ def flushes(arrivals: DataFrame, size: int = 256) -> DataFrame:
             f = f.sort_values("pos")
             pos += f["pos"].tolist()
             rows += [list(map(float, k)) for k in f["key"]]
-        while len(pos) >= size:
-            yield pd.DataFrame({"head": key[0], "batch": batch, "pos": pos[:size], "key": rows[:size]})
-            batch, pos, rows = batch + 1, pos[size:], rows[size:]
+            full = len(pos) // size * size
+            for at in range(0, full, size):
+                yield pd.DataFrame({"head": key[0], "batch": batch, "pos": pos[at : at + size], "key": rows[at : at + size]})
+                batch += 1
+            pos, rows = pos[full:], rows[full:]
         state.update((batch, pos, rows))
 
     return arrivals.groupBy("head").applyInPandasWithState(
