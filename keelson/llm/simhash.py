@@ -23,7 +23,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.llm.common import cut, map_columns
@@ -32,8 +32,12 @@ from keelson.llm.components import connected_components
 SEED, BITS = 42, 64
 #: Fingerprints of a leaf, of a shard on average, of a shard before it is split, of a shard before more blocks make its key; pairs held before they are united.
 LEAF, SHARD, SPLIT, LARGE, HELD = 64, 1000, 25_000, 64_000, 1 << 20
-#: Bins of the sketch that verifies links by resemblance.
-BINS = 128
+#: MinHash values of a shingle set, and those of a band: two sets of resemblance J share none of the bands with (1 - J**ROWS) ** (BINS / ROWS), 3 in a million at 0.8.
+BINS, ROWS = 160, 5
+#: How far below the least resemblance an estimate may lie for its pair to be compared exactly (4.7 standard errors at 0.8); rows of bands in a task.
+SLACK, DEALT = 0.15, 50_000
+_MASKS, _FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, BINS, 1), np.uint64, endpoint=False)
+_FACTORS |= np.uint64(1)
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -61,13 +65,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int((np.uint64(1) << np.flatnonzero(2 * counts > len(hashes)).astype(np.uint64)).sum())
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """One byte for each of BINS bins of the hash range: of the least hash there, or 0 if there is none."""
-    h = np.unique(hashes * np.uint64(0x9E3779B97F4A7C15))
-    out = np.zeros(BINS, np.uint8)
-    bins, first = np.unique((h >> np.uint64(57)).astype(np.int64), return_index=True)
-    out[bins] = (h[first] >> np.uint64(16)) % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+def signature(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """MinHash of a shingle set: one byte of each of BINS minima, and a key of each band; nothing for an empty set."""
+    import xxhash
+
+    if not len(hashes):
+        return bytes(BINS), []
+    least = np.full(BINS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[None, at : at + 1024] ^ _MASKS) * _FACTORS).min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k) for k in range(0, BINS, ROWS)]
+    return ((least >> np.uint64(16)) % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes(), keys
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,11 +145,11 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def shard_links(prints: np.ndarray, radius: int, chunk: np.ndarray | None = None, sketches: np.ndarray | None = None, least: float = 0.0) -> np.ndarray:
-    """The root, as an index, of every fingerprint of a shard.
+    """The root, as an index, of every fingerprint of a shard; with ``sketches``, its first neighbour.
 
-    With two different values in ``chunk``, only pairs across them are searched.
+    A first neighbour is a pair to compare, and not yet a link.  With two different values in ``chunk``, only pairs across them are searched.
     """
-    parent = np.arange(len(prints))
+    parent, first = np.arange(len(prints)), np.arange(len(prints))
     left = right = np.arange(len(prints))
     if chunk is not None and (values := np.unique(chunk)).size == 2:
         left, right = np.flatnonzero(chunk == values[0]), np.flatnonzero(chunk == values[1])
@@ -157,6 +165,8 @@ def shard_links(prints: np.ndarray, radius: int, chunk: np.ndarray | None = None
                 ok = np.concatenate([resemblance(sketches[a[i : i + 65536]], sketches[b[i : i + 65536]]) >= least for i in range(0, len(a), 65536)])
                 a, b = a[ok], b[ok]
             if len(a):
+                if sketches is not None:
+                    np.minimum.at(first, np.maximum(a, b), np.minimum(a, b))
                 held.append((a, b))
                 size += len(a)
             if size > HELD:
@@ -164,25 +174,35 @@ def shard_links(prints: np.ndarray, radius: int, chunk: np.ndarray | None = None
                 held, size = [], 0
     if held:
         unite(parent, *map(np.concatenate, zip(*held, strict=True)))
-    return parent
+    return parent if sketches is None else first
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False) -> DataFrame:
-    """id, fp (the fingerprint as a signed long), and the sketch if asked for."""
+    """id, fp (the fingerprint as a signed long); if asked for, node (a hash of the shingle set), size, sketch and bands of the set."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
 
     def run(cols: dict) -> dict:
-        fps, sketches = [], []
+        import xxhash
+
+        out: dict[str, list] = {"id": cols["id"], "fp": [], "node": [], "size": [], "sketch": [], "bands": []}
         for text in cols["text"]:
             h = shingle_hashes(text, words)
-            x = fingerprint(h)
-            fps.append(x - (1 << 64) if x >> 63 else x)
+            out["fp"].append(_signed(fingerprint(h)))
             if sketched:
-                sketches.append(sketch(h))
-        return {"id": cols["id"], "fp": fps, "sketch": sketches}
+                h = np.unique(h)
+                sketch, bands = signature(h)
+                out["node"].append(_signed(xxhash.xxh64_intdigest(h.tobytes())))
+                out["size"].append(len(h))
+                out["sketch"].append(sketch)
+                out["bands"].append([_signed(x) for x in bands])
+        return out
 
-    return map_columns(src, f"id {kind}, fp bigint" + ", sketch binary" * sketched, run)
+    return map_columns(src, f"id {kind}, fp bigint" + ", node bigint, size bigint, sketch binary, bands array<bigint>" * sketched, run)
 
 
 def block_keys(radius: int, count: int) -> list[list[tuple[int, int]]]:
@@ -210,7 +230,7 @@ def _value(blocks: list[tuple[int, int]]) -> Column:
 
 
 def links(prints: DataFrame, radius: int, least: float = 0.0, sure: int | None = None) -> DataFrame:
-    """Edges ``u, v`` of signed node numbers that connect what links within shards.
+    """Edges ``u, v`` of signed node numbers that connect what links within shards; with a sketch, pairs to compare.
 
     ``prints(node, fp[, sketch])``: distinct nodes.  Fingerprints within ``sure``
     bits (``radius`` if not given) are certain to share a shard; those between
@@ -227,6 +247,7 @@ def links(prints: DataFrame, radius: int, least: float = 0.0, sure: int | None =
     split = split.select("node", "fp", *["sketch"] * sketched, "block", "value", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
         sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1) if sketched else None
         nodes = group["node"].to_numpy(np.int64)
         parent = shard_links(group["fp"].to_numpy(np.int64).view(np.uint64), radius, group["chunk"].to_numpy(), sketches, least)
@@ -236,6 +257,64 @@ def links(prints: DataFrame, radius: int, least: float = 0.0, sure: int | None =
     return split.groupBy("block", "value", "low", "high").applyInPandas(run, "u bigint, v bigint")
 
 
+def band_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs ``u, v`` of different roots that share a band, fit in size, and whose estimate isn't below ``least``.
+
+    ``nodes(node, root, size, sketch, bands)``.  Only bands that occur under
+    several roots are looked into, and only those get their sketches.
+    """
+    band = Window.partitionBy("key")
+    dealt = nodes.select("node", "root", "size", F.explode("bands").alias("key"))
+    dealt = dealt.withColumns({"low": F.min("root").over(band), "high": F.max("root").over(band)}).where("low < high").select("key", "node", "root", "size")
+    dealt = cut(dealt)
+    tasks = dealt.count() // DEALT + 1
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key", "root"])
+        key, node, root, size = (group[c].to_numpy(np.int64) for c in ("key", "node", "root", "size"))
+        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+        edges = np.flatnonzero(np.diff(key, prepend=key[:1] - 1, append=key[-1:] + 1))
+        out = [np.zeros((0, 2), np.int64)]
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for at in range(low, high):
+                after = at + int(np.searchsorted(root[at:high], root[at], "right"))  # roots ascend, so these are other roots
+                for i in range(after, high, 65536):
+                    other = np.arange(i, min(i + 65536, high))
+                    a, b = np.minimum(size[at], size[other]), np.maximum(size[at], size[other])
+                    other = other[a >= (least + SLACK) * b - 1e-9 * b]
+                    if len(other):
+                        other = other[resemblance(sketches[at][None], sketches[other]) >= least]
+                        out.append(np.stack([np.maximum(node[at], node[other]), np.minimum(node[at], node[other])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    dealt = dealt.join(nodes.select("node", "sketch"), "node").withColumn("task", F.pmod("key", F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(run, "u bigint, v bigint").distinct()
+
+
+def exact_links(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose shingle sets resemble each other by ``least`` or more; ``texts(node, text)``."""
+
+    def gather(cols: dict) -> dict:
+        return {"node": cols["node"], "hashes": [np.unique(shingle_hashes(t, words)).tobytes() for t in cols["text"]]}
+
+    def compare(cols: dict) -> dict:
+        out: dict[str, list] = {"u": [], "v": []}
+        for u, v, a, b in zip(cols["u"], cols["v"], cols["a"], cols["b"], strict=True):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both / max(len(a) + len(b) - both, 1) >= least:
+                out["u"].append(u)
+                out["v"].append(v)
+        return out
+
+    pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = cut(map_columns(texts.join(wanted, "node", "left_semi"), "node bigint, hashes binary", gather).dropDuplicates(["node"]))
+    full = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    return cut(map_columns(full.select("u", "v", "a", "b"), "u bigint, v bigint", compare))
+
+
 def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component_id (the least id reachable over links of at most ``radius`` bits) of every row."""
     prints = cut(fingerprints(docs, words, id_col, text_col))
@@ -258,17 +337,26 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = 12, least: float = 0.8, sure: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their near-duplicate group.
 
-    Texts link if their fingerprints over ``words``-word shingles lie within
-    ``radius`` bits (found for certain within ``sure`` bits) and the sketches of
-    their shingle sets resemble each other by ``least`` or more.  Of a group the row with the least id stays (null ids
-    come last, then the least text hash); of repeated rows, one.
+    Texts link if the sets of their ``words``-word shingles have a resemblance
+    of ``least`` or more, compared exactly.  Compared are first neighbours
+    within ``radius`` bits in SimHash shards (found for certain within ``sure``
+    bits), and then all pairs that are still apart and share a MinHash band,
+    which misses 3 in a million at 0.8, whatever the size.  Of a group the row
+    with the least id stays (null ids come last, then the least text hash); of
+    repeated rows, one.
     """
     last = F.lit((1 << 63) - 1)
     keys = [F.coalesce(F.col(id_col), last).alias("k1"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("k2")]
     own = docs.select(F.struct(*keys).alias("key"), F.col(text_col).alias("text"))
-    prints = cut(fingerprints(own, words, "key", "text", sketched=True).select("id", "fp", "sketch", F.xxhash64("fp", "sketch").alias("node")))
-    distinct = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.count("*").alias("n"), F.count_distinct("id").alias("ids")))
-    roots = connected_components(links(distinct.select("node", "fp", "sketch"), radius, least, sure))
+    prints = cut(fingerprints(own, words, "key", "text", sketched=True))
+    firsts = [F.min(c).alias(c) for c in ("fp", "size", "sketch", "bands")]
+    distinct = cut(prints.groupBy("node").agg(F.min("id").alias("least"), *firsts, F.count("*").alias("n"), F.count_distinct("id").alias("ids")))
+    texts = own.join(distinct.select("node", F.col("least").alias("key")), "key").select("node", "text")
+
+    near = exact_links(links(distinct.select("node", "fp", "sketch"), radius, least - SLACK, sure), texts, words, least)
+    rooted = distinct.join(connected_components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = exact_links(band_pairs(rooted.select("node", "root", "size", "sketch", "bands"), least - SLACK), texts, words, least)
+    roots = connected_components(near.union(apart))
     named = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
     kept = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).join(first, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_semi")

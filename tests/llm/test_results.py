@@ -346,3 +346,32 @@ def test_pipeline(spark):
     dirty = {r["doc_id"] for r in queries.QUERIES["op7_decontamination"](spark, SMALL).collect() if r["contaminated"]}
     assert len(ids) > 100 and not ids & dirty
     assert all(not secret_scan.find_spans(r["text"]) for r in kept.collect())
+
+
+def _planted(rng, pairs, size, resemblance):
+    """Pairs of texts whose five-word shingle sets resemble each other by about ``resemblance``, or a little above."""
+    out = []
+    for _ in range(pairs):
+        words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(size + 4)]
+        other, swapped = list(words), 0
+        # each changed word takes five shingles away on both sides
+        while (size - 5 * (swapped + 1)) / (size + 5 * (swapped + 1)) >= resemblance:
+            other[4 + 5 * swapped + swapped] = "x" + other[4 + 5 * swapped + swapped]
+            swapped += 1
+        out.append((" ".join(words), " ".join(other)))
+    return out
+
+
+def test_near_copies_at_the_threshold(spark):
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rng, rows, gone = np.random.default_rng(11), [], set()
+    for size in (180, 300, 1000):
+        for level in (0.80, 0.75):
+            for a, b in _planted(rng, 60, size, level):
+                k = 2 * len(rows)
+                rows += [(k, a), (k + 1, b)]
+                one, two = shingles(a), shingles(b)
+                if len(one & two) / len(one | two) >= 0.8:
+                    gone.add(k + 1)
+    kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert len(gone) == 180 and {k for k, _ in rows} - kept == gone
