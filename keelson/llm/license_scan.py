@@ -3,11 +3,11 @@
 Document frequencies of all template words are counted over the whole corpus.
 A template (or base phrase) can only stand where the rarest word of its
 mandatory phrase stands, so a file is looked into only if it holds one of
-those words.  There, its highest-IDF license words look up template postings;
-each posting gives a relative position (word position minus template
-position); at each such position the mandatory phrases must stand word by
-word, and the IDF mass of the template's words that agree must reach
-``LEAST``.
+those words.  There, each place of such a word gives its templates a relative
+position (word position minus template position), so every template is
+decided, however many a file holds; at each such position the mandatory
+phrases must stand word by word, and the IDF mass of the template's words that
+agree must reach ``LEAST``.
 
 Row by row after one small aggregate, so no key or source can be hot.  Null
 text is empty: zero words and no labels.  Repeated rows are scanned alike.
@@ -42,7 +42,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 
-#: Highest-IDF words that a file looks up, and the least share of a template's IDF mass.
+#: Highest-IDF words of a file that the SQL looks up (the scan itself looks up all), and the least share of a template's IDF mass.
 RAREST, LEAST = 8, 0.6
 
 #: Words over text whose A-Z aren't lowered yet; lowering them changes no boundary.
@@ -87,17 +87,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     phrases = [p.split() for p in PHRASES]
     gate = {p[rare(p)] for p in phrases} | {k[rare(k)] for _, _, keys in TEMPLATES for k in (keys[0].split(),)}
 
-    weight = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)])
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        for j, w in enumerate(text.split()):
-            postings.setdefault(w, []).append((t, j))
-    index = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(j).alias("j")) for t, j in ps]))])
-
     words = F.col("words")
     base = docs.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words"))
     asked = F.exists(words, lambda x: F.lower(x).isin(sorted(gate)))
-    hits = F.filter(F.transform(words, lambda x, i: F.struct(i.alias("p"), F.lower(x).alias("w"))), lambda h: h["w"].isin(vocabulary()))
+    hits = F.filter(F.transform(words, lambda x, i: F.struct(i.alias("p"), F.lower(x).alias("w"))), lambda h: h["w"].isin(sorted(gate)))
     none = F.array().cast("array<struct<p:int,w:string>>")
     base = base.withColumn("hits", F.when(asked, hits).otherwise(none))
 
@@ -107,33 +100,32 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         kept = F.filter(starts, lambda s: (s >= 0) & _place(p, words, s))
         return F.transform(kept, lambda s: F.struct(F.lit(PHRASES[" ".join(p)]).alias("label"), s.cast("long").alias("start")))
 
-    top = F.slice(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["w"])), lambda a, b: F.when(weight[a] > weight[b], -1).when(weight[a] < weight[b], 1).when(a < b, -1).otherwise(1)), 1, RAREST)
-    asked_words = F.filter("hits", lambda h: F.array_contains(F.col("top"), h["w"]))
-    offsets = F.array_distinct(F.flatten(F.transform(asked_words, lambda h: F.transform(index[h["w"]], lambda x: F.struct(x["t"].alias("t"), (h["p"] - x["j"]).alias("o"))))))
+    def places_in(text: str, phrase: str) -> int:
+        return len(f" {text} "[: f" {text} ".index(f" {phrase} ")].split())
 
     def found_of(t: int) -> Column:
         label, text, keys = TEMPLATES[t]
-        own = text.split()
+        own, first = text.split(), keys[0].split()
+        anchor = rare(first)
+        starts = F.transform(F.filter("hits", lambda h: h["w"] == first[anchor]), lambda h: h["p"] - (places_in(text, keys[0]) + anchor))
         total = sum(idf[w] for w in own) or 1.0
 
         def cover(o: Column) -> Column:
             agrees = [F.when(F.coalesce(_low(F.get(words, o + j)) == w, F.lit(False)), idf[w] / total).otherwise(0.0) for j, w in enumerate(own)]
             return F.least(sum(agrees, F.lit(0.0)), F.lit(1.0))
 
-        def verified(x: Column) -> Column:
-            ok = x["t"] == t
+        def verified(o: Column) -> Column:
+            ok = F.lit(True)
             for k in keys:
-                ok = ok & _place(k.split(), words, x["o"] + len(f" {text} "[: f" {text} ".index(f" {k} ")].split()))
+                ok = ok & _place(k.split(), words, o + places_in(text, k))
             return ok
 
-        return F.transform(F.filter("offsets", verified), lambda x: F.struct(F.lit(label).alias("label"), x["o"].cast("long").alias("start"), cover(x["o"]).alias("coverage")))
+        return F.transform(F.filter(starts, verified), lambda o: F.struct(F.lit(label).alias("label"), o.cast("long").alias("start"), cover(o).alias("coverage")))
 
     places = [places_of(p) for p in phrases]
     found = [found_of(t) for t in range(len(TEMPLATES))]
     return (
-        base.withColumn("top", top)
-        .withColumn("offsets", offsets)
-        .select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), F.concat(*places).alias("places"), F.filter(F.concat(*found), lambda x: x["coverage"] >= LEAST).alias("found"))
+        base.select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), F.concat(*places).alias("places"), F.filter(F.concat(*found), lambda x: x["coverage"] >= LEAST).alias("found"))
     )
 
 

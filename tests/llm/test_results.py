@@ -375,3 +375,10 @@ def test_near_copies_at_the_threshold(spark):
                     gone.add(k + 1)
     kept = {r[0] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
     assert len(gone) == 180 and {k for k, _ in rows} - kept == gone
+
+
+def test_license_notices(spark):
+    notices = " ".join(text for _, text, _ in license_scan.TEMPLATES)
+    rows = [(-1, notices), (-2, "x " * 5000 + notices)] + docs_of()
+    for r in license_scan.license_report(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 0").collect():
+        assert set(r["labels"].split(",")) == {"mit", "apache", "gpl"} | {label for label, _, _ in license_scan.TEMPLATES}
