@@ -4,7 +4,8 @@ Base spans come from three fixed patterns.  The method adds spans for
 candidates that *decode* to something that only a credential looks like:
 base64 or hex whose bytes parse as DER with exactly nested lengths, OpenSSH
 key envelopes with length-prefixed fields, and signed tokens whose header is
-JSON with an ``alg``.
+JSON with an ``alg``.  Of armoured keys with header lines, a body that is
+encrypted is confirmed by its label and header.
 
 Null and empty texts have no spans.  Repeated rows give repeated results.
 Offsets are code points, end exclusive.  Texts are scanned whole; patterns run
@@ -33,8 +34,13 @@ LEAST_VALUE, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "sshkey", "jwt")
 
 _assign, _access, _hex = re.compile(ASSIGN), re.compile(ACCESS), re.compile(HEX)
-_pem = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
-_b64 = re.compile(rb"(?<![A-Za-z0-9+/_=-])(?:M[A-Z]|AAAA|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{22,}={0,2}")
+_mixed = re.compile(rb"[0-9A-Fa-f]{48,}")
+#: Line ends, real or escaped; RFC 1421 header lines with their continuations.
+_BREAK = rb"(?:\r?\n|(?:\\r)?\\n)"
+_VALUE = rb"(?:[^\r\n\\]|\\(?!r?\\?n))*+"
+_pem = re.compile(rb"-----BEGIN ([A-Z0-9 ]{1,40})-----(?:\s|\\[nr])*+((?:[A-Za-z][A-Za-z0-9-]*+:" + _VALUE + _BREAK + rb"(?:[ \t]++" + _VALUE + _BREAK + rb")*+)*+)([A-Za-z0-9+/=\s\\]{16,}?)-----END \1-----")
+_encrypted = re.compile(rb"^Proc-Type:[ \t]*4[ \t]*,[ \t]*ENCRYPTED", re.I)
+_b64 = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:M[A-Z]|AAAA|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{22,}={0,2}")
 _jwt = re.compile(rb"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 
 #: The least DER size that counts, and how deep nesting is followed.
@@ -117,6 +123,10 @@ def is_openssh_key(data: bytes) -> bool:
     return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4]) <= 16
 
 
+def _kinds_of(data: bytes) -> list[str]:
+    return [kind for kind, test in (("der", is_der_key), ("openssh", is_openssh_key), ("sshkey", is_ssh_key)) if test(data)]
+
+
 def is_signed_token(raw: bytes) -> bool:
     """Three dotted parts; the header is a JSON object with ``alg``, the payload a JSON object."""
     head, body, _ = raw.split(b".", 2)
@@ -135,23 +145,21 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     low = raw.lower()  # bytes.lower() changes A-Z only
     found = [("assign", m.start(), m.end()) for m in _assign.finditer(low) if m.end(2) - m.start(2) >= LEAST_VALUE]
     found += [("access", m.start(), m.end()) for m in _access.finditer(raw) if m.end() - m.start() >= LEAST_ACCESS]
-    for m in _hex.finditer(raw):
-        found.append(("hex", m.start(), m.end()))
-        h = m[0]
-        if h.startswith(b"30") and len(h) % 2 == 0 and is_der_key(bytes.fromhex(h.decode())):
-            found.append(("der", m.start(), m.end()))
+    digits = {m.span() for m in _hex.finditer(raw)}
+    found += [("hex", a, b) for a, b in digits]
+    # either case is decoded; base spans stay lower-case runs
+    for a, b in digits | {m.span() for m in _mixed.finditer(raw)}:
+        if (b - a) % 2 == 0:
+            found += [(kind, a, b) for kind in _kinds_of(bytes.fromhex(raw[a:b].decode()))]
     if b"-----BEGIN " in raw:
         for m in _pem.finditer(raw):
-            data = _decode(re.sub(rb"\s|\\n", b"", m[2]))
-            if data and (is_der_key(data) or is_openssh_key(data)):
+            data = _decode(re.sub(rb"\s|\\[nr]", b"", m[3]))
+            # an encrypted body has no structure of its own: its label and header name it
+            if data and (is_der_key(data) or is_openssh_key(data) or m[1].endswith(b"PRIVATE KEY") and _encrypted.match(m[2])):
                 found.append(("pem", m.start(), m.end()))
     for m in _b64.finditer(raw):
-        data = _decode(m[0])
-        if not data:
-            continue
-        for kind, test in (("der", is_der_key), ("openssh", is_openssh_key), ("sshkey", is_ssh_key)):
-            if test(data):
-                found.append((kind, m.start(), m.end()))
+        if data := _decode(m[0]):
+            found += [(kind, m.start(), m.end()) for kind in _kinds_of(data)]
     for m in _jwt.finditer(raw):
         if is_signed_token(m[0]):
             found.append(("jwt", m.start(), m.end()))

@@ -382,3 +382,24 @@ def test_license_notices(spark):
     rows = [(-1, notices), (-2, "x " * 5000 + notices)] + docs_of()
     for r in license_scan.license_report(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 0").collect():
         assert set(r["labels"].split(",")) == {"mit", "apache", "gpl"} | {label for label, _, _ in license_scan.TEMPLATES}
+
+
+def test_secrets_behind_signs_and_headers():
+    kinds = lambda t: [k for k, _, _ in secret_scan.find_spans(t)]
+    der = _der(b"\x02\x82\x01\x00" + bytes(range(256)))
+    ssh = b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(range(100, 132))
+    opened = b"openssh-key-v1\0" + b"\0\0\0\x04none" * 2 + bytes(4) + b"\0\0\0\x01" + bytes(range(60))
+    for kind, data in (("der", der), ("sshkey", ssh), ("openssh", opened)):
+        text = base64.b64encode(data).decode()
+        assert kinds(f"DEPLOY_KEY={text}") == [kind] and secret_scan.find_spans(f"DEPLOY_KEY={text}\n")[0][1:] == (11, 11 + len(text))
+        assert kind in kinds("k " + data.hex().upper() + ".") and "hex" in kinds(data.hex()) and kind in kinds(data.hex())
+        mixed = data.hex()[:40] + data.hex()[40:].upper()
+        assert kind in kinds(mixed)
+    body = base64.encodebytes(bytes(reversed(range(256)))).decode()
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    for between in (head, head.replace("AES", " \n AES")):
+        pem = f"-----BEGIN RSA PRIVATE KEY-----\n{between}{body}-----END RSA PRIVATE KEY-----"
+        assert kinds(pem) == ["pem"] and kinds(pem.replace("\n", "\\n")) == ["pem"] and kinds(pem.replace("\n", "\r\n")) == ["pem"]
+    assert kinds(pem.replace("RSA PRIVATE KEY", "MESSAGE")) == [] and kinds(pem.replace("4,ENCRYPTED", "4,MIC-ONLY")) == []
+    plain = base64.encodebytes(der).decode()
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\nComment: mine\n\n{plain}-----END RSA PRIVATE KEY-----")[0] == "pem"
