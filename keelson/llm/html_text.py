@@ -1,67 +1,96 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (one per block element or line break), the text
-lengths of lines are summed over sliding windows, and text is kept between the
-surge points, where the sum jumps over a threshold, and the dive points, where
-it falls to nothing.  Lines that markup names as menus, headers, footers,
-sidebars, notices, adverts, forms or reader comments have length zero, and
-where a page marks its article, only lines in it have weight.
-
-Null, empty and text-free pages give an empty string.  Unclosed and crossed
-tags, unclosed comments and bare ``<`` are tolerated.  Each page is read whole,
-by itself, in one narrow pass.
+Markup is stripped into lines (one per block element or line break), and each
+line gets a weight: its text length less twice that of its links, four times
+its length inside an element that marks an article, and nothing where markup
+names it as a menu, header, footer, sidebar, notice, advert, form or reader
+comment, or where it lies outside the marked article.  Weights are summed over
+sliding windows of lines.  A surge is the first line of a window that holds
+``SURGE``, a dive is where a window sums to nothing; the main text runs from
+the first surge, and the weighty lines that lead up to it, to the last dive.
+Between them all lines stay except those apart, and lists of links.
+
+Null, empty and text-free pages give an empty string; a page that never surges
+gives all its weighty lines.  Unclosed and crossed tags, unclosed comments and
+bare ``<`` are tolerated, in time proportional to the page.  Each page is read
+whole, by itself, in one narrow pass.  Ties can't occur and repeated rows give
+repeated results; only the id, url and html columns are read, so extra columns
+can't clash.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import map_columns
 
-#: Lines in a window, its least sum at a surge, and a heading's bonus.
-WINDOW, SURGE = 3, 80
+#: Lines in a window, its least sum at a surge, how much more a character counts in a marked article.
+WINDOW, SURGE, MARKED = 3, 80, 4
 
-#: Elements whose content isn't text of the page, and those that aren't main text.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head select textarea button".split())
+#: Elements whose content isn't text of the page (raw ones hold no markup), and those that aren't main text.
+RAW = frozenset("script style textarea xmp".split())
+SILENT = RAW | frozenset("noscript template svg math iframe object canvas audio video head select button".split())
 ASIDE = frozenset("nav footer aside form dialog menu fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 #: Elements whose end tag may be missing; a missing one must not swallow what follows.
-LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option".split()) | INLINE
+LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of things beside the main text, the words that only say where or how they are laid out, and words of titles.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup sidebar aside widget widgets related recommended recommendations more-stories share sharing social menu menubar nav navbar navigation breadcrumb breadcrumbs "
+    "newsletter subscribe subscription signup sidebar aside widget widgets related recommended recommendations share sharing social menu menubar nav navbar navigation breadcrumb breadcrumbs "
     "masthead footer comment comments disqus respond reply replies discussion form search login copyright legal pagination pager skip toolbar topbar hidden".split()
 )
+LAYOUT = frozenset(
+    "site page main global local primary secondary top bottom left right upper lower inner outer wide box block bar area list item items link links button buttons icon icons container wrapper wrap "
+    "section group row column col panel pane slot unit holder region zone module component inline fixed sticky floating mobile desktop post posts article articles story stories blog web user users "
+    "reader readers thread count more also like follow us text body content contents header head title message msg field fields input google".split()
+)
+#: Names that also decide as the last word behind any other.
+STRONG = frozenset("ad ads advert adverts advertisement adsense banner popup modal overlay newsletter sidebar widget widgets menu menubar nav navbar navigation breadcrumb breadcrumbs masthead footer comments disqus pagination toolbar topbar".split())
+TITLE_WORDS = frozenset("of the a an and or in on for to by with from as at is how what why".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 
-_token = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>")
+_open = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: What is left of a tag: quotes count behind an equals sign only, and only where they are closed.
+_rest = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
 _attribute = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _modifier = re.compile(r"(has|have|with|without|no|not|is|show|hide)[-_]")
+_joint = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 _space = re.compile(r"\s+")
 
 
+def _names_aside(token: str, in_article: bool) -> bool:
+    """Whether a class or id names something beside the main text, and not a layout or a topic."""
+    if _modifier.match(token.lower()):  # says something of the page's layout, not what the element is
+        return False
+    words = [w for w in _joint.split(token) if w]
+    words = [w.lower().rstrip("0123456789") for w in words if not w.isdigit()]
+    if not words or TITLE_WORDS & set(words):
+        return False
+    named = NAMES if in_article else NAMES | {"header"}
+    return all(w in named or w in LAYOUT for w in words) and any(w in named for w in words) or words[-1] in STRONG
+
+
 def _apart(tag: str, attributes: str, in_article: bool, named: bool = True) -> bool:
     """Whether an element is something beside the main text, by its tag, and by names, roles and hiding if ``named``."""
-    if tag in ASIDE or tag == "header" and not in_article:
+    if tag in ASIDE or tag in SILENT or tag == "header" and not in_article:
         return True
     if not attributes or not named or tag in ("html", "body", "main"):
         return False
     for m in _attribute.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+            return True
+        # a heading's id names its topic
+        if (name == "class" or name == "id" and tag not in HEADINGS) and any(_names_aside(token, in_article) for token in value.split()):
             return True
-        if name in ("class", "id"):
-            for token in value.split():
-                if _modifier.match(token):  # says something of the page's layout, not what the element is
-                    continue
-                words = {token, *re.split("[_-]+", token)}
-                if words & NAMES or "header" in words and not in_article:
-                    return True
     return False
 
 
@@ -69,10 +98,13 @@ def lines_of(page: str, named: bool = True) -> list[tuple[str, int, bool, bool,
     """Lines of a page: text, characters in links, whether apart, in the article, a heading."""
     out: list[tuple[str, int, bool, bool, bool]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, change of apart, article
+    open_tags: Counter[str] = Counter()
+    endless: set[str] = set()  # tags that are not closed any more
     parts: list[str] = []
-    linked = 0
-    apart = article = link = 0
-    heading = False
+    linked = apart = article = 0
+    link = muted = -1  # depth of the stack at which a link, or an inline element that is apart, was opened
+    mute, nested = "", 0
+    heading = loose = False
 
     def flush() -> None:
         nonlocal linked, heading
@@ -83,98 +115,130 @@ def lines_of(page: str, named: bool = True) -> list[tuple[str, int, bool, bool,
         linked, heading = 0, False
 
     def leave(n: int) -> None:
-        nonlocal apart, article
+        nonlocal apart, article, link, muted
         while len(stack) > n:
-            _, a, b = stack.pop()
+            tag, a, b = stack.pop()
+            open_tags[tag] -= 1
             apart, article = apart - a, article - b
-
-    at, size = 0, len(page)
-    while at < size:
-        m = _token.search(page, at)
-        end = m.start() if m else size
-        if end > at:
-            parts.append(page[at:end])
-            linked += (end - at) * (link > 0)
-        if not m:
-            break
-        at = m.end()
-        if m[0] == "<!--":
-            end = page.find("-->", at)
-            at = size if end < 0 else end + 3
-            continue
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if tag in SILENT:
-            if not closing and not attributes.rstrip().endswith("/"):
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                if close:
-                    at = close.end()
-                elif tag != "head":
-                    at = size
+        link = -1 if link > n else link
+        muted = -1 if muted > n else muted
+
+    at = begin = 0
+    while m := _open.search(page, at):
+        if m[1]:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        else:
+            rest = None if loose or not m[3] else _rest.match(page, m.end())
+            loose = loose or bool(m[3]) and rest is None  # from here on, a tag ends at the next sign
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            if not end:
+                break  # no tag is closed any more: the rest is text
+        if muted < 0 and m.start() > begin:
+            parts.append(page[begin : m.start()])
+            linked += (m.start() - begin) * (link >= 0)
+        start, at = m.end(), end
+        begin = at
+        if not m[3]:
             continue
-        if tag == "a":
-            link = 0 if closing else 1
+        tag, closing, attributes = m[3].lower(), bool(m[2]), page[start : end - 1]
+        if tag in SILENT and not closing:
+            if attributes.rstrip().endswith("/"):
+                continue
+            close = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if close:
+                at = begin = close.end()
+                continue
+            endless.add(tag)
+            if tag in RAW:
+                begin = len(page)
+                break
+            if tag == "head":
+                continue
         if tag in INLINE:
-            if not closing and tag not in VOID and tag != "a" and attributes and _apart(tag, attributes, article > 0, named):
-                close = page.find(f"</{tag}", at)
-                at = close if close >= 0 else at
+            if muted >= 0:
+                if tag == mute and tag not in VOID:
+                    nested += -1 if closing else 1
+                    muted = muted if nested else -1
+            elif tag == "a":
+                link = -1 if closing else len(stack)
+            elif not closing and tag not in VOID and attributes and _apart(tag, attributes, article > 0, named):
+                mute, nested, muted = tag, 1, len(stack)
             continue
         flush()
         if tag in VOID:
             continue
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
+            if open_tags[tag] > 0:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
                 leave(k)
             continue
-        if tag in LOOSE:
-            if stack and stack[-1][0] == tag:
-                leave(len(stack) - 1)
+        if tag in LOOSE and stack and stack[-1][0] == tag:
+            leave(len(stack) - 1)
         is_apart = _apart(tag, attributes, article > 0, named)
         is_article = tag in ("article", "main") and not is_apart
-        heading = tag in ("h1", "h2", "h3")
+        heading = tag in HEADINGS
         change = -apart if tag == "main" else int(is_apart)  # the main part isn't apart, whatever surrounds it
         stack.append((tag, change, is_article))
+        open_tags[tag] += 1
         apart, article = apart + change, article + is_article
+    if muted < 0 and begin < len(page):
+        parts.append(page[begin:])
     flush()
     return out
 
 
 def main_text(page: str | None) -> str:
-    """The lines between surge and dive points, joined by one space."""
+    """The lines between the first surge and the last dive, joined by one space."""
     if not page:
         return ""
     # an unclosed advert may swallow a page, and a page be named like a sidebar: then names don't count
     return _kept(lines_of(page)) or _kept(lines_of(page, named=False))
 
 
-def _kept(lines: list[tuple[str, int, bool, bool, bool]]) -> str:
+def weights_of(lines: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
+    """How much each line counts; markup has no other say."""
     marked = any(text and inside and not apart for text, _, apart, inside, _ in lines)
-    weights = []
+    out = []
     for text, linked, apart, inside, _ in lines:
-        if apart or not text or marked and not inside:
-            weights.append(0)
+        if apart or marked and not inside:
+            out.append(0)
         else:
-            weights.append(SURGE + len(text) if marked else max(0, len(text) - 2 * linked))
+            out.append(MARKED * len(text) if marked else max(0, len(text) - 2 * linked))
+    return out
+
+
+def _kept(lines: list[tuple[str, int, bool, bool, bool]]) -> str:
+    lines = [line for line in lines if line[0]]
+    weights, marked = weights_of(lines), any(inside for _, _, _, inside, _ in lines)
     n = len(lines)
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    keep, i = [False] * n, 0
-    while i < n:
-        if weights[i] and (sums[i] >= SURGE or weights[i] >= SURGE):
-            start = i
-            while start and lines[start - 1][4] and not lines[start - 1][2] and not marked:
-                start -= 1  # a heading belongs to the text that it heads
-            while i < n and sums[i]:
-                i += 1
-            for k in range(start, i):
-                keep[k] = not lines[k][2] and (lines[k][3] or not marked) and (weights[k] > 0 or lines[k][4])
-        else:
+    surges = [i for i in range(n) if weights[i] and sums[i] >= SURGE]
+    if not surges:  # a short page is its own only block
+        return " ".join(line[0] for line, w in zip(lines, weights, strict=True) if w)
+    first, stop = surges[0], surges[-1]
+    while first and not lines[first - 1][2] and (weights[first - 1] or lines[first - 1][4] and not marked):
+        first -= 1  # the lines that lead up to a surge belong to it
+    while stop < n and sums[stop]:
+        stop += 1
+    while not weights[stop - 1]:
+        stop -= 1
+    out, i = [], first
+    while i < stop:
+        if weights[i]:
+            out.append(lines[i][0])
             i += 1
-    if not any(keep) and not marked:  # nothing surges: a short page is its own only block
-        keep = [w > 0 for w in weights]
-    return " ".join(line[0] for line, k in zip(lines, keep, strict=True) if k and line[0])
+            continue
+        to = i
+        while to < stop and not weights[to]:
+            to += 1
+        # lines of links: a list of them is a menu, fewer belong to the text
+        links = [line[0] for line in lines[i:to] if not line[2] and (line[3] or not marked)]
+        out += links if len(links) < WINDOW else []
+        i = to
+    return " ".join(out)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
