@@ -4,7 +4,7 @@ Base spans come from three fixed patterns.  The method adds spans for
 candidates that *decode* to something that only a credential looks like:
 base64 or hex whose bytes parse as DER with exactly nested lengths, OpenSSH
 key envelopes with length-prefixed fields, and signed tokens whose header is
-JSON with an ``alg``.  Of armoured keys with header lines, a body that is
+JSON with an ``alg``.  Public keys and certificates are no secrets.  Of armoured keys with header lines, a body that is
 encrypted is confirmed by its label and header.
 
 Null and empty texts have no spans.  Repeated rows give repeated results.
@@ -22,7 +22,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import map_columns
+from keelson.llm.common import free_name, map_columns, quoted
 
 #: The base patterns and the least lengths.
 ASSIGN = rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)"""
@@ -43,6 +43,9 @@ _encrypted = re.compile(rb"^Proc-Type:[ \t]*4[ \t]*,[ \t]*ENCRYPTED", re.I)
 _b64 = re.compile(rb"(?<![A-Za-z0-9+/_-])(?:M[A-Z]|AAAA|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{22,}={0,2}")
 _jwt = re.compile(rb"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 
+#: Fields of public keys by algorithm, its name included.
+PUBLIC_FIELDS = {b"ssh-ed25519": 2, b"ssh-rsa": 3, b"ssh-dss": 5, b"ecdsa-": 3, b"sk-ssh": 3, b"sk-ecdsa": 4, b"ssh-": 2}
+
 #: The least DER size that counts, and how deep nesting is followed.
 LEAST_DER, DEEPEST = 24, 12
 
@@ -84,9 +87,28 @@ def _der(data: bytes, start: int, end: int, depth: int, seen: set[int]) -> bool:
 
 
 def is_der_key(data: bytes) -> bool:
-    """One SEQUENCE whose nested lengths fit to the last byte and which holds an integer or an object id."""
+    """One SEQUENCE whose nested lengths fit to the last byte, which holds an integer or an object id, and isn't public.
+
+    Public keys and certificates end in a bit string, public RSA keys and
+    signatures are two integers, and signed messages begin with an object id.
+    """
     seen: set[int] = set()
-    return len(data) >= LEAST_DER and data[0] == 0x30 and _der(data, 0, len(data), 0, seen) and bool(seen & {0x02, 0x06})
+    if len(data) < LEAST_DER or data[0] != 0x30 or not _der(data, 0, len(data), 0, seen) or not seen & {0x02, 0x06}:
+        return False
+    tags = _tags(data)
+    return tags != [0x02, 0x02] and tags[0] != 0x06 and tags[-1] != 0x03
+
+
+def _tags(data: bytes) -> list[int]:
+    """Tags of the values directly inside a well-formed outer value."""
+    out, at = [], 2 if data[1] < 0x80 else 2 + (data[1] & 0x7F)
+    while at < len(data):
+        out.append(data[at])
+        n, at = data[at + 1], at + 2
+        if n >= 0x80:
+            n, at = int.from_bytes(data[at : at + (n & 0x7F)]), at + (n & 0x7F)
+        at += n
+    return out
 
 
 def _fields(data: bytes, at: int) -> list[bytes] | None:
@@ -105,9 +127,11 @@ def _fields(data: bytes, at: int) -> list[bytes] | None:
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Wire form of an SSH key: a known algorithm name, then fields that fill the blob."""
+    """Wire form of a private SSH key: a known algorithm name, then fields that fill the blob, more than a public key has."""
     got = _fields(data, 0)
-    return bool(got) and len(got) >= 2 and re.match(rb"(ssh-|ecdsa-|sk-)[a-z0-9@.-]+$", got[0]) is not None
+    if not got or not (m := re.match(rb"(ssh-ed25519|ssh-rsa|ssh-dss|ecdsa-|sk-ssh|sk-ecdsa|ssh-)[a-z0-9@.-]*$", got[0])):
+        return False
+    return b"-cert-" not in got[0] and len(got) > PUBLIC_FIELDS[m[1]]
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -132,7 +156,7 @@ def is_signed_token(raw: bytes) -> bool:
     head, body, _ = raw.split(b".", 2)
     try:
         head, body = json.loads(_decode(head) or b""), json.loads(_decode(body) or b"")
-    except ValueError:
+    except (ValueError, RecursionError):  # brackets nested too deeply are no token either
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
@@ -235,10 +259,9 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
         return texts.map(one, na_action="ignore")
 
-    masked = docs.withColumn("__masked", redact("text"))
+    own = free_name(docs, "masked")
+    out = docs.withColumn(own, redact("text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        masked = masked.withColumn("n_chars", F.when(F.col("__masked") != F.col("text"), F.length("__masked").cast(kind)).otherwise(F.col("n_chars")))
-    return masked.withColumn("text", F.col("__masked")).select(*docs.columns)
-
-
+        out = out.withColumn("n_chars", F.when(F.col(own) != F.col("text"), F.length(own).cast(kind)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(own)).select(*map(quoted, docs.columns))
