@@ -1,11 +1,12 @@
 """Cost-balanced packing of tokenized documents into fixed-length sequences.
 
 A document costs ``linear * n + quadratic * n**2`` (projection and attention).
-Documents are taken in descending cost; each goes to the cheapest open sequence
-that still has room for it.  Where none has room for the whole, the cheapest one
-with any room takes a piece and the rest goes on.  What is left when all
-sequences are full is laid out in sequences of exact powers of two, so that no
-sequence needs padding.
+A group's tokens fill sequences of the full length and a few of the powers of
+two that make up the rest, so that no sequence needs padding.  Documents are
+taken in descending cost; each goes to the cheapest sequence that still has room
+for it.  Where none has room for the whole, the cheapest one with any room takes
+a piece, and the rest is placed by the same rule.  Of equal documents the earlier
+row goes first, of equally cheap sequences the one with the least number.
 
 Packing runs task by task over groups of about ``GROUP`` tokens: memory is
 bounded by the group, nothing is shuffled, and no source or length can be a
@@ -31,8 +32,8 @@ from keelson.llm.common import slices
 #: Tokens of a sequence, the id that ends a document, tokens packed together, costs of a token and of a pair.
 LENGTH, END_ID, GROUP = 4096, 2, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Entries after which a word cache starts anew.
-CACHE = 300_000
+#: Bytes after which a word cache starts anew (an entry counts ENTRY bytes besides its own), and the longest chunk that it keeps.
+CACHE_BYTES, ENTRY, LONGEST = 96 << 20, 200, 64
 
 #: Words whose normal form is their lower case: no composition, no special lowering.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
@@ -57,14 +58,23 @@ class WordCache(dict):
         rest = iter(range(256, 512))
         self.table = {b: c or chr(next(rest)) for b, c in enumerate(byte_chars)}
         self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def keep(self, where: dict, chunk: str, got: bytes) -> None:
+        if len(chunk) > LONGEST:
+            return
+        self.held += ENTRY + 4 * len(chunk) + len(got)
+        if self.held > CACHE_BYTES:
+            self.words.clear()
+            self.clear()
+            self.held = 0
+        where[chunk] = got
 
     def piece(self, word: str) -> bytes:
         if (got := self.words.get(word)) is None:
             mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
             got = np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = got
+            self.keep(self.words, word, got)
         return got
 
     def __missing__(self, chunk: str) -> bytes:
@@ -74,9 +84,7 @@ class WordCache(dict):
             got = self.piece(m[1].lower()) + (self.piece(m[2]) if m[2] else b"")
         else:
             got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[chunk] = got
+        self.keep(self, chunk, got)
         return got
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -85,44 +93,22 @@ class WordCache(dict):
 
 
 def layout(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, quadratic: float = QUADRATIC) -> Iterator[tuple[int, int, int, int]]:
-    """(document, start, size, sequence) of every piece; sequences are numbered from 0, pieces follow in order."""
-    n_full, pool = 0, []
-    for k, n in enumerate(lengths):
-        whole = n // length
-        for i in range(whole):
-            yield k, i * length, length, n_full + i
-        n_full += whole
-        if n % length:
-            pool.append((n % length, whole * length, k))
-    pool.sort(key=lambda x: (-x[0], x[2]))
-    open_ = sum(x[0] for x in pool) // length
-    cost, room = np.zeros(open_), np.full(open_, length)
-    left = []
-    for n, start, k in pool:
+    """(document, start, size, sequence) of every piece; sequences are numbered from 0, a sequence's pieces follow in order."""
+    whole, rest = divmod(sum(lengths), length)
+    room = np.array([length] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1], np.int64)
+    cost = np.zeros(len(room))
+    for k in np.argsort(-np.array(lengths, np.int64), kind="stable").tolist():
+        n, start = lengths[k], 0
         while n:
             fits = np.flatnonzero(room >= n)
-            take = n
             if not len(fits):
                 fits = np.flatnonzero(room)
-                if not len(fits):
-                    left.append((n, start, k))
-                    break
-            s = fits[np.argmin(cost[fits])]
+            s = int(fits[cost[fits].argmin()])
             take = min(n, int(room[s]))
             cost[s] += linear * take + quadratic * take * take
             room[s] -= take
-            yield k, start, take, n_full + int(s)
+            yield k, start, take, s
             n, start = n - take, start + take
-    rest, at = sum(x[0] for x in left), n_full + open_
-    sizes = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-    space = sizes.pop(0) if sizes else 0
-    for n, start, k in left:
-        while n:
-            take = min(n, space)
-            yield k, start, take, at
-            n, start, space = n - take, start + take, space - take
-            if not space:
-                space, at = sizes.pop(0) if sizes else 0, at + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
