@@ -17,7 +17,8 @@ items without words are left out.  Repeated rows are judged alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import cut, slices
 
-WINDOW, BLOCK_BYTES, CANDIDATES = 10, 16 << 20, 1 << 18
+WINDOW, BLOCK_BYTES, CANDIDATES = 10, 8 << 20, 1 << 18
 
 #: A-Z to a-z; other ASCII that is no letter or digit to a blank; bytes of other characters stay.
 _table = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -38,30 +39,77 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a block of items, and who owns them."""
+    """The distinct windows of a block of items, as places in one array of word numbers, and who owns them.
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    Some 40 bytes a window while it is built and 15 afterwards, besides the
+    block's distinct words.  Items shorter than a window are filled up with -1.
+    """
+
+    def __init__(self, items: Iterable[tuple], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.windows = list(owners)
-        self.owners = [sorted(o) for o in owners.values()]
-        self.sizes = np.array([len(w) for w in self.windows], np.int64)
-        self.words = np.full((len(self.windows), window), -1, np.int64)
-        for k, w in enumerate(self.windows):
-            self.words[k, : len(w)] = w
+        self.names: list = []
+        self.window = window
+        flat, starts, owner = array("i"), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for name, text in items:
+            words = words_of(text)
+            if not words:
+                continue
+            many = max(1, len(words) - window + 1)
+            starts.append(np.arange(len(flat), len(flat) + many, dtype=np.int32))
+            owner.append(np.full(many, len(self.names), np.int32))
+            self.names.append(name)
+            flat.extend(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words)
+            flat.extend([-1] * (window - len(words)))
+        self.flat = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+        starts, owner = np.concatenate(starts), np.concatenate(owner)
+        first, same = self._distinct(starts)
+        self.at = starts[first]
+        pairs = np.unique(same.astype(np.int64) * max(1, len(self.names)) + owner)
+        self.owner = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.owned = np.searchsorted(pairs, np.arange(len(first) + 1) * max(1, len(self.names))).astype(np.int32)
+        self.sizes = np.zeros(len(first), np.int8)
+        for j in range(window):
+            self.sizes += self.word(slice(None), j) >= 0
+
+    def _distinct(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First of equal windows, and each window's number: ranks of runs of words, doubled and then put together, all exact."""
+        width, ranks, rest = 1, self.flat.astype(np.int64) + 1, None
+        done = 0
+        while done < self.window:
+            if self.window & width:  # the next binary digit of the window's length
+                part = ranks[np.minimum(starts + done, max(0, len(ranks) - 1))] if len(starts) else np.zeros(0, np.int64)
+                rest = part if rest is None else np.unique(rest * (int(ranks.max(initial=0)) + 1) + part, return_inverse=True)[1]
+                done += width
+            if done < self.window:
+                ranks = np.unique(ranks[:-width] * (int(ranks.max(initial=0)) + 1) + ranks[width:], return_inverse=True)[1]
+                width *= 2
+        _, first, same = np.unique(rest, return_index=True, return_inverse=True)
+        return first, same
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def word(self, w, j) -> np.ndarray:
+        """The word numbers at place ``j`` of windows ``w``."""
+        return self.flat[self.at[w] + j]
+
+    def owners(self, w: int) -> list:
+        return [self.names[i] for i in self.owner[self.owned[w] : self.owned[w + 1]]]
 
     def order(self, counts: np.ndarray) -> None:
         """Index the windows by their rarest word; remember the place of the next-rarest for the positional filter."""
-        rank = np.where(self.words >= 0, counts[self.words] * 16 + np.arange(self.words.shape[1]), np.iinfo(np.int64).max)
-        by = np.argsort(rank, axis=1, kind="stable")
-        self.prefix, self.second = by[:, 0], np.where(self.sizes > 1, by[:, min(1, by.shape[1] - 1)], by[:, 0])
-        key = self.words[np.arange(len(self.words)), self.prefix]
-        self.of = np.argsort(key, kind="stable")
-        self.first = np.searchsorted(key[self.of], np.arange(len(counts) + 1))
+        far = np.iinfo(np.int64).max
+        least, next_ = np.full(len(self), far), np.full(len(self), far)
+        for j in range(self.window):
+            x = self.word(slice(None), j)
+            rank = np.where(x >= 0, np.append(counts, 0)[x] * self.window + j, far)
+            next_ = np.minimum(next_, np.maximum(least, rank))
+            least = np.minimum(least, rank)
+        self.prefix = (least % self.window).astype(np.int8)
+        self.second = np.where(self.sizes > 1, next_ % self.window, self.prefix).astype(np.int8)
+        key = self.word(slice(None), self.prefix)
+        self.of = np.argsort(key, kind="stable").astype(np.int32)
+        self.first = np.searchsorted(key[self.of], np.arange(len(counts) + 1)).astype(np.int32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
@@ -69,7 +117,7 @@ class Windows:
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and windows of all occurrences in a document given as word numbers."""
         n = len(x)
-        places = np.flatnonzero(x >= 0)
+        places = np.flatnonzero(x >= 0) if len(self) else np.zeros(0, np.int64)
         many = self.first[x[places] + 1] - self.first[x[places]]
         places, many = places[many > 0], many[many > 0]
         starts, found = [], []
@@ -83,10 +131,10 @@ class Windows:
             s = np.repeat(p, m) - self.prefix[w]
             ok = (s >= 0) & (s + self.sizes[w] <= n)
             s, w = s[ok], w[ok]
-            ok = x[s + self.second[w]] == self.words[w, self.second[w]]
+            ok = x[s + self.second[w]] == self.word(w, self.second[w])
             s, w = s[ok], w[ok]
-            for j in range(self.words.shape[1]):
-                ok = (self.sizes[w] <= j) | (x[np.minimum(s + j, n - 1)] == self.words[w, j])
+            for j in range(self.window):
+                ok = (self.sizes[w] <= j) | (x[np.minimum(s + j, n - 1)] == self.word(w, j))
                 s, w = s[ok], w[ok]
             starts.append(s)
             found.append(w)
@@ -112,16 +160,19 @@ def _word_counts(docs: DataFrame, windows) -> dict[int, int]:
     return {r["word"]: r["n"] for r in rows.collect()}
 
 
-RESULT = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>"
+SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def _joined(docs: DataFrame, windows) -> DataFrame:
     """Add a block's hits to ``spans`` (maximal runs of hit words, sorted) and ``items``."""
-    kind = docs.schema["id"].dataType.simpleString()
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, items_kind = (docs.schema[c].dataType for c in ("id", "items"))
+    names = to_arrow_type(items_kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows.value
-        types = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), names]
         for batch in batches:
             for piece in slices(batch):
                 texts, before, owned = (piece.column(i).to_pylist() for i in (1, 3, 4))
@@ -138,24 +189,24 @@ def _joined(docs: DataFrame, windows) -> DataFrame:
                             edge[x["end"]] -= 1
                         hit = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)]))
                         spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(hit > 0), np.flatnonzero(hit < 0), strict=True)]
-                        items = sorted({*items, *(i for j in np.unique(k) for i in w.owners[j])})
+                        items = sorted({*items, *(i for j in np.unique(k) for i in w.owners(j))})
                     out.append((len(words), spans, items))
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *cols], ["id", "text", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, f"id {kind}, text string, {RESULT}")
+    return docs.mapInArrow(run, f"id {kind.simpleString()}, text string, n_words bigint, spans {SPANS}, items {items_kind.simpleString()}")
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> Iterator[Windows]:
     """Windows of each block of items, ordered by the word counts over ``docs(text)``."""
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        windows = Windows([(r["item"], r["text"]) for r in block.toLocalIterator()], window)
+        windows = Windows(((r["item"], r["text"]) for r in block.toLocalIterator()), window)
         counts = np.zeros(len(windows.vocabulary), np.int64)
-        if windows.windows:
+        if len(windows):
             for word, n in _word_counts(docs, docs.sparkSession.sparkContext.broadcast(windows)).items():
                 counts[word] = n
         windows.order(counts)
@@ -165,7 +216,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: id, text, n_words, spans of hit words, items with an occurring window."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = src.select("id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.array().cast("array<bigint>").alias("items"))
+    out = src.select("id", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast(f"array<{benchmark.schema[item_col].dataType.simpleString()}>").alias("items"))
     for k, windows in enumerate(_blocks(src, benchmark, item_col, item_text_col, window)):
         out = _joined(cut(out) if k else out, docs.sparkSession.sparkContext.broadcast(windows))
     return out.withColumnRenamed("id", id_col)
