@@ -42,8 +42,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 
-#: Highest-IDF words of a file that the SQL looks up (the scan itself looks up all), and the least share of a template's IDF mass.
-RAREST, LEAST = 8, 0.6
+#: The least share of a template's IDF mass.
+LEAST = 0.6
 
 #: Words over text whose A-Z aren't lowered yet; lowering them changes no boundary.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -149,26 +149,26 @@ def license_report(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same scan as SQL: hits of the template vocabulary, the rarest of a file, offsets, mandatory phrases, coverage."""
+    """The same labels as SQL, without an index: every template at every place where its first mandatory phrase begins."""
     templates = ", ".join(f"({t}, '{label}', {text.split()})" for t, (label, text, _) in enumerate(TEMPLATES))
-    keys = []
+    keys, firsts = [], []
     for t, (_, text, phrases) in enumerate(TEMPLATES):
         for k in phrases:
             at = len(f" {text} "[: f" {text} ".index(f" {k} ")].split())
+            firsts += [f"({t}, {at}, '{k.split()[0]}')"] * (k == phrases[0])
             keys += [f"({t}, {at + j}, '{w}')" for j, w in enumerate(k.split())]
     places = ", ".join(f"('{label}', {p.split()})" for p, label in PHRASES.items())
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
     regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS lw FROM documents
-), tp(t, label, words) AS (VALUES {templates}), ph(label, words) AS (VALUES {places}), ky(t, j, word) AS (VALUES {", ".join(keys)}
+), tp(t, label, words) AS (VALUES {templates}), ph(label, words) AS (VALUES {places}), ky(t, j, word) AS (VALUES {", ".join(keys)}), fw(t, j, word) AS (VALUES {", ".join(firsts)}
 ), vocab AS (SELECT DISTINCT unnest(words) AS word FROM (SELECT words FROM tp UNION ALL SELECT words FROM ph)
 ), idf AS (SELECT word, ln(1 + (SELECT count(*) FROM d) / (1 + (SELECT count(*) FROM d WHERE list_contains(lw, word)))) AS idf FROM vocab
 ), pos AS (SELECT r, p, word FROM (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS p FROM d) JOIN vocab USING (word)
 ), base AS (SELECT r, p AS start, label FROM pos JOIN ph ON word = words[1] JOIN d USING (r) WHERE w[p + 1:p + len(words)] = words
-), rare AS (SELECT r, word, row_number() OVER (PARTITION BY r ORDER BY idf DESC, word) AS k FROM (SELECT DISTINCT r, word FROM pos) JOIN idf USING (word)
 ), tw AS (SELECT t, label, unnest(words) AS word, unnest(range(len(words))) AS j FROM tp
-), offs AS (SELECT DISTINCT r, t, p - j AS o FROM pos JOIN rare USING (r, word) JOIN tw USING (word) WHERE k <= {RAREST}
+), offs AS (SELECT DISTINCT r, t, p - j AS o FROM pos JOIN fw USING (word)
 ), ok AS (SELECT r, t, o FROM offs JOIN ky USING (t) JOIN d USING (r) GROUP BY r, t, o HAVING bool_and(o + j >= 0 AND coalesce(w[o + j + 1] = word, false))
 ), cov AS (SELECT r, t, o, any_value(label) AS label, sum(CASE WHEN o + j >= 0 AND w[o + j + 1] = word THEN idf ELSE 0 END) / sum(idf) AS c FROM ok JOIN tw USING (t) JOIN idf USING (word) JOIN d USING (r) GROUP BY r, t, o
 ), found AS (SELECT r, label, least(c, 1.0) AS c FROM cov WHERE c >= {LEAST}
