@@ -52,6 +52,9 @@ STAND_INS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "b
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "clownfish", "circus clown", "birthday clown", "pond scum", "soap scum", "dostoevsky idiot", "worthless check", "sore loser clause")
 
 _stand_in = re.compile("[" + re.escape("".join(STAND_INS)) + r"]{1,8}(?=[a-z])")
+#: What stands for letters at a word's end, where it may as well be a number or a sign: both readings are matched.
+_tail = re.compile(r"([a-z]+)([0-9@$€]{1,8})(?![^\W_])")
+_BAR = "\u02ac"
 _stretched = re.compile(r"([a-z])\1{2,}")
 _other = re.compile(r"[\W\d_]+")
 _accented = re.compile(r"[a-z]*[^ a-z][^ ]*")
@@ -65,7 +68,7 @@ class _Fold(dict):
         if unicodedata.category(c) == "Cf":
             out = ""
         else:
-            out = "".join(LOOKALIKES.get(x, x) for x in unicodedata.normalize("NFKC", c.lower())).replace("l", "i").replace("_", " ")
+            out = "".join(LOOKALIKES.get(x, x) for x in unicodedata.normalize("NFKC", c.lower())).replace("l", "i").replace("_", " ").replace(_BAR, "")
         self[point] = out
         return out
 
@@ -87,12 +90,13 @@ def _both(m: re.Match) -> str:
 
 
 def folded(text: str | None) -> str:
-    """Folded words, each between blanks; a word with accents is followed by a bar and its bare form."""
+    """Folded words, each between blanks; other readings of a word (without accents, with its last digits as letters) follow behind bars."""
     t = text or ""
     t = (t if t.isascii() else unicodedata.normalize("NFC", t)).translate(_fold)
     t = _stand_in.sub(lambda m: "".join(STAND_INS[c] for c in m[0]), t)
+    t = _tail.sub(lambda m: f"{m[1]}{_BAR}{m[1]}{''.join(STAND_INS[c] for c in m[2])}", t)
     t = _other.sub(" ", _stretched.sub(r"\1", t)).strip()
-    return f" {t if t.isascii() else _accented.sub(_both, t)} "
+    return f" {t if t.isascii() else _accented.sub(_both, t).replace(_BAR, '_')} "
 
 
 @dataclass
@@ -150,14 +154,19 @@ def held_out(id_col: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of at most MOST_TOXIC + MOST_CLEAN learnable rows, written once to the shared folder."""
+    """text, toxic of at most MOST_TOXIC + MOST_CLEAN learnable rows, written once to the shared folder.
+
+    Of rows that share an id, the one with the least text counts, so that the
+    sample is bounded in rows whatever repeats.
+    """
     # two columns that can't clash with others; the picked ids are bounded, so they may be broadcast
     own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL").where(~held_out(F.col("id")))
     own = own.withColumn("h", F.xxhash64("id"))
     picked = [own.where(F.col("toxic") == v).orderBy("h", "id").limit(n) for v, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     both = picked[0].union(picked[1]).groupBy("id").agg(F.max("toxic").alias("toxic"))
     src = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
-    return shared_table(src.join(F.broadcast(both), "id").select("text", "toxic"), "labelled")
+    once = src.join(F.broadcast(both), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    return shared_table(once.select("text", "toxic"), "labelled")
 
 
 def _beginnings(sample: DataFrame) -> DataFrame:
