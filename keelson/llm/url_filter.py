@@ -164,7 +164,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] = RULES, markers: tuple[s
     if markers:
         listed = listed | (F.col("key").startswith("host:") & F.col("key").rlike(rf"(^host:|[.-])({'|'.join(markers)})"))
     keys = base.select(F.explode(every).alias("key")).distinct()
-    universe = cut(keys.select("key", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit("second")).alias("h2"), listed.alias("listed")))
+    universe = cut(keys.select("key", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), listed.alias("listed")))
     levels = build_cascade(universe)
     if levels is None:
         return _by_join(base, universe, tags, default, id_col)
@@ -179,7 +179,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] = RULES, markers: tuple[s
         ends = np.cumsum([0, *n])
         return pd.Series([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)])
 
-    hashed = base.withColumn("every", every).withColumn("found", known(F.transform("every", lambda k: F.xxhash64(k)), F.transform("every", lambda k: F.xxhash64(k, F.lit("second")))))
+    hashed = base.withColumn("every", every).withColumn("found", known(F.transform("every", lambda k: F.xxhash64(k)), F.transform("every", lambda k: F.xxhash64(F.lit("second"), k))))
     hits = F.filter(F.arrays_zip("every", "found"), lambda x: x["found"])
     return _verdicts(hashed.withColumn("hits", F.transform(hits, lambda x: x["every"])), tags, default, id_col)
 
