@@ -19,7 +19,8 @@ compared twice and none is sorted again.
 Skew: copies of a whole text are settled by their hash and never become
 candidates.  Anchors that occur more than ``HOT`` times don't go to one bucket;
 their windows are aggregated one by one by a 128-bit hash, with minima that
-combine before they shuffle.  Null text is empty; null ids come before all
+combine before they shuffle, and come back as runs.  Ids must be whole numbers.
+Null text is empty; null ids come before all
 others.  Rows that share an id are one document with several texts: only an
 earlier start counts as earlier, so repeated rows keep the same bytes.
 """
@@ -35,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut, slices
+from keelson.llm.common import cut, map_columns, slices
 
 LENGTH, GRAM = 100, 32
+#: Buckets of a task; starts of hot windows gathered at once.
+BUCKETS, STRETCH = 16, 4096
 #: Bytes hashed at once, contexts of a bucket and of a shard, occurrences of a hot anchor, hot anchors, bytes of the filter, rows of the broadcast copies and hot windows.
 BLOCK, BUCKET, SHARD, HOT, MOST_HOT, FILTER_BYTES, MOST_COPIES, MOST_WINDOWS = 1 << 19, 16_384, 4_096, 20_000, 1_000_000, 32 << 20, 500_000, 200_000
 LEFT = LENGTH - GRAM  # bytes of a window before and after its anchor, at most
@@ -208,8 +211,10 @@ def _candidates(docs: DataFrame, schema: str, make) -> DataFrame:
 
 def _with_first(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, h (text hash), text, and ``first``: the least id of an equal text, where that is smaller."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("ids say which text comes first: they must be whole numbers")
     src = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST_ID)).alias("id"), F.col(id_col).alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    src = src.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit("second")))
+    src = src.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("second"), "text"))
     copies = src.select("h", "h2", "id").groupBy("h", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     copies = cut(copies)
     if copies.count() <= MOST_COPIES:
@@ -288,7 +293,9 @@ def _spans(docs: DataFrame) -> DataFrame:
         at = place[row] - LEFT
         return pd.DataFrame({"id": ids[row], "h": group["h"].to_numpy(np.int64)[row], "start": at + start, "end": at + stop - 1 + LENGTH})
 
-    spans = near.groupBy("bucket").applyInPandas(resolve, "id bigint, h bigint, start bigint, end bigint")
+    # as many tasks as the contexts need, whatever the session's number of shuffle partitions
+    tasks = min(buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS))
+    spans = near.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(resolve, "id bigint, h bigint, start bigint, end bigint")
     if not len(hot):
         return spans
 
@@ -306,8 +313,25 @@ def _spans(docs: DataFrame) -> DataFrame:
     every = _candidates(docs, WINDOWS, windows)
     least = cut(every.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).where("least < most").select("w1", "w2", "least"))
     few = least.count() <= MOST_WINDOWS
-    more = every.join(F.broadcast(least) if few else least, ["w1", "w2"]).where(F.struct("id", "start") > F.col("least")).select("id", "h", "start", (F.col("start") + LENGTH).alias("end"))
-    return spans.union(more if few else cut(more))  # by itself, so that skewed windows are split
+    again = every.join(F.broadcast(least) if few else least, ["w1", "w2"]).where(F.struct("id", "start") > F.col("least")).select("id", "h", "start")
+    again = again if few else cut(again)  # by itself, so that skewed windows are split
+    # stretches of STRETCH starts are gathered, and leave as runs
+    starts = again.groupBy("id", "h", F.floor(F.col("start") / STRETCH).alias("part")).agg(F.collect_set("start").alias("starts"))
+    return spans.union(map_columns(starts.select("id", "h", "starts"), "id bigint, h bigint, start bigint, end bigint", _runs))
+
+
+def _runs(cols: dict) -> dict:
+    """Runs of bytes that windows with these starts cover, by document and stretch."""
+    out: dict[str, list] = {"id": [], "h": [], "start": [], "end": []}
+    for name, h, starts in zip(cols["id"], cols["h"], cols["starts"], strict=True):
+        x = np.sort(np.array(starts, np.int64))
+        breaks = np.flatnonzero(np.diff(x) > LENGTH)
+        begin, end = x[np.append(0, breaks + 1)], x[np.append(breaks, len(x) - 1)] + LENGTH
+        out["id"] += [name] * len(begin)
+        out["h"] += [h] * len(begin)
+        out["start"] += begin.tolist()
+        out["end"] += end.tolist()
+    return out
 
 
 KEPT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
