@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are handed to the operators in slices of about this many text bytes.
 SLICE_BYTES = 8 << 20
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; a temporary one only where the session names none."""
+    """The shared folder for cut lineage; a temporary one only for a local session that names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="keelson-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -41,6 +44,37 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A name that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, total: int, most: int = 2000, least: int = 1000) -> DataFrame:
+    """Inner join with ``right(key, n, ...)``, which has one row a key; ``n`` is how many rows of ``left`` have it.
+
+    Keys with more than ``total / most`` rows of ``left`` would land in one
+    task; there are at most ``most`` of them, so their rows of ``right`` are
+    broadcast and their rows of ``left`` stay where they are.  No other key has
+    more than that share.  ``n`` is dropped.
+    """
+    right = cut(right)
+    bound = max(least, total // most)
+    hot = right.where(F.col("n") > bound).drop("n")
+    if hot.isEmpty():
+        return left.join(right.drop("n"), key)
+    names = F.broadcast(hot.select(key))
+    rest = left.join(names, key, "left_anti").join(right.where(F.col("n") <= bound).drop("n"), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces of at most ``limit`` bytes (one row at least)."""
     n = batch.num_rows

@@ -23,10 +23,10 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut, map_columns
+from keelson.llm.common import cut, free_name, join_unique, map_columns, quoted
 from keelson.llm.components import connected_components
 
 SEED, BITS = 42, 64
@@ -34,8 +34,8 @@ SEED, BITS = 42, 64
 LEAF, SHARD, SPLIT, LARGE, HELD = 64, 1000, 25_000, 64_000, 1 << 20
 #: MinHash values of a shingle set, and those of a band: two sets of resemblance J share none of the bands with (1 - J**ROWS) ** (BINS / ROWS), 3 in a million at 0.8.
 BINS, ROWS = 160, 5
-#: How far below the least resemblance an estimate may lie for its pair to be compared exactly (4.7 standard errors at 0.8); rows of bands in a task.
-SLACK, DEALT = 0.15, 50_000
+#: How far below the least resemblance an estimate may lie for its pair to be compared exactly (4.7 standard errors at 0.8); bytes of a side of a comparison; rows of the broadcast keys.
+SLACK, CHUNK_BYTES, MOST_KEYS = 0.15, 12 << 20, 1_000_000
 _MASKS, _FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, BINS, 1), np.uint64, endpoint=False)
 _FACTORS |= np.uint64(1)
 
@@ -257,47 +257,22 @@ def links(prints: DataFrame, radius: int, least: float = 0.0, sure: int | None =
     return split.groupBy("block", "value", "low", "high").applyInPandas(run, "u bigint, v bigint")
 
 
-def band_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs ``u, v`` of different roots that share a band, fit in size, and whose estimate isn't below ``least``.
-
-    ``nodes(node, root, size, sketch, bands)``.  Only bands that occur under
-    several roots are looked into, and only those get their sketches.
-    """
-    band = Window.partitionBy("key")
-    dealt = nodes.select("node", "root", "size", F.explode("bands").alias("key"))
-    dealt = dealt.withColumns({"low": F.min("root").over(band), "high": F.max("root").over(band)}).where("low < high").select("key", "node", "root", "size")
-    dealt = cut(dealt)
-    tasks = dealt.count() // DEALT + 1
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "root"])
-        key, node, root, size = (group[c].to_numpy(np.int64) for c in ("key", "node", "root", "size"))
-        sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-        edges = np.flatnonzero(np.diff(key, prepend=key[:1] - 1, append=key[-1:] + 1))
-        out = [np.zeros((0, 2), np.int64)]
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            for at in range(low, high):
-                after = at + int(np.searchsorted(root[at:high], root[at], "right"))  # roots ascend, so these are other roots
-                for i in range(after, high, 65536):
-                    other = np.arange(i, min(i + 65536, high))
-                    a, b = np.minimum(size[at], size[other]), np.maximum(size[at], size[other])
-                    other = other[a >= (least + SLACK) * b - 1e-9 * b]
-                    if len(other):
-                        other = other[resemblance(sketches[at][None], sketches[other]) >= least]
-                        out.append(np.stack([np.maximum(node[at], node[other]), np.minimum(node[at], node[other])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-    dealt = dealt.join(nodes.select("node", "sketch"), "node").withColumn("task", F.pmod("key", F.lit(tasks)))
-    return dealt.groupBy("task").applyInPandas(run, "u bigint, v bigint").distinct()
-
-
-def exact_links(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose shingle sets resemble each other by ``least`` or more; ``texts(node, text)``."""
+def shingle_sets(docs: DataFrame, distinct: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node, hashes (its shingle set, sorted) of the ``wanted(node)`` of ``distinct(node, least)``, from the row of ``docs(key, text)`` with the least key."""
+    keys = cut(distinct.join(wanted, "node", "left_semi").select("node", F.col("least").alias("key")))
+    # 40 bytes a row: up to MOST_KEYS the texts stay where they are
+    keys = F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
 
     def gather(cols: dict) -> dict:
         return {"node": cols["node"], "hashes": [np.unique(shingle_hashes(t, words)).tobytes() for t in cols["text"]]}
 
+    # rows that share an id and a text give one set
+    return cut(map_columns(docs.join(keys, "key").select("node", "text"), "node bigint, hashes binary", gather).dropDuplicates(["node"]))
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose shingle sets resemble each other by ``least`` or more; ``sets(node, hashes)``."""
+
     def compare(cols: dict) -> dict:
         out: dict[str, list] = {"u": [], "v": []}
         for u, v, a, b in zip(cols["u"], cols["v"], cols["a"], cols["b"], strict=True):
@@ -308,25 +283,119 @@ def exact_links(pairs: DataFrame, texts: DataFrame, words: int, least: float) ->
                 out["v"].append(v)
         return out
 
-    pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = cut(map_columns(texts.join(wanted, "node", "left_semi"), "node bigint, hashes binary", gather).dropDuplicates(["node"]))
     full = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     return cut(map_columns(full.select("u", "v", "a", "b"), "u bigint, v bigint", compare))
 
 
+def band_links(nodes: DataFrame, shared: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links ``u, v`` between different roots, of pairs that share a band and resemble each other by ``least`` or more.
+
+    ``nodes(node, root, size, sketch, bands)``; ``shared(key, node)``: the bands
+    that several nodes have.  Of a band's nodes, those of its most frequent root
+    are searched by all others, and the others by each other; nodes of one root
+    are never compared.  Both sides are cut into chunks of ``CHUNK_BYTES``, so a
+    band of any size is many tasks; sets travel once to a task, and only links
+    that join two groups leave it.  A pair is compared in its first common band.
+    """
+    dealt = shared.join(nodes.select("node", "root", (F.col("size") * 8 + 500).alias("bytes")), "node")
+    by_root = dealt.groupBy("key", "root").agg(F.count("*").alias("many"), F.sum("bytes").alias("bytes"))
+    by_key = by_root.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.max(F.struct("many", "root", "bytes"))["bytes"].alias("main_bytes"), F.sum("bytes").alias("bytes"), F.sum("many").alias("n"), F.count("*").alias("roots"))
+    open_ = by_key.where("roots > 1").select("key", "n", "main", F.ceil(F.col("main_bytes") / CHUNK_BYTES).cast("int").alias("mains"), F.ceil((F.col("bytes") - F.col("main_bytes")) / CHUNK_BYTES).cast("int").alias("others"))
+    dealt = cut(join_unique(dealt, open_, "key", shared.count()))
+    tasks = (dealt.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // (4 * CHUNK_BYTES)) + 1
+    is_main = F.col("root") == F.col("main")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    across = F.transform(upto("others"), lambda j: place(0, own(F.col("mains")), j))
+    against = F.transform(upto("mains"), lambda i: place(0, i, own(F.col("others"))))
+    among = F.transform(upto("others"), lambda j: place(1, F.least(own(F.col("others")), j), F.greatest(own(F.col("others")), j)))
+    rows = dealt.select("key", "node", "root", is_main.alias("main"), F.when(is_main, 0).otherwise(own(F.col("others"))).alias("chunk"), F.explode(F.when(is_main, across).otherwise(F.concat(against, among))).alias("at"))
+    rows = rows.select("key", "node", "root", "main", "chunk", "at.*").withColumn("task", F.pmod(F.xxhash64("key", "x", "y"), F.lit(tasks)))
+    heavy = rows.select("task", "node").distinct().join(nodes.select("node", "size", "sketch", "bands"), "node").join(sets, "node")
+    heavy = heavy.select(F.col("task").alias("at_task"), F.col("node").alias("name"), "sketch", "bands", "hashes")
+
+    def run(light: pd.DataFrame, heavy: pd.DataFrame) -> pd.DataFrame:
+        if not len(light) or not len(heavy):
+            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        heavy = heavy.sort_values("name")
+        found = LinkFinder(heavy["name"].to_numpy(np.int64), heavy["sketch"], heavy["bands"], heavy["hashes"], least)
+        for (key, kind, _, _), group in light.sort_values(["key", "kind", "x", "y", "node"]).groupby(["key", "kind", "x", "y"], sort=True):
+            found.search(int(key), group["node"].to_numpy(np.int64), group["root"].to_numpy(np.int64), group["main"].to_numpy(bool), group["chunk"].to_numpy(np.int64), kind == 0)
+        return pd.DataFrame({"u": [max(p) for p in found.links], "v": [min(p) for p in found.links]}, dtype=np.int64)
+
+    return cut(rows.groupBy("task").cogroup(heavy.groupBy("at_task")).applyInPandas(run, "u bigint, v bigint"))
+
+
+class LinkFinder:
+    """Compares the nodes of a task's bands, and remembers which of them are already joined."""
+
+    def __init__(self, nodes: np.ndarray, sketches, bands, hashes, least: float):
+        self.nodes, self.least, self.links = nodes, least, []
+        self.sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(nodes), -1)
+        self.bands = np.array(bands.tolist(), np.int64).reshape(len(nodes), -1)
+        self.sets = [np.frombuffer(h, np.uint64) for h in hashes]
+        self.sizes = np.fromiter(map(len, self.sets), np.int64, len(nodes))
+        self.group: dict[int, int] = {}  # root -> root that it was joined to
+
+    def root(self, r: int) -> int:
+        while (up := self.group.get(r, r)) != r:
+            r = up
+        return r
+
+    def search(self, key: int, node: np.ndarray, root: np.ndarray, main: np.ndarray, chunk: np.ndarray, across: bool) -> None:
+        at = np.searchsorted(self.nodes, node)
+        band = int(np.flatnonzero(self.bands[at[0]] == key)[0])
+        others = np.flatnonzero(~main)
+        apart = chunk[others].min(initial=0) != chunk[others].max(initial=0)  # two different chunks: only pairs across them
+        for k, i in enumerate(others.tolist()):
+            if across:
+                near = np.flatnonzero(main)
+            else:
+                near = others[k + 1 :]
+                near = near[chunk[near] != chunk[i]] if apart else near
+            near = near[root[near] != root[i]]
+            x, y = at[i], at[near]
+            low, high = np.minimum(self.sizes[x], self.sizes[y]), np.maximum(self.sizes[x], self.sizes[y])
+            keep = low >= self.least * high * (1 - 1e-9)
+            keep[keep] = (self.bands[y[keep]] == self.bands[x]).argmax(axis=1) == band
+            near, y = near[keep], y[keep]
+            if not len(y):
+                continue
+            like = resemblance(self.sketches[x][None], self.sketches[y])
+            by = np.argsort(-like, kind="stable")
+            self.compare(x, i, near[by[: int((like >= self.least - SLACK).sum())]], at, root)
+
+    def compare(self, x: int, i: int, near: np.ndarray, at: np.ndarray, root: np.ndarray) -> None:
+        """Join node ``x`` to every other group that one of ``near``, the likeliest first, links it to."""
+        own = self.sets[x]
+        for start in range(0, len(near), 32):
+            block = [j for j in near[start : start + 32].tolist() if self.root(int(root[j])) != self.root(int(root[i]))]
+            if not block:
+                continue
+            flat = np.concatenate([self.sets[at[j]] for j in block])
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            sizes = self.sizes[at[block]]
+            both = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            for j, n, size in zip(block, both.tolist(), sizes.tolist(), strict=True):
+                a, b = self.root(int(root[i])), self.root(int(root[j]))
+                if a != b and n / (len(own) + size - n) >= self.least:
+                    self.links.append((int(self.nodes[x]), int(self.nodes[at[j]])))
+                    self.group[max(a, b)] = min(a, b)
+
+
 def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp and component_id (the least id reachable over links of at most ``radius`` bits) of every row."""
     prints = cut(fingerprints(docs, words, id_col, text_col))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     nodes = distinct.select(F.col("fp").alias("node"), "fp")
     roots = connected_components(links(nodes, radius))
     # one row a fingerprint, then the least id of each component, then back to the documents
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = cut(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.join(least, "root").select("fp", "component_id")
-    return prints.join(known, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    named = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    texts, groups = named.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    known = join_unique(named.withColumnRenamed("n", "copies"), least, "root", groups).select("fp", F.col("copies").alias("n"), "component_id")
+    return join_unique(prints, known, "fp", texts).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
@@ -340,26 +409,30 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = 12, least: f
     Texts link if the sets of their ``words``-word shingles have a resemblance
     of ``least`` or more, compared exactly.  Compared are first neighbours
     within ``radius`` bits in SimHash shards (found for certain within ``sure``
-    bits), and then all pairs that are still apart and share a MinHash band,
-    which misses 3 in a million at 0.8, whatever the size.  Of a group the row
-    with the least id stays (null ids come last, then the least text hash); of
-    repeated rows, one.
+    bits) whose estimate is that high, and then what is still apart and shares
+    a MinHash band, which misses 3 in a million at 0.8, whatever the size.  Of a
+    group the row with the least id stays (null ids come last, then the least
+    text hash); of repeated rows, one.
     """
     last = F.lit((1 << 63) - 1)
     keys = [F.coalesce(F.col(id_col), last).alias("k1"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("k2")]
     own = docs.select(F.struct(*keys).alias("key"), F.col(text_col).alias("text"))
     prints = cut(fingerprints(own, words, "key", "text", sketched=True))
-    firsts = [F.min(c).alias(c) for c in ("fp", "size", "sketch", "bands")]
-    distinct = cut(prints.groupBy("node").agg(F.min("id").alias("least"), *firsts, F.count("*").alias("n"), F.count_distinct("id").alias("ids")))
-    texts = own.join(distinct.select("node", F.col("least").alias("key")), "key").select("node", "text")
-
-    near = exact_links(links(distinct.select("node", "fp", "sketch"), radius, least - SLACK, sure), texts, words, least)
-    rooted = distinct.join(connected_components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = exact_links(band_pairs(rooted.select("node", "root", "size", "sketch", "bands"), least - SLACK), texts, words, least)
-    roots = connected_components(near.union(apart))
+    distinct = cut(prints.groupBy("node").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in ("fp", "size", "sketch", "bands")]))
+    near = cut(links(distinct.select("node", "fp", "sketch"), radius, least, sure).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    banded = distinct.select("node", F.explode("bands").alias("key"))
+    several = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(join_unique(banded, several, "key", BINS // ROWS * distinct.count()))
+    sets = shingle_sets(own, distinct, near.select(F.col("u").alias("node")).union(near.select("v")).union(shared.select("node")).distinct(), words)
+
+    certain = exact_links(near, sets, least)
+    rooted = distinct.join(connected_components(certain), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = band_links(cut(rooted.select("node", "root", "size", "sketch", "bands")), shared, sets, least)
+    roots = connected_components(certain.union(apart))
     named = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")
-    kept = docs.withColumns({"__k1": keys[0], "__k2": keys[1]}).join(first, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_semi")
-    if not distinct.where("n > ids").isEmpty():
-        kept = kept.dropDuplicates(["__k1", "__k2"])
-    return kept.drop("__k1", "__k2")
+    k1, k2 = free_name(docs, "k1"), free_name(docs, "k2")
+    kept = docs.withColumns({k1: keys[0], k2: keys[1]}).join(first.toDF(k1, k2), [k1, k2], "left_semi")
+    if not prints.groupBy("id").count().where("count > 1").isEmpty():  # repeated rows
+        kept = kept.dropDuplicates([k1, k2])
+    return kept.select(*map(quoted, docs.columns))

@@ -17,7 +17,7 @@ from keelson.llm.url_filter import judge_urls
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Extra columns whose names operators use themselves.
-EXTRA = "id long, h long, score double, first long, spans string, hits int, words int, n_words string, key string, ids int, media int, node int"
+EXTRA = "id long, h long, score double, first long, spans string, hits int, words int, n_words string, key string, ids int, media int, node int, k1 int, __k1 int, k2 int, __masked string, masked int, label int, a.b int, u int, v int, n int, least int, root int, text_ int"
 
 
 def rows_of(spark):
