@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from keelson.functions import vec
 from keelson.operators.blocks import against, measured, split
+from keelson.operators.ranks import running
+from keelson.operators.search import heads
 
 
 def weights(scored: DataFrame, scale: float) -> DataFrame:
@@ -70,22 +72,24 @@ def page_policy(queries: DataFrame, keys: DataFrame, dim: int, page: int, budget
 
 def cluster_policy(queries: DataFrame, nodes: DataFrame, members: DataFrame, budget: int) -> DataFrame:
     """query_id, pos: whole clusters by centre score while those before hold fewer than ``budget`` keys."""
-    s = against(nodes, queries).select("query_id", "cluster", "size", vec.dot("query", "center").alias("s"))
-    before = F.sum("size").over(Window.partitionBy("query_id").orderBy(F.desc("s"), "cluster").rowsBetween(Window.unboundedPreceding, -1))
-    chosen = s.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < budget)
-    return members.select("cluster", "pos").join(chosen.select("query_id", "cluster"), "cluster").select("query_id", "pos")
+    own = heads(nodes, members)
+    s = against(nodes, queries, heads(nodes, queries) or None).select("query_id", *own, "cluster", "size", vec.dot("query", "center").alias("s"))
+    summed = running(s, ["query_id"], [F.desc("s"), *map(F.col, own), F.col("cluster")], {"upto": "size"})
+    chosen = summed.where(F.col("upto") - F.col("size") < budget)
+    return members.select(*own, "cluster", "pos").join(chosen.select("query_id", *own, "cluster"), [*own, "cluster"]).select("query_id", "pos")
 
 
 def top_p(scored: DataFrame, p: float, mode: str, scale: float = 1.0) -> DataFrame:
     """Rows by descending weight: ``rank`` keeps the best (1 - p) share of keys, ``mass`` the fewest that reach p,
     ``exclusive`` those before whom less than p has been summed, with weights that sum to 1 again."""
-    ranked = _rank(weights(scored, scale)).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    ranked = running(weights(scored, scale), ["query_id"], [F.desc("score"), F.col("pos")], {"upto": "p"})
     if mode == "rank":
-        return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor((1 - p) * F.col("n") + 1e-9)))
-    before = F.coalesce(F.sum("p").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    kept = ranked.withColumn("before", F.round(before, 9)).where(F.col("before") < p)
+        sizes = measured(scored.groupBy("query_id").agg(F.count("*").alias("n")))
+        return ranked.join(sizes, "query_id").where(F.col("rank") <= F.greatest(F.lit(1), F.floor((1 - p) * F.col("n") + 1e-9)))
+    kept = ranked.withColumn("before", F.round(F.col("upto") - F.col("p"), 9)).where(F.col("before") < p).drop("upto")
     if mode == "exclusive":
-        return kept.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("query_id")))
+        mass = measured(kept.groupBy("query_id").agg(F.sum("p").alias("mass")))
+        return kept.join(mass, "query_id").withColumn("p", F.col("p") / F.col("mass")).drop("mass")
     return kept
 
 
@@ -108,16 +112,18 @@ def hamming_policy(queries: DataFrame, keys: DataFrame, planes: list[list[float]
 
 def probe_policy(queries: DataFrame, nodes: DataFrame, members: DataFrame, probes: int, k: int) -> DataFrame:
     """Inverted lists: the ``probes`` best centres of each query, then the k best keys in their lists."""
-    s = against(nodes, queries).withColumn("s", vec.dot("query", "center"))
-    best = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "cluster"))).where(F.col("r") <= probes)
-    found = members.join(best.select("query_id", "query", "cluster"), "cluster").withColumn("score", vec.dot("query", "key"))
+    own = heads(nodes, members)
+    s = against(nodes, queries, heads(nodes, queries) or None).withColumn("s", vec.dot("query", "center"))
+    best = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), *own, "cluster"))).where(F.col("r") <= probes)
+    found = members.join(best.select("query_id", "query", *own, "cluster"), [*own, "cluster"]).withColumn("score", vec.dot("query", "key"))
     return _rank(found.select("query_id", "pos", "score")).where(F.col("rank") <= k).select("query_id", "pos", "score")
 
 
 def code_policy(queries: DataFrame, slice_members: DataFrame, slice_nodes: DataFrame, query_slices: DataFrame, k: int) -> DataFrame:
     """Product codes: a key's score is the sum over slices of its code's centre score; the k best."""
-    table = against(slice_nodes, query_slices, "s").select("query_id", "s", "cluster", vec.dot("qs", "center").alias("m"))
-    s = slice_members.select("s", "cluster", "pos").join(table, ["s", "cluster"]).groupBy("query_id", "pos").agg(F.round(F.sum("m"), 9).alias("score"))
+    own = heads(slice_nodes, slice_members)
+    table = against(slice_nodes, query_slices, [*heads(slice_nodes, query_slices), "s"]).select("query_id", *own, "s", "cluster", vec.dot("qs", "center").alias("m"))
+    s = slice_members.select(*own, "s", "cluster", "pos").join(table, [*own, "s", "cluster"]).groupBy("query_id", *own, "pos").agg(F.round(F.sum("m"), 9).alias("score"))
     return _rank(s).where(F.col("rank") <= k).select("query_id", "pos", "score")
 
 

@@ -2,17 +2,18 @@
 
 A query set comes to the rows in blocks of at most about ``BLOCK`` vectors, so
 that no broadcast grows with it; tables of a row per query are computed once,
-counted, and broadcast only up to ``FEW`` rows.
+measured, and broadcast only up to ``FEW`` rows and ``MAX_BYTES``.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of one broadcast; rows without vectors of one broadcast.
-BLOCK, FEW = 4096, 1_000_000
+from keelson.operators.lineage import cut, size_of
+
+#: Vectors of one broadcast; rows without vectors of one broadcast, and their bytes.
+BLOCK, FEW, MAX_BYTES = 4096, 1_000_000, 64 << 20
 
 
 def split(queries: DataFrame, id_col: str = "query_id") -> list[DataFrame]:
@@ -23,7 +24,7 @@ def split(queries: DataFrame, id_col: str = "query_id") -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == p) for p in range(parts)]
 
 
-def against(rows: DataFrame, queries: DataFrame, on: str | Column | None = None, id_col: str = "query_id") -> DataFrame:
+def against(rows: DataFrame, queries: DataFrame, on: str | list[str] | Column | None = None, id_col: str = "query_id") -> DataFrame:
     """Every query with every row, or with those that ``on`` names.
 
     Rows are never shuffled: each part of the query set is one broadcast and
@@ -37,6 +38,7 @@ def against(rows: DataFrame, queries: DataFrame, on: str | Column | None = None,
 
 
 def measured(table: DataFrame) -> DataFrame:
-    """``table`` computed once; marked for broadcast if it has FEW rows or fewer, else joined as its size asks for."""
-    kept = table.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.count() <= FEW else kept
+    """``table`` computed once; marked for broadcast if it has FEW rows and MAX_BYTES or fewer, else joined as its size asks for."""
+    kept = cut(table)
+    rows, size = size_of(kept)
+    return F.broadcast(kept) if rows <= FEW and size <= MAX_BYTES else kept

@@ -1,12 +1,26 @@
-"""Index tables: assignments, balls, multi-level trees, and their maintenance."""
+"""Index tables: assignments, balls, multi-level trees, and their maintenance.
+
+Where keys carry a ``head``, clusters, nodes and all that is computed over them
+are kept apart by it: cluster numbers of two heads may be equal.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
-from keelson.operators.blocks import against
+from keelson.operators.blocks import measured
+from keelson.operators.lineage import cut
+from keelson.operators.ranks import running
+from keelson.operators.search import Asked, ask, heads, matrix, meet
+
+#: Rows and centres that are compared at once; distances that may be equal but for rounding.
+PAIRS, NEAR = 1 << 20, 1e-9
 
 
 def by_position(keys: DataFrame, bf: int) -> DataFrame:
@@ -14,10 +28,14 @@ def by_position(keys: DataFrame, bf: int) -> DataFrame:
     return keys.withColumn("cluster", F.floor(F.col("pos") / bf).cast("long"))
 
 
+def _own(rows: DataFrame, by: tuple[str, ...]) -> list[str]:
+    return [*(h for h in heads(rows) if h not in by), *by]
+
+
 def centers(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",), key: str = "key") -> DataFrame:
     """Mean of each cluster's keys, its size, and the members' box."""
     at = lambda i: F.get(vec.doubles(F.col(key)), F.lit(i))
-    return members.groupBy(*by).agg(
+    return members.groupBy(*_own(members, by)).agg(
         F.count("*").alias("size"),
         vec.each_dim(dim, lambda i: F.avg(at(i))).alias("center"),
         vec.each_dim(dim, lambda i: F.min(at(i))).alias("lo"),
@@ -27,26 +45,40 @@ def centers(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",), ke
 
 def balls(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",), key: str = "key") -> DataFrame:
     """center, box and radius of each cluster; a cluster without members has no row."""
+    own = _own(members, by)
     c = centers(members, dim, by, key)
-    r = members.join(c.select(*by, "center"), list(by)).groupBy(*by).agg(F.max(vec.distance(F.col(key), "center")).alias("radius"))
-    return c.join(r, list(by))
+    r = members.join(c.select(*own, "center"), own).groupBy(*own).agg(F.max(vec.distance(F.col(key), "center")).alias("radius"))
+    return c.join(r, own)
+
 
+def enclosing(points: DataFrame, dim: int, by: list[str]) -> DataFrame:
+    """``by``, center (mean of the points' centres), radius (the largest ``|c - p| + r``), size: all that is below lies within."""
+    c = points.groupBy(*by).agg(vec.each_dim(dim, lambda i: F.avg(F.get("center", F.lit(i)))).alias("mean"), F.count("*").alias("size"))
+    far = points.join(c, by).groupBy(*by, "size").agg(F.first("mean").alias("center"), F.max(vec.distance("center", "mean") + F.col("radius")).alias("radius"))
+    return far.select(*by, "center", "radius", "size")
 
-def tree(keys: DataFrame, dim: int, bf: int, levels: int) -> tuple[DataFrame, DataFrame]:
-    """Positional ball tree: nodes of levels 1 and up, and keys with their level-1 parent.
 
-    A parent's centre is the mean of its children's centres and its radius the
-    largest ``|c - p| + r`` over them, so it encloses everything below.
+def tree(keys: DataFrame, dim: int, bf: int, levels: int, clustering: Callable[[DataFrame, int], DataFrame] = by_position) -> tuple[DataFrame, DataFrame]:
+    """Ball tree: nodes of levels 1 and up, and keys with their level-1 parent.
+
+    ``clustering`` deals keys, and then each level's centres, to groups of about
+    ``bf``, by head and level: runs of positions unless another is given, such as
+    one of ``clusterings.CLUSTERINGS``.  A parent's centre is the mean of its
+    children's centres and its radius encloses everything below.  Every level is
+    written once, so that none is made twice.
     """
-    leaves = keys.withColumn("parent", F.floor(F.col("pos") / bf).cast("long"))
-    below = leaves.select("parent", vec.doubles("key").alias("center"), F.lit(0.0).alias("radius"))
+    own = heads(keys)
+    leaves = clustering(keys, bf).withColumnRenamed("cluster", "parent")
+    leaves = leaves if clustering is by_position else cut(leaves)
+    points = leaves.select(*own, "parent", vec.doubles("key").alias("center"), F.lit(0.0).alias("radius"))
     nodes = None
     for level in range(1, levels + 1):
-        c = below.groupBy("parent").agg(vec.each_dim(dim, lambda i: F.avg(F.get("center", F.lit(i)))).alias("up"))
-        r = below.join(c, "parent").groupBy("parent").agg(F.max(vec.distance("center", "up") + F.col("radius")).alias("radius"))
-        made = c.join(r, "parent").select(F.lit(level).alias("level"), F.col("parent").alias("node"), F.floor(F.col("parent") / bf).cast("long").alias("parent"), F.col("up").alias("center"), "radius")
-        nodes = made if nodes is None else nodes.union(made)
-        below = made.select("parent", "center", "radius")
+        made = cut(enclosing(points, dim, [*own, "parent"]))
+        up = clustering(made.withColumnsRenamed({"parent": "pos", "center": "key"}), bf)
+        made = up.select(*own, F.lit(level).alias("level"), F.col("pos").alias("node"), F.col("cluster").alias("parent"), F.col("key").alias("center"), "radius", "size")
+        made = made if clustering is by_position else cut(made)
+        nodes = made if nodes is None else nodes.unionByName(made)
+        points = made.select(*own, "parent", "center", "radius")
     return nodes, leaves
 
 
@@ -58,67 +90,170 @@ def level_sizes(n: int, bf: int, levels: int | None = None) -> list[int]:
     return out
 
 
+def padded(nodes: DataFrame, levels: int) -> DataFrame:
+    """A tree made as high as ``levels``: each level added above the top repeats it, every node the only child of its like."""
+    top = nodes.agg(F.max("level")).first()[0] or 0
+    out = nodes.withColumn("parent", F.when(F.col("level") == top, F.col("node")).otherwise(F.col("parent"))) if top < levels else nodes
+    last = nodes.where(F.col("level") == top).withColumns({"parent": F.col("node"), "size": F.lit(1).cast("long")})
+    for level in range(top + 1, levels + 1):
+        out = out.unionByName(last.withColumn("level", F.lit(level)).select(*nodes.columns))
+    return out
+
+
 def append_subtree(nodes: DataFrame, more: DataFrame) -> DataFrame:
-    """Two trees side by side: the new one's node and parent numbers move behind the old ones, level by level."""
-    last = nodes.groupBy("level").agg((F.max("node") + 1).alias("shift"))
-    up = last.select((F.col("level") - 1).alias("level"), F.col("shift").alias("up"))
-    moved = more.join(F.broadcast(last), "level", "left").join(F.broadcast(up), "level", "left")
+    """Two trees side by side: the new one's node and parent numbers move behind the old ones, level by level and head by head.
+
+    The lower tree is padded to the height of the other.
+    """
+    own = heads(nodes, more)
+    height = max(t.agg(F.max("level")).first()[0] or 0 for t in (nodes, more))
+    nodes, more = padded(nodes, height), padded(more, height)
+    last = nodes.groupBy(*own, "level").agg((F.greatest(F.max("node"), F.lit(-1)) + 1).alias("shift"))
+    up = last.select(*own, (F.col("level") - 1).alias("level"), F.col("shift").alias("up"))
+    moved = more.join(measured(last), [*own, "level"], "left").join(measured(up), [*own, "level"], "left")
     moved = moved.withColumns({"node": F.col("node") + F.coalesce("shift", F.lit(0)), "parent": F.col("parent") + F.coalesce("up", F.lit(0))})
     return nodes.unionByName(moved.select(*nodes.columns))
 
 
+def _nearest_of(rows: DataFrame, points: DataFrame, row_id: str, vector: str) -> DataFrame:
+    """query_id, id, d: for each of a blocked set ``points(query_id, query)`` the nearest of ``rows``, ties to the smaller id; each task sends its own nearest."""
+
+    def make(asked: Asked, batch: pa.RecordBatch, state: dict) -> Iterator[dict]:
+        x, ids = matrix(batch.column("v")), batch.column("id").to_numpy()
+        head = batch.column("head").to_numpy() if "head" in batch.schema.names else None
+        best, found = state.setdefault("d", np.full(len(asked.ids), np.inf)), state.setdefault("id", np.full(len(asked.ids), -1, np.int64))
+        for h in [None] if head is None else np.unique(head):
+            rows_of, own = np.arange(len(x)) if h is None else np.flatnonzero(head == h), asked.of_head(None if h is None else int(h))
+            q, step = asked.vectors[own], max(1, PAIRS // max(1, len(own)))
+            for at in range(0, len(rows_of) if len(own) else 0, step):
+                part = rows_of[at : at + step]
+                rough = (x[part] ** 2).sum(1)[:, None] - 2 * x[part] @ q.T + (q * q).sum(1)[None]
+                row, col = np.nonzero(rough <= rough.min(0)[None] + NEAR * (1 + (q * q).sum(1)[None] + (x[part] ** 2).sum(1).max()))
+                d = exact_distance(x[part[row]], q[col])
+                for k in np.lexsort((ids[part[row]], d))[::-1]:
+                    c = own[col[k]]
+                    if d[k] < best[c] or d[k] == best[c] and ids[part[row[k]]] < found[c]:
+                        best[c], found[c] = d[k], ids[part[row[k]]]
+        return iter(())
+
+    def end(asked: Asked, state: dict) -> Iterator[dict]:
+        some = np.flatnonzero(state["id"] >= 0) if state else []
+        if len(some):
+            yield {"query_id": asked.ids[some], "id": state["id"][some], "d": state["d"][some]}
+
+    rows = rows.select(*heads(rows, points), F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v"))
+    each = [meet(rows, shared, "query_id bigint, id bigint, d double", make, end) for shared in ask(points)]
+    out = each[0]
+    for more in each[1:]:
+        out = out.union(more)
+    return out.groupBy("query_id").agg(F.min(F.struct("d", "id")).alias("m")).select("query_id", "m.id", "m.d")
+
+
+def exact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise Euclidean distances, summed from the first element to the last as in ``vec.distance``."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += (a[:, j] - b[:, j]) * (a[:, j] - b[:, j])
+    return np.sqrt(out)
+
+
 def place_arrivals(nodes: DataFrame, arrivals: DataFrame, bf: int) -> tuple[DataFrame, DataFrame]:
     """Arrivals to their nearest parent while it has room; the rest are orphans in new parents of ``bf``.
 
-    ``nodes(cluster, center, size)``, which come in blocks; ``arrivals(pos, key)``.
-    Returns placed (pos, key, cluster) and the orphans, numbered into new
-    clusters behind the old.
+    ``nodes([head, ]cluster, center, size)``; ``arrivals([head, ]pos, key)``, a
+    buffer's worth, which travels to the nodes in blocks.  Returns placed
+    ([head, ]pos, key, cluster) and the orphans, numbered into new clusters
+    behind the old ones of their head.
     """
-    d = against(arrivals, nodes.select("cluster", "center", "size"), id_col="cluster").withColumn("d", vec.distance("key", "center"))
-    nearest = d.groupBy("pos").agg(F.min(F.struct("d", "cluster", "size")).alias("m")).select("pos", "m.d", "m.cluster", "m.size")
-    ranked = nearest.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("d", "pos")))
-    ranked = ranked.withColumn("fits", F.col("size") + F.col("rank") <= bf).join(arrivals, "pos")
-    placed = ranked.where("fits").select("pos", "key", "cluster")
-    base = nodes.agg((F.max("cluster") + 1).alias("base"))
-    orphans = numbered(ranked.where(~F.col("fits")).select("pos", "key"), "pos").crossJoin(F.broadcast(base))
-    return placed, orphans.select("pos", "key", (F.col("base") + F.floor((F.col("n") - 1) / bf)).cast("long").alias("cluster"))
+    own = heads(nodes, arrivals)
+    asked = cut(arrivals.withColumn("query_id", F.monotonically_increasing_id()))
+    near = _nearest_of(nodes, asked.select(*own, "query_id", F.col("key").alias("query")), "cluster", "center").withColumnRenamed("id", "cluster")
+    near = asked.join(near, "query_id", "left").join(nodes.select(*own, "cluster", "size"), [*own, "cluster"], "left")
+    ranked = running(near, [*own, "cluster"], [F.col("d"), F.col("pos")])
+    ranked = ranked.withColumn("fits", F.coalesce(F.col("size") + F.col("rank") <= bf, F.lit(False)))
+    placed = ranked.where("fits").select(*own, "pos", "key", "cluster")
+    orphans = running(ranked.where(~F.col("fits")).select(*own, "pos", "key"), own, [F.col("pos")], rank="n")
+    base = nodes.groupBy(*own).agg((F.max("cluster") + 1).alias("base"))
+    based = orphans.join(measured(base), own, "left") if own else orphans.crossJoin(F.broadcast(base))  # one row
+    return placed, based.select(*own, "pos", "key", (F.coalesce("base", F.lit(0)) + F.floor((F.col("n") - 1) / bf)).cast("long").alias("cluster"))
+
+
+def add_to_tree(nodes: DataFrame, leaves: DataFrame, arrivals: DataFrame, dim: int, bf: int, levels: int, room: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A tree with a buffer's arrivals placed in it: new nodes and new leaves.
+
+    Arrivals join their nearest level-1 node while it holds fewer than ``room``
+    keys (twice ``bf`` if none is given); orphans make new ones of ``bf``.  New
+    level-1 nodes are placed the same way among the level above, and so on to
+    the top.  Centres of old nodes stay; their radii grow to enclose what was
+    placed below, and so do those of all their ancestors.
+    """
+    own = heads(nodes, arrivals)
+    room = room or 2 * bf
+    first = nodes.where("level = 1")
+    placed, orphans = place_arrivals(first.select(*own, F.col("node").alias("cluster"), "center", "size"), arrivals, room)
+    added = cut(placed.unionByName(orphans).withColumnRenamed("cluster", "parent"))
+    more = arrivals.join(added.select(*own, "pos", "parent"), [*own, "pos"])
+    leaves = leaves.unionByName(more.select(*leaves.columns))
+    # what is new below a level: its node there, its centre and radius
+    below = added.select(*own, "parent", vec.doubles("key").alias("center"), F.lit(0.0).alias("radius"))
+    out = []
+    for level in range(1, levels + 1):
+        old = nodes.where(F.col("level") == level)
+        fresh = below.join(old.select(*own, F.col("node").alias("parent")), [*own, "parent"], "left_anti")
+        made = cut(enclosing(fresh, dim, [*own, "parent"]).withColumnRenamed("parent", "node"))
+        above = nodes.where(F.col("level") == level + 1)
+        if level < levels:  # new nodes look for a place in the level above
+            seek = made.select(*own, F.col("node").alias("pos"), F.col("center").alias("key"))
+            into, alone = place_arrivals(above.select(*own, F.col("node").alias("cluster"), "center", "size"), seek, room)
+            at = into.unionByName(alone).select(*own, F.col("pos").alias("node"), F.col("cluster").alias("parent"))
+            made = cut(made.join(at, [*own, "node"]))
+        else:
+            made = made.withColumn("parent", F.floor(F.col("node") / bf).cast("long"))
+        reach = below.join(old.select(*own, F.col("node").alias("parent"), F.col("center").alias("c")), [*own, "parent"])
+        reach = reach.groupBy(*own, "parent").agg(F.max(vec.distance("center", "c") + F.col("radius")).alias("reach"), F.count_if(F.col("fresh")).alias("more") if "fresh" in below.columns else F.count("*").alias("more"))
+        grown = old.join(reach.withColumnRenamed("parent", "node"), [*own, "node"], "left")
+        grown = cut(grown.withColumns({"radius": F.greatest("radius", F.coalesce("reach", F.lit(0.0))), "size": F.col("size") + F.coalesce("more", F.lit(0)), "touched": F.col("reach").isNotNull()}).drop("reach", "more"))
+        now = grown.select(*nodes.columns).unionByName(made.withColumn("level", F.lit(level)).select(*nodes.columns))
+        out.append(now)
+        touched = grown.where("touched").select(*own, "parent", "center", "radius", F.lit(False).alias("fresh"))
+        below = touched.unionByName(made.select(*own, "parent", "center", "radius", F.lit(True).alias("fresh")))
+    every = out[0]
+    for more_ in out[1:]:
+        every = every.unionByName(more_)
+    return every, leaves
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Rows numbered from 1 without gathering them: ranges first, then counts per range as offsets."""
-    ranged = df.repartitionByRange(order).withColumn("p", F.spark_partition_id())
-    w = Window.partitionBy("p").orderBy(order)
-    own = ranged.withColumn("i", F.row_number().over(w))
-    sizes = ranged.groupBy("p").count()
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return own.join(F.broadcast(offsets.select("p", "before")), "p").withColumn("n", F.col("i") + F.col("before")).drop("p", "i", "before")
+    """Rows numbered from 1 by ``order``, which must decide ties, without gathering them."""
+    return running(df, [], [F.col(order)], rank="n")
 
 
 def flush_groups(buffer: DataFrame, dim: int, parts: int, group: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
     """A full buffer's keys by the sum of their slice, in groups of ``group``, per subspace: s, pos, cluster, sub."""
+    own = [*(h for h in heads(buffer) if h not in by), *by]
     pieces = [F.struct(F.lit(s).alias("s"), vec.piece(F.col("key"), a, w).alias("sub")) for s, (a, w) in enumerate(vec.split_widths(dim, parts))]
-    rows = buffer.select(*by, "pos", F.explode(F.array(*pieces)).alias("x")).select(*by, "pos", "x.s", "x.sub")
-    w = Window.partitionBy(*by, "s").orderBy(vec.total(vec.doubles("sub")), "pos")
-    return rows.withColumn("cluster", F.floor((F.row_number().over(w) - 1) / group).cast("long"))
+    rows = buffer.select(*own, "pos", F.explode(F.array(*pieces)).alias("x")).select(*own, "pos", "x.s", "x.sub", vec.total(vec.doubles("x.sub")).alias("sum_"))
+    ranked = running(rows, [*own, "s"], [F.col("sum_"), F.col("pos")], rank="r_")
+    return ranked.withColumn("cluster", F.floor((F.col("r_") - 1) / group).cast("long")).drop("sum_", "r_")
 
 
 def variance_tree(rows: DataFrame, dim: int, leaf: int, by: tuple[str, ...] = ("s",), key: str = "sub", most_levels: int = 30) -> DataFrame:
     """Balanced tree: each node is halved along its axis of largest variance until it has ``leaf`` rows or fewer.
 
-    Level by level, one aggregate and one rank each; adds ``cluster``, the leaf's path.
+    Level by level: one aggregate, one rank, one written table; adds ``cluster``, the leaf's path.
     """
     at = lambda i: F.get(vec.doubles(F.col(key)), F.lit(i))
-    now = rows.withColumn("cluster", F.lit(1).cast("long"))
-    keys = [*by, "cluster"]
+    now = cut(rows.withColumn("cluster", F.lit(1).cast("long")))
+    keys = [*_own(rows, by), "cluster"]
     for _ in range(most_levels):
-        stats = now.groupBy(*keys).agg(F.count("*").alias("n"), vec.each_dim(dim, lambda i: F.coalesce(F.var_pop(at(i)), F.lit(0.0))).alias("var"))
-        if stats.where(F.col("n") > leaf).isEmpty():
+        stats = measured(now.groupBy(*keys).agg(F.count("*").alias("n_"), vec.each_dim(dim, lambda i: F.round(F.coalesce(F.var_pop(at(i)), F.lit(0.0)), 12)).alias("var_")))
+        if stats.where(F.col("n_") > leaf).isEmpty():
             return now
-        axis = stats.select(*keys, "n", (F.array_position("var", F.array_max("var")) - 1).cast("int").alias("axis"))
-        x = F.get(vec.doubles(F.col(key)), F.col("axis"))
-        r = F.row_number().over(Window.partitionBy(*keys).orderBy(x, "pos"))
-        now = now.join(axis, keys).withColumn("r", r)
-        now = now.withColumn("cluster", F.when(F.col("n") > leaf, F.col("cluster") * 2 + (F.col("r") > F.ceil(F.col("n") / 2)).cast("long")).otherwise(F.col("cluster"))).select(*rows.columns, "cluster")
+        axis = stats.select(*keys, "n_", (F.array_position("var_", F.array_max("var_")) - 1).cast("int").alias("axis_"))
+        placed = now.join(axis, keys).withColumn("x_", F.get(vec.doubles(F.col(key)), F.col("axis_")))
+        ranked = running(placed, keys, [F.col("x_"), F.col("pos")], rank="r_")
+        half = F.col("cluster") * 2 + (F.col("r_") > F.ceil(F.col("n_") / 2)).cast("long")
+        now = cut(ranked.withColumn("cluster", F.when(F.col("n_") > leaf, half).otherwise(F.col("cluster"))).select(*rows.columns, "cluster"))
     raise RuntimeError("the tree is too deep")
 
 
@@ -126,11 +261,55 @@ def memory_bytes(nodes: DataFrame, keys: DataFrame, width: int = 4) -> DataFrame
     """Bytes of centres, radii and keys, and counts, as one row."""
     a = nodes.agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum(F.size("center") + 1), F.lit(0)).alias("a"))
     b = keys.agg(F.count("*").alias("n_children"), F.coalesce(F.sum(F.size("key")), F.lit(0)).alias("b"))
-    return a.crossJoin(b).select("n_nodes", "n_children", ((F.col("a") + F.col("b")) * width).alias("bytes"))
+    return a.crossJoin(b).select("n_nodes", "n_children", ((F.col("a") + F.col("b")) * width).alias("bytes"))  # one row each
+
+
+def nearest_center(keys: DataFrame, center_rows: DataFrame, cells: int | None = None) -> DataFrame:
+    """Each key's nearest centre of its head, exactly (ties to the smaller cluster): keys with ``cluster`` and ``distance``.
+
+    A coarse quantizer of ``cells`` centres (about the root of their number)
+    groups the centres into balls.  Some centre lies within the least
+    ``d + r`` of a key's distances to the balls, so only balls with ``d - r`` up
+    to that can hold its nearest one; keys meet the centres of those balls in a
+    join.  Nothing but the coarse centres is broadcast, and how many balls a key
+    visits depends on how well the centres cluster.
+    """
+    own = heads(keys, center_rows)
+    rows = cut(center_rows.select(*own, "cluster", vec.doubles("center").alias("center")))
+    count = rows.count()
+    cells = max(1, cells or min(int(count**0.5) + 1, 4096))
+    # evenly spread over a hash order: a sample of centres, which need not be good, only few
+    coarse = rows.orderBy(F.xxhash64(*own, "cluster"), "cluster").limit(cells).withColumn("query_id", F.monotonically_increasing_id())
+    shared = ask(cut(coarse.select("query_id", F.col("center").alias("query"))))[0]
+
+    def deal(asked: Asked, batch: pa.RecordBatch, state: dict) -> Iterator[dict]:
+        x = matrix(batch.column("v"))
+        for at in range(0, len(x), step := max(1, PAIRS // len(asked.ids))):
+            d = np.sqrt(np.maximum((x[at : at + step] ** 2).sum(1)[:, None] - 2 * x[at : at + step] @ asked.vectors.T + asked.norms[None] ** 2, 0))
+            yield {"id": batch.column("id")[at : at + step], "cell": asked.ids[d.argmin(1)], "far": d.min(1)}
+
+    named = cut(rows.withColumn("id", F.monotonically_increasing_id()))
+    dealt = meet(named.select("id", F.col("center").alias("v")), shared, "id bigint, cell bigint, far double", deal)
+    placed = cut(named.join(dealt, "id"))
+    reach = placed.groupBy(*own, "cell").agg(F.max("far").alias("radius")).collect()  # at most ``cells`` rows a head
+    radii = keys.sparkSession.sparkContext.broadcast({(r["head"] if own else None, r["cell"]): r["radius"] for r in reach})
 
+    def visit(asked: Asked, batch: pa.RecordBatch, state: dict) -> Iterator[dict]:
+        x = matrix(batch.column("v"))
+        head = batch.column("head").to_numpy() if own else np.zeros(len(x))
+        for h in np.unique(head):
+            r = np.array([radii.value.get((int(h) if own else None, int(c)), -np.inf) for c in asked.ids])
+            mine = np.flatnonzero(head == h)
+            for at in range(0, len(mine), step := max(1, PAIRS // len(asked.ids))):
+                part = mine[at : at + step]
+                d = np.sqrt(np.maximum((x[part] ** 2).sum(1)[:, None] - 2 * x[part] @ asked.vectors.T + asked.norms[None] ** 2, 0))
+                most = np.where(r >= 0, d + r, np.inf).min(1)
+                row, col = np.nonzero((d - r <= (most * (1 + 1e-6) + 1e-6)[:, None]) & (r >= 0)[None])
+                yield {"id": batch.column("id").take(pa.array(part[row])), "cell": asked.ids[col]}
 
-def nearest_center(keys: DataFrame, center_rows: DataFrame) -> DataFrame:
-    """Each key's nearest centre (argmin of the distance, ties to the smaller cluster); centres come in blocks."""
-    d = against(keys, center_rows.select("cluster", "center"), id_col="cluster").withColumn("d", vec.distance("key", "center"))
-    best: Column = F.min(F.struct("d", "cluster"))
-    return keys.join(d.groupBy("pos").agg(best.alias("m")).select("pos", F.col("m.cluster").alias("cluster"), F.col("m.d").alias("distance")), "pos")
+    named = cut(keys.withColumn("id", F.monotonically_increasing_id()))
+    visits = meet(named.select(*own, "id", F.col("key").alias("v")), shared, "id bigint, cell bigint", visit)
+    pairs = named.select(*own, "id", "key").join(visits, "id").join(placed.select(*own, "cell", "cluster", "center"), [*own, "cell"])
+    d = pairs.select("id", F.struct(vec.distance("key", "center").alias("d"), F.col("cluster")).alias("m"))
+    best: Column = F.min("m").alias("m")
+    return named.join(d.groupBy("id").agg(best), "id").drop("id").select(*keys.columns, F.col("m.cluster").alias("cluster"), F.col("m.d").alias("distance"))

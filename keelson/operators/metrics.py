@@ -7,9 +7,38 @@ from pyspark.sql import functions as F
 
 from keelson.functions import vec
 from keelson.operators.blocks import measured
+from keelson.operators.ranks import running
 
 #: Gate cost of a bound relative to a dot product; others cost DEFAULT_COST.
-GATE_COST = {"ball_centroid": 1.0, "span_ball": 1.0, "aabb": 2.0, "fp16_aabb": 2.0, "ellipsoid": 2.0}
+GATE_COST = {
+    "ball_centroid": 1.0,
+    "l1_ball": 1.0,
+    "min_enclosing_ball": 1.0,
+    "aabb": 2.0,
+    "cone": 1.5,
+    "hybrid": 4.5,
+    "ellipsoid": 2.5,
+    "split_aabb": 4.0,
+    "hybrid_plus": 10.0,
+    "quad_aabb": 8.0,
+    "bisect_aabb": 5.0,
+    "slab_bundle": 2.0,
+    "topk_aabb_residual": 3.0,
+    "centerline": 3.0,
+    "span_ball": 1.0,
+    "outlier_ball_centroid": 2.0,
+    "outlier_span_ball": 2.0,
+    "axis_interval": 1.0,
+    "dual_axis_interval": 2.0,
+    "outlier_aabb": 3.0,
+    "partial_aabb_d4": 1.03,
+    "partial_aabb_d8": 1.06,
+    "partial_aabb_d16": 1.12,
+    "partial_aabb_d32": 1.25,
+    "partial_aabb_d64": 1.50,
+    "cheap_outlier_aabb": 2.0,
+    "cheap_outlier_ball_aabb": 3.0,
+}
 DEFAULT_COST = 2.0
 
 
@@ -30,8 +59,8 @@ def analytic_cost(scanned: DataFrame, bf: int) -> DataFrame:
 
 def concentration(weighted: DataFrame, ks: tuple[int, ...] = (8, 32, 128)) -> DataFrame:
     """Per query over ``weighted(query_id, pos, p)``: top-k mass, cov50 share, effective size, entropy, share above uniform."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("p"), "pos")
-    r = weighted.withColumns({"rank": F.row_number().over(w), "cum": F.round(F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)), 9), "n": F.count("*").over(Window.partitionBy("query_id"))})
+    sizes = measured(weighted.groupBy("query_id").agg(F.count("*").alias("n")))
+    r = running(weighted.select("query_id", "pos", "p"), ["query_id"], [F.desc("p"), F.col("pos")], {"cum": "p"}).withColumn("cum", F.round("cum", 9)).join(sizes, "query_id")
     return r.groupBy("query_id").agg(
         *[F.sum(F.when(F.col("rank") <= k, F.col("p")).otherwise(0.0)).alias(f"top{k}") for k in ks],
         ((F.count_if(F.col("cum") < 0.5) + 1) / F.max("n")).alias("cov50"),
@@ -101,8 +130,8 @@ def sum_threshold(weighted: DataFrame, n: int, share: float) -> DataFrame:
     """Smallest K whose best weights, sinks (first and last position) set aside and renormalised, sum to ``share``."""
     inner = weighted.where((F.col("pos") > 0) & (F.col("pos") < n - 1))
     mass = inner.groupBy("query_id").agg(F.sum("p").alias("m"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("p"), "pos").rowsBetween(Window.unboundedPreceding, 0)
-    cum = inner.join(measured(mass), "query_id").withColumn("cum", F.round(F.sum(F.col("p") / F.col("m")).over(w), 9))
+    shares = inner.join(measured(mass), "query_id").select("query_id", "pos", (F.col("p") / F.col("m")).alias("p"))
+    cum = running(shares, ["query_id"], [F.desc("p"), F.col("pos")], {"cum": "p"}).withColumn("cum", F.round("cum", 9))
     return cum.groupBy("query_id").agg((F.count_if(F.col("cum") < share) + 1).alias("k"))
 
 

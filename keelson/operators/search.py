@@ -1,20 +1,37 @@
 """Halfspace search: every key whose inner product with a query reaches its threshold.
 
-Queries are a stated set that travels to the keys in blocks of a checked size.
+Queries are a stated set that travels to the rows in blocks of a checked size;
+keys are never shuffled for them.  Scans, gates and tree levels multiply
+matrices over Arrow batches; where a score or its place against a threshold is
+a result, it is summed again from the first element to the last, so that it
+has the same bits as the column expressions of ``functions.vec``.
+
+Keys, clusters and nodes may carry a ``head``.  It is then part of every key
+that joins them, and a query that carries a ``head`` meets its own head only.
 Absence of a row means rejection; a score of exactly 0 is a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from keelson.functions import vec
-from keelson.operators.blocks import BLOCK, against, measured
+from keelson.operators.blocks import against, measured, split
+
+#: Pairs of a row and a query that are multiplied at once, and how far a matrix product may lie from the exact sum.
+PAIRS, NEAR = 1 << 20, 1e-9
+FOUND = "query_id bigint, pos bigint, score double"
 
 
 def kv_head(q_head: Column, q_heads: int, kv_heads: int) -> Column:
@@ -24,15 +41,32 @@ def kv_head(q_head: Column, q_heads: int, kv_heads: int) -> Column:
     return F.floor(q_head / (q_heads // kv_heads)).cast("int")
 
 
-def scores(queries: DataFrame, keys: DataFrame, on: Column | None = None) -> DataFrame:
-    """Each query against each key (of its head, if ``on`` says so): the query set is blocked onto every key row."""
-    return against(keys, queries, on).withColumn("score", vec.dot("query", "key"))
+def heads(*tables: DataFrame) -> list[str]:
+    """``head``, if all of the tables have it."""
+    return ["head"] if all("head" in t.columns for t in tables) else []
+
+
+def scores(queries: DataFrame, keys: DataFrame, on: Column | str | None = None) -> DataFrame:
+    """Each query against each key (of its own head, if both have one): the query set is blocked onto every key row."""
+    own = heads(queries, keys)
+    return against(keys, queries, "head" if on is None and own else on).withColumn("score", vec.dot("query", "key"))
 
 
-def exact(scored: DataFrame, threshold: Column, scaling: float = 1.0) -> DataFrame:
-    """Rows at or above the threshold, compared on the raw score and scaled after."""
-    kept = scored.where(F.col("score") >= threshold)
-    return kept if scaling == 1.0 else kept.withColumn("score", F.col("score") * scaling)
+def exact(scored: DataFrame, threshold: Column, scaling: float | dict[int, float] = 1.0) -> DataFrame:
+    """Rows at or above the threshold, compared on the raw score and scaled after, by one number or by one a head."""
+    return scaled(scored.where(F.col("score") >= threshold), scaling)
+
+
+def scaled(found: DataFrame, scaling: float | dict[int, float]) -> DataFrame:
+    """Scores times ``scaling``; heads that a dict doesn't name keep theirs."""
+    if scaling == 1.0:
+        return found
+    if isinstance(scaling, dict):
+        by_head = F.create_map(*[F.lit(x) for head, s in scaling.items() for x in (int(head), float(s))]) if scaling else None
+        factor = F.lit(1.0) if by_head is None else F.coalesce(F.try_element_at(by_head, F.col("head").cast("int")), F.lit(1.0))
+    else:
+        factor = F.lit(float(scaling))
+    return found.withColumn("score", F.col("score") * factor)
 
 
 def with_limits(scored: DataFrame, limits: DataFrame) -> DataFrame:
@@ -46,76 +80,266 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "pos") ->
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def halfspace_blocks(queries: DataFrame, keys: DataFrame, id_col: str = "query_id") -> DataFrame:
-    """query_id, pos, score of all hits of ``queries(query_id, query, t)`` by matrix products over Arrow batches.
+@dataclass
+class Asked:
+    """A block of queries as arrays, sorted by id."""
 
-    The path for long scans: each batch of keys is one matrix, multiplied by a
-    block of queries at a time; a block's hits leave before the next begins.
-    Keys are read once per block of BLOCK queries and never shuffled.
-    """
-    spark = keys.sparkSession
-    rows = queries.select(F.col(id_col).cast("long"), "query", F.col("t").cast("double"))
-    count = rows.count()
-    blocks = max(1, -(-count // BLOCK))
-    out = None
-    for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).toPandas()
-        shared = spark.sparkContext.broadcast((part[id_col].to_numpy(np.int64), np.array(part["query"].tolist(), float).reshape(len(part), -1), part["t"].to_numpy(float)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, t = shared.value
-            for batch in batches:
-                column = batch.column(1)
-                if not batch.num_rows or not len(ids):
-                    continue
-                k = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                pos = batch.column(0).to_numpy()
-                for at in range(0, len(k), 8192):
-                    s = k[at : at + 8192] @ q.T
-                    row, col = np.nonzero(s >= t)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[col]), pa.array(pos[at + row]), pa.array(s[row, col])], ["query_id", "pos", "score"])
-
-        hits = keys.select("pos", "key").mapInArrow(run, "query_id bigint, pos bigint, score double")
-        out = hits if out is None else out.union(hits)
+    ids: np.ndarray
+    vectors: np.ndarray
+    limits: np.ndarray
+    head: np.ndarray | None
+
+    def __post_init__(self):
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+
+    def of_head(self, head: int | None) -> np.ndarray:
+        return np.arange(len(self.ids)) if self.head is None or head is None else np.flatnonzero(self.head == head)
+
+
+def ask(queries: DataFrame) -> list[Broadcast]:
+    """The query set as broadcast blocks of at most about BLOCK queries."""
+    return [queries.sparkSession.sparkContext.broadcast(_asked(part)) for part in split(queries)]
+
+
+def _asked(part: DataFrame) -> Asked:
+    head = heads(part)
+    t = F.col("t").cast("double") if "t" in part.columns else F.lit(float("-inf"))
+    rows = part.select(F.col("query_id").cast("long"), vec.doubles("query").alias("query"), t.alias("t"), *head).toPandas().sort_values("query_id", kind="stable")
+    vectors = np.array(rows["query"].tolist(), float).reshape(len(rows), -1)
+    return Asked(rows["query_id"].to_numpy(np.int64), vectors, rows["t"].to_numpy(float), rows["head"].to_numpy(np.int64) if head else None)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equally long vectors as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
+
+
+def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise inner products, summed from the first element to the last."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
     return out
 
 
-def gated(queries: DataFrame, nodes: DataFrame, members: DataFrame, strict: bool = False, emit: str = "exact", slack: float = vec.SLACK) -> DataFrame:
-    """Two-level search: gate clusters by their ball, then look at members of surviving ones only.
+def _by_head(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
+    if "head" not in batch.schema.names:
+        yield None, np.arange(batch.num_rows)
+        return
+    head = batch.column("head").to_numpy(zero_copy_only=False)
+    for h in np.unique(head):
+        yield int(h), np.flatnonzero(head == h)
+
 
-    ``nodes(cluster, center, radius)``, ``members(cluster, pos, key)``.  The
-    bound is ``c.q + |q| r``; a relative slack keeps rounding from losing hits.
-    ``strict`` drops clusters whose bound equals the threshold.  ``emit`` is
-    ``exact`` or ``candidates`` (all members of surviving clusters).
+def meet(rows: DataFrame, shared: Broadcast, schema: str, make: Callable[[Asked, pa.RecordBatch, dict], Iterator[dict]], end: Callable[[Asked, dict], Iterator[dict]] | None = None) -> DataFrame:
+    """``make`` over every Arrow batch of ``rows`` with a block of queries: one narrow pass.
+
+    ``make`` yields columns by name, and may keep a task's state in its third
+    argument; ``end`` yields what is left after a task's last batch.
     """
-    bound = vec.dot("query", "center") + vec.norm("query") * F.col("radius")
-    margin = F.lit(slack) * F.greatest(F.abs("t"), F.lit(1.0))
-    ok = bound + margin > F.col("t") if strict else bound + margin >= F.col("t")
-    alive = against(nodes, queries).where(ok).select("query_id", "query", "t", "cluster")
-    found = members.join(alive, "cluster").withColumn("score", vec.dot("query", "key"))
-    if emit == "candidates":
-        return found.select("query_id", "pos", "score")
-    return found.where("score >= t").select("query_id", "pos", "score")
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, state = shared.value, {}
+        made = (cols for batch in batches if batch.num_rows and len(asked.ids) for cols in make(asked, batch, state))
+        for cols in chain(made, end(asked, state) if end else ()):
+            yield pa.RecordBatch.from_arrays([x if isinstance(x := cols[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _near(k: np.ndarray, asked: Asked, own: np.ndarray) -> np.ndarray:
+    """How far a matrix product of these rows may lie from the exact sum, by query."""
+    return NEAR * asked.norms[own] * np.sqrt((k * k).sum(axis=1).max(initial=0.0)) + 1e-300
+
+
+def halfspace_blocks(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """query_id, pos, score of all hits of ``queries(query_id, query, t)``; the path for long scans."""
+
+    def make(asked: Asked, batch: pa.RecordBatch, state: dict) -> Iterator[dict]:
+        k, pos = matrix(batch.column("key")), batch.column("pos").to_numpy()
+        for head, rows in _by_head(batch):
+            own = asked.of_head(head)
+            step = max(1, PAIRS // max(1, len(own)))
+            for at in range(0, len(rows), step):
+                x = k[rows[at : at + step]]
+                row, col = np.nonzero(x @ asked.vectors[own].T >= asked.limits[own] - _near(x, asked, own))
+                s = summed(x[row], asked.vectors[own[col]])
+                keep = s >= asked.limits[own[col]]
+                yield {"query_id": asked.ids[own[col[keep]]], "pos": pos[rows[at + row[keep]]], "score": s[keep]}
+
+    return reduce(DataFrame.union, [meet(keys.select(*heads(keys), "pos", "key"), shared, FOUND, make) for shared in ask(queries)])
+
 
+def best(queries: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """query_id, pos, score, rank of each query's k best keys, exactly: every task keeps its own k best, and those are ranked together."""
 
-def descend(queries: DataFrame, nodes: DataFrame, keys: DataFrame, levels: int, slack: float = vec.SLACK) -> tuple[DataFrame, DataFrame]:
-    """Tree search from the top level down: hits, and how many nodes each level checked and passed.
+    def reduced(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        col, pos, s = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.lexsort((pos, -s, col))
+        col, pos, s = col[by], pos[by], s[by]
+        first = np.flatnonzero(np.diff(col, prepend=-1))
+        place = np.arange(len(col)) - np.repeat(first, np.diff(np.append(first, len(col))))
+        keep = place < k
+        return col[keep], pos[keep], s[keep]
 
-    ``nodes(level, node, parent, center, radius)``, level 0 being keys (node is pos, radius 0).
-    Every level is an equi-join of the survivors' children; levels are few, nodes are not collected.
+    def make(asked: Asked, batch: pa.RecordBatch, state: dict) -> Iterator[dict]:
+        if not state:
+            state |= {"held": [], "size": 0, "least": np.full(len(asked.ids), -np.inf)}
+        keys_, pos = matrix(batch.column("key")), batch.column("pos").to_numpy()
+        for head, rows in _by_head(batch):
+            own = asked.of_head(head)
+            step = max(1, PAIRS // max(1, len(own)))
+            for at in range(0, len(rows), step):
+                x = keys_[rows[at : at + step]]
+                rough, near = x @ asked.vectors[own].T, _near(x, asked, own)
+                limit = state["least"][own]
+                if len(x) > k:
+                    limit = np.maximum(limit, np.partition(rough, len(x) - k, axis=0)[len(x) - k] - near)
+                row, col = np.nonzero(rough >= limit - near)
+                state["held"].append((own[col], pos[rows[at + row]], summed(x[row], asked.vectors[own[col]])))
+                state["size"] += len(row)
+                if state["size"] > 4 * k * len(asked.ids) + PAIRS:
+                    state["held"] = [reduced(state["held"])]
+                    col, _, s = state["held"][0]
+                    state["size"], full = len(col), np.flatnonzero(np.bincount(col, minlength=len(asked.ids)) == k)
+                    last = np.full(len(asked.ids), -np.inf)
+                    np.minimum.at(least := np.full(len(asked.ids), np.inf), col, s)
+                    last[full] = least[full]
+                    state["least"] = last
+        return iter(())
+
+    def end(asked: Asked, state: dict) -> Iterator[dict]:
+        if state.get("held"):
+            col, pos, s = reduced(state["held"])
+            for at in range(0, len(col), PAIRS):
+                yield {"query_id": asked.ids[col[at : at + PAIRS]], "pos": pos[at : at + PAIRS], "score": s[at : at + PAIRS]}
+
+    return top_k(reduce(DataFrame.union, [meet(keys.select(*heads(keys), "pos", "key"), shared, FOUND, make, end) for shared in ask(queries)]), k)
+
+
+def _pairs(batch: pa.RecordBatch, asked: Asked) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and queries (as places in ``asked``) to compare: those that ``ids`` lists, else all of a row's head, PAIRS at a time."""
+    if "ids" in batch.schema.names:
+        lists = batch.column("ids")
+        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        col = np.searchsorted(asked.ids, lists.flatten().to_numpy())
+        for at in range(0, len(row), PAIRS):
+            yield row[at : at + PAIRS], col[at : at + PAIRS]
+        return
+    for head, rows in _by_head(batch):
+        own = asked.of_head(head)
+        step = max(1, PAIRS // max(1, len(own)))
+        for at in range(0, len(rows) if len(own) else 0, step):
+            part = rows[at : at + step]
+            yield np.repeat(part, len(own)), np.tile(own, len(part))
+
+
+def _through(nodes: DataFrame, shared: Broadcast, strict: bool, slack: float, profile: bool = False) -> DataFrame:
+    """Nodes with ``ids``, the queries whose halfspace their ball may reach: of those that ``ids`` lists, else of all of their head.
+
+    ``nodes(..., center, radius[, ids])``; center and radius are dropped.  With
+    ``profile``, nodes that none passes stay, and ``before`` holds the queries
+    that were compared.
     """
-    bound = vec.dot("query", "center") + vec.norm("query") * F.col("radius")
-    ok = bound + F.lit(slack) * F.greatest(F.abs("t"), F.lit(1.0)) >= F.col("t")
-    frontier = against(nodes.where(F.col("level") == levels), queries)
-    stats = []
+    names = [c for c in nodes.columns if c not in ("center", "radius", "ids")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema if f.name in names)
+
+    def make(asked: Asked, batch: pa.RecordBatch, state: dict) -> Iterator[dict]:
+        c, r = matrix(batch.column("center")), batch.column("radius").to_numpy(zero_copy_only=False)
+        passed: list[list] = [[], []]
+        seen: list[list] = [[], []]
+        for row, col in _pairs(batch, asked):
+            t = asked.limits[col]
+            bound = np.einsum("ij,ij->i", c[row], asked.vectors[col]) + asked.norms[col] * r[row] + slack * np.maximum(np.abs(t), 1.0)
+            ok = bound > t if strict else bound >= t
+            for held, keep in ((passed, ok), (seen, slice(None)))[: 1 + profile]:
+                held[0].append(row[keep])
+                held[1].append(asked.ids[col[keep]])
+        lists = {}
+        for name, held in (("ids", passed), ("before", seen))[: 1 + profile]:
+            row, ids = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in held)
+            by = np.argsort(row, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
+            lists[name] = pa.ListArray.from_arrays(ends, ids[by].astype(np.int64))
+        keep = pa.array(np.ones(batch.num_rows, bool) if profile else np.diff(lists["ids"].offsets.to_numpy()) > 0)
+        yield {n: batch.column(n).filter(keep) for n in names} | {n: x.filter(keep) for n, x in lists.items()}
+
+    return meet(nodes, shared, f"{kinds}, ids array<bigint>" + ", before array<bigint>" * profile, make)
+
+
+def _hits(rows: DataFrame, shared: Broadcast, keep: tuple[str, ...], emit: str) -> DataFrame:
+    """query_id, pos, score and ``keep`` of ``rows(pos, key, ids, ...)`` and the queries in ``ids``: at or above the threshold, or all."""
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+
+    def make(asked: Asked, batch: pa.RecordBatch, state: dict) -> Iterator[dict]:
+        k, pos = matrix(batch.column("key")), batch.column("pos").to_numpy()
+        for row, col in _pairs(batch, asked):
+            s = summed(k[row], asked.vectors[col])
+            ok = np.ones(len(s), bool) if emit == "candidates" else s >= asked.limits[col]
+            yield {"query_id": asked.ids[col[ok]], "pos": pos[row[ok]], "score": s[ok]} | {c: batch.column(c).take(pa.array(row[ok])) for c in keep}
+
+    return meet(rows, shared, FOUND + kinds, make)
+
+
+def gate(queries: DataFrame, nodes: DataFrame, strict: bool = False, slack: float = vec.SLACK) -> DataFrame:
+    """The clusters of ``nodes(cluster, center, radius, ...)`` whose ball any query's halfspace may reach, with those queries as ``ids``."""
+    return reduce(DataFrame.union, [_through(nodes, part, strict, slack) for part in ask(queries)])
+
+
+def gated(queries: DataFrame, nodes: DataFrame, members: DataFrame, strict: bool = False, emit: str = "exact", slack: float = vec.SLACK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Two-level search: gate clusters by their ball, then look at members of surviving ones only: query_id, pos, score and ``keep``.
+
+    ``nodes([head, ]cluster, center, radius)``, ``members([head, ]cluster, pos,
+    key)``.  The bound is ``c.q + |q| r``; a relative slack keeps rounding from
+    losing hits.  ``strict`` drops clusters whose bound equals the threshold.
+    ``emit`` is ``exact`` or ``candidates`` (all members of surviving clusters).
+    A surviving cluster meets its members once, with the list of its queries.
+    """
+    own = heads(nodes, members)
+    out = []
+    for part in ask(queries):
+        alive = _through(nodes.select(*own, "cluster", "center", "radius"), part, strict, slack)
+        rows = members.select(*own, "cluster", "pos", "key", *keep).join(alive, [*own, "cluster"]).drop("cluster")
+        out.append(_hits(rows, part, keep, emit))
+    return reduce(DataFrame.union, out)
+
+
+def _levels(part: Broadcast, nodes: DataFrame, levels: int, slack: float, profile: bool = False) -> Iterator[tuple[int, DataFrame]]:
+    """From the top down: each level's nodes below those that passed, judged."""
+    own = heads(nodes)
+    alive = None
     for level in range(levels, 0, -1):
-        judged = frontier.withColumn("ok", ok)
-        stats.append(judged.groupBy("query_id", "level").agg(F.count("*").alias("checked"), F.count_if("ok").alias("passed")))
-        alive = judged.where("ok").select("query_id", "query", "t", F.col("node").alias("parent"))
-        below = nodes.where(F.col("level") == level - 1) if level > 1 else keys.select(F.lit(0).alias("level"), F.col("pos").alias("node"), "parent", vec.doubles("key").alias("center"), F.lit(0.0).alias("radius"))
-        frontier = below.join(alive, "parent")
-    hits = frontier.withColumn("score", vec.dot("query", "center")).where("score >= t").select("query_id", F.col("node").alias("pos"), "score")
-    every = stats[0]
-    for s in stats[1:]:
-        every = every.union(s)
-    return hits, every
+        rows = nodes.where(F.col("level") == level).select(*own, "node", "parent", "center", "radius")
+        if alive is not None:
+            rows = rows.join(alive.select(*own, F.col("node").alias("parent"), "ids"), [*own, "parent"])
+        alive = _through(rows.drop("parent"), part, False, slack, profile)
+        yield level, alive
+        alive = alive.where(F.size("ids") > 0) if profile else alive
+
+
+def descend(queries: DataFrame, nodes: DataFrame, keys: DataFrame, levels: int, slack: float = vec.SLACK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Tree search from the top level down: query_id, pos, score and ``keep`` of all hits.
+
+    ``nodes([head, ]level, node, parent, center, radius)`` from level 1 up,
+    ``keys([head, ]pos, key, parent)``.  Every level is an equi-join with the
+    survivors above it, which carry the list of their queries: a node is one
+    row, however many queries reach it.
+    """
+    own = heads(nodes, keys)
+    out = []
+    for part in ask(queries):
+        *_, (_, alive) = _levels(part, nodes, levels, slack)
+        rows = keys.select(*own, "parent", "pos", "key", *keep).join(alive.select(*own, F.col("node").alias("parent"), "ids"), [*own, "parent"]).drop("parent")
+        out.append(_hits(rows, part, keep, "exact"))
+    return reduce(DataFrame.union, out)
+
+
+def descent_profile(queries: DataFrame, nodes: DataFrame, levels: int, slack: float = vec.SLACK) -> DataFrame:
+    """query_id, level, checked, passed: nodes of each level that a tree search compares and those that pass."""
+    out = []
+    for part in ask(queries):
+        for level, judged in _levels(part, nodes, levels, slack, profile=True):
+            each = judged.select(F.explode(F.transform("before", lambda q: F.struct(q.alias("query_id"), F.array_contains("ids", q).alias("ok")))).alias("x")).select("x.*")
+            out.append(each.groupBy("query_id").agg(F.lit(level).alias("level"), F.count("*").alias("checked"), F.count_if("ok").alias("passed")))
+    return reduce(DataFrame.union, out)

@@ -1,13 +1,21 @@
-"""Searches over slices of the dimensions: AND and OR gates, point-level sets, and threshold-algorithm cut-off."""
+"""Searches over slices of the dimensions: AND and OR gates, point-level sets, and threshold-algorithm cut-off.
+
+Where keys carry a ``head``, so do slices, clusters and gates, and a query with
+a ``head`` meets its own only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
 from keelson.operators.blocks import against, measured
 from keelson.operators.index import balls
+from keelson.operators.ranks import running
+from keelson.operators.search import heads
 
 
 def slices_of(rows: DataFrame, column: str, dim: int, parts: int, keep: tuple[str, ...]) -> DataFrame:
@@ -16,30 +24,57 @@ def slices_of(rows: DataFrame, column: str, dim: int, parts: int, keep: tuple[st
     return rows.select(*keep, F.explode(F.array(*each)).alias("x")).select(*keep, "x.s", "x.sub")
 
 
+def _query_slices(queries: DataFrame, dim: int, parts: int) -> DataFrame:
+    return slices_of(queries, "query", dim, parts, ("query_id", *heads(queries))).withColumnRenamed("sub", "qs")
+
+
 def slice_thresholds(queries: DataFrame, top: DataFrame, dim: int, parts: int) -> DataFrame:
     """query_id, s, t: in each slice the least score among the query's ``top(query_id, pos, key)`` keys."""
-    q = slices_of(queries, "query", dim, parts, ("query_id",)).withColumnRenamed("sub", "qs")
+    q = _query_slices(queries, dim, parts)
     k = slices_of(top, "key", dim, parts, ("query_id", "pos"))
-    return k.join(q, ["query_id", "s"]).groupBy("query_id", "s", "qs").agg(F.min(vec.dot("qs", "sub")).alias("t"))
+    return k.join(q, ["query_id", "s"]).groupBy("query_id", *heads(queries), "s", "qs").agg(F.min(vec.dot("qs", "sub")).alias("t"))
+
+
+def _slack() -> F.Column:
+    return F.lit(vec.SLACK) * F.greatest(F.abs("t"), F.lit(1.0))
 
 
 def cluster_gate(thresholds: DataFrame, nodes: DataFrame) -> DataFrame:
-    """query_id, s, cluster of every slice cluster whose ball reaches the slice threshold."""
+    """query_id, [head, ]s, cluster of every slice cluster whose ball reaches the slice threshold."""
     bound = vec.dot("qs", "center") + vec.norm("qs") * F.col("radius")
-    slack = F.lit(vec.SLACK) * F.greatest(F.abs("t"), F.lit(1.0))
-    return against(nodes, thresholds, "s").where(bound + slack >= F.col("t")).select("query_id", "s", "cluster")
+    met = against(nodes, thresholds, [*heads(nodes, thresholds), "s"])
+    return met.where(bound + _slack() >= F.col("t")).select("query_id", *heads(nodes), "s", "cluster")
+
+
+def _in_slices(rows: DataFrame, parts: int, mode: str) -> DataFrame:
+    return rows.where(F.col("n") == parts if mode == "and" else F.col("n") > 0).drop("n")
 
 
 def keys_through(gate: DataFrame, members: DataFrame, parts: int, mode: str = "and") -> DataFrame:
-    """query_id, pos of keys whose clusters pass in every slice (``and``) or in any (``or``)."""
-    hit = members.select("s", "cluster", "pos").join(gate, ["s", "cluster"]).groupBy("query_id", "pos").agg(F.count("*").alias("n"))
-    return hit.where(F.col("n") == parts if mode == "and" else F.col("n") > 0).select("query_id", "pos")
+    """query_id, [head, ]pos of keys whose clusters pass in every slice (``and``) or in any (``or``)."""
+    own = heads(gate, members)
+    hit = members.select(*own, "s", "cluster", "pos").join(gate, [*own, "s", "cluster"]).groupBy("query_id", *own, "pos").agg(F.count("*").alias("n"))
+    return _in_slices(hit, parts, mode)
 
 
 def point_gate(thresholds: DataFrame, pieces: DataFrame, parts: int, mode: str = "and") -> DataFrame:
     """The same on single keys, without clusters."""
-    ok = against(pieces, thresholds, "s").where(vec.dot("qs", "sub") >= F.col("t")).groupBy("query_id", "pos").agg(F.count("*").alias("n"))
-    return ok.where(F.col("n") == parts if mode == "and" else F.col("n") > 0).select("query_id", "pos")
+    ok = against(pieces, thresholds, [*heads(pieces, thresholds), "s"]).where(vec.dot("qs", "sub") >= F.col("t"))
+    return _in_slices(ok.groupBy("query_id", *heads(pieces), "pos").agg(F.count("*").alias("n")), parts, mode)
+
+
+def point_relations(thresholds: DataFrame, pieces: DataFrame, best: DataFrame, parts: int) -> DataFrame:
+    """query_id and the sizes of the point sets: all slices (A), any slice (O), the best keys (T), and O-T, T-A, O-A, A-T.
+
+    ``best(query_id, [head, ]pos)``.  One count a key and query says which sets it is in.
+    """
+    own = heads(pieces)
+    met = against(pieces, thresholds, [*heads(pieces, thresholds), "s"]).where(vec.dot("qs", "sub") >= F.col("t"))
+    n = met.groupBy("query_id", *own, "pos").agg(F.count("*").alias("n"))
+    on = ["query_id", *heads(pieces, best), "pos"]
+    both = n.join(best.select(*on, F.lit(True).alias("top")), on, "full").withColumns({"any": F.col("n").isNotNull(), "all": F.coalesce(F.col("n") == parts, F.lit(False)), "top": F.coalesce("top", F.lit(False))})
+    sets = {"all_slices": "all", "any_slice": "any", "best": "top", "any_not_best": "any AND NOT top", "best_not_all": "top AND NOT all", "any_not_all": "any AND NOT all", "all_not_best": "all AND NOT top"}
+    return both.groupBy("query_id").agg(*[F.count_if(F.expr(x)).alias(name) for name, x in sets.items()])
 
 
 def slice_balls(members: DataFrame, dim: int, parts: int) -> DataFrame:
@@ -50,12 +85,12 @@ def slice_balls(members: DataFrame, dim: int, parts: int) -> DataFrame:
 
 
 def ta_ranks(queries: DataFrame, nodes: DataFrame, dim: int, parts: int, bound: str = "middle") -> DataFrame:
-    """query_id, s, cluster, m and its rank within the slice: centroid scores, or their upper or lower ball bounds."""
-    q = slices_of(queries, "query", dim, parts, ("query_id",)).withColumnRenamed("sub", "qs")
+    """query_id, [head, ]s, cluster, m and its rank within the slice: centroid scores, or their upper or lower ball bounds."""
+    q = _query_slices(queries, dim, parts)
     sign = {"middle": 0.0, "upper": 1.0, "lower": -1.0}[bound]
     m = vec.dot("qs", "center") + F.lit(sign) * F.col("radius") * vec.norm("qs")
-    scored = against(nodes, q, "s").withColumn("m", m)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "s").orderBy(F.desc("m"), "cluster"))).select("query_id", "s", "cluster", "m", "rank")
+    scored = against(nodes, q, [*heads(nodes, q), "s"]).select("query_id", *heads(nodes), "s", "cluster", m.alias("m"))
+    return running(scored, ["query_id", "s"], [F.desc("m"), *map(F.col, heads(nodes)), F.col("cluster")])
 
 
 def ta_depth(ranks: DataFrame, thresholds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -66,24 +101,46 @@ def ta_depth(ranks: DataFrame, thresholds: DataFrame, max_depth: int | None = No
 
 
 def ta_candidates(ranks: DataFrame, depth: DataFrame, members: DataFrame) -> DataFrame:
-    """query_id, pos: the union of the rows of ranks up to the depth."""
-    alive = ranks.join(measured(depth), "query_id").where("rank <= depth").select("query_id", "s", "cluster")
-    return members.select("s", "cluster", "pos").join(alive, ["s", "cluster"]).select("query_id", "pos").distinct()
+    """query_id, [head, ]pos: the union of the rows of ranks up to the depth."""
+    own = heads(ranks, members)
+    alive = ranks.join(measured(depth), "query_id").where("rank <= depth").select("query_id", *own, "s", "cluster")
+    return members.select(*own, "s", "cluster", "pos").join(alive, [*own, "s", "cluster"]).select("query_id", *own, "pos").distinct()
 
 
 def slice_tree(members: DataFrame, dim: int, parts: int, bf: int) -> tuple[DataFrame, DataFrame]:
     """Two levels of balls per slice: clusters of ``members(s, cluster, sub)`` with their parent, and the parents."""
-    width = dim // parts
+    width, own = dim // parts, heads(members)
     leaves = slice_balls(members, dim, parts).withColumn("parent", F.floor(F.col("cluster") / bf))
-    up = leaves.groupBy("s", "parent").agg(vec.each_dim(width, lambda i: F.avg(F.get("center", F.lit(i)))).alias("up"))
-    joined = leaves.join(up, ["s", "parent"])
-    top = joined.groupBy("s", "parent", "up").agg(F.max(vec.distance("center", "up") + F.col("radius")).alias("radius")).withColumnRenamed("up", "center")
+    up = leaves.groupBy(*own, "s", "parent").agg(vec.each_dim(width, lambda i: F.avg(F.get("center", F.lit(i)))).alias("up"))
+    joined = leaves.join(up, [*own, "s", "parent"])
+    top = joined.groupBy(*own, "s", "parent", "up").agg(F.max(vec.distance("center", "up") + F.col("radius")).alias("radius")).withColumnRenamed("up", "center")
     return leaves, top
 
 
 def gate_down(thresholds: DataFrame, leaves: DataFrame, top: DataFrame) -> DataFrame:
-    """query_id, s, cluster of clusters that pass below parents that pass."""
+    """query_id, [head, ]s, cluster of clusters that pass below parents that pass."""
+    own = heads(leaves)
     above = cluster_gate(thresholds, top.withColumnRenamed("parent", "cluster")).withColumnRenamed("cluster", "parent")
-    below = leaves.join(above, ["s", "parent"]).join(thresholds, ["query_id", "s"])
+    below = leaves.join(above, [*own, "s", "parent"]).join(thresholds.drop("head"), ["query_id", "s"])
     bound = vec.dot("qs", "center") + vec.norm("qs") * F.col("radius")
-    return below.where(bound + F.lit(vec.SLACK) * F.greatest(F.abs("t"), F.lit(1.0)) >= F.col("t")).select("query_id", "s", "cluster")
+    return below.where(bound + _slack() >= F.col("t")).select("query_id", *own, "s", "cluster")
+
+
+def kcenter_slices(keys: DataFrame, dim: int, parts: int, bf: int, clustering: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """[head, ]s, pos, cluster, sub: every slice clustered by itself, as keys of their own, by one of ``clusterings.CLUSTERINGS``."""
+    own = heads(keys)
+    out = None
+    for s, (a, w) in enumerate(vec.split_widths(dim, parts)):
+        part = keys.select(*own, "pos", vec.doubles(vec.piece(F.col("key"), a, w)).alias("key"))
+        made = clustering(part, bf).select(*own, F.lit(s).alias("s"), "pos", "cluster", F.col("key").alias("sub"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def attend_through(queries: DataFrame, keys: DataFrame, gate: DataFrame, members: DataFrame, parts: int, mode: str = "and") -> DataFrame:
+    """query_id, pos, score, value of the keys that a slice gate lets through, to be attended to together with a buffer."""
+    through = keys_through(gate, members, parts, mode)
+    own = heads(through, keys)
+    rows = keys.select(*own, "pos", "key", "value").join(through, [*own, "pos"])
+    asked = measured(queries.select("query_id", "query"))
+    return rows.join(asked, "query_id").select("query_id", "pos", vec.dot("query", "key").alias("score"), "value")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.operators.blocks import measured
+from keelson.operators.ranks import running
 
 
 def in_sample(pos, size: int, n: int):
@@ -16,9 +17,15 @@ def in_sample(pos, size: int, n: int):
 
 
 def _ranked(scored: DataFrame) -> DataFrame:
+    """Ranks below a bound, which Spark limits before it shuffles; whole orders go through ``ranks.running``."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos")))
 
 
+def _all_ranked(scored: DataFrame) -> DataFrame:
+    sizes = measured(scored.groupBy("query_id").agg(F.count("*").alias("m")))
+    return running(scored, ["query_id"], [F.desc("score"), F.col("pos")]).join(sizes, "query_id")
+
+
 def kth_best(scored: DataFrame, k: int = 64, strict: bool = False) -> DataFrame:
     """The k-th largest score; the smallest if there are fewer, or no row then if ``strict``."""
     kept = _ranked(scored).where(F.col("rank") <= k)
@@ -26,6 +33,11 @@ def kth_best(scored: DataFrame, k: int = 64, strict: bool = False) -> DataFrame:
     return (out.where(F.col("n") == k) if strict else out).select("query_id", "t")
 
 
+def kth_of(best: DataFrame) -> DataFrame:
+    """The least score among each query's rows of ``best(query_id, score)``, such as ``search.best`` gives: its k-th largest."""
+    return best.groupBy("query_id").agg(F.min("score").alias("t"))
+
+
 def sample_max(sample: DataFrame) -> DataFrame:
     return sample.groupBy("query_id").agg(F.max("score").alias("t"))
 
@@ -40,15 +52,14 @@ def full_search(scored: DataFrame) -> DataFrame:
 
 def budget(sample: DataFrame, share: float) -> DataFrame:
     """The score at rank ``max(1, int(share * size))``."""
-    ranked = _ranked(sample).withColumn("m", F.count("*").over(Window.partitionBy("query_id")))
-    return ranked.where(F.col("rank") == F.greatest(F.lit(1), F.floor(F.col("m") * share))).select("query_id", F.col("score").alias("t"))
+    return _all_ranked(sample).where(F.col("rank") == F.greatest(F.lit(1), F.floor(F.col("m") * share))).select("query_id", F.col("score").alias("t"))
 
 
 def sample_gap(sample: DataFrame, share: float = 0.25) -> DataFrame:
     """Below the earliest of the three largest gaps among the best ``max(2, int(share * size))`` scores."""
-    ranked = _ranked(sample).withColumn("m", F.count("*").over(Window.partitionBy("query_id")))
-    head = ranked.where(F.col("rank") <= F.greatest(F.lit(2), F.floor(F.col("m") * share)))
-    gaps = head.withColumn("below", F.lead("score").over(Window.partitionBy("query_id").orderBy("rank"))).where("below IS NOT NULL").withColumn("gap", F.col("score") - F.col("below"))
+    head = _all_ranked(sample).where(F.col("rank") <= F.greatest(F.lit(2), F.floor(F.col("m") * share)))
+    after = head.select("query_id", (F.col("rank") - 1).alias("rank"), F.col("score").alias("below"))
+    gaps = head.join(after, ["query_id", "rank"]).withColumn("gap", F.col("score") - F.col("below"))
     largest = gaps.withColumn("g", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gap"), "rank"))).where("g <= 3")
     return largest.groupBy("query_id").agg(F.min_by("below", "rank").alias("t"))
 
@@ -74,9 +85,9 @@ ORACLES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 
 def judge(scored: DataFrame, thresholds: DataFrame, k: int = 10) -> DataFrame:
     """Per query: retrieved share, and recall of the k best (1 if there are none)."""
-    ranked = _ranked(scored).join(measured(thresholds), "query_id")
+    limits = measured(thresholds)
     hit = F.col("score") >= F.col("t")
-    return ranked.groupBy("query_id").agg(
-        F.avg(hit.cast("double")).alias("share"),
-        F.coalesce(F.count_if(hit & (F.col("rank") <= k)) / F.nullif(F.count_if(F.col("rank") <= k), F.lit(0)), F.lit(1.0)).alias("recall"),
-    )
+    share = scored.join(limits, "query_id").groupBy("query_id").agg(F.avg(hit.cast("double")).alias("share"))
+    best = _ranked(scored.select("query_id", "pos", "score")).where(F.col("rank") <= k).join(limits, "query_id")
+    recall = best.groupBy("query_id").agg((F.count_if(hit) / F.count("*")).alias("recall"))
+    return share.join(recall, "query_id", "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))

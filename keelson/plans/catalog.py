@@ -7,7 +7,6 @@ are four of sixteen dimensions.  Sums are rounded to six places.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,10 +14,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.attend import Config, SparseIndex
 from keelson.functions import text as scorers
 from keelson.functions import vec
 from keelson.operators import attention, clusterings, enclosures, index, metrics, search, subspace, thresholds
 from keelson.operators.blocks import against
+from keelson.operators.lineage import cut, shared_folder
 from keelson.sources.tables import keys_of, queries_of
 from keelson.streaming import state
 
@@ -40,6 +41,10 @@ SOFT = """w AS (SELECT query_id, pos, score, exp((score - max(score) OVER (PARTI
 p AS (SELECT query_id, pos, score, e / sum(e) OVER (PARTITION BY query_id) AS p FROM w)"""
 
 
+#: Weighted values of ``p``, one row a dimension.
+_VALUES = "v AS (SELECT query_id, d - 1 AS d, sum(p * (x * 0.5 + 0.25)) AS x FROM (SELECT query_id, p, unnest(key) AS x, generate_subscripts(key, 1) AS d FROM p JOIN k USING (pos)) GROUP BY ALL) SELECT query_id, d::INTEGER AS d, round(x, 6) + 0.0 AS x FROM v"
+
+
 def query(name: str, sql: str | None = None):
     def register(f):
         _QUERIES[name] = f
@@ -62,14 +67,14 @@ def _scored(spark, d) -> DataFrame:
     return search.scores(queries_of(spark, d), keys_of(spark, d))
 
 
-def _limits(scored: DataFrame, k: int = K) -> DataFrame:
+def _limits(spark, d, k: int = K) -> DataFrame:
     """t of each query: its k-th best score; one row a query."""
-    return thresholds.kth_best(scored, k)
+    return thresholds.kth_of(search.best(queries_of(spark, d), keys_of(spark, d), k))
 
 
 def _asked(spark, d) -> DataFrame:
     """The queries with their thresholds: few rows, computed once."""
-    return queries_of(spark, d).join(_limits(_scored(spark, d)), "query_id").cache()
+    return cut(queries_of(spark, d).join(_limits(spark, d), "query_id"))
 
 
 def _weighted(spark, d) -> DataFrame:
@@ -92,8 +97,7 @@ def _slices(spark, d):
 
 @query("halfspace_topk", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
 def halfspace_topk(spark, d):
-    s = _scored(spark, d)
-    return search.exact(search.with_limits(s, _limits(s)), F.col("t")).select("query_id", "pos", _six("score").alias("score"))
+    return search.halfspace_blocks(_asked(spark, d), keys_of(spark, d)).select("query_id", "pos", _six("score").alias("score"))
 
 
 @query("halfspace_scaled", f"WITH {BASE} SELECT query_id, pos, round(score * 0.125, 6) + 0.0 AS score FROM s WHERE score >= 0.2")
@@ -127,7 +131,7 @@ def halfspace_blocks(spark, d):
 
 @query("top_k", f"WITH {BASE} SELECT query_id, rank, pos FROM r WHERE rank <= 10")
 def top_k(spark, d):
-    return search.top_k(_scored(spark, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "pos")
+    return search.best(queries_of(spark, d), keys_of(spark, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "pos")
 
 
 @query("top_k_causal", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query FROM embeddings WHERE vec_id % 50 = 0), k AS (SELECT vec_id AS pos, embedding::DOUBLE[] AS key FROM embeddings), r AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(query, key) DESC, pos) AS rank FROM q JOIN k ON pos < query_id) SELECT * FROM r WHERE rank <= 5")
@@ -140,9 +144,9 @@ def top_k_causal(spark, d):
 
 @query("ball_gate", f"WITH {BASE}, {NODES} SELECT query_id, count(*) AS clusters, sum(size)::BIGINT AS scanned FROM nodes, q JOIN t USING (query_id) WHERE list_dot_product(query, center) + sqrt(list_dot_product(query, query)) * radius + 1e-9 >= t GROUP BY query_id")
 def ball_gate(spark, d):
-    nodes = index.balls(index.by_position(keys_of(spark, d), BF), DIM)
-    ok = enclosures.ball() + vec.SLACK >= F.col("t")
-    return against(nodes, _asked(spark, d)).where(ok).groupBy("query_id").agg(F.count("*").alias("clusters"), F.sum("size").alias("scanned"))
+    nodes = index.balls(index.by_position(keys_of(spark, d), BF), DIM).select("cluster", "size", "center", "radius")
+    passed = search.gate(_asked(spark, d), nodes).select("size", F.explode("ids").alias("query_id"))
+    return passed.groupBy("query_id").agg(F.count("*").alias("clusters"), F.sum("size").alias("scanned"))
 
 
 @query("gated_search", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
@@ -158,16 +162,30 @@ def gated_candidates(spark, d):
 
 
 def _tree(spark, d, levels: int):
-    """Nodes and keys of a tree; the nodes, an index, are computed once."""
-    nodes, leaves = index.tree(keys_of(spark, d), DIM, BF, levels)
-    return nodes.cache(), leaves
+    """Nodes and keys of a tree of runs of positions; every level is written once."""
+    return index.tree(keys_of(spark, d), DIM, BF, levels)
 
 
 @query("tree_search", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
 def tree_search(spark, d):
     nodes, leaves = _tree(spark, d, 3)
-    hits, _ = search.descend(_asked(spark, d), nodes, leaves, 3)
-    return hits.select("query_id", "pos", _six("score").alias("score"))
+    return search.descend(_asked(spark, d), nodes, leaves, 3).select("query_id", "pos", _six("score").alias("score"))
+
+
+@query("clustered_tree_search", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
+def clustered_tree_search(spark, d):
+    """A tree of k-means clusters of clusters: the hits are those of a full scan, whatever the clusters."""
+    nodes, leaves = index.tree(keys_of(spark, d), DIM, BF, 2, clusterings.CLUSTERINGS["kmeans"])
+    return search.descend(_asked(spark, d), nodes, leaves, 2).select("query_id", "pos", _six("score").alias("score"))
+
+
+@query("placed_tree_search", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
+def placed_tree_search(spark, d):
+    """The same after a buffer's worth of keys (every ninth) was placed in a tree of the others: grown radii lose no hit."""
+    keys = keys_of(spark, d)
+    nodes, leaves = index.tree(keys.where("pos % 9 <> 4"), DIM, BF, 2, clusterings.CLUSTERINGS["kmeans"])
+    nodes, leaves = index.add_to_tree(nodes, leaves, keys.where("pos % 9 = 4"), DIM, BF, 2)
+    return search.descend(_asked(spark, d), nodes, leaves, 2).select("query_id", "pos", _six("score").alias("score"))
 
 
 @query("tree_levels", f"WITH {BASE} SELECT level::INTEGER AS level, count(DISTINCT pos // (4 ** level)::BIGINT) AS nodes FROM k, range(1, 4) l(level) GROUP BY level")
@@ -182,10 +200,28 @@ def tree_radii(spark, d):
     return nodes.select("node", "parent", _six("radius").alias("radius"))
 
 
-@query("tree_profile")
+def _above(node: str, below: str) -> str:
+    """A level of a positional tree over the one below: centre of centres, and the radius that encloses them."""
+    return f"""{node}d AS (SELECT node // 4 AS node, d, avg(x) AS c FROM (SELECT node, unnest(center) AS x, generate_subscripts(center, 1) AS d FROM {below}) GROUP BY ALL),
+{node}c AS (SELECT node, list(c ORDER BY d) AS center FROM {node}d GROUP BY node),
+{node} AS (SELECT c.node, any_value(c.center) AS center, max(list_distance(b.center, c.center) + b.radius) AS radius FROM {below} b JOIN {node}c c ON c.node = b.node // 4 GROUP BY c.node)"""
+
+
+_PASS = "list_dot_product(query, center) + sqrt(list_dot_product(query, query)) * radius + 1e-9 >= t"
+_N1 = "n1 AS (SELECT cluster AS node, center, radius FROM nodes)"
+
+
+def _profile_sql(levels: int) -> str:
+    above = ", ".join(_above(f"n{k}", f"n{k - 1}") for k in range(2, levels + 1))
+    judged = [f"c{levels} AS (SELECT query_id, node, {_PASS} AS ok FROM n{levels}, q JOIN t USING (query_id))"]
+    judged += [f"c{k} AS (SELECT q.query_id, n{k}.node, {_PASS} AS ok FROM n{k} JOIN c{k + 1} a ON a.node = n{k}.node // 4 AND a.ok JOIN q ON q.query_id = a.query_id JOIN t ON t.query_id = q.query_id)" for k in range(levels - 1, 0, -1)]
+    return f"{BASE}, {NODES}, {_N1}, {above}, {', '.join(judged)}, pr AS ({' UNION ALL '.join(f'SELECT query_id, {k} AS level, count(*) AS checked, count_if(ok) AS passed FROM c{k} GROUP BY query_id' for k in range(1, levels + 1))})"
+
+
+@query("tree_profile", f"WITH {_profile_sql(3)} SELECT level, sum(checked)::BIGINT AS checked, sum(passed)::BIGINT AS passed FROM pr GROUP BY level")
 def tree_profile(spark, d):
-    nodes, leaves = _tree(spark, d, 3)
-    return search.descend(_asked(spark, d), nodes, leaves, 3)[1].groupBy("level").agg(F.sum("checked").alias("checked"), F.sum("passed").alias("passed"))
+    nodes, _ = _tree(spark, d, 3)
+    return search.descent_profile(_asked(spark, d), nodes, 3).groupBy("level").agg(F.sum("checked").alias("checked"), F.sum("passed").alias("passed"))
 
 
 @query("index_memory", f"WITH {BASE} SELECT (SELECT count(DISTINCT pos // 4) FROM k) AS n_nodes, (SELECT count(*) FROM k) AS n_children, ((SELECT count(DISTINCT pos // 4) FROM k) * 65 + (SELECT count(*) FROM k) * 64) * 4 AS bytes")
@@ -206,15 +242,27 @@ def nearest_center(spark, d):
     return index.nearest_center(k, index.centers(index.by_position(k, BF), DIM)).select("pos", "cluster", _six("distance").alias("distance"))
 
 
-@query("place_arrivals")
+@query("place_arrivals", f"WITH {BASE}, o AS (SELECT pos // 4 AS cluster, key FROM k WHERE pos < 400), od AS (SELECT cluster, d, avg(x) AS c FROM (SELECT cluster, unnest(key) AS x, generate_subscripts(key, 1) AS d FROM o) GROUP BY ALL), oc AS (SELECT cluster, list(c ORDER BY d) AS center FROM od GROUP BY cluster), sz AS (SELECT cluster, count(*) AS size FROM o GROUP BY cluster), nn AS (SELECT pos, cluster, list_distance(key, center) AS dist, row_number() OVER (PARTITION BY pos ORDER BY list_distance(key, center), cluster) AS r FROM k, oc WHERE pos >= 400), rk AS (SELECT pos, cluster, size + row_number() OVER (PARTITION BY cluster ORDER BY dist, pos) <= 8 AS fits FROM nn JOIN sz USING (cluster) WHERE r = 1) SELECT pos, cluster FROM rk WHERE fits UNION ALL SELECT pos, (SELECT max(cluster) + 1 FROM o) + (row_number() OVER (ORDER BY pos) - 1) // 8 AS cluster FROM rk WHERE NOT fits")
 def place_arrivals(spark, d):
     k = keys_of(spark, d)
-    old, new = index.centers(index.by_position(k.where("pos < 400"), BF), DIM), k.where("pos >= 400").select("pos", "key")
+    old, new = index.centers(index.by_position(k.where("pos < 400"), BF), DIM), k.where("pos >= 400").select("head", "pos", "key")
     placed, orphans = index.place_arrivals(old, new, 2 * BF)
     return placed.union(orphans).select("pos", "cluster")
 
 
-@query("variance_tree")
+def _variance_sql(rounds: int = 10) -> str:
+    """Halving along the widest axis, round by round; nodes of 32 rows or fewer stay."""
+    parts = ["v0 AS (SELECT pos, s, sub, 1::BIGINT AS cluster FROM ks)"]
+    for k in range(rounds):
+        parts.append(f"""w{k} AS (SELECT s, cluster, list_position(list(v ORDER BY d), max(v)) AS axis, any_value(n) AS n FROM (SELECT s, cluster, d, round(var_pop(x), 12) AS v, count(*) AS n FROM (SELECT s, cluster, unnest(sub) AS x, generate_subscripts(sub, 1) AS d FROM v{k}) GROUP BY ALL) GROUP BY s, cluster),
+v{k + 1} AS (SELECT pos, s, sub, CASE WHEN n > 32 THEN cluster * 2 + (r > ceil(n / 2))::BIGINT ELSE cluster END AS cluster FROM (SELECT pos, s, sub, cluster, n, row_number() OVER (PARTITION BY s, cluster ORDER BY sub[axis], pos) AS r FROM v{k} JOIN w{k} USING (s, cluster)))""")
+    return ", ".join(parts)
+
+
+SLICES = "ks AS (SELECT pos, i AS s, key[i * 16 + 1:i * 16 + 16] AS sub FROM k, range(4) g(i))"
+
+
+@query("variance_tree", f"WITH {BASE}, {SLICES}, {_variance_sql()} SELECT s::INTEGER AS s, cluster, count(*) AS size FROM v10 GROUP BY s, cluster")
 def variance_tree(spark, d):
     members = index.flush_groups(keys_of(spark, d), DIM, PARTS, BF).drop("cluster")
     return index.variance_tree(members, DIM // PARTS, 32).groupBy("s", "cluster").agg(F.count("*").alias("size"))
@@ -225,6 +273,83 @@ def flush_groups(spark, d):
     return index.flush_groups(keys_of(spark, d), DIM, PARTS, BF).select("s", "pos", "cluster")
 
 
+# Heads: four query heads over two key heads, whose positions are the same
+
+HEADS = BASE.replace("embedding::DOUBLE[] AS query FROM", "embedding::DOUBLE[] AS query, vec_id // 50 % 4 // 2 AS head FROM").replace("SELECT vec_id AS pos,", "SELECT vec_id % 2 AS head, vec_id // 2 AS pos,").replace("FROM q, k)", "FROM q JOIN k USING (head))").replace("SELECT query_id, pos, query", "SELECT query_id, head, pos, query")
+_HEAD_HITS = f"WITH {HEADS} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t"
+
+
+def _headed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Queries with thresholds, and keys."""
+    q, k = queries_of(spark, d, heads=4, key_heads=2), keys_of(spark, d, 2, same_positions=True)
+    return cut(q.join(thresholds.kth_of(search.best(q, k, K)), "query_id")), k
+
+
+def _rounded(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "pos", _six("score").alias("score"))
+
+
+@query("heads_gate", _HEAD_HITS)
+def heads_gate(spark, d):
+    q, k = _headed(spark, d)
+    m = index.by_position(k, BF)
+    return _rounded(search.gated(q, index.balls(m, DIM), m))
+
+
+@query("heads_tree", _HEAD_HITS)
+def heads_tree(spark, d):
+    q, k = _headed(spark, d)
+    nodes, leaves = index.tree(k, DIM, BF, 2, clusterings.CLUSTERINGS["kmeans"])
+    return _rounded(search.descend(q, nodes, leaves, 2))
+
+
+@query("heads_updated", _HEAD_HITS)
+def heads_updated(spark, d):
+    """Two thirds of each head are indexed, one sixth is appended as a subtree, one sixth is placed in the tree."""
+    q, k = _headed(spark, d)
+    config = Config(dim=DIM, bf=BF, levels=2, clustering="kmeans")
+    built = SparseIndex.build(k.where("pos % 6 < 4"), config).append(k.where("pos % 6 = 4")).update()
+    return _rounded(built.append(k.where("pos % 6 = 5")).configured(mode="placed").update().search(q))
+
+
+@query("heads_scaled", f"WITH {HEADS} SELECT query_id, pos, round(score * CASE WHEN head = 0 THEN 0.5 ELSE 2.0 END, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
+def heads_scaled(spark, d):
+    """Scores are compared as they are, and scaled after by their head's number."""
+    q, k = _headed(spark, d)
+    return _rounded(SparseIndex.build(k, Config(dim=DIM, bf=BF)).search(q, {0: 0.5, 1: 2.0}))
+
+
+@query("heads_attend", f"WITH {HEADS.replace('t AS (', 't0 AS (')}, h AS (SELECT s.* FROM s JOIN t0 USING (query_id) WHERE score >= t AND pos < 150 UNION ALL SELECT * FROM s WHERE pos >= 150), {SOFT.replace('FROM s)', 'FROM h)')}, v AS (SELECT query_id, d - 1 AS d, sum(p * (x * 0.5 + 0.25)) AS x FROM (SELECT query_id, p, unnest(key) AS x, generate_subscripts(key, 1) AS d FROM p JOIN s USING (query_id, pos)) GROUP BY ALL) SELECT query_id, d::INTEGER AS d, round(x, 6) + 0.0 AS x FROM v")
+def heads_attend(spark, d):
+    """The index holds each head's positions below 150, the buffer all others."""
+    q, k = _headed(spark, d)
+    return _dims(SparseIndex.build(k.where("pos < 150"), Config(dim=DIM, bf=BF)).append(k.where("pos >= 150")).attend(q))
+
+
+@query("heads_lengths", f"WITH {HEADS} SELECT head::INTEGER AS head, count_if(pos < 150)::BIGINT AS indexed, count_if(pos >= 150)::BIGINT AS buffered FROM k GROUP BY head")
+def heads_lengths(spark, d):
+    k = keys_of(spark, d, 2, same_positions=True)
+    return SparseIndex.build(k.where("pos < 150"), Config(dim=DIM, bf=BF)).append(k.where("pos >= 150")).lengths()
+
+
+@query("heads_slices", f"WITH {HEADS}, qs AS (SELECT query_id, head, i AS s, query[i * 16 + 1:i * 16 + 16] AS qs FROM q, range(4) g(i)), ks AS (SELECT head, pos, i AS s, key[i * 16 + 1:i * 16 + 16] AS sub FROM k, range(4) g(i)), ts AS (SELECT query_id, head, s, min(list_dot_product(qs, sub)) AS t FROM r JOIN qs USING (query_id, head) JOIN ks USING (head, pos, s) WHERE rank <= 20 GROUP BY ALL), m AS (SELECT head, pos, s, sub, (row_number() OVER (PARTITION BY head, s ORDER BY list_reduce(list_prepend(0.0::DOUBLE, sub), lambda a, b: a + b), pos) - 1) // 4 AS cluster FROM ks), sd AS (SELECT head, s, cluster, d, avg(x) AS c FROM (SELECT head, s, cluster, unnest(sub) AS x, generate_subscripts(sub, 1) AS d FROM m) GROUP BY ALL), sc AS (SELECT head, s, cluster, list(c ORDER BY d) AS center FROM sd GROUP BY ALL), sn AS (SELECT head, s, cluster, any_value(center) AS center, max(list_distance(sub, center)) AS radius FROM m JOIN sc USING (head, s, cluster) GROUP BY ALL), gate AS (SELECT query_id, head, s, cluster FROM sn JOIN qs USING (head, s) JOIN ts USING (query_id, head, s) WHERE list_dot_product(qs, center) + sqrt(list_dot_product(qs, qs)) * radius + 1e-9 >= t), x AS (SELECT query_id, pos FROM gate JOIN m USING (head, s, cluster) GROUP BY query_id, pos HAVING count(*) = 4) SELECT query_id, count(*) AS kept FROM x GROUP BY query_id")
+def heads_slices(spark, d):
+    q, k = _headed(spark, d)
+    top = search.best(q, k, K).select("query_id", "pos").join(q.select("query_id", "head"), "query_id").join(k.select("head", "pos", "key"), ["head", "pos"])
+    limits = cut(subspace.slice_thresholds(q, top.select("query_id", "pos", "key"), DIM, PARTS))
+    members = index.flush_groups(k, DIM, PARTS, BF)
+    gate = subspace.cluster_gate(limits, subspace.slice_balls(members, DIM, PARTS))
+    return subspace.keys_through(gate, members, PARTS).groupBy("query_id").agg(F.count("*").alias("kept"))
+
+
+@query("engine_recall", f"WITH {BASE} SELECT query_id, 1.0::DOUBLE AS recall, count(*) AS retrieved FROM s JOIN t USING (query_id) WHERE score >= t GROUP BY query_id")
+def engine_recall(spark, d):
+    """Recall of the ten best keys by the engine's own index, next to the baselines' ``policy_recall``."""
+    q, k = _asked(spark, d), keys_of(spark, d)
+    found = SparseIndex.build(k, Config(dim=DIM, bf=BF, levels=2, clustering="kmeans")).search(q).select("query_id", "pos")
+    return metrics.recall_at(found, search.best(q, k, 10).select("query_id", "pos"))
+
+
 # Subspaces and the threshold algorithm
 
 SLICED = """qs AS (SELECT query_id, i AS s, query[i * 16 + 1:i * 16 + 16] AS qs FROM q, range(4) g(i)),
@@ -238,8 +363,8 @@ gate AS (SELECT query_id, s, cluster FROM sn JOIN qs USING (s) JOIN ts USING (qu
 
 
 def _slice_limits(spark, d):
-    top = search.top_k(_scored(spark, d), K).select("query_id", "pos", "key")
-    return subspace.slice_thresholds(queries_of(spark, d), top, DIM, PARTS).cache()
+    top = search.best(queries_of(spark, d), keys_of(spark, d), K).select("query_id", "pos").join(keys_of(spark, d).select("pos", "key"), "pos")
+    return cut(subspace.slice_thresholds(queries_of(spark, d), top, DIM, PARTS))
 
 
 @query("slice_thresholds", f"WITH {BASE}, {SLICED} SELECT query_id, s::INTEGER AS s, round(t, 6) + 0.0 AS t FROM ts")
@@ -264,15 +389,21 @@ for _mode, _count in (("and", "= 4"), ("or", "> 0")):
     query(f"subspace_{_mode}", f"WITH {BASE}, {SLICED}, x AS (SELECT query_id, pos FROM gate JOIN m USING (s, cluster) GROUP BY query_id, pos HAVING count(*) {_count}) SELECT query_id, count(*) AS kept FROM x GROUP BY query_id")(_through(_mode))
 
 
-@query("point_sets", f"WITH {BASE}, {SLICED}, h AS (SELECT query_id, pos, count(*) AS n FROM qs JOIN ks USING (s) JOIN ts USING (query_id, s) WHERE list_dot_product(qs, sub) >= t GROUP BY query_id, pos), x AS (SELECT query_id, pos FROM h WHERE n = 4), tt AS (SELECT query_id, pos FROM r WHERE rank <= 20), o AS (SELECT query_id, pos FROM h) SELECT q.query_id, (SELECT count(*) FROM x WHERE x.query_id = q.query_id) AS all_slices, (SELECT count(*) FROM o WHERE o.query_id = q.query_id) AS any_slice, (SELECT count(*) FROM (SELECT pos FROM o WHERE o.query_id = q.query_id EXCEPT SELECT pos FROM tt WHERE tt.query_id = q.query_id)) AS extra FROM q")
+@query("point_sets", f"WITH {BASE}, {SLICED}, h AS (SELECT query_id, pos, count(*) AS n FROM qs JOIN ks USING (s) JOIN ts USING (query_id, s) WHERE list_dot_product(qs, sub) >= t GROUP BY query_id, pos), tt AS (SELECT query_id, pos, true AS top FROM r WHERE rank <= 20), b AS (SELECT query_id, coalesce(n = 4, false) AS in_all, n IS NOT NULL AS in_any, coalesce(top, false) AS top FROM h FULL JOIN tt USING (query_id, pos)) SELECT query_id, count_if(in_all) AS all_slices, count_if(in_any) AS any_slice, count_if(top) AS best, count_if(in_any AND NOT top) AS any_not_best, count_if(top AND NOT in_all) AS best_not_all, count_if(in_any AND NOT in_all) AS any_not_all, count_if(in_all AND NOT top) AS all_not_best FROM b GROUP BY query_id")
 def point_sets(spark, d):
     pieces = subspace.slices_of(keys_of(spark, d), "key", DIM, PARTS, ("pos",))
-    limits = _slice_limits(spark, d)
-    both = subspace.point_gate(limits, pieces, PARTS, "and").groupBy("query_id").agg(F.count("*").alias("all_slices"))
-    any_ = subspace.point_gate(limits, pieces, PARTS, "or")
-    extra = any_.exceptAll(search.top_k(_scored(spark, d), K).select("query_id", "pos")).groupBy("query_id").agg(F.count("*").alias("extra"))
-    out = queries_of(spark, d).select("query_id").join(both, "query_id", "left").join(any_.groupBy("query_id").agg(F.count("*").alias("any_slice")), "query_id", "left").join(extra, "query_id", "left")
-    return out.select("query_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("all_slices", "any_slice", "extra")])
+    best = search.best(queries_of(spark, d), keys_of(spark, d), K)
+    return subspace.point_relations(_slice_limits(spark, d), pieces, best, PARTS)
+
+
+@query("attention_subspace", f"WITH {BASE.replace('s AS (SELECT', 's0 AS (SELECT').replace('FROM s)', 'FROM s0)')}, {SLICED}, a AS (SELECT query_id, pos FROM gate JOIN m USING (s, cluster) GROUP BY query_id, pos HAVING count(*) = 4), s AS (SELECT * FROM s0 JOIN a USING (query_id, pos) WHERE pos < 400 UNION ALL SELECT * FROM s0 WHERE pos >= 400), {SOFT}, {_VALUES}")
+def attention_subspace(spark, d):
+    """Keys of the index (positions below 400) that pass the gates of all slices, and the whole buffer."""
+    _, members, nodes = _slices(spark, d)
+    gate = subspace.cluster_gate(_slice_limits(spark, d), nodes)
+    inside = subspace.attend_through(queries_of(spark, d), keys_of(spark, d), gate, members, PARTS).where("pos < 400")
+    waiting = search.scores(queries_of(spark, d), keys_of(spark, d).where("pos >= 400")).select("query_id", "pos", "score", "value")
+    return _dims(attention.attend(attention.with_buffer(inside, waiting), queries_of(spark, d), DIM, SCALE))
 
 
 def _ta_sql(sign: str) -> str:
@@ -284,8 +415,7 @@ cand AS (SELECT DISTINCT query_id, pos FROM rk JOIN dp USING (query_id) JOIN m U
 def _ta(bound):
     def run(spark, d):
         _, members, nodes = _slices(spark, d)
-        s = _scored(spark, d)
-        limits = _limits(s)
+        s, limits = _scored(spark, d), cut(_limits(spark, d))
         ranks = subspace.ta_ranks(queries_of(spark, d), nodes, DIM, PARTS, bound)
         depth = subspace.ta_depth(ranks, limits)
         found = search.with_limits(subspace.ta_candidates(ranks, depth, members).join(s.select("query_id", "pos", "score"), ["query_id", "pos"]), limits)
@@ -344,7 +474,7 @@ def enclosure_scan(spark, d):
     return enclosures.scanned(enclosures.passes(summary, _asked(spark, d), DIM, list(NAMES)), list(NAMES)).withColumn("scanned", _six("scanned"))
 
 
-@query("analytic_cost", f"{_scan_sql(NAMES)}, c AS (SELECT enclosing, avg(scanned) AS scanned, CASE WHEN enclosing IN ('ball_centroid', 'span_ball') THEN 1.0 ELSE 2.0 END / 4 + avg(scanned) AS ratio FROM z GROUP BY enclosing) SELECT enclosing, round(scanned, 6) AS scanned, round(ratio, 6) AS ratio, round(1 / ratio, 6) AS speedup FROM c")
+@query("analytic_cost", f"{_scan_sql(NAMES)}, c AS (SELECT enclosing, avg(scanned) AS scanned, CASE WHEN enclosing IN ('ball_centroid', 'span_ball', 'l1_ball', 'axis_interval') THEN 1.0 WHEN enclosing = 'hybrid' THEN 4.5 WHEN enclosing = 'ellipsoid' THEN 2.5 ELSE 2.0 END / 4 + avg(scanned) AS ratio FROM z GROUP BY enclosing) SELECT enclosing, round(scanned, 6) AS scanned, round(ratio, 6) AS ratio, round(1 / ratio, 6) AS speedup FROM c")
 def analytic_cost(spark, d):
     summary = enclosures.summaries(index.by_position(keys_of(spark, d), BF), DIM)
     cost = metrics.analytic_cost(enclosures.scanned(enclosures.passes(summary, _asked(spark, d), DIM, list(NAMES)), list(NAMES)), BF)
@@ -396,10 +526,17 @@ def hull_gate(spark, d):
     return enclosures.intersecting(passed, m.select("cluster").distinct().count()).withColumn("percentage", _six("percentage"))
 
 
-@query("quad_boxes")
+_QUARTERS = """sp AS (SELECT c, d, max(x) - min(x) AS span FROM (SELECT pos // 16 AS c, unnest(key) AS x, generate_subscripts(key, 1) AS d FROM k) GROUP BY ALL),
+ax AS (SELECT c, list_position(list(span ORDER BY d), max(span)) AS axis FROM sp GROUP BY c),
+nt AS (SELECT c, key, ntile(4) OVER (PARTITION BY c ORDER BY key[axis], pos) AS part FROM k JOIN ax ON c = pos // 16),
+qd AS (SELECT c, part, d, min(x) AS lo, max(x) AS hi FROM (SELECT c, part, unnest(key) AS x, generate_subscripts(key, 1) AS d FROM nt) GROUP BY ALL),
+qb AS (SELECT c, part, list(lo ORDER BY d) AS lo, list(hi ORDER BY d) AS hi FROM qd GROUP BY c, part)"""
+
+
+@query("quad_boxes", f"WITH {BASE}, {_QUARTERS}, h AS (SELECT DISTINCT query_id, c FROM qb, q JOIN t USING (query_id) WHERE {_box} + 1e-9 > t) SELECT query_id, count(*) AS count, round(100.0 * count(*) / (SELECT count(DISTINCT pos // 16) FROM k), 6)::DOUBLE AS percentage FROM h GROUP BY query_id")
 def quad_boxes(spark, d):
     m = index.by_position(keys_of(spark, d), 16)
-    return enclosures.intersecting(enclosures.parts_passes(m, _asked(spark, d), DIM), m.select("cluster").distinct().count())
+    return enclosures.intersecting(enclosures.parts_passes(m, _asked(spark, d), DIM), m.select("cluster").distinct().count()).withColumn("percentage", _six("percentage"))
 
 
 @query("refined_boxes")
@@ -488,9 +625,6 @@ def _dims(out: DataFrame) -> DataFrame:
     return out.select("query_id", F.posexplode("output").alias("d", "x")).select("query_id", "d", _six("x").alias("x"))
 
 
-_VALUES = "v AS (SELECT query_id, d - 1 AS d, sum(p * (x * 0.5 + 0.25)) AS x FROM (SELECT query_id, p, unnest(key) AS x, generate_subscripts(key, 1) AS d FROM p JOIN k USING (pos)) GROUP BY ALL) SELECT query_id, d::INTEGER AS d, round(x, 6) + 0.0 AS x FROM v"
-
-
 @query("attention_dense", f"WITH {BASE}, {SOFT}, {_VALUES}")
 def attention_dense(spark, d):
     return _dims(attention.attend(_scored(spark, d).select("query_id", "pos", "score", "value"), queries_of(spark, d), DIM, SCALE))
@@ -630,10 +764,10 @@ def pair_overlap(spark, d):
     return metrics.pair_overlap(sets).select("a", "b", "common", _six("jaccard").alias("jaccard"), _six("overlap").alias("overlap"))
 
 
-@query("hierarchical_cost")
+@query("hierarchical_cost", f"WITH {_profile_sql(2)} SELECT query_id, round(sum(checked) / (SELECT count(*) FROM k), 6)::DOUBLE AS cost, round((SELECT count(*) FROM k) / sum(checked), 6)::DOUBLE AS speedup FROM pr GROUP BY query_id")
 def hierarchical_cost(spark, d):
-    nodes, leaves = _tree(spark, d, 2)
-    return metrics.hierarchical_cost(search.descend(_asked(spark, d), nodes, leaves, 2)[1], keys_of(spark, d).count())
+    nodes, _ = _tree(spark, d, 2)
+    return metrics.hierarchical_cost(search.descent_profile(_asked(spark, d), nodes, 2), keys_of(spark, d).count()).select("query_id", _six("cost").alias("cost"), _six("speedup").alias("speedup"))
 
 
 @query("pca_summary")
@@ -668,20 +802,24 @@ def turn_context(spark, d):
 
 # Answer scorers over the benchmark's texts: each item against the next
 
-_PAIRS = "b AS (SELECT item_id, text AS p, lead(text, 1, text) OVER (ORDER BY item_id) AS g FROM benchmark)"
+#: Every third prediction is hyphenated, every seventh has nothing but articles: the order of the rules shows.
+_PAIRS = "b AS (SELECT item_id, CASE WHEN item_id % 7 = 0 THEN 'The a-an' WHEN item_id % 3 = 0 THEN replace(text, ' ', '-a-') ELSE text END AS p, CASE WHEN item_id % 14 = 0 THEN 'the' ELSE lead(text, 1, text) OVER (ORDER BY item_id) END AS g FROM benchmark)"
 
 
 def _normal(x):
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+    words = rf"array_to_string(list_transform(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'), lambda w: CASE WHEN w IN ('a', 'an', 'the') THEN ' ' ELSE w END), '')"
+    return rf"trim(regexp_replace(regexp_replace({words}, '[!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]+', ' ', 'g'))"
 
 
 def _answers(spark, d) -> DataFrame:
     b = spark.read.parquet(f"{d}/benchmark.parquet")
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("g"))
-    return b.select("item_id", F.col("text").alias("p")).join(nxt, "item_id", "left").withColumn("g", F.coalesce("g", "p"))
+    both = b.select("item_id", "text").join(nxt, "item_id", "left").withColumn("g", F.coalesce("g", "text"))
+    said = F.when(F.col("item_id") % 7 == 0, "The a-an").when(F.col("item_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("-a-"))).otherwise(F.col("text"))
+    return both.select("item_id", said.alias("p"), F.when(F.col("item_id") % 14 == 0, "the").otherwise(F.col("g")).alias("g"))
 
 
-@query("answer_f1", f"WITH {_PAIRS}, n AS (SELECT item_id, list_filter(string_split({_normal('p')}, ' '), lambda x: x <> '') AS p, list_filter(string_split({_normal('g')}, ' '), lambda x: x <> '') AS g FROM b), c AS (SELECT *, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))) AS c FROM n) SELECT item_id, round(CASE WHEN c = 0 THEN 0 ELSE 2 * c / (len(p) + len(g)) END, 6)::DOUBLE AS f1 FROM c")
+@query("answer_f1", f"WITH {_PAIRS}, n AS (SELECT item_id, list_filter(string_split({_normal('p')}, ' '), lambda x: x <> '') AS p, list_filter(string_split({_normal('g')}, ' '), lambda x: x <> '') AS g FROM b), c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) AS c FROM n) SELECT item_id, round(CASE WHEN c = 0 THEN 0 ELSE 2 * c / (len(p) + len(g)) END, 6)::DOUBLE AS f1 FROM c")
 def answer_f1(spark, d):
     return _answers(spark, d).select("item_id", _six(scorers.token_f1(F.col("p"), F.col("g"))).alias("f1"))
 
@@ -697,10 +835,31 @@ def substring_share(spark, d):
     return docs.select("doc_id", scorers.substring_share(F.col("text"), F.array(F.lit("license"), F.lit("TOKEN"))).alias("share"))
 
 
+#: Endings that announce an answer in each of the ways, fit or not, and one that doesn't.
+_ENDINGS = ("", " The answer is {}.", " Answer: {}, I think, or 12", r" \boxed{{{}}} follows", " So, the answer is {} of them", " which is **{}**", " = {}", " answer: 4321 and thus {} here", " of 1{} or 007 x")
+
+
+def _said(spark, d) -> DataFrame:
+    """Documents that end in an answer made from their ids, in one way after another."""
+    value = F.pmod(F.col("doc_id") * 37, F.lit(1200)).cast("string")
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.replace(F.replace(F.replace(ending, F.lit("{{"), F.lit("{")), F.lit("{}"), value), F.lit("}}"), F.lit("}"))).alias("said"))
+
+
+_SAID = "d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, '') || replace(replace(replace(list_extract([" + ", ".join(f"'{e}'" for e in _ENDINGS) + r"""], doc_id % 9 + 1), '{{', '{'), '{}', CAST(doc_id * 37 % 1200 AS VARCHAR)), '}}', '}'), '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g')) AS said FROM documents),
+n AS (SELECT doc_id, [try_cast(nullif(x, '') AS INT) FOR x IN [regexp_extract(said, '(?i)answer(?:\s+is)?\s*[:=]?\s*([0-9]{1,4})', 1), regexp_extract(said, '(?i)\\boxed\{([0-9]{1,4})\}', 1), regexp_extract(said, '(?i)(?:therefore|thus|so)\s*,?\s*(?:the\s+answer\s+is\s*)?([0-9]{1,4})', 1), regexp_extract(said, '(?:\*\*|__)([0-9]{1,4})(?:\*\*|__)\s*$', 1), regexp_extract(said, '([0-9]{1,4})\s*$', 1)]] AS said, list_filter(regexp_extract_all(said, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[0-9]{1,3}')) AS short FROM d)"""
+
+
 @query("last_number", r"SELECT doc_id, list_extract(regexp_extract_all(text, '-?\d+(?:\.\d+)?'), -1) AS answer FROM documents WHERE len(regexp_extract_all(text, '-?\d+(?:\.\d+)?')) > 0")
 def last_number(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", scorers.competition_answer(F.col("text")).alias("answer")).where("answer IS NOT NULL")
+    return docs.select("doc_id", scorers.last_number(F.col("text")).alias("answer")).where("answer IS NOT NULL")
+
+
+@query("competition_answers", f"WITH {_SAID} SELECT doc_id, coalesce(CAST(list_extract(list_filter(said, lambda x: x IS NOT NULL AND x <= 999), 1) AS VARCHAR), list_extract(short, -1)) AS answer FROM n")
+def competition_answers(spark, d):
+    return _said(spark, d).select("doc_id", scorers.competition_answer(F.col("said")).alias("answer"))
 
 
 @query("label_agreement", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
@@ -708,10 +867,18 @@ def label_agreement(spark, d):
     return spark.read.parquet(f"{d}/labels.parquet").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@query("boxed_answers", r"SELECT doc_id, '\frac{' || doc_id || '}{2}' AS answer FROM documents")
+#: Solutions: the last balanced box counts, else the last number; forms differ in sizing, case, blanks and zeros.
+_SOLUTIONS = (r" first \boxed{0}, then $\boxed{\left\dfrac{#}{ 2 }\right}$.", r" \boxed{#.50} and then \boxed{ 00#.0 } or", r" \boxed{\text{About #}} is not \boxed{8", " it is #.25, no box", r" \boxed{\big( X_{#} , {Y} \big)} done", r" $\boxed{ }$ after #")
+
+
+@query("boxed_answers", "WITH b AS (SELECT doc_id, text || replace(list_extract([" + ", ".join(f"'{x}'" for x in _SOLUTIONS) + r"""], doc_id % 6 + 1), '#', CAST(doc_id AS VARCHAR)) AS said FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+x AS (SELECT doc_id, coalesce(list_extract(regexp_extract_all(said, '\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}', 1), -1), list_extract(regexp_extract_all(said, '-?\d+(?:\.\d+)?'), -1)) AS answer FROM b),
+f AS (SELECT doc_id, lower(regexp_replace(regexp_replace(replace(regexp_replace(answer, '\\(left|right|big|Big|bigg|Bigg)\s*', '', 'g'), '\dfrac', '\frac'), '\\text\{([^}]*)\}', '\1', 'g'), '\s+', '', 'g')) AS form FROM x)
+SELECT doc_id, CASE WHEN try_cast(form AS DOUBLE) IS NULL THEN CASE WHEN form = '' THEN '0' ELSE form END WHEN try_cast(form AS DOUBLE) = floor(try_cast(form AS DOUBLE)) THEN CAST(CAST(try_cast(form AS DOUBLE) AS HUGEINT) AS VARCHAR) ELSE CAST(try_cast(form AS DOUBLE) AS VARCHAR) END AS answer FROM f""")
 def boxed_answers(spark, d):
-    """Solutions that end in a boxed fraction, made from ids."""
-    said = F.concat(F.lit(r"first \boxed{0}, then $\boxed{\left\dfrac{"), F.col("doc_id").cast("string"), F.lit(r"}{ 2 }}$."))
+    """The documents as solutions that end in a box or a number made from their ids."""
+    ending = F.element_at(F.array(*map(F.lit, _SOLUTIONS)), (F.col("doc_id") % len(_SOLUTIONS) + 1).cast("int"))
+    said = F.concat(F.coalesce("text", F.lit("")), F.replace(ending, F.lit("#"), F.col("doc_id").cast("string")))
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", scorers.normalised_math(scorers.boxed_answer(said)).alias("answer"))
 
 
@@ -742,8 +909,7 @@ def drop_positions(spark, d):
 
 def _streamed(spark, d, operator, mode: str, name: str) -> DataFrame:
     """Rows that a stateful operator writes for ``events`` as a stream, in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keelson-stream-")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/event[s].parquet")  # a pattern, as a plain path must be a folder
     out = operator(state.arrivals_of(rows))
 

@@ -11,16 +11,22 @@ KEYS = "layer int, head int, pos bigint, key array<float>, value array<float>"
 QUERIES = "query_id bigint, layer int, q_head int, step bigint, query array<float>"
 
 
-def keys_of(spark: SparkSession, sf_dir: str, heads: int = 1) -> DataFrame:
-    """``embeddings`` as keys: head, pos, key, value (half the key plus a quarter)."""
+def keys_of(spark: SparkSession, sf_dir: str, heads: int = 1, same_positions: bool = False) -> DataFrame:
+    """``embeddings`` as keys: head, pos, key, value (half the key plus a quarter); with ``same_positions`` every head counts from 0, as captures do."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select((F.col("vec_id") % heads).cast("int").alias("head"), F.col("vec_id").alias("pos"), F.col("embedding").alias("key"), F.transform("embedding", lambda x: x.cast("double") * 0.5 + 0.25).alias("value"))
+    pos = F.floor(F.col("vec_id") / heads).cast("long") if same_positions else F.col("vec_id")
+    return e.select((F.col("vec_id") % heads).cast("int").alias("head"), pos.alias("pos"), F.col("embedding").alias("key"), F.transform("embedding", lambda x: x.cast("double") * 0.5 + 0.25).alias("value"))
 
 
-def queries_of(spark: SparkSession, sf_dir: str, every: int = 50, heads: int = 1) -> DataFrame:
-    """The stated query set: the embeddings whose id is divisible by ``every``."""
+def queries_of(spark: SparkSession, sf_dir: str, every: int = 50, heads: int = 1, key_heads: int | None = None) -> DataFrame:
+    """The stated query set: the embeddings whose id is divisible by ``every``; dealt to ``heads``, which share ``key_heads`` if given."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") % every == 0)
-    return e.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % heads).cast("int").alias("q_head"), F.col("embedding").alias("query"))
+    if key_heads is None:
+        return e.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % heads).cast("int").alias("q_head"), F.col("embedding").alias("query"))
+    from keelson.operators.search import kv_head
+
+    own = e.select(F.col("vec_id").alias("query_id"), (F.floor(F.col("vec_id") / every) % heads).cast("int").alias("q_head"), F.col("embedding").alias("query"))
+    return own.withColumn("head", kv_head(F.col("q_head"), heads, key_heads))
 
 
 def read_capture(spark: SparkSession, path: str, layer: int | None = None) -> DataFrame:

@@ -22,21 +22,22 @@ def chance(pos: int, seed: int = 42) -> int:
 
 
 def flushes(arrivals: DataFrame, size: int = 256) -> DataFrame:
-    """head, batch, pos, key of full buffers: each head's arrivals in order, ``size`` at a time; the rest stays in state."""
+    """head, batch, pos, key of full buffers: each head's arrivals in order, ``size`` at a time; the rest stays in state.
+
+    A head's arrivals of one trigger are in memory at once: bound them by the source's rate.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         batch, pos, rows = state.get if state.exists else (0, [], [])
-        pos, rows = list(pos), [list(r) for r in rows]
-        for f in frames:
-            f = f.sort_values("pos")
-            pos += f["pos"].tolist()
-            rows += [list(map(float, k)) for k in f["key"]]
-            full = len(pos) // size * size
-            for at in range(0, full, size):
-                yield pd.DataFrame({"head": key[0], "batch": batch, "pos": pos[at : at + size], "key": rows[at : at + size]})
-                batch += 1
-            pos, rows = pos[full:], rows[full:]
-        state.update((batch, pos, rows))
+        # a key's frames of one trigger come in any order: they are put in order before the buffer is cut
+        f = pd.concat(list(frames)).sort_values("pos", kind="stable")
+        pos = [*pos, *f["pos"].tolist()]
+        rows = [*map(list, rows), *(list(map(float, k)) for k in f["key"])]
+        full = len(pos) // size * size
+        for at in range(0, full, size):
+            yield pd.DataFrame({"head": key[0], "batch": batch, "pos": pos[at : at + size], "key": rows[at : at + size]})
+            batch += 1
+        state.update((batch, pos[full:], rows[full:]))
 
     return arrivals.groupBy("head").applyInPandasWithState(
         step, "head int, batch long, pos long, key array<double>", "batch long, pos array<long>, keys array<array<double>>", "append", "NoTimeout"
@@ -49,13 +50,12 @@ def reservoir(arrivals: DataFrame, size: int, seed: int = 42) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seen, sample = state.get if state.exists else (0, [])
         sample = list(sample)
-        for f in frames:
-            for p in sorted(f["pos"]):
-                if len(sample) < size:
-                    sample.append(int(p))
-                elif (j := chance(int(p), seed) % (seen + 1)) < size:
-                    sample[j] = int(p)
-                seen += 1
+        for p in sorted(p for f in frames for p in f["pos"]):
+            if len(sample) < size:
+                sample.append(int(p))
+            elif (j := chance(int(p), seed) % (seen + 1)) < size:
+                sample[j] = int(p)
+            seen += 1
         state.update((seen, sample))
         yield pd.DataFrame({"head": [key[0]], "seen": [seen], "sample": [sample]})
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from keelson.attend import ATTENTIONS, Config, SparseIndex, dense
 from keelson.functions import registry, text, vec
-from keelson.operators import attention, clusterings, enclosures, index, metrics, search, thresholds
+from keelson.operators import attention, blocks, clusterings, enclosures, index, metrics, ranks, search, subspace, thresholds
 from keelson.sources import tables
 from keelson.streaming import state
 
@@ -90,7 +90,7 @@ def test_tree_radii_enclose_keys(keys):
 def test_descent_is_exact(keys, asked, levels):
     q = asked.join(thresholds.kth_best(search.scores(asked, keys), 7), "query_id").cache()
     nodes, leaves = index.tree(keys, DIM, 4, levels)
-    hits, _ = search.descend(q, nodes, leaves, levels)
+    hits = search.descend(q, nodes, leaves, levels)
     want = search.exact(search.scores(q, keys), F.col("t")).select("query_id", "pos")
     assert hits.select("query_id", "pos").exceptAll(want).count() == 0 and want.exceptAll(hits.select("query_id", "pos")).count() == 0
 
@@ -118,7 +118,7 @@ def test_heads_must_divide():
 
 
 def test_halfspace_blocks(keys, asked, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 2)
+    monkeypatch.setattr(blocks, "BLOCK", 2)
     q = asked.withColumn("t", F.lit(1.0))
     got = {(r[0], r[1]) for r in search.halfspace_blocks(q, keys).select("query_id", "pos").collect()}
     s = arrays(asked.withColumnRenamed("query_id", "pos"), "query") @ arrays(keys).T
@@ -172,12 +172,21 @@ def test_recall_of_nothing_is_one(spark):
 
 
 def test_scorers(spark):
-    rows = [("The cat, sat!", ["cat sat"], r"so \boxed{12}"), ("", [""], "the answer is 7, not 8"), ("dog", ["a cat"], "3 then -4.5"), (None, ["x"], "none")]
+    rows = [("The cat, sat!", ["cat sat"], r"so \boxed{12}"), ("", [""], "the answer is 7, not 8"), ("dog", ["a cat"], "3 then -4.5"), (None, ["x"], "none"), ("x-a-b the", ["xb"], "answer: 4321, so 17")]
     df = spark.createDataFrame(rows, "p string, g array<string>, a string")
     got = df.select(text.best_f1(F.col("p"), F.col("g")), text.contains_answer(F.col("p"), F.col("g")), text.competition_answer(F.col("a"))).collect()
-    assert [tuple(r) for r in got] == [(1.0, True, "12"), (1.0, True, "7"), (0.0, False, "-4.5"), (0.0, False, None)]
-    assert text.last_boxed(r"a \boxed{1} b \boxed{\frac{1}{2}} c") == r"\frac{1}{2}" and text.last_boxed("x") is None and text.last_boxed(r"\boxed{1") is None
-    assert spark.createDataFrame([(r"\left( \dfrac{1}{2} \right).",)], "a string").select(text.normalised_math(F.col("a"))).first()[0] == r"(\frac{1}{2})"
+    # two empty texts have nothing in common; articles go before punctuation; numbers above 999 are no answers
+    assert [tuple(r) for r in got] == [(1.0, True, "12"), (0.0, True, "7"), (0.0, False, "5"), (0.0, False, None), (0.0, False, "17")]
+    assert text.boxed_of(r"a \boxed{1} b \boxed{\frac{1}{2}} c") == r"\frac{1}{2}" and text.boxed_of("x") is None and text.boxed_of(r"\boxed{1") == "1"
+    assert text.boxed_of(r"\boxed{3} } \boxed{4") == "3" and text.boxed_of(r"\boxed{ \boxed{5} }") == "5"
+    forms = {r"\left( \dfrac{1}{2} \right).": r"(\frac{1}{2}).", "007": "7", "3.50": "3.5", r"\text{Yes No}": "yesno", " ": "0", r"\bigg(X)": "g(x)", None: None}
+    got = spark.createDataFrame([(x,) for x in forms], "a string").select("a", text.normalised_math(F.col("a"))).collect()
+    assert dict(map(tuple, got)) == forms
+    said = {"Answer is 0042.": "42", "so, 12 of 2000": "12", "it is __77__ ": "77", "x 12345": None, "1234 5678 and 007": "7"}
+    got = dict(map(tuple, spark.createDataFrame([(x,) for x in said], "a string").select("a", text.competition_answer(F.col("a"))).collect()))
+    assert got == said
+    tasks = spark.createDataFrame([("qasper", "a b c d", ["b c", "z"]), ("trec", "It is B, then", ["b then"])], "t string, p string, g array<string>")
+    assert [r[0] for r in tasks.select(text.task_score(F.col("t"), F.col("p"), F.col("g"))).collect()] == [0.8, 1.0]
 
 
 def test_registry(spark):
@@ -234,6 +243,85 @@ def test_buffer_flushes_when_full(spark, tmp_path):
     assert all(rows[h, b] == list(range(4 * b, 4 * b + 4)) for h in (0, 1) for b in range(3)) and got.count() == 24
 
 
+def test_buffers_are_cut_in_order_across_frames(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        shuffled = np.random.default_rng(3).permutation(2000).tolist()
+        got = stream(spark, tmp_path, [[(0, p, [float(p)]) for p in shuffled]], ARRIVALS, lambda f: state.flushes(f, 256), "append", "ordered").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["batch"], r["pos"]) for r in got) == [(p // 256, p) for p in range(1792)]
+
+
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_running_ranks(spark, few):
+    rows = [(g, (k * 37) % 50, k, k / 7) for g in range(3) for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, x int, k int, v double").repartition(5)
+    got = ranks.running(df, ["g"], [F.desc("x"), F.col("k")], {"upto": "v"}, few=few).collect()
+    for g in range(3):
+        own = sorted((r for r in got if r["g"] == g), key=lambda r: (-r["x"], r["k"]))
+        assert [r["rank"] for r in own] == list(range(1, 201)) and np.allclose([r["upto"] for r in own], np.cumsum([r["v"] for r in own]))
+
+
+def test_best_is_exact_in_every_batch_and_tie(spark, keys, asked, monkeypatch):
+    monkeypatch.setattr(search, "PAIRS", 64)
+    twice = keys.unionByName(keys.withColumn("pos", F.col("pos") + 1000)).repartition(3)
+    got = {(r["query_id"], r["pos"], r["rank"], r["score"]) for r in search.best(asked, twice, 9).collect()}
+    assert got == {(r["query_id"], r["pos"], r["rank"], r["score"]) for r in search.top_k(search.scores(asked, twice), 9).collect()}
+
+
+def test_heads_keep_apart(spark):
+    rows = [(h, p, [float(h + 1), float(p)], [float(h), float(p)]) for h in (0, 1) for p in range(20)]
+    keys = spark.createDataFrame(rows, "head int, pos long, key array<double>, value array<double>")
+    asked = spark.createDataFrame([(7, 0, [1.0, 0.0], 0.0)], "query_id long, head int, query array<double>, t double")
+    for config in (Config(dim=2, bf=4), Config(dim=2, bf=4, levels=2, clustering="kmeans")):
+        x = SparseIndex.build(keys, config)
+        got = x.selected(asked).collect()
+        assert len(got) == 20 and all(r["value"][0] == 0.0 and r["score"] == 1.0 for r in got)
+        assert len(SparseIndex.build(keys.where("pos < 9"), config).append(keys.where("pos >= 9")).selected(asked).collect()) == 20
+    assert clusterings.CLUSTERINGS["kmeans"](keys, 4).select("head", "cluster").distinct().count() == 10
+
+
+def test_clustered_tree_prunes_and_grows(spark):
+    keys = tables.clustered_keys(spark, 1200, DIM, centers=10)
+    q = keys.where("pos < 5").select(F.col("pos").alias("query_id"), vec.unit("key").alias("query"))
+    q = q.join(thresholds.kth_of(search.best(q, keys, 20)), "query_id")
+    want = {(r[0], r[1]) for r in search.halfspace_blocks(q, keys).select("query_id", "pos").collect()}
+    nodes, leaves = index.tree(keys.where("pos % 5 <> 0"), DIM, 8, 2, clusterings.CLUSTERINGS["kmeans"])
+    grown, more = index.add_to_tree(nodes, leaves, keys.where("pos % 5 = 0"), DIM, 8, 2, room=12)
+    assert more.count() == 1200 and {(r[0], r[1]) for r in search.descend(q, grown, more, 2).select("query_id", "pos").collect()} == want
+    checked = search.descent_profile(q, grown, 2).where("level = 1").agg(F.sum("passed")).first()[0]
+    assert checked / (5 * grown.where("level = 1").count()) < 0.55
+    # every node holds all that lies below it, old and new
+    at = grown.where("level = 1").select(F.col("node").alias("parent"), "center", "radius")
+    assert more.join(at, "parent").where(vec.distance("key", "center") > F.col("radius") + 1e-6).isEmpty() and more.join(at, "parent").count() == 1200
+    up = grown.where("level = 2").select(F.col("node").alias("parent"), F.col("center").alias("c"), F.col("radius").alias("r"))
+    low = grown.where("level = 1").join(up, "parent")
+    assert low.where(vec.distance("center", "c") + F.col("radius") > F.col("r") + 1e-6).isEmpty() and low.count() == grown.where("level = 1").count()
+
+
+def test_subtrees_are_padded(spark, keys):
+    high, _ = index.tree(keys.where("pos < 300"), DIM, 4, 3)
+    low, _ = index.tree(keys.where("pos >= 300"), DIM, 4, 1)
+    both = index.append_subtree(high, low)
+    assert both.count() == high.count() + 3 * low.count()
+    for level in (1, 2):
+        assert both.where(F.col("level") == level).join(both.where(F.col("level") == level + 1).select(F.col("node").alias("parent")), "parent").count() == both.where(F.col("level") == level).count()
+
+
+def test_nearest_center_visits_few_cells(spark):
+    keys = tables.clustered_keys(spark, 600, DIM, centers=10)
+    centres = index.centers(index.by_position(keys, 4), DIM)
+    got = index.nearest_center(keys, centres, cells=12).select("pos", "cluster").collect()
+    x, c = arrays(keys), np.array([r[1] for r in sorted(centres.select("cluster", "center").collect())])
+    assert dict(map(tuple, got)) == dict(enumerate(np.linalg.norm(x[:, None] - c[None], axis=2).argmin(1).tolist()))
+
+
+def test_subspace_attention_by_name(keys, asked):
+    got = ATTENTIONS["subspace"](asked, keys, Config(dim=DIM, k=10)).collect()
+    assert len(got) == 7 and all(len(r["output"]) == DIM for r in got)
+
+
 def test_reservoir_is_a_sample(spark, tmp_path):
     batches = [[(0, p, [0.0]) for p in range(a, a + 50)] for a in (0, 50, 100)]
     got = stream(spark, tmp_path, batches, ARRIVALS, lambda f: state.reservoir(f, 10), "update", "sampled").orderBy(F.desc("seen")).first()
