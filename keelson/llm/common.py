@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are handed to the operators in slices of about this many text bytes.
@@ -57,22 +57,44 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, total: int, most: int = 2000, least: int = 1000) -> DataFrame:
-    """Inner join with ``right(key, n, ...)``, which has one row a key; ``n`` is how many rows of ``left`` have it.
+#: Keys that may be hot at once, and rows below which no key is.
+MOST_HOT, LEAST_HOT = 2000, 1000
 
-    Keys with more than ``total / most`` rows of ``left`` would land in one
-    task; there are at most ``most`` of them, so their rows of ``right`` are
-    broadcast and their rows of ``left`` stay where they are.  No other key has
-    more than that share.  ``n`` is dropped.
+
+def _hot_rows(groups: DataFrame, total: int) -> DataFrame | None:
+    """The rows of ``groups(..., n)`` with more than ``total / MOST_HOT`` rows each: MOST_HOT at most, as a local table."""
+    bound = max(LEAST_HOT, total // MOST_HOT)
+    rows = groups.where(F.col("n") > bound).collect() if total > bound else []
+    return F.broadcast(groups.sparkSession.createDataFrame(rows, groups.schema)) if rows else None
+
+
+def with_groups(rows: DataFrame, key: str, made: dict[str, Column], total: int) -> DataFrame:
+    """``rows`` with aggregates over all rows of the same ``key``, of ``total`` rows altogether.
+
+    A key with more than ``total / MOST_HOT`` rows would land in one task;
+    there are at most MOST_HOT of them, whose aggregates combine before they
+    shuffle and come back as a broadcast.  All others go through a window.
+    """
+    groups = rows.groupBy(key).agg(F.count("*").alias("n"), *[x.alias(name) for name, x in made.items()])
+    hot = _hot_rows(groups, total)
+    over = Window.partitionBy(key)
+    if hot is None:
+        return rows.withColumns({name: x.over(over) for name, x in made.items()})
+    rest = rows.join(hot.select(key), key, "left_anti").withColumns({name: x.over(over) for name, x in made.items()})
+    return rows.join(hot.drop("n"), key).unionByName(rest)
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join with the written table ``right(key, n, ...)``, which has one row a key; ``n`` is how many of the ``total`` rows of ``left`` have it.
+
+    Hot keys are broadcast, as in ``with_groups``, and their rows of ``left``
+    stay where they are.  ``n`` is dropped.
     """
-    right = cut(right)
-    bound = max(least, total // most)
-    hot = right.where(F.col("n") > bound).drop("n")
-    if hot.isEmpty():
+    hot = _hot_rows(right, total)
+    if hot is None:
         return left.join(right.drop("n"), key)
-    names = F.broadcast(hot.select(key))
-    rest = left.join(names, key, "left_anti").join(right.where(F.col("n") <= bound).drop("n"), key)
-    return left.join(F.broadcast(hot), key).unionByName(rest)
+    rest = left.join(hot.select(key), key, "left_anti").join(right.drop("n"), key)
+    return left.join(hot.drop("n"), key).unionByName(rest)
 
 
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut, join_unique
+from keelson.llm.common import cut, with_groups
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,36 +16,44 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    return join_unique(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = with_groups(both, "u", {"m": F.min("v")}, 2 * total).withColumn("m", F.least("m", "u"))
+    return least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
-    least = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-    moved = join_unique(edges, least, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = with_groups(edges, "u", {"m": F.min("v")}, total)
+    pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return least.select(F.explode(pairs).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``node, root`` for every node of ``edges(u, v)``; the root is the component's least node.
+def contracted(edges: DataFrame, most_rounds: int = 60, settle: bool = True) -> DataFrame:
+    """Edges ``u, v`` with ``v < u`` that join the same nodes as ``edges(u, v)``, drawn to ever smaller ``v``.
 
     Every round connects each node's neighbours to the least one, first the
     larger, then the smaller; the number of edges never grows, minima combine
     before they shuffle, nodes with very many edges get theirs by broadcast, and
-    nothing is gathered.  Self loops are ignored,
-    except that their nodes are their own roots.
+    nothing is gathered.  When a round changes nothing, every node has one edge,
+    to its component's least node; without ``settle`` it may end before.
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = cut(pairs.where("u > v").distinct())
     state = _state(now)
     for _ in range(most_rounds):
         if not state[0]:
-            break
-        stars = cut(_large_star(now, state[0]))
-        after = cut(_small_star(stars, state[0]))
+            return now
+        after = cut(_small_star(cut(_large_star(now, state[0])), state[0]))
         before, state, now = state, _state(after), after
         if state == before:
-            break
-    else:
+            return now
+    if settle:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct()).distinct()
+    return now
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """``node, root`` for every node of ``edges(u, v)``; the root is the component's least node.
+
+    Self loops are ignored, and so are nodes that have no other edge.
+    """
+    now = contracted(edges, most_rounds)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())

@@ -26,8 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut, free_name, join_unique, map_columns, quoted
-from keelson.llm.components import connected_components
+from keelson.llm.common import cut, free_name, join_unique, map_columns, quoted, with_groups
+from keelson.llm.components import connected_components, contracted
 
 SEED, BITS = 42, 64
 #: Fingerprints of a leaf, of a shard on average, of a shard before it is split, of a shard before more blocks make its key; pairs held before they are united.
@@ -229,19 +229,21 @@ def _value(blocks: list[tuple[int, int]]) -> Column:
     return out
 
 
-def links(prints: DataFrame, radius: int, least: float = 0.0, sure: int | None = None) -> DataFrame:
+def links(prints: DataFrame, radius: int, least: float = 0.0, sure: int | None = None, count: int | None = None) -> DataFrame:
     """Edges ``u, v`` of signed node numbers that connect what links within shards; with a sketch, pairs to compare.
 
     ``prints(node, fp[, sketch])``: distinct nodes.  Fingerprints within ``sure``
     bits (``radius`` if not given) are certain to share a shard; those between
     ``sure`` and ``radius`` link where they happen to.
     """
-    count = prints.count()
+    count = prints.count() if count is None else count
     sketched = "sketch" in prints.columns
-    keys = [F.struct(F.lit(k).alias("block"), _value(blocks).alias("value")) for k, blocks in enumerate(block_keys(radius if sure is None else sure, count))]
+    groups = block_keys(radius if sure is None else sure, count)
+    keys = [F.struct(F.lit(k).alias("block"), _value(blocks).alias("value")) for k, blocks in enumerate(groups)]
     dealt = prints.withColumn("key", F.explode(F.array(*keys))).select("node", "fp", *["sketch"] * sketched, "key.block", "key.value")
     # shards that are too large for one task: at most blocks * count / SPLIT of them
     large = dealt.groupBy("block", "value").count().where(F.col("count") > SPLIT).select("block", "value", F.ceil(F.col("count") / SPLIT).cast("int").alias("chunks"))
+    large = F.broadcast(large) if len(groups) * count // SPLIT <= MOST_KEYS else large
     split = dealt.join(large, ["block", "value"], "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("node"), "chunks").cast("int"), F.lit(0)))
     split = split.withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
     split = split.select("node", "fp", *["sketch"] * sketched, "block", "value", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
@@ -258,16 +260,17 @@ def links(prints: DataFrame, radius: int, least: float = 0.0, sure: int | None =
 
 
 def shingle_sets(docs: DataFrame, distinct: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, hashes (its shingle set, sorted) of the ``wanted(node)`` of ``distinct(node, least)``, from the row of ``docs(key, text)`` with the least key."""
-    keys = cut(distinct.join(wanted, "node", "left_semi").select("node", F.col("least").alias("key")))
-    # 40 bytes a row: up to MOST_KEYS the texts stay where they are
+    """node, sketch, bands, hashes (its shingle set, sorted) of the ``wanted(node)`` of ``distinct``, from the row of ``docs(key, text)`` with the least key."""
+    keys = cut(distinct.join(wanted, "node", "left_semi").select("node", F.col("least").alias("key"), "sketch", "bands"))
+    # half a kilobyte a row: up to MOST_KEYS the texts stay where they are
     keys = F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
 
     def gather(cols: dict) -> dict:
-        return {"node": cols["node"], "hashes": [np.unique(shingle_hashes(t, words)).tobytes() for t in cols["text"]]}
+        return cols | {"hashes": [np.unique(shingle_hashes(t, words)).tobytes() for t in cols["text"]]}
 
+    found = docs.join(keys, "key").select("node", "sketch", "bands", "text")
     # rows that share an id and a text give one set
-    return cut(map_columns(docs.join(keys, "key").select("node", "text"), "node bigint, hashes binary", gather).dropDuplicates(["node"]))
+    return cut(map_columns(found, "node bigint, sketch binary, bands array<bigint>, hashes binary", gather).dropDuplicates(["node"]))
 
 
 def exact_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -283,15 +286,16 @@ def exact_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 out["v"].append(v)
         return out
 
-    full = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    one, other = (sets.select(F.col("node").alias(x), F.col("hashes").alias(h)) for x, h in (("u", "a"), ("v", "b")))
+    full = pairs.join(one, "u").join(other, "v")
     return cut(map_columns(full.select("u", "v", "a", "b"), "u bigint, v bigint", compare))
 
 
-def band_links(nodes: DataFrame, shared: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def band_links(nodes: DataFrame, shared: DataFrame, sets: DataFrame, least: float, total: int) -> DataFrame:
     """Links ``u, v`` between different roots, of pairs that share a band and resemble each other by ``least`` or more.
 
-    ``nodes(node, root, size, sketch, bands)``; ``shared(key, node)``: the bands
-    that several nodes have.  Of a band's nodes, those of its most frequent root
+    ``nodes(node, root, size)``; ``shared(key, node)``: the bands that several
+    nodes have, ``total`` rows at most.  Of a band's nodes, those of its most frequent root
     are searched by all others, and the others by each other; nodes of one root
     are never compared.  Both sides are cut into chunks of ``CHUNK_BYTES``, so a
     band of any size is many tasks; sets travel once to a task, and only links
@@ -300,9 +304,9 @@ def band_links(nodes: DataFrame, shared: DataFrame, sets: DataFrame, least: floa
     dealt = shared.join(nodes.select("node", "root", (F.col("size") * 8 + 500).alias("bytes")), "node")
     by_root = dealt.groupBy("key", "root").agg(F.count("*").alias("many"), F.sum("bytes").alias("bytes"))
     by_key = by_root.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.max(F.struct("many", "root", "bytes"))["bytes"].alias("main_bytes"), F.sum("bytes").alias("bytes"), F.sum("many").alias("n"), F.count("*").alias("roots"))
-    open_ = by_key.where("roots > 1").select("key", "n", "main", F.ceil(F.col("main_bytes") / CHUNK_BYTES).cast("int").alias("mains"), F.ceil((F.col("bytes") - F.col("main_bytes")) / CHUNK_BYTES).cast("int").alias("others"))
-    dealt = cut(join_unique(dealt, open_, "key", shared.count()))
-    tasks = (dealt.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // (4 * CHUNK_BYTES)) + 1
+    open_ = cut(by_key.where("roots > 1").select("key", "n", "main", F.ceil(F.col("main_bytes") / CHUNK_BYTES).cast("int").alias("mains"), F.ceil((F.col("bytes") - F.col("main_bytes")) / CHUNK_BYTES).cast("int").alias("others"), F.col("bytes").alias("all")))
+    tasks = (open_.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0] // (4 * CHUNK_BYTES)) + 1
+    dealt = cut(join_unique(dealt, open_.drop("all"), "key", total))
     is_main = F.col("root") == F.col("main")
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -312,7 +316,7 @@ def band_links(nodes: DataFrame, shared: DataFrame, sets: DataFrame, least: floa
     among = F.transform(upto("others"), lambda j: place(1, F.least(own(F.col("others")), j), F.greatest(own(F.col("others")), j)))
     rows = dealt.select("key", "node", "root", is_main.alias("main"), F.when(is_main, 0).otherwise(own(F.col("others"))).alias("chunk"), F.explode(F.when(is_main, across).otherwise(F.concat(against, among))).alias("at"))
     rows = rows.select("key", "node", "root", "main", "chunk", "at.*").withColumn("task", F.pmod(F.xxhash64("key", "x", "y"), F.lit(tasks)))
-    heavy = rows.select("task", "node").distinct().join(nodes.select("node", "size", "sketch", "bands"), "node").join(sets, "node")
+    heavy = rows.select("task", "node").distinct().join(sets, "node")
     heavy = heavy.select(F.col("task").alias("at_task"), F.col("node").alias("name"), "sketch", "bands", "hashes")
 
     def run(light: pd.DataFrame, heavy: pd.DataFrame) -> pd.DataFrame:
@@ -324,7 +328,9 @@ def band_links(nodes: DataFrame, shared: DataFrame, sets: DataFrame, least: floa
             found.search(int(key), group["node"].to_numpy(np.int64), group["root"].to_numpy(np.int64), group["main"].to_numpy(bool), group["chunk"].to_numpy(np.int64), kind == 0)
         return pd.DataFrame({"u": [max(p) for p in found.links], "v": [min(p) for p in found.links]}, dtype=np.int64)
 
-    return cut(rows.groupBy("task").cogroup(heavy.groupBy("at_task")).applyInPandas(run, "u bigint, v bigint"))
+    # as many partitions as there are tasks, whatever the session's number
+    light, heavy = rows.repartition(tasks, "task"), heavy.repartition(tasks, "at_task")
+    return light.groupBy("task").cogroup(heavy.groupBy("at_task")).applyInPandas(run, "u bigint, v bigint")
 
 
 class LinkFinder:
@@ -394,8 +400,8 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str
     named = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     texts, groups = named.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    known = join_unique(named.withColumnRenamed("n", "copies"), least, "root", groups).select("fp", F.col("copies").alias("n"), "component_id")
-    return join_unique(prints, known, "fp", texts).select(F.col("id").alias(id_col), "fp", "component_id")
+    known = join_unique(named.withColumnRenamed("n", "copies"), cut(least), "root", groups).select("fp", F.col("copies").alias("n"), "component_id")
+    return join_unique(prints, cut(known), "fp", texts).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
@@ -419,15 +425,18 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = 12, least: f
     own = docs.select(F.struct(*keys).alias("key"), F.col(text_col).alias("text"))
     prints = cut(fingerprints(own, words, "key", "text", sketched=True))
     distinct = cut(prints.groupBy("node").agg(F.min("id").alias("least"), *[F.min(c).alias(c) for c in ("fp", "size", "sketch", "bands")]))
-    near = cut(links(distinct.select("node", "fp", "sketch"), radius, least, sure).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    banded = distinct.select("node", F.explode("bands").alias("key"))
-    several = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(join_unique(banded, several, "key", BINS // ROWS * distinct.count()))
-    sets = shingle_sets(own, distinct, near.select(F.col("u").alias("node")).union(near.select("v")).union(shared.select("node")).distinct(), words)
-
-    certain = exact_links(near, sets, least)
-    rooted = distinct.join(connected_components(certain), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = band_links(cut(rooted.select("node", "root", "size", "sketch", "bands")), shared, sets, least)
+    count = distinct.count()
+    near = links(distinct.select("node", "fp", "sketch"), radius, least, sure, count)
+    near = cut(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    total = BINS // ROWS * count
+    shared = cut(with_groups(distinct.select("node", F.explode("bands").alias("key")), "key", {"several": F.count("*")}, total).where("several > 1").select("key", "node"))
+    sets = shingle_sets(own, distinct, near.select(F.col("u").alias("node")).union(near.select("v")).union(shared.select("node")), words)
+
+    # groups that are known to belong together, not yet all that do
+    certain = contracted(exact_links(near, sets, least), 2, settle=False)
+    known = certain.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    rooted = distinct.select("node", "size").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = band_links(rooted, shared, sets, least, total)
     roots = connected_components(certain.union(apart))
     named = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("least").alias("least")).select("least.k1", "least.k2")

@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from keelson.llm import components, decontamination, html_text, license_scan, media_ogg, packing, queries, repeats, secret_scan, simhash, toxicity, url_filter
 
@@ -566,10 +567,15 @@ def test_base_spans_of_any_text(text):
     assert [x for x in secret_scan.find_spans(text) if x[0] in ("assign", "access", "hex")] == _spans_again(text)
 
 
-def test_hot_keys_join_alike(spark):
-    from keelson.llm.common import join_unique
+def test_hot_keys_join_alike(spark, monkeypatch):
+    from keelson.llm import common
 
+    monkeypatch.setattr(common, "MOST_HOT", 10)
+    monkeypatch.setattr(common, "LEAST_HOT", 1)
     left = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(3000)], "key long, x long")
     right = left.groupBy("key").count().selectExpr("key", "count n", "key * 10 y")
-    got = join_unique(left, right, "key", 3000, most=10, least=1)
+    got = common.join_unique(left, right, "key", 3000)
     assert right.where("n > 300").count() and got.count() == 3000 and got.where("y <> key * 10").count() == 0 and sorted(got.columns) == ["key", "x", "y"]
+    both = common.with_groups(left, "key", {"low": F.min("x"), "many": F.count("*")}, 3000)
+    want = left.groupBy("key").agg(F.min("x").alias("low2"), F.count("*").alias("many2"))
+    assert both.count() == 3000 and both.join(want, "key").where("low <> low2 OR many <> many2").isEmpty()
