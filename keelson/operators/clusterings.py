@@ -12,13 +12,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
+from keelson.operators import index
+from keelson.operators.blocks import measured
 from keelson.operators.index import by_position
+from keelson.operators.ranks import running
+from keelson.operators.search import heads
 
-BLOCK = 8192
+#: Positions of a block, and centres of the distributed k-means.
+BLOCK, MOST_CENTERS = 8192, 1 << 16
 
 
 def _k(n: int, bf: int) -> int:
@@ -214,8 +219,8 @@ LOCAL: dict[str, Callable[[np.ndarray, int, np.random.Generator], np.ndarray]] =
     "spherical_kmeans": lambda x, bf, r: lloyd(direction(x), _k(len(x), bf), r),
     "direction_kmeans": lambda x, bf, r: lloyd(direction(x), _k(len(x), bf), r, centers=spread_seeds(direction(x), _k(len(x), bf), r)),
     "pca_kmeans": lambda x, bf, r: lloyd(axes(x, 16), _k(len(x), bf), r),
-    "gmm_diag": lambda x, bf, r: refined(white(x), lloyd(white(x), _k(len(x), bf), r)),
-    "kcenter": lambda x, bf, r: farthest(x, _k(len(x), bf), r),
+    "gmm_diag": lambda x, bf, r: hard_mixture(x, _k(len(x), bf), r),
+    "kcenter": lambda x, bf, r: refined(x, farthest(x, _k(len(x), bf), r), 5),
     "kcenter_lp": lambda x, bf, r: farthest(x, _k(len(x), bf), r, 3),
     "kcenter_meb": lambda x, bf, r: refined(x, farthest(x, _k(len(x), bf), r), mid=True),
     "kcenter_minimax": lambda x, bf, r: farthest(x, _k(len(x), bf), r, np.inf),
@@ -257,12 +262,96 @@ LOCAL: dict[str, Callable[[np.ndarray, int, np.random.Generator], np.ndarray]] =
     "weighted_l1_nn": lambda x, bf, r: pair_up(x / np.maximum(x.std(0), 1e-9), bf, 1),
     "fast_balanced_nn": lambda x, bf, r: greedy_groups(x[np.argsort(axes(x, 1)[:, 0])], bf)[np.argsort(np.argsort(axes(x, 1)[:, 0]))],
     "fast_nn_pairing": lambda x, bf, r: pair_up(x, bf),
-    "min_weight_matching": lambda x, bf, r: pair_up(x, 2),
+    "min_weight_matching": lambda x, bf, r: matched(x, bf),
     "proj_nn": lambda x, bf, r: chunks(x @ r.standard_normal(x.shape[1]), bf),
     "recursive_proj": lambda x, bf, r: halves(x, bf, lambda y: y @ r.standard_normal(y.shape[1])),
 }
 
 
+def hard_mixture(x: np.ndarray, k: int, rng, rounds: int = 20, least: float = 1e-8) -> np.ndarray:
+    """Labels of a mixture of Gaussians with diagonal variances, by hard assignment from a few rounds of k-means."""
+    label = lloyd(x, k, rng, rounds=5)
+    for _ in range(rounds):
+        ids, label = np.unique(label, return_inverse=True)
+        n = np.bincount(label)[:, None]
+        m = means(x, label)
+        square = np.zeros_like(m)
+        np.add.at(square, label, (x - m[label]) ** 2)
+        v = np.maximum(square / n, least)
+        # expanded, so that no array is larger than points by clusters
+        fit = (x * x) @ (1 / v).T - 2 * x @ (m / v).T + (m * m / v + np.log(v)).sum(1) - 2 * np.log(n[:, 0] / len(x))
+        now = fit.argmin(1)
+        if (now == label).all():
+            break
+        label = now
+    return label
+
+
+def assignment(cost: np.ndarray) -> np.ndarray:
+    """The column of each row in a square assignment of least total cost, by shortest augmenting paths."""
+    n = len(cost)
+    row_price, col_price = np.zeros(n), np.zeros(n)
+    row_of = np.full(n, -1)
+    for start in range(n):
+        reach, through, done = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
+        row, length = start, 0.0
+        rows = [start]
+        while True:
+            step = length + cost[row] - row_price[row] - col_price
+            better = ~done & (step < reach)
+            reach[better], through[better] = step[better], row
+            col = int(np.where(done, np.inf, reach).argmin())
+            length, done[col] = reach[col], True
+            if row_of[col] < 0:
+                break
+            row = int(row_of[col])
+            rows.append(row)
+        taken = [c for c in np.flatnonzero(done) if row_of[c] >= 0]
+        row_price[start] += length
+        for c in taken:
+            row_price[row_of[c]] += length - reach[c]
+            col_price[c] -= length - reach[c]
+        while col >= 0:  # turn the path around
+            row = int(through[col])
+            free = np.flatnonzero(row_of == row)
+            row_of[col] = row
+            col = -1 if row == start else int(free[free != col][0])
+    out = np.empty(n, int)
+    out[row_of] = np.arange(n)
+    return out
+
+
+def matched(x: np.ndarray, bf: int, block: int = 256) -> np.ndarray:
+    """Pairs along a least-cost assignment of every point to another, then pairs of pairs, until groups reach bf.
+
+    Solved in blocks of ``block`` points that lie together along the widest axis.
+    """
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > 1 and len(groups[0]) * 2 <= bf:
+        c = np.array([x[g].mean(0) for g in groups])
+        made = []
+        order = np.argsort(axes(c, 1)[:, 0], kind="stable")
+        for at in range(0, len(order), block):
+            own = order[at : at + block]
+            if len(own) == 1:
+                made.append(groups[own[0]])
+                continue
+            d = np.sqrt(_d2(c[own], c[own]))
+            np.fill_diagonal(d, 1e9 * (1 + d.max()))
+            to, free = assignment(d), set(range(len(own)))
+            for i in range(len(own)):
+                if i in free:
+                    free.discard(i)
+                    pair = [int(to[i])] if int(to[i]) in free else []
+                    free -= set(pair)
+                    made.append(sum((groups[own[j]] for j in pair), list(groups[own[i]])))
+        groups = sorted(made, key=len, reverse=True)
+    label = np.empty(len(x), int)
+    for j, g in enumerate(groups):
+        label[g] = j
+    return label
+
+
 def _local(name: str) -> Callable[[DataFrame, int, int], DataFrame]:
     def assign(keys: DataFrame, bf: int, seed: int = 12345) -> DataFrame:
         def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -270,7 +359,11 @@ def _local(name: str) -> Callable[[DataFrame, int, int], DataFrame]:
             x = np.array(group["key"].tolist(), float).reshape(len(group), -1)
             rng = np.random.default_rng(seed + 9973 * int(group["head"].iloc[0]))
             label = np.unique(LOCAL[name](x, bf, rng), return_inverse=True)[1].reshape(-1)
-            base = int(group["block"].iloc[0]) << 32
+            # blocks' numbers lie densely, so that a block of the next level of a tree holds several of these
+            stride = BLOCK if bf < 3 else BLOCK // 2
+            if label.max() >= stride:
+                raise ValueError(f"{name} made more than {stride} clusters of a block")
+            base = int(group["block"].iloc[0]) * stride
             return pd.DataFrame({"head": group["head"], "pos": group["pos"], "cluster": base + label})
 
         blocks = keys.select("head", "pos", "key", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"))
@@ -281,12 +374,15 @@ def _local(name: str) -> Callable[[DataFrame, int, int], DataFrame]:
 
 
 def ml_kmeans(keys: DataFrame, bf: int, seed: int = 12345, cosine: bool = False) -> DataFrame:
-    """Distributed k-means over all keys; the number of centres must fit in memory."""
+    """Distributed k-means over all keys of all heads, with MOST_CENTERS centres at most."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    k = max(2, _k(keys.count(), bf))
+    if k > MOST_CENTERS:
+        raise ValueError(f"{k} centres don't fit on the driver: use 'kmeans', which works in blocks")
     rows = keys.withColumn("features", array_to_vector(vec.doubles("key")))
-    model = KMeans(k=max(2, _k(keys.count(), bf)), seed=seed, maxIter=10, distanceMeasure="cosine" if cosine else "euclidean").fit(rows)
+    model = KMeans(k=k, seed=seed, maxIter=10, distanceMeasure="cosine" if cosine else "euclidean").fit(rows)
     return model.transform(rows).withColumn("cluster", F.col("prediction").cast("long")).drop("features", "prediction")
 
 
@@ -296,20 +392,32 @@ def random_partition(keys: DataFrame, bf: int, seed: int = 12345) -> DataFrame:
     return keys.join(F.broadcast(n), "head").withColumn("cluster", F.pmod(F.xxhash64("pos", F.lit(seed)), "buckets")).drop("buckets")
 
 
-def random_proj(keys: DataFrame, bf: int, seed: int = 12345, planes: int = 8) -> DataFrame:
-    """Signs against random hyperplanes."""
-    dim = len(keys.select("key").first()[0])
-    from keelson.operators.attention import sign_code
+def _planes(dim: int, count: int, seed: int) -> list[list[float]]:
+    g = np.random.default_rng(seed).standard_normal((count, dim))
+    return (g / np.linalg.norm(g, axis=1, keepdims=True)).tolist()
 
-    return keys.withColumn("cluster", sign_code(F.col("key"), np.random.default_rng(seed).standard_normal((planes, dim)).tolist()))
+
+def random_proj(keys: DataFrame, bf: int, seed: int = 12345, planes: int = 8) -> DataFrame:
+    """Sides of the medians along random directions make buckets, as many as a head's keys fill; then each key goes to the nearest bucket's mean."""
+    own = heads(keys)
+    n = keys.groupBy(*own).agg(F.ceil(F.count("*") / bf).alias("k_"))
+    most = n.agg(F.max("k_")).first()[0] or 1
+    dim = len((keys.select("key").first() or [[0.0]])[0])
+    directions = _planes(dim, min(planes, int(np.log2(most)) + 1), seed)
+    sides = [vec.dot("key", F.array(*map(F.lit, g))) for g in directions]
+    middle = keys.groupBy(*own).agg(F.ceil(F.count("*") / bf).alias("k_"), *[F.percentile_approx(x, 0.5, 10_000).alias(f"m{i}_") for i, x in enumerate(sides)])
+    joined = keys.join(measured(middle), own) if own else keys.crossJoin(F.broadcast(middle))  # one row
+    bucket = sum(((x > F.col(f"m{i}_")).cast("long") * (1 << i) for i, x in enumerate(sides)), F.lit(0).cast("long"))
+    first = joined.withColumn("cluster", F.pmod(bucket, F.col("k_"))).select(*keys.columns, "cluster")
+    return index.nearest_center(keys, index.centers(first, dim)).select(*keys.columns, "cluster")
 
 
 def sort_partition(keys: DataFrame, bf: int, seed: int = 12345) -> DataFrame:
     """Rank along one random direction, cut into runs of bf."""
-    dim = len(keys.select("key").first()[0])
-    g = F.array(*map(F.lit, np.random.default_rng(seed).standard_normal(dim).tolist()))
-    r = F.row_number().over(Window.partitionBy("head").orderBy(vec.dot("key", g), "pos"))
-    return keys.withColumn("cluster", F.floor((r - 1) / bf).cast("long"))
+    dim = len((keys.select("key").first() or [[0.0]])[0])
+    along = keys.withColumn("along_", vec.dot("key", F.array(*map(F.lit, _planes(dim, 1, seed)[0]))))
+    ranked = running(along, heads(keys), [F.col("along_"), F.col("pos")], rank="r_")
+    return ranked.withColumn("cluster", F.floor((F.col("r_") - 1) / bf).cast("long")).drop("along_", "r_")
 
 
 #: Every clustering by name.

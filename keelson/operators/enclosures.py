@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from keelson.functions import vec
 from keelson.operators.blocks import against
+from keelson.operators.lineage import cut
+from keelson.operators.search import heads
 
 #: Share of keys that ``hot_key_aabb`` checks one by one; random directions of the slab bundle.
 HOT_SHARE, SLABS = 0.03, 8
@@ -36,8 +38,9 @@ def _half_boxes(dim: int, side: bool) -> list[Column]:
     return [vec.each_dim(dim, lambda i: F.min(own(i))).alias(f"lo_{side}"), vec.each_dim(dim, lambda i: F.max(own(i))).alias(f"hi_{side}")]
 
 
-def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",)) -> DataFrame:
-    """Statistics of each cluster of ``members(cluster, pos, key)``."""
+def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",), tight: bool = True) -> DataFrame:
+    """Statistics of each cluster of ``members([head, ]cluster, pos, key)``; the iterated and anchored balls only if ``tight``."""
+    by = (*(h for h in heads(members) if h not in by), *by)
     on = list(by)
     m = members.select(*by, "pos", vec.doubles("key").alias("k"), vec.norm("key").alias("kn"))
     hot = m.withColumn("nr", F.percent_rank().over(Window.partitionBy(*by).orderBy(F.desc("kn"), "pos")) < HOT_SHARE)
@@ -68,6 +71,7 @@ def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",))
     j = j.withColumns({"away": away, "d": vec.norm(away), "upper": upper, "far": F.col("pos") == F.col("longest_pos")})
     directions = _slab_directions(dim)
     slabs = [vec.dot("k", F.array(*map(F.lit, g))) for g in directions]
+    off = vec.dot("away", "axis")
     second = j.groupBy(*by).agg(
         F.max("d").alias("radius"),
         F.max(vec.norm1("away")).alias("radius_1"),
@@ -81,6 +85,8 @@ def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",))
         F.min(along2).alias("along2_lo"),
         F.max(along2).alias("along2_hi"),
         F.max(rest2).alias("rest2"),
+        F.max(F.abs(off)).alias("reach"),
+        F.max(F.sqrt(F.greatest(F.lit(0.0), F.pow("d", F.lit(2)) - off * off))).alias("across"),
         F.min(cos).alias("cos_min"),
         F.max_by("k", F.struct("d", F.col("pos"))).alias("outlier"),
         F.max_by("pos", F.struct("d", F.col("pos"))).alias("outlier_pos"),
@@ -99,7 +105,22 @@ def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",))
         vec.each_dim(dim, lambda i: F.max(F.when(inner, F.get("k", F.lit(i))))).alias("inner_hi"),
         F.max(F.when(inner, F.col("d"))).alias("inner_radius"),
     )
-    return first.join(second, on).join(third, on)
+    out = first.join(second, on).join(third, on)
+    return _with_tight_balls(cut(out), m, dim, on) if tight else out
+
+
+def _with_tight_balls(summary: DataFrame, members: DataFrame, dim: int, on: list[str], rounds: int = 10) -> DataFrame:
+    """A ball whose centre moved halfway to its farthest member, ``rounds`` times; and two balls around far members, each for those nearest to it."""
+    shift = lambda a, b: F.zip_with(a, b, lambda x, y: x + (y - x) / 2)
+    now = summary.select(*on, F.col("center").alias("c"))
+    for _ in range(rounds):
+        far = members.join(now, on).groupBy(*on).agg(F.first("c").alias("c"), F.max_by("k", F.struct(vec.distance("k", "c").alias("d"), -F.col("pos"))).alias("f"))
+        now = cut(far.select(*on, shift("c", "f").alias("c")))
+    ball_ = members.join(now, on).groupBy(*on).agg(F.first("c").alias("meb_center"), F.max(vec.distance("k", "c")).alias("meb_radius"))
+    one = members.join(summary.select(*on, F.col("outlier").alias("a")), on).groupBy(*on).agg(F.first("a").alias("anchor"), F.max_by("k", F.struct(vec.distance("k", "a").alias("d"), -F.col("pos"))).alias("anchor2"))
+    d = members.join(cut(one), on).withColumns({"d": vec.distance("k", "anchor"), "d2": vec.distance("k", "anchor2")})
+    two = d.groupBy(*on).agg(*[F.first(c).alias(c) for c in ("anchor", "anchor2")], F.max(F.when(F.col("d") <= F.col("d2"), F.col("d"))).alias("anchor_radius"), F.max(F.when(F.col("d") > F.col("d2"), F.col("d2"))).alias("anchor2_radius"))
+    return summary.join(ball_, on).join(two, on)
 
 
 def ball() -> Column:
@@ -155,6 +176,19 @@ def axis_interval() -> Column:
     return F.greatest(a * F.col("along_lo"), a * F.col("along_hi")) + rest * F.col("rest")
 
 
+def anchored_balls() -> Column:
+    """The better of two balls around members that lie far apart; a ball without members never passes."""
+    one, two = (vec.dot("query", a) + vec.norm("query") * F.col(f"{a}_radius") for a in ("anchor", "anchor2"))
+    return F.greatest(one, F.coalesce(two, F.lit(float("-inf"))))
+
+
+def centerline() -> Column:
+    """From the centroid: the reach along its own direction either way, and the rest across it; never above the ball."""
+    a = vec.dot("query", "axis")
+    across = F.sqrt(F.greatest(F.lit(0.0), F.pow(vec.norm("query"), F.lit(2)) - a * a))
+    return F.least(vec.dot("query", "center") + F.col("reach") * F.abs(a) + F.col("across") * across, ball())
+
+
 def dual_axis_interval() -> Column:
     a, b = vec.dot("query", "axis"), vec.dot("query", "axis2")
     rest = F.sqrt(F.greatest(F.lit(0.0), F.pow(vec.norm("query"), F.lit(2)) - a * a - b * b))
@@ -185,7 +219,7 @@ def hot_keys_box() -> Column:
 #: Name -> bound for keys of ``dim`` dimensions.
 BOUNDS: dict[str, Callable[[int], Column]] = {
     "ball_centroid": lambda dim: ball(),
-    "min_enclosing_ball": lambda dim: F.least(ball(), mid_ball()),
+    "min_enclosing_ball": lambda dim: vec.dot("query", "meb_center") + vec.norm("query") * F.col("meb_radius"),
     "aabb": lambda dim: box(),
     "fp16_aabb": lambda dim: vec.box_bound(F.col("query"), F.transform("lo", lambda x: (x - 1e-3).cast("float").cast("double")), F.transform("hi", lambda x: (x + 1e-3).cast("float").cast("double"))),
     "span_ball": lambda dim: span_ball(),
@@ -200,9 +234,9 @@ BOUNDS: dict[str, Callable[[int], Column]] = {
     "l1_ball": lambda dim: lp_ball("radius_1", vec.norm_inf("query")),
     "linf_ball": lambda dim: lp_ball("radius_inf", vec.norm1("query")),
     "lp_ball": lambda dim: lp_ball("radius_3", vec.norm_p(F.col("query"), 1.5)),
-    "multi_ball": lambda dim: F.least(ball(), mid_ball(), axis_interval()),
+    "multi_ball": lambda dim: F.least(ball(), anchored_balls()),
     "cone": lambda dim: cone(),
-    "centerline": lambda dim: F.least(axis_interval(), ball()),
+    "centerline": lambda dim: centerline(),
     "dual_centerline": lambda dim: F.least(dual_axis_interval(), ball()),
     "axis_interval": lambda dim: axis_interval(),
     "dual_axis_interval": lambda dim: dual_axis_interval(),
@@ -210,8 +244,8 @@ BOUNDS: dict[str, Callable[[int], Column]] = {
     "bisect_aabb": lambda dim: F.least(split_box(), ball()),
     "topk_aabb_residual": lambda dim: F.least(partial_box(16), ball()),
     "slab_bundle": slab_bundle,
-    "hybrid": lambda dim: F.least(ball(), box()),
-    "hybrid_plus": lambda dim: F.least(ball(), box(), ellipsoid()),
+    "hybrid": lambda dim: F.least(ball(), box(), cone()),
+    "hybrid_plus": lambda dim: F.least(ball(), box(), cone(), ellipsoid(), centerline()),
     "tight_hybrid": lambda dim: F.least(ball(), box(), ellipsoid(), split_box(), axis_interval()),
 }
 
