@@ -58,7 +58,7 @@ def quoted(name: str) -> str:
 
 
 #: Keys that may be hot at once, and rows below which no key is.
-MOST_HOT, LEAST_HOT = 2000, 1000
+MOST_HOT, LEAST_HOT = 2000, 200
 
 
 def _hot_rows(groups: DataFrame, total: int) -> DataFrame | None:
