@@ -319,6 +319,21 @@ def parts_passes(members: DataFrame, queries: DataFrame, dim: int, parts: int =
     return against(boxes, queries.select("query_id", "query", "t")).where(box() + vec.SLACK > F.col("t")).select("query_id", "cluster").distinct()
 
 
+def query_mean_passes(members: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
+    """query_id, cluster where the interval along the mean query's direction, with the rest across it, reaches the threshold, and so does the ball."""
+    from keelson.operators.index import balls
+
+    mean = queries.agg(vec.each_dim(dim, lambda i: F.avg(F.get(vec.doubles("query"), F.lit(i)))).alias("m")).select(vec.unit("m").alias("mean"))
+    own = [*heads(members), "cluster"]
+    along = vec.dot("key", "mean")
+    rest = F.sqrt(F.greatest(F.lit(0.0), vec.dot("key", "key") - along * along))
+    lines = members.crossJoin(F.broadcast(mean)).groupBy(*own).agg(F.first("mean").alias("mean"), F.min(along).alias("low"), F.max(along).alias("high"), F.max(rest).alias("far"))  # one row
+    both = against(lines.join(balls(members, dim).select(*own, "center", "radius"), own), queries.select("query_id", *heads(members, queries), "query", "t"), heads(members, queries) or None)
+    a = vec.dot("query", "mean")
+    line = F.greatest(a * F.col("low"), a * F.col("high")) + F.col("far") * F.sqrt(F.greatest(F.lit(0.0), vec.dot("query", "query") - a * a))
+    return both.where(F.least(line, ball()) + F.lit(vec.SLACK) > F.col("t")).select("query_id", *own)
+
+
 def basis_of(kind: str, keys: DataFrame, queries: DataFrame, dim: int, parts: int = 4) -> np.ndarray:
     """Bases of rotated boxes: of all keys, of each slice of them, or of the queries seen so far."""
     if kind == "global_pca":

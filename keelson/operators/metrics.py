@@ -174,3 +174,37 @@ def hierarchical_cost(levels: DataFrame, n: int, dim_cost: float = 1.0) -> DataF
 def transfer_means(rows: DataFrame) -> DataFrame:
     """Mean search and transfer times in ms, four places."""
     return rows.agg(F.round(F.avg("search_ms"), 4).alias("search_ms"), F.round(F.avg("transfer_ms"), 4).alias("transfer_ms"))
+
+
+def spread(values: DataFrame, names: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Minimum, maximum and mean of metrics across queries, by head or layer if asked."""
+    return values.groupBy(*by).agg(*[f(n).alias(f"{n}_{label}") for n in names for label, f in (("min", F.min), ("max", F.max), ("mean", F.avg))])
+
+
+def extremes(series: DataFrame, value: str, step: str, n: int) -> DataFrame:
+    """The ``n`` steps with the largest and the ``n`` with the smallest values: kind (wide, narrow), rank, step, value; ties by step."""
+    out = []
+    for kind, order in (("wide", F.desc(value)), ("narrow", F.asc(value))):
+        best = series.orderBy(order, step).limit(n)  # a top-n report: few rows are ranked
+        out.append(best.select(F.lit(kind).alias("kind"), F.row_number().over(Window.orderBy(order, step)).alias("rank"), step, value))
+    return out[0].union(out[1])
+
+
+def overlap_summary(pairs: DataFrame, value: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
+    """Quantiles, by linear interpolation, and the mean of a pair metric."""
+    return pairs.agg(F.avg(value).alias("mean"), *[F.percentile(value, F.lit(p)).alias(f"p{round(100 * p)}") for p in shares])
+
+
+def top_pairs(pairs: DataFrame, value: str, n: int) -> DataFrame:
+    """The ``n`` pairs with the largest values; ties by the pair."""
+    return pairs.orderBy(F.desc(value), "a", "b").limit(n)
+
+
+def sum_threshold_coverage(weighted: DataFrame, n: int, share: float, relevant: Column) -> DataFrame:
+    """query_id, k, coverage (share of the relevant inner positions among the k best that sum to ``share``), full (the sum at which all are covered); 1 and 0 where none is relevant."""
+    inner = weighted.where((F.col("pos") > 0) & (F.col("pos") < n - 1)).withColumn("relevant", relevant)
+    mass = measured(inner.groupBy("query_id").agg(F.sum("p").alias("m")))
+    shares = inner.join(mass, "query_id").select("query_id", "pos", "relevant", (F.col("p") / F.col("m")).alias("p"))
+    cum = running(shares, ["query_id"], [F.desc("p"), F.col("pos")], {"cum": "p"}).withColumn("cum", F.round("cum", 9)).withColumn("before", F.round(F.col("cum") - F.col("p"), 9))
+    covered = F.count_if(F.col("relevant") & (F.col("before") < share)) / F.nullif(F.count_if("relevant"), F.lit(0))
+    return cum.groupBy("query_id").agg((F.count_if(F.col("cum") < share) + 1).alias("k"), F.coalesce(covered, F.lit(1.0)).alias("coverage"), F.coalesce(F.max(F.when(F.col("relevant"), F.col("cum"))), F.lit(0.0)).alias("full"))

@@ -91,3 +91,11 @@ def judge(scored: DataFrame, thresholds: DataFrame, k: int = 10) -> DataFrame:
     best = _ranked(scored.select("query_id", "pos", "score")).where(F.col("rank") <= k).join(limits, "query_id")
     recall = best.groupBy("query_id").agg((F.count_if(hit) / F.count("*")).alias("recall"))
     return share.join(recall, "query_id", "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))
+
+
+def online_series(scored: DataFrame, sample: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """query_id and one threshold per oracle: a row of a decode's time series, each step over the keys that it sees."""
+    out = scored.select("query_id").distinct()
+    for name in names:
+        out = out.join(ORACLES[name](scored, sample).withColumnRenamed("t", f"tau_{name}"), "query_id", "left")
+    return out

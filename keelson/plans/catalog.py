@@ -702,7 +702,7 @@ query("policy_top_p_rank", f"WITH {BASE}, {_TOP_P}, x AS (SELECT * FROM o WHERE
 for _mode in ("mass", "exclusive"):
     query(f"policy_top_p_{_mode}", f"WITH {BASE}, {_TOP_P}, x AS (SELECT * FROM b WHERE before < 0.9) {_COUNT}")(_top_p(_mode))
 
-PLANES = np.round(np.random.default_rng(42).standard_normal((16, DIM)), 3).tolist()
+PLANES = np.round(np.random.default_rng(42).standard_normal((64, DIM)), 3).tolist()
 
 
 @query("policy_signs", f"WITH {BASE}, pl AS (SELECT * FROM (VALUES {', '.join(f'({i}, {g}::DOUBLE[])' for i, g in enumerate(PLANES))}) z(i, g)), h AS (SELECT query_id, pos, count(*) FILTER ((list_dot_product(query, g) > 0) <> (list_dot_product(key, g) > 0)) AS hd FROM q, k, pl GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hd, pos) AS rk FROM h), x AS (SELECT * FROM o WHERE rk <= 40) {_COUNT}")
@@ -802,6 +802,87 @@ def turn_context(spark, d):
     return metrics.context(c.select("conv_id", "turn", "role"), "role", "turn", "conv_id", 1).select("conv_id", "turn", "context")
 
 
+@query("concentration_summary", f"WITH {BASE}, {SOFT}, c AS (SELECT query_id, 1 / sum(p * p) AS eff_size, -sum(p * ln(p)) AS entropy FROM p GROUP BY query_id) SELECT round(min(eff_size), 5) AS eff_size_min, round(max(eff_size), 5) AS eff_size_max, round(avg(eff_size), 5) AS eff_size_mean, round(min(entropy), 6) AS entropy_min, round(max(entropy), 6) AS entropy_max, round(avg(entropy), 6) AS entropy_mean FROM c")
+def concentration_summary(spark, d):
+    c = metrics.spread(metrics.concentration(_weighted(spark, d)), ("eff_size", "entropy"))
+    return c.select(*[F.round(x, 5 if x.startswith("eff") else 6).alias(x) for x in c.columns])
+
+
+_CUM = "o AS (SELECT query_id, pos, p, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, pos) AS rk, count(*) OVER (PARTITION BY query_id) AS n FROM p), c AS (SELECT *, round(sum(p) OVER (PARTITION BY query_id ORDER BY rk), 9) AS cum FROM o), cov AS (SELECT query_id, (count(*) FILTER (cum < 0.5) + 1) / max(n) AS cov50 FROM c GROUP BY query_id)"
+
+
+@query("wide_and_narrow", f"WITH {BASE}, {SOFT}, {_CUM}, e AS (SELECT query_id, round(cov50, 6) AS cov50 FROM cov), x AS (SELECT *, row_number() OVER (ORDER BY cov50 DESC, query_id) AS w, row_number() OVER (ORDER BY cov50, query_id) AS n FROM e) SELECT 'wide' AS kind, w::INTEGER AS rank, query_id, cov50 FROM x WHERE w <= 5 UNION ALL SELECT 'narrow' AS kind, n::INTEGER AS rank, query_id, cov50 FROM x WHERE n <= 5")
+def wide_and_narrow(spark, d):
+    """The five steps whose attention is widest, and the five where it is narrowest."""
+    return metrics.extremes(metrics.concentration(_weighted(spark, d)).select("query_id", _six("cov50").alias("cov50")), "cov50", "query_id", 5)
+
+
+_CAUSAL = BASE.replace("FROM q, k)", "FROM q JOIN k ON pos <= query_id)").replace("list_dot_product(query, key) AS score", "list_dot_product(query, key) * 0.125 AS score")
+
+
+@query("threshold_series", f"WITH {_CAUSAL}, {SOFT.replace('* 0.125', '* 1.0')}, {_CUM}, {_SAMPLE}, tau AS (SELECT query_id, max(score) AS a, (avg(score) + max(score)) / 2 AS b, max(score) FILTER (sr = greatest(1, floor(m * 0.1))) AS c FROM x GROUP BY query_id), sz AS (SELECT query_id, count(*) AS n FROM s GROUP BY query_id) SELECT query_id AS step, n, round(cov50, 6) AS cov50, round(a, 6) + 0.0 AS tau_sample_max, round(b, 6) + 0.0 AS tau_sample_mean_max, round(c, 6) + 0.0 AS tau_budget FROM sz JOIN cov USING (query_id) JOIN tau USING (query_id)")
+def threshold_series(spark, d):
+    """A decode's time series: every step over the keys up to its own, scores scaled by the root of the dimension."""
+    s = search.scores(queries_of(spark, d), keys_of(spark, d), F.col("pos") <= F.col("query_id")).select("query_id", "pos", (F.col("score") * SCALE).alias("score"))
+    s = cut(s)
+    wide = metrics.concentration(attention.weights(s, 1.0)).select("query_id", _six("cov50").alias("cov50"))
+    names = ("sample_max", "sample_mean_max", "budget")
+    series = thresholds.online_series(s, _sample(s), names).join(wide, "query_id").join(s.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+    return series.select(F.col("query_id").alias("step"), "n", "cov50", *[_six(f"tau_{n}").alias(f"tau_{n}") for n in names])
+
+
+@query("hierarchy_gate", f"WITH {_profile_sql(3)} SELECT level, sum(checked)::BIGINT AS checked, sum(passed)::BIGINT AS passed, round(sum(passed) / sum(checked), 6)::DOUBLE AS pass_rate, 0::BIGINT AS missed FROM pr GROUP BY level")
+def hierarchy_gate(spark, d):
+    """Nodes checked and passed at each level, and how many of the best keys the tree misses."""
+    asked, (nodes, leaves) = _asked(spark, d), _tree(spark, d, 3)
+    levels = search.descent_profile(asked, nodes, 3).groupBy("level").agg(F.sum("checked").alias("checked"), F.sum("passed").alias("passed"))
+    missed = search.best(queries_of(spark, d), keys_of(spark, d), K).join(search.descend(asked, nodes, leaves, 3), ["query_id", "pos"], "left_anti").agg(F.count("*").alias("missed"))
+    return levels.crossJoin(F.broadcast(missed)).select("level", "checked", "passed", _six(F.col("passed") / F.col("checked")).alias("pass_rate"), "missed")  # one row
+
+
+_OVERLAP = "x AS (SELECT query_id, pos FROM r WHERE rank <= 50), c AS (SELECT a.query_id AS a, b.query_id AS b, count(*) AS common FROM x a JOIN x b ON a.pos = b.pos AND a.query_id < b.query_id GROUP BY ALL), j AS (SELECT a.query_id AS a, b.query_id AS b, coalesce(common, 0) / (100 - coalesce(common, 0)) AS jaccard FROM q a JOIN q b ON a.query_id < b.query_id LEFT JOIN c ON c.a = a.query_id AND c.b = b.query_id)"
+
+
+def _overlaps(spark, d) -> DataFrame:
+    return metrics.pair_overlap(search.best(queries_of(spark, d), keys_of(spark, d), 50).select("query_id", F.col("pos").alias("item")))
+
+
+@query("pair_overlap_summary", f"WITH {BASE}, {_OVERLAP} SELECT round(avg(jaccard), 6) AS mean, round(quantile_cont(jaccard, 0.1), 6) AS p10, round(quantile_cont(jaccard, 0.5), 6) AS p50, round(quantile_cont(jaccard, 0.9), 6) AS p90 FROM j")
+def pair_overlap_summary(spark, d):
+    s = metrics.overlap_summary(_overlaps(spark, d), "jaccard")
+    return s.select(*[_six(c).alias(c) for c in s.columns])
+
+
+@query("top_pairs", f"WITH {BASE}, {_OVERLAP} SELECT a, b, round(jaccard, 6) AS jaccard FROM j ORDER BY round(jaccard, 6) DESC, a, b LIMIT 10")
+def top_pairs(spark, d):
+    return metrics.top_pairs(_overlaps(spark, d).select("a", "b", _six("jaccard").alias("jaccard")), "jaccard", 10)
+
+
+@query("sum_threshold_coverage", f"WITH {BASE}, {SOFT}, i AS (SELECT * FROM p WHERE pos > 0 AND pos < (SELECT count(*) FROM k) - 1), c AS (SELECT query_id, pos, score, p / m AS p, round(sum(p / m) OVER (PARTITION BY query_id ORDER BY p DESC, pos), 9) AS cum FROM (SELECT *, sum(p) OVER (PARTITION BY query_id) AS m FROM i)), e AS (SELECT *, round(cum - p, 9) AS before, score >= 0.15 AS relevant FROM c) SELECT query_id, count(*) FILTER (cum < 0.8) + 1 AS k, round(coalesce(count(*) FILTER (relevant AND before < 0.8) / nullif(count(*) FILTER (relevant), 0), 1), 6)::DOUBLE AS coverage, round(coalesce(max(cum) FILTER (relevant), 0), 6)::DOUBLE AS full FROM e GROUP BY query_id".replace(" AS full ", ' AS "full" '))
+def sum_threshold_coverage(spark, d):
+    c = metrics.sum_threshold_coverage(_weighted(spark, d), keys_of(spark, d).count(), 0.8, F.col("score") >= 0.15)
+    return c.select("query_id", "k", _six("coverage").alias("coverage"), _six("full").alias("full"))
+
+
+@query("drop_relevant", f"WITH {BASE}, {SOFT}, n AS (SELECT count(*) AS n FROM k), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rk FROM p), f AS (SELECT query_id, pos, p / sum(p) OVER (PARTITION BY query_id) AS r FROM g, n WHERE pos = 0 OR pos >= n - 16 OR score >= 0.15 AND rk <= 8) SELECT query_id, round(sum(p.p * ln(p.p / greatest(coalesce(r, 0), 1e-12))), 6) AS kl, arg_max(pos, (round(p.p, 12), -pos)) = arg_max(pos, (round(coalesce(r, -1), 12), -pos)) AS top1_agrees FROM p LEFT JOIN f USING (query_id, pos) GROUP BY query_id")
+def drop_relevant(spark, d):
+    """Eight of the relevant keys with the first and the last positions around them, against all keys."""
+    dense = _weighted(spark, d).select("query_id", "pos", "score", "p")
+    n = keys_of(spark, d).count()
+    best = search.best(queries_of(spark, d), keys_of(spark, d), 8).where("score >= 0.15").select("query_id", "pos", F.lit(True).alias("chosen"))
+    kept = dense.join(best, ["query_id", "pos"], "left").where(metrics.kept_positions(n, "window", 16) | F.col("chosen"))
+    mass = kept.groupBy("query_id").agg(F.sum("p").alias("mass"))
+    kept = kept.join(mass, "query_id").select("query_id", "pos", (F.col("p") / F.col("mass")).alias("p"))
+    return metrics.divergence(dense.select("query_id", "pos", "p"), kept).withColumn("kl", _six("kl"))
+
+
+@query("query_mean_gate", f"WITH {BASE}, {NODES}, qm AS (SELECT list(c / norm ORDER BY d) AS mean FROM (SELECT d, c, sqrt(sum(c * c) OVER ()) AS norm FROM (SELECT d, avg(x) AS c FROM (SELECT unnest(query) AS x, generate_subscripts(query, 1) AS d FROM q) GROUP BY d))), ln AS (SELECT pos // 4 AS cluster, min(list_dot_product(key, mean)) AS low, max(list_dot_product(key, mean)) AS high, max(sqrt(greatest(0, list_dot_product(key, key) - list_dot_product(key, mean) ** 2))) AS far FROM k, qm GROUP BY pos // 4), a AS (SELECT query_id, size, least(greatest(list_dot_product(query, mean) * low, list_dot_product(query, mean) * high) + far * sqrt(greatest(0, list_dot_product(query, query) - list_dot_product(query, mean) ** 2)), list_dot_product(query, center) + sqrt(list_dot_product(query, query)) * radius) + 1e-9 > t AS ok FROM nodes JOIN ln USING (cluster), qm, q JOIN t USING (query_id)) SELECT query_id, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM nodes), 6)::DOUBLE AS percentage FROM a WHERE ok GROUP BY query_id")
+def query_mean_gate(spark, d):
+    m = index.by_position(keys_of(spark, d), BF)
+    passed = enclosures.query_mean_passes(m, _asked(spark, d), DIM)
+    return enclosures.intersecting(passed, m.select("cluster").distinct().count()).withColumn("percentage", _six("percentage"))
+
+
 # Answer scorers over the benchmark's texts: each item against the next
 
 #: Every third prediction is hyphenated, every seventh has nothing but articles: the order of the rules shows.
@@ -831,6 +912,13 @@ def answer_contains(spark, d):
     return _answers(spark, d).select("item_id", scorers.contains_answer(F.col("p"), F.array("g")).alias("hit"))
 
 
+@query("task_scores", f"WITH {_PAIRS}, n AS (SELECT item_id, list_filter(string_split({_normal('p')}, ' '), lambda x: x <> '') AS p, list_filter(string_split({_normal('g')}, ' '), lambda x: x <> '') AS g, contains({_normal('p')}, {_normal('g')}) AS hit FROM b), c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(g, lambda x: x = w))))), 0) AS c FROM n) SELECT item_id, list_extract(['qasper', 'gov_report', 'samsum', 'trec'], item_id % 4 + 1) AS task, round(CASE WHEN item_id % 2 = 1 THEN hit::INT WHEN c = 0 THEN 0 ELSE 2 * c / (len(p) + len(g)) END, 6)::DOUBLE AS score FROM c")
+def task_scores(spark, d):
+    """Items as tasks, half of them scored by token F1 and half by containment."""
+    task = F.element_at(F.array(*map(F.lit, ("qasper", "gov_report", "samsum", "trec"))), (F.col("item_id") % 4 + 1).cast("int"))
+    return _answers(spark, d).select("item_id", task.alias("task"), _six(scorers.task_score(task, F.col("p"), F.array("g"))).alias("score"))
+
+
 @query("substring_share", "SELECT doc_id, (CASE WHEN contains(lower(text), 'license') THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(text), 'token') THEN 0.5 ELSE 0 END)::DOUBLE AS share FROM documents")
 def substring_share(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")

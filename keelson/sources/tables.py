@@ -58,6 +58,17 @@ def read_prompts(spark: SparkSession, path: str, fields: tuple[str, ...] = ("inp
     return lines.select(F.coalesce(*[F.get_json_object("value", f"$.{f}") for f in fields]).alias("prompt"), "value").where("prompt IS NOT NULL")
 
 
+def read_tasks(spark: SparkSession, path: str, templates: dict[str, str]) -> DataFrame:
+    """JSON lines of tasks (task, input, context, answers) with the prompt that each task's template makes; unknown tasks have none.
+
+    Templates hold ``{context}`` and ``{input}``.
+    """
+    rows = spark.read.schema("task string, input string, context string, answers array<string>").json(path)
+    form = F.try_element_at(F.create_map(*[F.lit(x) for kv in templates.items() for x in kv]), F.col("task"))
+    filled = F.replace(F.replace(form, F.lit("{input}"), F.coalesce("input", F.lit(""))), F.lit("{context}"), F.coalesce("context", F.lit("")))
+    return rows.withColumn("prompt", filled)
+
+
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """A sampling operator: n rows in seeded random order."""
     return df.orderBy(F.rand(seed)).limit(n)
