@@ -9,8 +9,8 @@ the test is a bit lookup in a small broadcast, not a join.
 Keys of a url are its host and every parent domain, each bare and followed by
 every path prefix whose length some rule has.  Null urls and urls without
 ``://`` have empty host and path and fit no rule.  Repeated rows are judged
-alike.  The broadcast is checked against ``MAX_BYTES``; beyond it the same keys
-are matched by a semi join.
+alike.  The broadcast is checked against ``MAX_BYTES``; beyond it hosts meet
+the listed ones in a join.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] = RULES, markers: tuple[s
     universe = cut(keys.select("key", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), listed.alias("listed")))
     levels = build_cascade(universe)
     if levels is None:
-        return _by_join(base, universe, tags, default, id_col)
+        return _by_join(base, universe, rules, tags, default, id_col)
     shared = pages.sparkSession.sparkContext.broadcast(levels)
 
     @F.pandas_udf("array<boolean>")
@@ -193,13 +193,16 @@ def _verdicts(df: DataFrame, tags: list[str], default: str, id_col: str) -> Data
     return df.withColumn("best", F.when(F.size(rules) > 0, best)).select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
-def _by_join(base: DataFrame, universe: DataFrame, tags: list[str], default: str, id_col: str) -> DataFrame:
-    """The way for lists whose cascade is too large to broadcast: keys meet the list in a join."""
-    rows = base.withColumn("row", F.monotonically_increasing_id())
-    rows = cut(rows)
-    every = F.concat(*[_tagged(F.col("keys"), f"{t}:") for t in tags], F.array(F.concat(F.lit("host:"), F.col("host"))))
-    hits = rows.select("row", F.explode(every).alias("key")).join(universe.where("listed").select("key"), "key", "left_semi")
-    return _verdicts(rows.join(hits.groupBy("row").agg(F.collect_set("key").alias("hits")), "row", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>"))), tags, default, id_col)
+def _by_join(base: DataFrame, universe: DataFrame, rules: dict[str, str], tags: list[str], default: str, id_col: str) -> DataFrame:
+    """The way for lists whose cascade is too large to broadcast: hosts meet the listed hosts in a join; the rules are few and need none.
+
+    Both sides of the join are plain shuffles, the right one with one row a
+    host, so adaptive execution splits the rows of a hot host.
+    """
+    listed = universe.where("listed").where(F.col("key").startswith("host:")).select(F.substring("key", len("host:") + 1, 1 << 30).alias("host"), F.lit(True).alias("bad"))
+    own = F.filter(F.concat(*[_tagged(F.col("keys"), f"{t}:") for t in tags]), lambda k: k.isin(*[f"{v}:{k}" for k, v in rules.items()]))
+    hosts = F.when(F.col("bad"), F.array(F.concat(F.lit("host:"), F.col("host")))).otherwise(F.array().cast("array<string>"))
+    return _verdicts(base.join(listed, "host", "left").withColumn("hits", F.concat(own, hosts)), tags, default, id_col)
 
 
 #: The same verdicts as SQL.

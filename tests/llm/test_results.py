@@ -579,3 +579,75 @@ def test_hot_keys_join_alike(spark, monkeypatch):
     both = common.with_groups(left, "key", {"low": F.min("x"), "many": F.count("*")}, 3000)
     want = left.groupBy("key").agg(F.min("x").alias("low2"), F.count("*").alias("many2"))
     assert both.count() == 3000 and both.join(want, "key").where("low <> low2 OR many <> many2").isEmpty()
+
+
+def _crc_by_table(data):
+    """The container's checksum as it is specified: polynomial 04c11db7, most significant bit first, from zero."""
+    table = []
+    for n in range(256):
+        x = n << 24
+        for _ in range(8):
+            x = (x << 1 ^ (0x04C11DB7 if x & 0x80000000 else 0)) & 0xFFFFFFFF
+        table.append(x)
+    crc = 0
+    for b in data:
+        crc = (crc << 8 & 0xFFFFFFFF) ^ table[crc >> 24 ^ b]
+    return crc
+
+
+def _read_pages(media):
+    """Packets by serial number, with page counts and last granules, by a second reader."""
+    out, at = {}, 0
+    while at < len(media):
+        n = media[at + 26]
+        sizes = list(media[at + 27 : at + 27 + n])
+        end = at + 27 + n + sum(sizes)
+        page = bytearray(media[at:end])
+        page[22:26] = bytes(4)
+        assert media[at : at + 4] == b"OggS" and _crc_by_table(page) == int.from_bytes(media[at + 22 : at + 26], "little")
+        own = out.setdefault(media[at + 14 : at + 18], {"packets": [], "rest": b"", "pages": 0, "granule": 0})
+        own["pages"] += 1
+        own["granule"] = max(own["granule"], int.from_bytes(media[at + 6 : at + 14], "little", signed=True))
+        start = at + 27 + n
+        for size in sizes:
+            own["rest"] += media[start : start + size]
+            start += size
+            if size < 255:
+                own["packets"].append(own["rest"])
+                own["rest"] = b""
+        at = end
+    return out
+
+
+def test_ogg_by_a_second_reader(spark):
+    import math
+    from collections import Counter
+
+    rows = [(i, t) for i, t in docs_of() if len(t or "") < 40_000][:120] + [(-1, None), (-2, ""), (-3, "x" * 192 * 33)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media_ogg.encode_ogg(df).collect()}
+    for r in media_ogg.media_report(df).collect():
+        media = stored[r["doc_id"]]
+        streams = list(_read_pages(media).values())
+        audio = next(s for s in streams if s["packets"][0].startswith(b"pcmU8"))
+        payload = b"".join(audio["packets"][1:])
+        raw = (dict(rows)[r["doc_id"]] or "").encode()
+        assert payload == raw.ljust(max(192, -(-len(raw) // 192) * 192)) and audio["granule"] == len(payload) and not any(s["rest"] for s in streams)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        shares = [n / len(payload) for n in Counter(payload).values()]
+        mean = sum(payload) / len(payload)
+        sd = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+        said = dict(part.split("=") for part in r["feature"].split(";"))
+        assert [int(said[k]) for k in ("streams", "pages", "packets", "ms")] == [len(streams), sum(s["pages"] for s in streams), sum(len(s["packets"]) for s in streams), round(len(payload) / 8)]
+        for name, value in (("mean", mean), ("sd", sd), ("bits", -sum(p * math.log2(p) for p in shares))):
+            assert abs(float(said[name]) - value) < 1e-3
+
+
+def test_repeats_of_a_thousand_documents(spark):
+    """Every window of sf0.01 by a dictionary."""
+    import pyarrow.parquet as pq
+
+    rows = list(zip(*pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pydict().values(), strict=True))
+    want = repeats.brute_force(rows)
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeats_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert got == want
