@@ -53,7 +53,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown
 
 _stand_in = re.compile("[" + re.escape("".join(STAND_INS)) + r"]{1,8}(?=[a-z])")
 #: What stands for letters at a word's end, where it may as well be a number or a sign: both readings are matched.
-_tail = re.compile(r"([a-z]+)([0-9@$€]{1,8})(?![^\W_])")
+_tail = re.compile(r"(?<=[a-z])[0-9@$€]{1,8}(?![^\W_])")
 _BAR = "\u02ac"
 _stretched = re.compile(r"([a-z])\1{2,}")
 _other = re.compile(r"[\W\d_]+")
@@ -89,12 +89,24 @@ def _both(m: re.Match) -> str:
     return got
 
 
+def _with_tails(t: str) -> str:
+    """Words that end in stand-ins, with a bar and the word that these spell behind them."""
+    out, at = [], 0
+    for m in _tail.finditer(t):
+        begin = m.start()
+        while begin > at and "a" <= t[begin - 1] <= "z":
+            begin -= 1
+        out += [t[at : m.start()], _BAR, t[begin : m.start()], "".join(STAND_INS[c] for c in m[0])]
+        at = m.end()
+    return "".join([*out, t[at:]]) if out else t
+
+
 def folded(text: str | None) -> str:
     """Folded words, each between blanks; other readings of a word (without accents, with its last digits as letters) follow behind bars."""
     t = text or ""
     t = (t if t.isascii() else unicodedata.normalize("NFC", t)).translate(_fold)
     t = _stand_in.sub(lambda m: "".join(STAND_INS[c] for c in m[0]), t)
-    t = _tail.sub(lambda m: f"{m[1]}{_BAR}{m[1]}{''.join(STAND_INS[c] for c in m[2])}", t)
+    t = _with_tails(t)
     t = _other.sub(" ", _stretched.sub(r"\1", t)).strip()
     return f" {t if t.isascii() else _accented.sub(_both, t).replace(_BAR, '_')} "
 
