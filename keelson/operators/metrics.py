@@ -104,7 +104,7 @@ def pair_overlap(sets: DataFrame) -> DataFrame:
 
 
 def pca_summary(rows: DataFrame, column: str, dim: int) -> DataFrame:
-    """k90, k95, k99, effective rank and participation ratio of the covariance spectrum; dim numbers reach the driver."""
+    """k90, k95, k99, effective rank, participation ratio and the errors of 8, 16 and 32 axes of the covariance spectrum; dim numbers reach the driver."""
     import numpy as np
 
     from keelson.operators.enclosures import principal_basis, rotated
@@ -115,7 +115,8 @@ def pca_summary(rows: DataFrame, column: str, dim: int) -> DataFrame:
     p = w / max(w.sum(), 1e-300)
     cum = np.cumsum(p)
     row = [int(np.searchsorted(cum, x - 1e-12) + 1) for x in (0.9, 0.95, 0.99)] + [float(np.exp(-np.sum(p[p > 0] * np.log(p[p > 0])))), float(w.sum() ** 2 / max((w**2).sum(), 1e-300))]
-    return rows.sparkSession.createDataFrame([row], "k90 int, k95 int, k99 int, effective_rank double, participation double")
+    row += [float(1 - cum[min(k, dim) - 1]) for k in (8, 16, 32)]
+    return rows.sparkSession.createDataFrame([row], "k90 int, k95 int, k99 int, effective_rank double, participation double, error8 double, error16 double, error32 double")
 
 
 def divergence(dense: DataFrame, dropped: DataFrame) -> DataFrame:

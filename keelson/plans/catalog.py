@@ -396,6 +396,15 @@ def point_sets(spark, d):
     return subspace.point_relations(_slice_limits(spark, d), pieces, best, PARTS)
 
 
+@query("subspace_kcenter", f"WITH {BASE} SELECT query_id, count(*) AS found FROM r WHERE rank <= 20 GROUP BY query_id")
+def subspace_kcenter(spark, d):
+    """Slices clustered by the k-center sweep, each by itself: how many of the best keys pass the gates of all slices."""
+    members = subspace.kcenter_slices(keys_of(spark, d), DIM, PARTS, BF, clusterings.CLUSTERINGS["kcenter"])
+    gate = subspace.cluster_gate(_slice_limits(spark, d), subspace.slice_balls(members, DIM, PARTS))
+    through = subspace.keys_through(gate, members, PARTS).select("query_id", "pos")
+    return search.best(queries_of(spark, d), keys_of(spark, d), K).join(through, ["query_id", "pos"]).groupBy("query_id").agg(F.count("*").alias("found"))
+
+
 @query("attention_subspace", f"WITH {BASE.replace('s AS (SELECT', 's0 AS (SELECT').replace('FROM s)', 'FROM s0)')}, {SLICED}, a AS (SELECT query_id, pos FROM gate JOIN m USING (s, cluster) GROUP BY query_id, pos HAVING count(*) = 4), s AS (SELECT * FROM s0 JOIN a USING (query_id, pos) WHERE pos < 400 UNION ALL SELECT * FROM s0 WHERE pos >= 400), {SOFT}, {_VALUES}")
 def attention_subspace(spark, d):
     """Keys of the index (positions below 400) that pass the gates of all slices, and the whole buffer."""
@@ -727,6 +736,14 @@ def policy_graph(spark, d):
     return _count(attention.graph_policy(queries_of(spark, d), keys_of(spark, d), K))
 
 
+@query("graph_recall", "SELECT true AS enough")
+def graph_recall(spark, d):
+    """Whether the graph's recall of the best keys is 0.9 or more, as is asked of an approximate search."""
+    q, k = queries_of(spark, d), keys_of(spark, d)
+    recall = metrics.recall_at(attention.graph_policy(q, k, K).select("query_id", "pos"), search.best(q, k, K).select("query_id", "pos"))
+    return recall.agg((F.avg("recall") >= 0.9).alias("enough"))
+
+
 @query("policy_recall", f"WITH {BASE}, {NODES}, best AS (SELECT query_id, pos FROM r WHERE rank <= 10), c AS (SELECT query_id, cluster, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(query, center) DESC, cluster) AS rr FROM nodes, q), x AS (SELECT query_id, pos FROM s JOIN c USING (query_id) WHERE c.cluster = pos // 4 AND rr <= 12) SELECT q.query_id, (SELECT count(*) FROM best JOIN x USING (query_id, pos) WHERE query_id = q.query_id) / 10 AS recall, (SELECT count(*) FROM x WHERE x.query_id = q.query_id) AS retrieved FROM q")
 def policy_recall(spark, d):
     m = index.by_position(keys_of(spark, d), BF)
