@@ -33,7 +33,7 @@ from keelson.llm.common import slices
 LENGTH, END_ID, GROUP = 4096, 2, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Bytes after which a word cache starts anew (an entry counts ENTRY bytes besides its own), and the longest chunk that it keeps.
-CACHE_BYTES, ENTRY, LONGEST = 96 << 20, 200, 64
+CACHE_BYTES, ENTRY, LONGEST = 160 << 20, 200, 64
 
 #: Words whose normal form is their lower case: no composition, no special lowering.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
