@@ -77,7 +77,6 @@ def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",),
         F.max(vec.norm1("away")).alias("radius_1"),
         F.max(vec.norm_inf("away")).alias("radius_inf"),
         F.max(vec.norm_p(F.col("away"), 3.0)).alias("radius_3"),
-        F.max(vec.norm(vec.minus("k", "mid"))).alias("radius_mid"),
         _dims(dim, lambda x: F.max(F.abs(x)), "away").alias("sigma"),
         F.min(along).alias("along_lo"),
         F.max(along).alias("along_hi"),
@@ -140,10 +139,6 @@ def span_ball() -> Column:
     return vec.dot("query", "mid") + vec.norm("query") * vec.norm("half")
 
 
-def mid_ball() -> Column:
-    return vec.dot("query", "mid") + vec.norm("query") * F.col("radius_mid")
-
-
 def ellipsoid() -> Column:
     return vec.dot("query", "center") + F.least(F.col("radius_m") * vec.norm(vec.times("query", "sigma")), F.col("radius") * vec.norm("query"))
 
