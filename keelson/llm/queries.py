@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from keelson.llm import decontamination, license_scan, url_filter
+from keelson.llm.bpe import bpe_report
 from keelson.llm.common import table
 from keelson.llm.html_text import extract_text
 from keelson.llm.media_ogg import media_report
@@ -55,6 +56,12 @@ def op10_html(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op13_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_urls": op2_urls,
@@ -66,6 +73,7 @@ QUERIES = {
     "op8_ogg": op8_ogg,
     "op9_repeats": op9_repeats,
     "op10_html": op10_html,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
