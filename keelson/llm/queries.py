@@ -6,11 +6,13 @@ from keelson.llm import decontamination, license_scan, url_filter
 from keelson.llm.bpe import bpe_report
 from keelson.llm.common import table
 from keelson.llm.html_text import extract_text
+from keelson.llm.importance import importance_report
 from keelson.llm.media_ogg import media_report
 from keelson.llm.packing import packing_report
 from keelson.llm.repeats import repeats_report
 from keelson.llm.secret_scan import secret_report
 from keelson.llm.simhash import simhash_report
+from keelson.llm.spelling import spelling_report
 from keelson.llm.toxicity import toxicity_report
 
 
@@ -56,6 +58,14 @@ def op10_html(spark, sf_dir):
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling_report(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark, sf_dir):
+    return importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -73,6 +83,8 @@ QUERIES = {
     "op8_ogg": op8_ogg,
     "op9_repeats": op9_repeats,
     "op10_html": op10_html,
+    "op11_spelling": op11_spelling,
+    "op12_importance": op12_importance,
     "op13_bpe": op13_bpe,
 }
 
