@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keelson.attend import Config, SparseIndex
 from keelson.functions import text as scorers
 from keelson.functions import vec
-from keelson.operators import attention, clusterings, enclosures, index, metrics, search, subspace, thresholds
+from keelson.operators import attention, capacity, clusterings, enclosures, index, metrics, quantizers, search, subspace, thresholds
 from keelson.operators.blocks import against
 from keelson.operators.lineage import cut, shared_folder
 from keelson.sources.tables import keys_of, queries_of
@@ -751,9 +751,127 @@ def policy_recall(spark, d):
     return metrics.recall_at(got, search.top_k(_scored(spark, d), 10).select("query_id", "pos"))
 
 
-# Metrics
+# Trained quantizers
+
+_MIXED = "((pos % 2147483648) * 2654435761) % 4294967296"
+ROUNDS = 3
+
+
+def _lloyd(rows: str, k: str, best: str, rounds: int = ROUNDS) -> str:
+    """Tables ``c0`` to ``c<rounds>`` (s, cell, c) and ``a0`` to ``a<rounds>`` (s, pos, x, cell) of Lloyd rounds over ``rows(s, pos, x)``; ``best`` orders centres."""
+    out = [f"c0 AS MATERIALIZED (SELECT s, cell, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY {_MIXED}, pos) - 1 AS cell FROM {rows}) WHERE cell < {k})"]
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS MATERIALIZED (SELECT s, pos, x, cell FROM (SELECT s, pos, x, cell, row_number() OVER (PARTITION BY s, pos ORDER BY {best}, cell) AS r FROM {rows} JOIN c{i} USING (s)) WHERE r = 1)")
+        if i < rounds:
+            out.append(f"c{i + 1} AS MATERIALIZED (SELECT s, cell, list(v ORDER BY d) AS c FROM (SELECT s, cell, d, avg(v) AS v FROM (SELECT s, cell, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM a{i}) GROUP BY ALL) GROUP BY ALL)")
+    return ", ".join(out)
+
+
+_LISTS = f"WITH {BASE}, x AS (SELECT 0 AS s, pos, key AS x FROM k), {_lloyd('x', '(SELECT least(floor(sqrt(count(*))), count(*) // 4) FROM k)', 'list_dot_product(x, c) DESC')}"
+_PROBED = f"""pr AS (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(query, c) DESC, cell) AS r FROM q, c{ROUNDS}),
+inl AS (SELECT query_id, s.pos, s.score FROM s JOIN a{ROUNDS} a ON a.pos = s.pos JOIN pr USING (query_id, cell) WHERE pr.r <= (SELECT greatest(1, count(*) // 4) FROM c{ROUNDS})),
+il AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM inl)"""
+
+
+def _list_index(spark, d) -> quantizers.ListIndex:
+    return quantizers.ListIndex.build(keys_of(spark, d), DIM, rounds=ROUNDS)
+
+
+@query("trained_lists", f"{_LISTS} SELECT pos, cell AS list, round(sqrt(list_dot_product(c, c)), 6) AS length FROM a{ROUNDS} JOIN c{ROUNDS} USING (s, cell)")
+def trained_lists(spark, d):
+    """The list of every stored key: as many lists as the root of the keys, learned over all keys."""
+    lists = _list_index(spark, d)
+    c = lists.centers().withColumn("length", _six(vec.norm(F.col("center")))).drop("center")
+    return lists.stored().join(F.broadcast(c), ["head", "list"]).select("pos", "list", "length")
+
+
+@query("list_search", f"{_LISTS}, {_PROBED} SELECT query_id, rank, pos, round(score, 6) + 0.0 AS score FROM il WHERE rank <= 20")
+def list_search(spark, d):
+    """The best keys of the quarter of the lists that a query probes; files of other lists are not read."""
+    return _list_index(spark, d).search(queries_of(spark, d), K).select("query_id", F.col("rank").cast("long").alias("rank"), "pos", _six("score").alias("score"))
+
+
+@query("list_recall", f"{_LISTS}, {_PROBED}, best AS (SELECT query_id, pos FROM r WHERE rank <= 20) SELECT q.query_id, (SELECT count(*) FROM best JOIN il USING (query_id, pos) WHERE query_id = q.query_id AND rank <= 20) / 20 AS recall, (SELECT count(*) FROM inl WHERE inl.query_id = q.query_id) AS compared FROM q")
+def list_recall(spark, d):
+    """Share of the truly best keys that the probed lists hold, and how many keys those hold."""
+    lists, q = _list_index(spark, d), queries_of(spark, d)
+    recall = metrics.recall_at(lists.search(q, K).select("query_id", "pos"), search.best(q, keys_of(spark, d), K).select("query_id", "pos")).select("query_id", "recall")
+    sizes = lists.stored().groupBy("head", "list").agg(F.count("*").alias("n"))
+    return recall.join(lists.probes(q).join(sizes, ["head", "list"]).groupBy("query_id").agg(F.sum("n").alias("compared")), "query_id")
+
+
+_CODES = f"WITH {BASE}, x AS (SELECT s, pos, key[s * 8 + 1 : s * 8 + 8] AS x FROM k, range(8) z(s)), {_lloyd('x', '256', 'list_distance(x, c)')}"
+_CODED = f"""tab AS (SELECT query_id, s, cell, list_dot_product(query[s * 8 + 1 : s * 8 + 8], c) AS m FROM q, c{ROUNDS}),
+cs AS (SELECT query_id, pos, round(sum(m), 9) AS score FROM a{ROUNDS} JOIN tab USING (s, cell) GROUP BY ALL),
+cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM cs)"""
+
+
+def _code_index(spark, d) -> quantizers.CodeIndex:
+    return quantizers.CodeIndex.build(keys_of(spark, d), DIM, 8, ROUNDS)
+
+
+@query("trained_codes", f"{_CODES} SELECT pos, string_agg(printf('%02X', cell::INTEGER), '' ORDER BY s) AS code FROM a{ROUNDS} GROUP BY pos")
+def trained_codes(spark, d):
+    """Every key's bytes, one a slice of eight dimensions: the nearest of 256 learned centres."""
+    return _code_index(spark, d).codes.select("pos", F.hex("code").alias("code"))
 
 
+@query("code_search", f"{_CODES}, {_CODED} SELECT query_id, rank, pos, round(score, 6) + 0.0 AS score FROM cr WHERE rank <= 20")
+def code_search(spark, d):
+    """The best keys by the entries that their bytes have in each query's tables."""
+    return _code_index(spark, d).search(queries_of(spark, d), K).select("query_id", F.col("rank").cast("long").alias("rank"), "pos", _six("score").alias("score"))
+
+
+@query("code_recall", f"{_CODES}, {_CODED}, best AS (SELECT query_id, pos FROM r WHERE rank <= 20) SELECT q.query_id, (SELECT count(*) FROM best JOIN cr USING (query_id, pos) WHERE query_id = q.query_id AND rank <= 20) / 20 AS recall FROM q")
+def code_recall(spark, d):
+    q = queries_of(spark, d)
+    return metrics.recall_at(_code_index(spark, d).search(q, K).select("query_id", "pos"), search.best(q, keys_of(spark, d), K).select("query_id", "pos")).select("query_id", "recall")
+
+
+
+# Clusters of a bounded size
+
+_CENTERS = "(SELECT ceil(count(*) / 4)::BIGINT FROM k)"
+_FILL_ROUNDS = 2
+
+
+def _reseeded(rounds: int = _FILL_ROUNDS) -> str:
+    """Tables ``c0`` to ``c<rounds>`` (cell, c) of Lloyd rounds over ``k`` in which centres without keys become the farthest keys."""
+    out = [f"c0 AS MATERIALIZED (SELECT cell, key AS c FROM (SELECT key, row_number() OVER (ORDER BY {_MIXED}, pos) - 1 AS cell FROM k) WHERE cell < {_CENTERS})"]
+    for i in range(rounds):
+        out.append(f"""a{i} AS MATERIALIZED (SELECT * FROM (SELECT pos, key, cell, list_distance(key, c) AS d, row_number() OVER (PARTITION BY pos ORDER BY list_distance(key, c), cell) AS r FROM k, c{i}) WHERE r = 1),
+e{i} AS MATERIALIZED (SELECT cell, row_number() OVER (ORDER BY cell) AS r FROM c{i} WHERE cell NOT IN (SELECT cell FROM a{i})),
+f{i} AS MATERIALIZED (SELECT key, row_number() OVER (ORDER BY d DESC, pos) AS r FROM a{i}),
+c{i + 1} AS MATERIALIZED (SELECT cell, list(v ORDER BY d) AS c FROM (SELECT cell, d, avg(v) AS v FROM (SELECT cell, unnest(key) AS v, generate_subscripts(key, 1) AS d FROM a{i}) GROUP BY ALL) GROUP BY ALL UNION ALL SELECT cell, key FROM e{i} JOIN f{i} USING (r))""")
+    return ", ".join(out)
+
+
+# keys propose down their lists, one step a round, and centres keep the four nearest: the outcome is the same in any order
+_STABLE = f"""WITH RECURSIVE {BASE}, {_reseeded()},
+pref AS MATERIALIZED (SELECT pos, cell, list_distance(key, c) AS d, row_number() OVER (PARTITION BY pos ORDER BY list_distance(key, c), cell) AS place FROM k, c{_FILL_ROUNDS}),
+st AS (SELECT pos, 1::BIGINT AS place, 1::BIGINT AS turned FROM k
+  UNION ALL
+  SELECT pos, place + (rk > 4)::BIGINT, (sum((rk > 4)::INT) OVER ())::BIGINT FROM (SELECT st.pos, st.place, turned, row_number() OVER (PARTITION BY cell ORDER BY d, st.pos) AS rk FROM st JOIN pref USING (pos, place)) z WHERE turned > 0),
+done AS (SELECT pos, max(place) AS place FROM st GROUP BY pos)"""
+
+
+@query("bounded_clusters", f"{_STABLE} SELECT pos, cell AS cluster, round(d, 6) + 0.0 AS distance FROM done JOIN pref USING (pos, place)")
+def bounded_clusters(spark, d):
+    """Clusters of four keys at most, in which no key and centre would rather have each other."""
+    keys = keys_of(spark, d)
+    placed = capacity.matched(keys, capacity.trained_centers(keys, BF, DIM, _FILL_ROUNDS), BF)
+    return placed.select("pos", "cluster", _six("distance").alias("distance"))
+
+
+@query("bounded_tree_search", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
+def bounded_tree_search(spark, d):
+    """Search through the balls of clusters of a bounded size."""
+    m = capacity.bounded(keys_of(spark, d), BF, DIM, 1)
+    return search.gated(_asked(spark, d), index.balls(m, DIM), m).select("query_id", "pos", _six("score").alias("score"))
+
+
+# Metrics
+
 @query("score_concentration", f"WITH {BASE}, {SOFT}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, pos) AS rk, count(*) OVER (PARTITION BY query_id) AS n FROM p), c AS (SELECT *, round(sum(p) OVER (PARTITION BY query_id ORDER BY rk), 9) AS cum FROM o) SELECT query_id, round(sum(CASE WHEN rk <= 8 THEN p ELSE 0 END), 6) AS top8, round(sum(CASE WHEN rk <= 32 THEN p ELSE 0 END), 6) AS top32, round(sum(CASE WHEN rk <= 128 THEN p ELSE 0 END), 6) AS top128, round((count(*) FILTER (cum < 0.5) + 1) / max(n), 6) AS cov50, round(1 / sum(p * p), 5) AS eff_size, round(-sum(p * ln(p)), 6) AS entropy, round(avg((p * n > 1)::INT), 6) AS above_uniform FROM c GROUP BY query_id")
 def score_concentration(spark, d):
     c = metrics.concentration(_weighted(spark, d))
