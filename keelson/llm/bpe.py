@@ -101,9 +101,6 @@ class Vocabulary(dict):
         self.made = [self.ids[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
-        for token, k in (self.ids | self.special).items():
-            self.tokens[k] = token
         # whether this file's normalizer and splitter do with plain words what is done here without them
         self.lowers = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str("AbÀß.,"))] == [self.as_bytes("abàß"), ".,"]
         self.words: dict[str, bytes] = {}
@@ -150,11 +147,6 @@ class Vocabulary(dict):
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
-    def decode(self, ids: list[int] | None) -> str:
-        """The tokens as they stand in the vocabulary, joined by one space."""
-        tokens, n = self.tokens, len(self.tokens)
-        return " ".join([tokens[k] for k in ids or () if k is not None and 0 <= k < n and tokens[k]])
-
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -162,6 +154,26 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> np.ndarray:
+    """Every id's token as it stands in the vocabulary; the empty string where there is none, and behind the last."""
+    with open(path, encoding="utf-8") as f:
+        described = json.load(f)
+    named = described["model"]["vocab"] | {t["content"]: t["id"] for t in described["added_tokens"]}
+    out = np.full(2 + max(named.values()), "", object)
+    for token, k in named.items():
+        out[k] = token
+    return out
+
+
+def decode(ids: np.ndarray, tokens: np.ndarray) -> str:
+    """The tokens joined by one space."""
+    last = len(tokens) - 1
+    if len(ids) and (ids.min() < 0 or ids.max() > last):
+        ids = np.where((ids < 0) | (ids > last), last, ids)
+    return " ".join(filter(None, tokens[ids].tolist()))
+
+
 def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array of int) of every whole text; one narrow pass, row by row."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -185,10 +197,13 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", in
     made = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), f"`{into}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(tokenizer_path)
+        tokens = tokens_of(tokenizer_path)
         for batch in batches:
             for piece in slices(batch):
-                texts = pa.array([known.decode(ids) for ids in piece.column(0).to_pylist()], pa.string())
+                lists = piece.column(0)
+                ids = lists.flatten().fill_null(-1).to_numpy()
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+                texts = pa.array([decode(ids[a:b], tokens) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([*piece.columns[1:], texts], [*piece.schema.names[1:], into])
 
     return encoded.select(ids_col, *(f.name for f in rest)).mapInArrow(run, made)
