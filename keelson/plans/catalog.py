@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from keelson.attend import Config, SparseIndex
 from keelson.functions import text as scorers
 from keelson.functions import vec
-from keelson.operators import attention, capacity, clusterings, enclosures, index, metrics, quantizers, search, subspace, thresholds
+from keelson.operators import attention, capacity, clusterings, enclosures, graph, index, metrics, quantizers, search, subspace, thresholds
 from keelson.operators.blocks import against
 from keelson.operators.lineage import cut, shared_folder
 from keelson.sources.tables import keys_of, queries_of
@@ -733,15 +734,23 @@ def policy_codes(spark, d):
 
 @query("policy_graph")
 def policy_graph(spark, d):
-    return _count(attention.graph_policy(queries_of(spark, d), keys_of(spark, d), K))
+    return _count(graph.GraphIndex.build(keys_of(spark, d)).search(queries_of(spark, d), K))
 
 
-@query("graph_recall", "SELECT true AS enough")
+_SHARDS = (64, 200, 1 << 14)
+
+
+@query("graph_recall", f"WITH {BASE}, sz AS (SELECT size, ceil(count(*) / size)::BIGINT AS shards FROM k, (VALUES {', '.join(f'({s})' for s in _SHARDS)}) z(size) GROUP BY size) SELECT size::BIGINT AS size, count(DISTINCT (((pos % 2147483648) * 2654435761) % 4294967296 * shards) // 4294967296) AS shards, (SELECT count(*) FROM r WHERE rank <= 20) AS sought, true AS enough FROM sz, k GROUP BY size, shards")
 def graph_recall(spark, d):
-    """Whether the graph's recall of the best keys is 0.9 or more, as is asked of an approximate search."""
-    q, k = queries_of(spark, d), keys_of(spark, d)
-    recall = metrics.recall_at(attention.graph_policy(q, k, K).select("query_id", "pos"), search.best(q, k, K).select("query_id", "pos"))
-    return recall.agg((F.avg("recall") >= 0.9).alias("enough"))
+    """Graphs in shards of three sizes: how many shards, how many best keys are sought, and whether at least 0.9 of those were found."""
+    q, k, out = queries_of(spark, d), keys_of(spark, d), []
+    best = cut(search.best(q, k, K).select("query_id", "pos"))
+    for size in _SHARDS:
+        index_ = graph.GraphIndex.build(k, size)
+        found = index_.search(q, K).select("query_id", "pos", F.lit(1).alias("hit"))
+        share = best.join(found, ["query_id", "pos"], "left").agg(F.count("*").alias("sought"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+        out.append(share.select(F.lit(size).cast("long").alias("size"), F.lit(index_.shards()).cast("long").alias("shards"), "sought", "enough"))
+    return reduce(DataFrame.union, out)
 
 
 @query("policy_recall", f"WITH {BASE}, {NODES}, best AS (SELECT query_id, pos FROM r WHERE rank <= 10), c AS (SELECT query_id, cluster, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(query, center) DESC, cluster) AS rr FROM nodes, q), x AS (SELECT query_id, pos FROM s JOIN c USING (query_id) WHERE c.cluster = pos // 4 AND rr <= 12) SELECT q.query_id, (SELECT count(*) FROM best JOIN x USING (query_id, pos) WHERE query_id = q.query_id) / 10 AS recall, (SELECT count(*) FROM x WHERE x.query_id = q.query_id) AS retrieved FROM q")
