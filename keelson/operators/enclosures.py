@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
+from keelson.operators import oriented
 from keelson.operators.blocks import against
 from keelson.operators.lineage import cut
 from keelson.operators.search import heads
@@ -39,7 +40,7 @@ def _half_boxes(dim: int, side: bool) -> list[Column]:
 
 
 def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",), tight: bool = True) -> DataFrame:
-    """Statistics of each cluster of ``members([head, ]cluster, pos, key)``; the iterated and anchored balls only if ``tight``."""
+    """Statistics of each cluster of ``members([head, ]cluster, pos, key)``; the iterated and anchored balls and the boxes along axes only if ``tight``."""
     by = (*(h for h in heads(members) if h not in by), *by)
     on = list(by)
     m = members.select(*by, "pos", vec.doubles("key").alias("k"), vec.norm("key").alias("kn"))
@@ -105,7 +106,7 @@ def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",),
         F.max(F.when(inner, F.col("d"))).alias("inner_radius"),
     )
     out = first.join(second, on).join(third, on)
-    return _with_tight_balls(cut(out), m, dim, on) if tight else out
+    return oriented.with_axis_boxes(cut(_with_tight_balls(cut(out), m, dim, on)), members, dim, on) if tight else out
 
 
 def _with_tight_balls(summary: DataFrame, members: DataFrame, dim: int, on: list[str], rounds: int = 10) -> DataFrame:
@@ -241,6 +242,7 @@ BOUNDS: dict[str, Callable[[int], Column]] = {
     "slab_bundle": slab_bundle,
     "hybrid": lambda dim: F.least(ball(), box(), cone()),
     "hybrid_plus": lambda dim: F.least(ball(), box(), cone(), ellipsoid(), centerline()),
+    **{name: lambda dim, name=name: oriented.box_bound(name) for name in oriented.BOXES},
     "tight_hybrid": lambda dim: F.least(ball(), box(), ellipsoid(), split_box(), axis_interval()),
 }
 

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from keelson.attend import Config, SparseIndex
 from keelson.functions import text as scorers
 from keelson.functions import vec
-from keelson.operators import attention, capacity, clusterings, enclosures, graph, index, metrics, quantizers, search, subspace, thresholds
+from keelson.operators import attention, capacity, clusterings, enclosures, graph, index, metrics, oriented, quantizers, search, subspace, thresholds
 from keelson.operators.blocks import against
+from keelson.operators.exact_ball import exact_balls
 from keelson.operators.lineage import cut, shared_folder
 from keelson.sources.tables import keys_of, queries_of
 from keelson.streaming import state
@@ -838,6 +839,36 @@ def code_recall(spark, d):
 
 
 
+@query("exact_balls", f"""WITH {BASE}, pr AS (SELECT a.pos // 3 AS cluster, list_distance(a.key, b.key) AS d FROM k a JOIN k b ON a.pos // 3 = b.pos // 3 AND a.pos < b.pos),
+sd AS (SELECT cluster, list(d ORDER BY d DESC) AS e FROM pr GROUP BY cluster)
+SELECT cluster, count(*) AS size, round(any_value(CASE WHEN e IS NULL THEN 0 WHEN len(e) = 1 OR e[1] ** 2 >= e[2] ** 2 + e[3] ** 2 THEN e[1] / 2 ELSE e[1] * e[2] * e[3] / sqrt((e[1] + e[2] + e[3]) * (e[2] + e[3] - e[1]) * (e[1] + e[3] - e[2]) * (e[1] + e[2] - e[3])) END), 6) + 0.0 AS radius FROM (SELECT pos // 3 AS cluster FROM k) LEFT JOIN sd USING (cluster) GROUP BY cluster""")
+def smallest_balls(spark, d):
+    """The smallest balls of runs of three keys; the SQL knows the circle of a triangle."""
+    return exact_balls(index.by_position(keys_of(spark, d), 3), DIM).select("cluster", "size", _six("radius").alias("radius"))
+
+
+@query("exact_ball_search", f"WITH {BASE} SELECT query_id, pos, round(score, 6) + 0.0 AS score FROM s JOIN t USING (query_id) WHERE score >= t")
+def exact_ball_search(spark, d):
+    m = index.by_position(keys_of(spark, d), 16)
+    return search.gated(_asked(spark, d), exact_balls(m, DIM), m).select("query_id", "pos", _six("score").alias("score"))
+
+
+_GATES = [*oriented.BOXES, "query_adaptive"]
+
+
+@query("axis_boxes", f"WITH {BASE}, h AS (SELECT count(*) AS hits FROM s JOIN t USING (query_id) WHERE score >= t) SELECT gate, hits, 0::BIGINT AS lost FROM h, (VALUES {', '.join(f'({chr(39)}{g}{chr(39)})' for g in _GATES)}) z(gate)")
+def axis_boxes(spark, d):
+    """Gates along principal axes, over runs of eight keys: hits of the search, and how many of them lie in clusters that a gate turns away (none)."""
+    m, asked = index.by_position(keys_of(spark, d), 8), _asked(spark, d)
+    names = list(oriented.BOXES)
+    passed = enclosures.passes(cut(enclosures.summaries(m, DIM)), asked, DIM, names).select("query_id", "cluster", F.explode(F.array(*[F.when(F.col(n), n) for n in names])).alias("gate")).where("gate is not null")
+    passed = cut(passed.unionByName(oriented.adaptive_passes(m, asked, asked, DIM, 8).select("query_id", "cluster", F.lit("query_adaptive").alias("gate"))))
+    hits = search.exact(search.scores(asked, m), F.col("t")).select("query_id", "cluster", "pos")
+    gates = spark.createDataFrame([(g,) for g in _GATES], "gate string")
+    kept = passed.join(hits, ["query_id", "cluster"]).groupBy("gate").agg(F.count("*").alias("kept"))
+    return gates.crossJoin(hits.agg(F.count("*").alias("hits"))).join(kept, "gate", "left").select("gate", "hits", (F.col("hits") - F.coalesce("kept", F.lit(0))).alias("lost"))
+
+
 # Clusters of a bounded size
 
 _CENTERS = "(SELECT ceil(count(*) / 4)::BIGINT FROM k)"
