@@ -19,7 +19,9 @@ rows are packed once per row.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,34 +59,28 @@ class WordCache(dict):
         byte_chars = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else None for b in range(256)]
         rest = iter(range(256, 512))
         self.table = {b: c or chr(next(rest)) for b, c in enumerate(byte_chars)}
-        self.words: dict[str, bytes] = {}
         self.held = 0
 
-    def keep(self, where: dict, chunk: str, got: bytes) -> None:
+    def keep(self, chunk: str, got: bytes) -> None:
         if len(chunk) > LONGEST:
             return
         self.held += ENTRY + 4 * len(chunk) + len(got)
         if self.held > CACHE_BYTES:
-            self.words.clear()
             self.clear()
             self.held = 0
-        where[chunk] = got
-
-    def piece(self, word: str) -> bytes:
-        if (got := self.words.get(word)) is None:
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
-            got = np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
-            self.keep(self.words, word, got)
-        return got
+        self[chunk] = got
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk:
             got = b""
-        elif m := _plain.fullmatch(chunk):
-            got = self.piece(m[1].lower()) + (self.piece(m[2]) if m[2] else b"")
+        elif (m := _plain.fullmatch(chunk)) and (m[2] or m[1] != m[1].lower()):
+            got = self[m[1].lower()] + (self[m[2]] if m[2] else b"")
+        elif m:
+            mapped = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.table)
+            got = array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         else:
-            got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
-        self.keep(self, chunk, got)
+            got = array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self.keep(chunk, got)
         return got
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -92,6 +88,12 @@ class WordCache(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), "<u2")
 
 
+@lru_cache(maxsize=2)
+def word_cache(path: str) -> WordCache:
+    """One a worker, whatever number of tasks it runs."""
+    return WordCache(path)
+
+
 def layout(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, quadratic: float = QUADRATIC) -> Iterator[tuple[int, int, int, int]]:
     """(document, start, size, sequence) of every piece; sequences are numbered from 0, a sequence's pieces follow in order."""
     whole, rest = divmod(sum(lengths), length)
@@ -120,7 +122,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer_path)
+        cache = word_cache(tokenizer_path)
         end = np.array([end_id], "<u2")
         base, made = TaskContext.get().partitionId() << 40, 0
         names, held, total = [], [], 0
