@@ -1197,3 +1197,37 @@ def reservoir_sizes(spark, d):
     """How many arrivals each head has seen, and how many different ones its reservoir holds."""
     rows = _streamed(spark, d, lambda a: state.reservoir(a, 64), "update", "reservoir")
     return rows.groupBy("head").agg(F.max("seen").alias("seen"), F.max_by(F.size(F.array_distinct("sample")), "seen").cast("long").alias("kept"))
+
+
+_HEAVY, _RECENT = 12, 20
+
+
+def _step_weights(arrivals: DataFrame) -> DataFrame:
+    """Events as decode steps of 64: each adds weight to its own position and to two earlier ones."""
+    back = lambda m, w: F.struct((F.col("pos") - 1 - (F.col("pos") * m) % 40).alias("pos"), F.lit(float(w)).alias("p"))
+    own = F.struct("pos", F.round(F.get("key", F.lit(0)) * 100).alias("p"))
+    return arrivals.select("head", F.floor(F.col("pos") / 64).cast("long").alias("step"), F.inline(F.array(own, back(7, 5000), back(13, 3000)))).where("pos >= 0")
+
+
+@query("heavy_hitters", f"""WITH RECURSIVE e AS (SELECT (user_id % 4)::INTEGER AS head, event_id, event_id // 64 AS step, round(value * 100) AS v FROM events),
+w AS MATERIALIZED (SELECT head, step, pos, sum(p) AS p FROM (SELECT head, step, event_id AS pos, v AS p FROM e UNION ALL SELECT head, step, event_id - 1 - (event_id * 7) % 40, 5000 FROM e UNION ALL SELECT head, step, event_id - 1 - (event_id * 13) % 40, 3000 FROM e) WHERE pos >= 0 GROUP BY ALL),
+o AS MATERIALIZED (SELECT head, step, dense_rank() OVER (PARTITION BY head ORDER BY step) AS i FROM (SELECT DISTINCT head, step FROM w)),
+wi AS MATERIALIZED (SELECT head, i, pos, p FROM w JOIN o USING (head, step)),
+st AS (SELECT DISTINCT head, 0::BIGINT AS i, (-1)::BIGINT AS pos, 0::DOUBLE AS mass, (-1)::BIGINT AS last FROM wi
+  UNION ALL
+  SELECT head, i, pos, mass, last FROM (SELECT *, row_number() OVER (PARTITION BY head, pos <= last - {_RECENT} ORDER BY mass DESC, pos) AS rk FROM (
+    SELECT head, i, pos, sum(m) AS mass, max(max(greatest(pos, l))) OVER (PARTITION BY head) AS last FROM (
+      SELECT st.head, st.i + 1 AS i, pos, mass AS m, last AS l FROM st JOIN o ON o.head = st.head AND o.i = st.i + 1 WHERE pos >= 0
+      UNION ALL SELECT wi.head, wi.i, wi.pos, wi.p, x.last FROM wi JOIN (SELECT head, i, max(last) AS last, list(pos) AS held FROM st GROUP BY head, i) x ON wi.head = x.head AND wi.i = x.i + 1 WHERE wi.pos > x.last OR list_contains(x.held, wi.pos)) GROUP BY head, i, pos))
+  WHERE pos > last - {_RECENT} OR rk <= {_HEAVY})
+SELECT head, step, count(*) AS n, sum(pos)::BIGINT AS positions, sum(mass) AS mass FROM st JOIN o USING (head, i) GROUP BY head, step""")
+def heavy_hitter_stream(spark, d):
+    """The cache of recent and heaviest positions after every step of every head, as a stream over ``events``."""
+    name, store = state.STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        rows = _streamed(spark, d, lambda a: state.heavy_hitters(_step_weights(a), _HEAVY, _RECENT), "append", "heavy")
+    finally:
+        spark.conf.set(name, before)
+    return rows.select("head", "step", F.size("kept").cast("long").alias("n"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, p: a + p).alias("positions"), "mass")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.sources.prompts import KINDS, ROWS, PromptSource
+
 KEYS = "layer int, head int, pos bigint, key array<float>, value array<float>"
 QUERIES = "query_id bigint, layer int, q_head int, step bigint, query array<float>"
 
@@ -89,29 +89,10 @@ def clustered_keys(spark: SparkSession, n: int, dim: int = 64, centers: int = 20
     return rows.select("head", "pos", key.alias("key"), "blob")
 
 
-def retrieval_prompts(spark: SparkSession, count: int, kind: str = "single", needles: int = 4, filler: int = 200, seed: int = 0) -> DataFrame:
-    """Needle prompts: ``single``, ``multi``, ``chain`` (variable tracking) and ``common`` (most common words)."""
-    words = "grass sky sun river hill cloud stone leaf path wind".split()
-    rows = []
-    for k in range(count):
-        r = random.Random(seed * 1_000_003 + k)
-        text = [r.choice(words) for _ in range(filler)]
-        if kind in ("single", "multi"):
-            pairs = [(f"key{r.randrange(10**6)}", str(r.randrange(10**7))) for _ in range(1 if kind == "single" else needles)]
-            for name, value in pairs:
-                text.insert(r.randrange(len(text)), f"The magic number of {name} is {value}.")
-            question, answers = f"What is the magic number of {pairs[0][0]}?", [pairs[0][1]]
-        elif kind == "chain":
-            value, names = str(r.randrange(10**5)), [f"V{r.randrange(10**5)}" for _ in range(needles)]
-            for a, b in zip(names, [value, *names], strict=False):
-                text.insert(r.randrange(len(text)), f"VAR {a} = {b}.")
-            question, answers = f"Which variables have the value {value}?", names
-        elif kind == "common":
-            often = r.sample(words, 3)
-            text += often * (filler // 4)
-            r.shuffle(text)
-            question, answers = "Which words are most common?", often
-        else:
-            raise ValueError(f"no kind of prompt is called {kind}")
-        rows.append((k, kind, " ".join(text), question, answers))
-    return spark.createDataFrame(rows, "prompt_id long, kind string, context string, question string, answers array<string>")
+def retrieval_prompts(spark: SparkSession, count: int, kind: str = "single", needles: int = 4, filler: int = 200, seed: int = 0, rows: int | None = None) -> DataFrame:
+    """Needle prompts: ``single``, ``multi``, ``chain`` (variable tracking) and ``common`` (most common words), made by the tasks that read them, ``rows`` a partition."""
+    if kind not in KINDS:
+        raise ValueError(f"no kind of prompt is called {kind}")
+    spark.dataSource.register(PromptSource)
+    options = {"count": count, "kind": kind, "needles": needles, "filler": filler, "seed": seed, "rows": rows or ROWS}
+    return spark.read.format("prompts").options(**options).load()

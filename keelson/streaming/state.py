@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def chance(pos: int, seed: int = 42) -> int:
@@ -87,6 +88,56 @@ def heavy_hitter_cache(weights: DataFrame, heavy: int, recent: int) -> DataFrame
     return weights.groupBy("head").applyInPandasWithState(step, "head int, step long, kept array<long>", "pos array<long>, mass array<double>, last long", "append", "NoTimeout")
 
 
+class HeavyHitters(StatefulProcessor):
+    """The path-dependent cache with one state entry a position: a step rewrites only the entries that it changes.
+
+    Input rows are (head, step, pos, p), several of a position add up; a step's rows arrive in one
+    trigger, and later steps in later triggers.  Yields (head, step, kept, mass).  A head's state
+    has ``heavy + recent`` entries at most, and the newest position seen.
+    """
+
+    def __init__(self, heavy: int, recent: int):
+        self.heavy, self.recent = heavy, recent
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.mass = handle.getMapState("mass", "pos long", "mass double")
+        self.last = handle.getValueState("last", "pos long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = int(self.last.get()[0]) if self.last.exists() else -1
+        stored = {int(k[0]): float(v[0]) for k, v in self.mass.iterator()}
+        cache, made = dict(stored), []
+        frame = pd.concat(list(rows)).groupby(["step", "pos"], as_index=False)["p"].sum()
+        for step, f in frame.groupby("step"):
+            for p, w in zip(f["pos"].tolist(), f["p"].tolist(), strict=True):
+                if p in cache or p > last:  # what was dropped is gone for good
+                    cache[p] = cache.get(p, 0.0) + w
+            last = max([last, *cache])
+            old = sorted((p for p in cache if p <= last - self.recent), key=lambda p: (-cache[p], p))
+            for p in old[self.heavy :]:
+                del cache[p]
+            made.append((int(key[0]), int(step), sorted(cache), float(sum(cache.values()))))
+        for p in stored.keys() - cache.keys():
+            self.mass.removeKey((p,))
+        for p, w in cache.items():
+            if stored.get(p) != w:
+                self.mass.updateValue((p,), (w,))
+        self.last.update((last,))
+        yield pd.DataFrame(made, columns=["head", "step", "kept", "mass"])
+
+    def close(self) -> None:
+        pass
+
+
+#: Where map state by key lives: the default store holds whole values only.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def heavy_hitters(weights: DataFrame, heavy: int, recent: int) -> DataFrame:
+    """head, step, kept, mass of a stream ``weights(head, step, pos, p)``; the session's state store must be ``STORE``."""
+    return weights.groupBy("head").transformWithStateInPandas(HeavyHitters(heavy, recent), "head int, step long, kept array<long>, mass double", "append", "none")
+
+
 class VersionedIndex:
     """Index rows in a table of versions; readers see the last published one, writers add without touching it.
 
