@@ -33,7 +33,7 @@ from keelson.llm.common import slices
 #: Symbols of a word up to which ranks are scanned, a rank above all others, and bits of an id in a pair's key.
 SHORT, NONE, WIDE = 128, 1 << 60, 24
 #: Bytes of kept runs after which they are collected anew (each counts ENTRY bytes besides its own), and the longest run kept.
-CACHE_BYTES, ENTRY, LONGEST = 160 << 20, 200, 64
+CACHE_BYTES, ENTRY, LONGEST = 128 << 20, 200, 64
 
 #: Letters and then signs, which a splitter parts and a normalizer only lowers.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
@@ -123,11 +123,12 @@ class Vocabulary(dict):
 
     def word(self, word: str) -> bytes:
         """Ids of one word of the splitter, whose characters stand for bytes."""
-        if (got := self.words.get(word)) is None:
-            symbols = [self.ids[s] for s in (*word[:-1], word[-1] + self.end) if s in self.ids]
-            parts = (scan_merge if len(symbols) <= SHORT else queue_merge)(symbols, self.ranks, self.made)
-            got = self.keep(self.words, word, array("I", parts).tobytes())
-        return got
+        got = self.words.get(word)
+        return self.keep(self.words, word, self.merged(word)) if got is None else got
+
+    def merged(self, word: str) -> bytes:
+        symbols = [self.ids[s] for s in (*word[:-1], word[-1] + self.end) if s in self.ids]
+        return array("I", (scan_merge if len(symbols) <= SHORT else queue_merge)(symbols, self.ranks, self.made)).tobytes()
 
     def plain(self, text: str) -> Iterator[bytes]:
         if text:
@@ -137,7 +138,10 @@ class Vocabulary(dict):
 
     def __missing__(self, run: str) -> bytes:
         if self.lowers and (m := _plain.fullmatch(run)):
-            return self.keep(self, run, self.word(self.as_bytes(m[1].lower())) + (self.word(m[2]) if m[2] else b""))
+            low = m[1].lower()
+            if m[2] or low != run:
+                return self.keep(self, run, self[low] + (self[m[2]] if m[2] else b""))
+            return self.keep(self, run, self.merged(self.as_bytes(run)))
         out, at = [], 0
         for m in self.marks.finditer(run) if self.marks else ():
             out += [*self.plain(run[at : m.start()]), array("I", [self.special[m[0]]]).tobytes()]
