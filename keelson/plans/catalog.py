@@ -22,7 +22,7 @@ from keelson.operators import attention, capacity, clusterings, enclosures, grap
 from keelson.operators.blocks import against
 from keelson.operators.exact_ball import exact_balls
 from keelson.operators.lineage import cut, shared_folder
-from keelson.sources.tables import keys_of, queries_of
+from keelson.sources.tables import gather, keys_of, queries_of, store_by_position
 from keelson.streaming import state
 
 DIM, BF, PARTS, K, SCALE = 64, 4, 4, 20, 0.125
@@ -1231,3 +1231,29 @@ def heavy_hitter_stream(spark, d):
     finally:
         spark.conf.set(name, before)
     return rows.select("head", "step", F.size("kept").cast("long").alias("n"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, p: a + p).alias("positions"), "mass")
+
+
+@query("snapshot_reads", "WITH e AS (SELECT event_id, event_id * 5 // (SELECT max(event_id) + 1 FROM events) AS version FROM events) SELECT v::BIGINT AS snapshot, count(*) AS n, sum(event_id)::BIGINT AS positions, count(DISTINCT version) AS versions FROM e, range(5) z(v) WHERE version <= v GROUP BY v")
+def snapshot_reads(spark, d):
+    """Events published as five versions: every reader opens the index after one of them and reads it when all are published and compacted."""
+    e = state.arrivals_of(spark.read.parquet(f"{d}/events.parquet"))
+    last = spark.read.parquet(f"{d}/events.parquet").agg(F.max("event_id") + 1).first()[0]
+    index_ = state.VersionedIndex(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}")
+    opened = []
+    for v in range(5):
+        index_.publish(e.where(F.floor(F.col("pos") * 5 / last) == v), v)
+        opened.append(index_.read())
+        if v in (2, 4):
+            index_.compact()
+    opened[4] = index_.read()  # one folder by now
+    each = [o.agg(F.lit(v).cast("long").alias("snapshot"), F.count("*").alias("n"), F.sum("pos").alias("positions"), F.countDistinct("version").alias("versions")) for v, o in enumerate(opened)]
+    return reduce(DataFrame.union, each)
+
+
+@query("offload_gather", f"WITH {BASE}, x AS (SELECT query_id, pos, score FROM r WHERE rank <= 20), w AS (SELECT query_id, pos, exp((score - max(score) OVER (PARTITION BY query_id)) * 0.125) AS e FROM x), p AS (SELECT query_id, pos, e / sum(e) OVER (PARTITION BY query_id) AS p FROM w), {_VALUES}")
+def offload_gather(spark, d):
+    """Attention over the best keys, whose values are fetched from a store that is bucketed by position."""
+    stored = store_by_position(keys_of(spark, d).select("pos", "value"), f"keelson_far_{uuid.uuid4().hex}", 16)
+    best = search.best(queries_of(spark, d), keys_of(spark, d), K).select("query_id", "pos", "score")
+    out = attention.attend(gather(best, stored), queries_of(spark, d), DIM, SCALE)
+    return out.select("query_id", F.posexplode("output").alias("d", "x")).select("query_id", "d", _six("x").alias("x"))

@@ -47,6 +47,21 @@ def write_snapshot(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def store_by_position(keys: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """``keys([head, ]pos, ...)`` as a table bucketed and sorted by position in the warehouse: the far store that selected rows are fetched from."""
+    keys.write.mode("overwrite").bucketBy(buckets, "pos").sortBy("pos").saveAsTable(table)
+    return keys.sparkSession.table(table)
+
+
+def gather(selected: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows of ``stored`` that ``selected(pos, ...[, head])`` names, with its columns: only the selection is shuffled, to the buckets; stored rows stay where they are."""
+    on = [*(["head"] if "head" in selected.columns and "head" in stored.columns else []), "pos"]
+    names = [c for c in selected.columns if c not in on and c in stored.columns]
+    if names:
+        raise ValueError(f"both sides have {names}")
+    return selected.hint("merge").join(stored, on)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """Result rows added to a folder of CSV files."""
     df.write.mode("append").option("header", True).csv(path)

@@ -139,32 +139,70 @@ def heavy_hitters(weights: DataFrame, heavy: int, recent: int) -> DataFrame:
 
 
 class VersionedIndex:
-    """Index rows in a table of versions; readers see the last published one, writers add without touching it.
+    """Index rows in a table of versions; readers see what was published when they opened it, writers add without touching it.
 
-    ``publish`` appends a version's rows first and its number last, so that a
-    failed write leaves an unpublished version that no reader sees.
+    ``publish`` writes a version's rows first and its entry in the log last, so that a
+    failed write leaves an unpublished version that no reader sees, and a repeated one
+    changes nothing.  ``compact`` publishes all rows so far as one folder, so that a reader opens
+    few; readers that opened the log before go on reading the folders that it
+    named, until ``vacuum`` removes those that no longer count.
     """
 
+    LOG = "version long, first long, folder string"
+
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path
 
-    def versions(self) -> list[int]:
+    def log(self) -> list[tuple[int, int, str]]:
+        """(version, first version that its folder covers, folder) of all that was published."""
         try:
-            return sorted(r["version"] for r in self.spark.read.schema("version long").json(f"{self.path}/published").collect())
+            rows = self.spark.read.schema(self.LOG).json(f"{self.path}/published").collect()
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return []
             raise
+        return sorted((r["version"], r["version"] if r["first"] is None else r["first"], r["folder"] or f"rows/{r['version']}") for r in rows)
+
+    def versions(self) -> list[int]:
+        return sorted({v for v, first, _ in self.log() if v == first})
+
+    def folders(self, upto: int | None = None) -> list[str]:
+        """The fewest folders that hold every version (up to one): the last compaction, and what came after."""
+        seen = [e for e in self.log() if upto is None or e[0] <= upto]
+        whole = max((e for e in seen if e[1] < e[0]), default=None)
+        return ([whole[2]] if whole else []) + [f for v, first, f in seen if v == first and (whole is None or v > whole[0])]
 
     def publish(self, rows: DataFrame, version: int) -> None:
         if version in self.versions():  # a replayed micro-batch
             return
         rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{self.path}/rows/{version}")
-        self.spark.createDataFrame([(version,)], "version long").write.mode("append").json(f"{self.path}/published")
+        self._enter(version, version, f"rows/{version}")
+
+    def _enter(self, version: int, first: int, folder: str) -> None:
+        self.spark.createDataFrame([(version, first, folder)], self.LOG).write.mode("append").json(f"{self.path}/published")
 
-    def read(self) -> DataFrame | None:
+    def read(self, upto: int | None = None) -> DataFrame | None:
+        """A snapshot: what is published now (up to a version), whatever is published before it is evaluated."""
+        seen = self.folders(upto)
+        return self.spark.read.parquet(*[f"{self.path}/{f}" for f in seen]) if seen else None
+
+    def compact(self) -> None:
+        """One folder for all versions so far, published as an entry of the last one; its rows keep their versions."""
         seen = self.versions()
-        return self.spark.read.parquet(*[f"{self.path}/rows/{v}" for v in seen]) if seen else None
+        if len(self.folders()) < 2:
+            return
+        folder = f"compact/{seen[-1]}"
+        self.read(seen[-1]).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        self._enter(seen[-1], seen[0] - 1, folder)
+
+    def vacuum(self) -> list[str]:
+        """Remove the folders that a reader who opens the log now would not read; returns them."""
+        keep, jvm = set(self.folders()), self.spark.sparkContext._jvm
+        gone = [f for _, _, f in self.log() if f not in keep]
+        for f in gone:
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{f}")
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        return gone
 
     def search_view(self, buffer: DataFrame) -> DataFrame:
         """Everything published together with the rows still buffered."""
