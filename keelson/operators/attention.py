@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions import vec
 from keelson.operators.blocks import against, measured
+from keelson.operators.lineage import cut
 from keelson.operators.ranks import running
-from keelson.operators.search import heads
+from keelson.operators.search import PAIRS, Asked, ask, heads, matrix, meet
 
 
 def weights(scored: DataFrame, scale: float) -> DataFrame:
@@ -19,16 +25,93 @@ def weights(scored: DataFrame, scale: float) -> DataFrame:
     return e.join(measured(mass), "query_id").withColumn("p", F.col("e") / F.col("mass")).drop("e", "mass", "best")
 
 
+PARTIAL = "query_id bigint, best double, mass double, total array<double>"
+#: Bytes of sums that a task holds before it hands them on.
+HELD = 32 << 20
+
+
+class _Softmax:
+    """Running maximum, mass and weighted sum of values, by query."""
+
+    def __init__(self, scale: float):
+        self.scale, self.sums = scale, {}
+
+    def add(self, query: int, score: np.ndarray, values: np.ndarray) -> None:
+        best = float(score.max())
+        e = np.exp((score - best) * self.scale)
+        mass, total = float(e.sum()), e @ values
+        if (held := self.sums.get(query)) is not None:
+            top = max(best, held[0])
+            old, new = np.exp((held[0] - top) * self.scale), np.exp((best - top) * self.scale)
+            best, mass, total = top, old * held[1] + new * mass, old * held[2] + new * total
+        self.sums[query] = (best, mass, total)
+
+    def columns(self) -> dict:
+        best, mass, total = zip(*self.sums.values(), strict=True) if self.sums else ((), (), ())
+        cols = {"query_id": np.array(list(self.sums), np.int64), "best": np.array(best, float), "mass": np.array(mass, float), "total": pa.array([t.tolist() for t in total], pa.list_(pa.float64()))}
+        self.sums = {}
+        return cols
+
+
 def attend(scored: DataFrame, queries: DataFrame, dim: int, scale: float) -> DataFrame:
-    """query_id, output: weighted mean of ``value``; a query without any key gets zeros.
+    """query_id, output: mean of ``value`` weighted by the softmax of ``score * scale``; a query without any key gets zeros.
 
-    One aggregate over weighted dimensions, combined before the shuffle.
+    ``scored(query_id, score, value)`` is read once: every task keeps a running maximum, mass and weighted
+    sum of each query, and those few rows are merged.
     """
-    w = weights(scored, scale)
-    out = w.groupBy("query_id").agg(vec.each_dim(dim, lambda i: F.sum(F.col("p") * F.get(vec.doubles("value"), F.lit(i)))).alias("output"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Softmax(scale)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, score, values = batch.column("query_id").to_numpy(), batch.column("score").to_numpy(), matrix(batch.column("value"))
+            by = np.argsort(ids, kind="stable")
+            names, starts = np.unique(ids[by], return_index=True)
+            for name, mine in zip(names.tolist(), np.split(by, starts[1:]), strict=True):
+                sums.add(name, score[mine], values[mine])
+            if len(sums.sums) * (dim + 4) * 8 > HELD:
+                yield pa.RecordBatch.from_pydict(sums.columns())
+        if sums.sums:
+            yield pa.RecordBatch.from_pydict(sums.columns())
+
+    rows = scored.select(F.col("query_id").cast("long").alias("query_id"), F.col("score").cast("double").alias("score"), vec.doubles("value").alias("value"))
+    return merged(rows.mapInArrow(run, PARTIAL), queries, dim, scale)
+
+
+def merged(partial: DataFrame, queries: DataFrame, dim: int, scale: float) -> DataFrame:
+    """query_id, output of the tasks' ``PARTIAL`` sums, zeros for queries that have none."""
+    parts = cut(partial)
+    best = measured(parts.groupBy("query_id").agg(F.max("best").alias("top")))
+    f = parts.join(best, "query_id").withColumn("f", F.exp((F.col("best") - F.col("top")) * scale))
+    out = f.groupBy("query_id").agg(vec.each_dim(dim, lambda i: F.sum(F.col("f") * F.get("total", F.lit(i))) / F.sum(F.col("f") * F.col("mass"))).alias("output"))
     return queries.select("query_id").join(out, "query_id", "left").withColumn("output", F.coalesce("output", F.array_repeat(F.lit(0.0), dim)))
 
 
+def attend_all(queries: DataFrame, keys: DataFrame, dim: int, scale: float) -> DataFrame:
+    """The same over all keys of each query's head: products and sums of a block of queries in one narrow pass, no row a pair."""
+
+    def make(asked: Asked, batch: pa.RecordBatch, state: dict) -> Iterator[dict]:
+        sums = state.setdefault("sums", _Softmax(scale))
+        k, v = matrix(batch.column("key")), matrix(batch.column("value"))
+        head = batch.column("head").to_numpy() if "head" in batch.schema.names else np.zeros(len(k), int)
+        for h in np.unique(head):
+            rows, own = np.flatnonzero(head == h), asked.of_head(int(h))
+            for at in range(0, len(rows) if len(own) else 0, step := max(1, PAIRS // max(1, len(own)))):
+                part = rows[at : at + step]
+                scores = asked.vectors[own] @ k[part].T
+                for i, s in zip(own, scores, strict=True):
+                    sums.add(int(asked.ids[i]), s, v[part])
+        return iter(())
+
+    def end(asked: Asked, state: dict) -> Iterator[dict]:
+        if state and state["sums"].sums:
+            yield state["sums"].columns()
+
+    parts = [meet(keys.select(*heads(keys), "key", "value"), shared, PARTIAL, make, end) for shared in ask(queries)]
+    return merged(reduce(DataFrame.union, parts), queries, dim, scale)
+
+
 def with_buffer(selected: DataFrame, buffer: DataFrame) -> DataFrame:
     """Survivors of the index and every written row of the buffer; unwritten rows don't exist."""
     return selected.unionByName(buffer)

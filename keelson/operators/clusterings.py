@@ -109,19 +109,49 @@ def greedy_groups(x: np.ndarray, bf: int, order: float = 2, start: str = "first"
     return label
 
 
+#: Distances that are in memory at once.
+CELLS = 1 << 21
+
+
+def _nearest_other(x: np.ndarray, rows: np.ndarray, free: np.ndarray, order: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of ``free`` to each of ``rows`` but itself, the first of equal ones, and its distance; CELLS distances at a time."""
+    best, far = np.empty(len(rows), np.int64), np.empty(len(rows))
+    for at in range(0, len(rows), step := max(1, CELLS // len(free))):
+        part = rows[at : at + step]
+        d = np.zeros((len(part), len(free)))
+        for j in range(x.shape[1]):
+            gap = np.abs(x[part, j, None] - x[None, free, j])
+            d = np.maximum(d, gap) if order == np.inf else d + (gap if order == 1 else gap * gap)
+        d[part[:, None] == free[None]] = np.inf
+        best[at : at + step], far[at : at + step] = free[d.argmin(1)], d.min(1)
+    return best, far
+
+
+def nearest_pairs(x: np.ndarray, order: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs by ascending distance of points that are both free, and who is left over.
+
+    Points that are each other's nearest free ones are paired at once: no later pair could come
+    between them.  Only those whose nearest one was taken look again.
+    """
+    free, look = np.arange(len(x)), np.arange(len(x))
+    near, far, made = np.full(len(x), -1), np.zeros(len(x)), []
+    while len(free) > 1:
+        near[look], far[look] = _nearest_other(x, look, free, order)
+        both = free[(near[near[free]] == free) & (free < near[free])]
+        made += [(far[i], int(i), int(near[i])) for i in both]
+        taken = np.zeros(len(x), bool)
+        taken[both] = taken[near[both]] = True
+        free = free[~taken[free]]
+        look = free[taken[near[free]]]
+    return [(i, j) for _, i, j in sorted(made)], free
+
+
 def pair_up(x: np.ndarray, bf: int, order: float = 2) -> np.ndarray:
     """Pairs by ascending distance, then pairs of pairs, until groups reach bf (a power of two)."""
     groups = [[i] for i in range(len(x))]
     while len(groups[0]) * 2 <= bf and len(groups) > 1:
-        c = np.array([x[g].mean(0) for g in groups])
-        d = np.linalg.norm(c[:, None] - c[None], ord=order, axis=2) if order != 2 else np.sqrt(_d2(c, c))
-        a, b = np.triu_indices(len(c), 1)
-        used, made = np.zeros(len(c), bool), []
-        for k in np.argsort(d[a, b], kind="stable"):
-            if not used[a[k]] and not used[b[k]]:
-                used[a[k]] = used[b[k]] = True
-                made.append(groups[a[k]] + groups[b[k]])
-        groups = made + [groups[i] for i in np.flatnonzero(~used)]
+        pairs, left = nearest_pairs(np.array([x[g].mean(0) for g in groups]), order)
+        groups = [groups[i] + groups[j] for i, j in pairs] + [groups[i] for i in left]
     label = np.empty(len(x), int)
     for j, g in enumerate(groups):
         label[g] = j

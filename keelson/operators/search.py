@@ -282,6 +282,18 @@ def _hits(rows: DataFrame, shared: Broadcast, keep: tuple[str, ...], emit: str)
     return meet(rows, shared, FOUND + kinds, make)
 
 
+def of_candidates(queries: DataFrame, keys: DataFrame, candidates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, pos, score and ``keep`` of ``candidates(query_id, [head, ]pos)`` alone: a key meets the list of the queries that it is a candidate of."""
+    own, out = heads(keys, candidates), []
+    parts = split(queries)
+    for part in parts:
+        mine = candidates if len(parts) == 1 else candidates.join(F.broadcast(part.select("query_id")), "query_id", "left_semi")  # a block
+        lists = mine.groupBy(*own, "pos").agg(F.collect_list(F.col("query_id").cast("long")).alias("ids"))
+        rows = keys.select(*own, "pos", "key", *keep).join(lists, [*own, "pos"])
+        out.append(_hits(rows, queries.sparkSession.sparkContext.broadcast(_asked(part)), keep, "candidates"))
+    return reduce(DataFrame.union, out)
+
+
 def gate(queries: DataFrame, nodes: DataFrame, strict: bool = False, slack: float = vec.SLACK) -> DataFrame:
     """The clusters of ``nodes(cluster, center, radius, ...)`` whose ball any query's halfspace may reach, with those queries as ``ids``."""
     return reduce(DataFrame.union, [_through(nodes, part, strict, slack) for part in ask(queries)])

@@ -426,10 +426,10 @@ cand AS (SELECT DISTINCT query_id, pos FROM rk JOIN dp USING (query_id) JOIN m U
 def _ta(bound):
     def run(spark, d):
         _, members, nodes = _slices(spark, d)
-        s, limits = _scored(spark, d), cut(_limits(spark, d))
+        limits = cut(_limits(spark, d))
         ranks = subspace.ta_ranks(queries_of(spark, d), nodes, DIM, PARTS, bound)
         depth = subspace.ta_depth(ranks, limits)
-        found = search.with_limits(subspace.ta_candidates(ranks, depth, members).join(s.select("query_id", "pos", "score"), ["query_id", "pos"]), limits)
+        found = search.with_limits(search.of_candidates(queries_of(spark, d), keys_of(spark, d), subspace.ta_candidates(ranks, depth, members)), limits)
         return found.groupBy("query_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= F.col("t")).alias("hits")).join(depth, "query_id").select("query_id", F.col("depth").cast("long").alias("depth"), "candidates", "hits")
 
     return run
@@ -640,7 +640,7 @@ def _dims(out: DataFrame) -> DataFrame:
 
 @query("attention_dense", f"WITH {BASE}, {SOFT}, {_VALUES}")
 def attention_dense(spark, d):
-    return _dims(attention.attend(_scored(spark, d).select("query_id", "pos", "score", "value"), queries_of(spark, d), DIM, SCALE))
+    return _dims(attention.attend_all(queries_of(spark, d), keys_of(spark, d), DIM, SCALE))
 
 
 def _buffered(spark, d, limit: float) -> DataFrame:
