@@ -33,7 +33,7 @@ from keelson.llm.common import slices
 #: Symbols of a word up to which ranks are scanned, a rank above all others, and bits of an id in a pair's key.
 SHORT, NONE, WIDE = 128, 1 << 60, 24
 #: Bytes of kept runs after which they are collected anew (each counts ENTRY bytes besides its own), and the longest run kept.
-CACHE_BYTES, ENTRY, LONGEST = 128 << 20, 200, 64
+CACHE_BYTES, ENTRY, LONGEST = 96 << 20, 200, 64
 
 #: Letters and then signs, which a splitter parts and a normalizer only lowers.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
@@ -178,21 +178,26 @@ def decode(ids: np.ndarray, tokens: np.ndarray) -> str:
     return " ".join(filter(None, tokens[ids].tolist()))
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of int) of every whole text; one narrow pass, row by row."""
+def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """id, ids (array of int) of every whole text; one narrow pass, row by row.
+
+    With ``decoded`` the same pass decodes the ids, as ``decode_ids`` does, so that a task has one Python worker and not two.
+    """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(tokenizer_path)
+        tokens = tokens_of(tokenizer_path) if decoded else None
         for batch in batches:
             for piece in slices(batch):
                 coded = [known.encode(t) for t in piece.column(1).to_pylist()]
                 ends = np.cumsum([0] + [len(c) // 4 for c in coded])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), ids], ["id", "ids"])
+                texts = [pa.array([decode(np.frombuffer(c, "<u4"), tokens) for c in coded], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([piece.column(0), ids, *texts], ["id", "ids", *["decoded"] * decoded])
 
-    return src.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -215,10 +220,9 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", in
 
 def bpe_report(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text that they decode to."""
-    encoded = encode_texts(docs, tokenizer_path).select(
+    return encode_texts(docs, tokenizer_path, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    return decode_ids(encoded, tokenizer_path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -79,3 +79,6 @@ def test_edges(spark):
     assert bpe.bpe_report(docs.limit(0), PATH).collect() == []
     back = bpe.decode_ids(spark.createDataFrame([(1, None), (2, []), (3, [518, None, 10**6, -1])], "n long, ids array<int>"), PATH)
     assert [r["decoded"] for r in back.orderBy("n").collect()] == ["", "", "the</w>"] and back.columns == ["n", "decoded"]
+    odd = docs.where("doc_id < 7")
+    one, two = bpe.encode_texts(odd, PATH, decoded=True), bpe.decode_ids(bpe.encode_texts(odd, PATH), PATH)
+    assert sorted(map(tuple, one.select("doc_id", "decoded").collect())) == sorted(map(tuple, two.select("doc_id", "decoded").collect()))
