@@ -1253,7 +1253,8 @@ def snapshot_reads(spark, d):
 @query("offload_gather", f"WITH {BASE}, x AS (SELECT query_id, pos, score FROM r WHERE rank <= 20), w AS (SELECT query_id, pos, exp((score - max(score) OVER (PARTITION BY query_id)) * 0.125) AS e FROM x), p AS (SELECT query_id, pos, e / sum(e) OVER (PARTITION BY query_id) AS p FROM w), {_VALUES}")
 def offload_gather(spark, d):
     """Attention over the best keys, whose values are fetched from a store that is bucketed by position."""
-    stored = store_by_position(keys_of(spark, d).select("pos", "value"), f"keelson_far_{uuid.uuid4().hex}", 16)
+    name = f"keelson_far_{uuid.uuid4().hex}"
+    stored = store_by_position(keys_of(spark, d).select("pos", "value"), name, 16, f"{shared_folder(spark)}/{name}")
     best = search.best(queries_of(spark, d), keys_of(spark, d), K).select("query_id", "pos", "score")
     out = attention.attend(gather(best, stored), queries_of(spark, d), DIM, SCALE)
     return out.select("query_id", F.posexplode("output").alias("d", "x")).select("query_id", "d", _six("x").alias("x"))

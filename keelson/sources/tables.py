@@ -47,9 +47,10 @@ def write_snapshot(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def store_by_position(keys: DataFrame, table: str, buckets: int = 64) -> DataFrame:
-    """``keys([head, ]pos, ...)`` as a table bucketed and sorted by position in the warehouse: the far store that selected rows are fetched from."""
-    keys.write.mode("overwrite").bucketBy(buckets, "pos").sortBy("pos").saveAsTable(table)
+def store_by_position(keys: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """``keys([head, ]pos, ...)`` as a table bucketed and sorted by position, in the warehouse or at ``path``: the far store that selected rows are fetched from."""
+    out = keys.write.mode("overwrite").bucketBy(buckets, "pos").sortBy("pos")
+    (out.option("path", path) if path else out).saveAsTable(table)
     return keys.sparkSession.table(table)
 
 
