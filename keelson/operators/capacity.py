@@ -58,6 +58,8 @@ def _meet(keys: DataFrame, centers: DataFrame, kinds: str, make: Callable[[pa.Re
                 head = batch.column("head").to_numpy() if own else None
                 for h, known in shared.value.items():
                     mine, c = np.flatnonzero(head == h) if own else np.arange(len(x)), known["center"]
+                    if not len(c):  # none has room left
+                        continue
                     for at in range(0, len(mine), step := max(1, PAIRS // len(c))):
                         part = mine[at : at + step]
                         d = np.zeros((len(part), len(c)))

@@ -75,3 +75,10 @@ def test_empty_centres_become_the_farthest_keys(spark):
     placed = capacity.bounded(keys, 4, 2, 3)
     assert placed.columns == ["pos", "key", "cluster"] and placed.count() == 32 and placed.groupBy("cluster").count().agg(F.max("count")).first()[0] == 4
     assert capacity.matched(keys.limit(0), centers, 4).collect() == []
+
+
+def test_keys_without_room_are_left_out(spark):
+    keys = spark.createDataFrame([(i, [float(i)]) for i in range(7)], "pos long, key array<double>")
+    centers = spark.createDataFrame([(0, [0.0]), (1, [6.0])], "cluster long, center array<double>")
+    got = {r["pos"]: r["cluster"] for r in capacity.matched(keys, centers, 2).collect()}
+    assert got == {0: 0, 1: 0, 6: 1, 5: 1}
