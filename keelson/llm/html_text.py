@@ -1,21 +1,26 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines (one per block element or line break), and each
-line gets a weight: its text length less twice that of its links, four times
-its length inside an element that marks an article, and nothing where markup
-names it as a menu, header, footer, sidebar, notice, advert, form or reader
-comment, or where it lies outside the marked article.  Weights are summed over
-sliding windows of lines.  A surge is the first line of a window that holds
-``SURGE``, a dive is where a window sums to nothing; the main text runs from
-the first surge, and the weighty lines that lead up to it, to the last dive.
-Between them all lines stay except those apart, and lists of links.
-
-Null, empty and text-free pages give an empty string; a page that never surges
-gives all its weighty lines.  Unclosed and crossed tags, unclosed comments and
-bare ``<`` are tolerated, in time proportional to the page.  Each page is read
-whole, by itself, in one narrow pass.  Ties can't occur and repeated rows give
-repeated results; only the id, url and html columns are read, so extra columns
-can't clash.
+Markup is stripped into lines (one per block element or line break).  A
+division of the page (``DIVISIONS``) leaves ``GAP`` blank lines where it begins
+and ends, so that text that stands apart on the page stands apart here; inside
+a marked article none are left.  Elements that are silent, or that markup names
+as a menu, header, footer, sidebar, notice, advert, form or reader comment,
+leave no lines.  A line counts its text less twice that of its links; in a
+marked article it counts all of it, and beside one an eighth.
+
+Counts are summed over sliding windows of ``WINDOW`` lines.  A surge is a line
+whose window holds ``SURGE``, or the greatest sum of a page that nowhere holds
+as much; a dive is where a window sums to nothing.  The main text runs from the
+first surge, and the lines that lead up to it without a blank, to the dive
+behind the last surge.  Between them all lines stay, except lists of links.
+So markup says what a line counts, and the distribution what is kept: an
+unnamed advert, notice or footer is left out as it never surges.
+
+Null, empty and text-free pages give an empty string.  Unclosed and crossed
+tags, unclosed comments and bare ``<`` are tolerated, in time proportional to
+the page.  Each page is read whole, by itself, in one narrow pass.  Ties can't
+occur and repeated rows give repeated results; only the id, url and html
+columns are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -23,20 +28,22 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.llm.common import map_columns
 
-#: Lines in a window, its least sum at a surge, how much more a character counts in a marked article.
-WINDOW, SURGE, MARKED = 3, 80, 4
+#: Lines in a window, its least sum at a surge, blank lines between divisions, how much less a character counts beside a marked article.
+WINDOW, SURGE, GAP, BESIDE = 3, 140, 3, 8
 
 #: Elements whose content isn't text of the page (raw ones hold no markup), and those that aren't main text.
 RAW = frozenset("script style textarea xmp".split())
 SILENT = RAW | frozenset("noscript template svg math iframe object canvas audio video head select button".split())
 ASIDE = frozenset("nav footer aside form dialog menu fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+DIVISIONS = frozenset("article aside body div footer form header main nav section".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 #: Elements whose end tag may be missing; a missing one must not swallow what follows.
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option".split())
@@ -78,9 +85,9 @@ def _names_aside(token: str, in_article: bool) -> bool:
     return all(w in named or w in LAYOUT for w in words) and any(w in named for w in words) or words[-1] in STRONG
 
 
-def _apart(tag: str, attributes: str, in_article: bool, named: bool = True) -> bool:
-    """Whether an element is something beside the main text, by its tag, and by names, roles and hiding if ``named``."""
-    if tag in ASIDE or tag in SILENT or tag == "header" and not in_article:
+def _apart(tag: str, attributes: str, in_article: bool, named: bool = True, marked: bool = True) -> bool:
+    """Whether an element is something beside the main text: by its tag if ``marked``, by names, roles and hiding if ``named``."""
+    if tag in SILENT or tag == "form" or marked and (tag in ASIDE or tag == "header" and not in_article):
         return True
     if not attributes or not named or tag in ("html", "body", "main"):
         return False
@@ -94,9 +101,13 @@ def _apart(tag: str, attributes: str, in_article: bool, named: bool = True) -> b
     return False
 
 
-def lines_of(page: str, named: bool = True) -> list[tuple[str, int, bool, bool, bool]]:
-    """Lines of a page: text, characters in links, whether apart, in the article, a heading."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
+def lines_of(page: str, named: bool = True, marked: bool = True) -> list[tuple[str, int, bool, bool]]:
+    """Lines of a page: text (none where blank), characters in links, whether in the article, a heading.
+
+    Without ``named`` classes, ids and roles don't count; without ``marked`` neither do the
+    tags of articles and of parts of a page.
+    """
+    out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, change of apart, article
     open_tags: Counter[str] = Counter()
     endless: set[str] = set()  # tags that are not closed any more
@@ -108,12 +119,18 @@ def lines_of(page: str, named: bool = True) -> list[tuple[str, int, bool, bool,
 
     def flush() -> None:
         nonlocal linked, heading
-        if parts:
+        if parts and not apart:
             text = _space.sub(" ", html.unescape("".join(parts))).strip()
-            out.append((text, linked, apart > 0, article > 0, heading))
+            if text:
+                out.append((text, linked, article > 0, heading))
         parts.clear()
         linked, heading = 0, False
 
+    def divide(tag: str, change: int) -> None:
+        # what is apart in the flow of the text doesn't divide it
+        if tag in DIVISIONS and not article and not (change > 0 and tag == "div") and out and out[-1][0]:
+            out.extend([("", 0, False, False)] * GAP)
+
     def leave(n: int) -> None:
         nonlocal apart, article, link, muted
         while len(stack) > n:
@@ -162,7 +179,7 @@ def lines_of(page: str, named: bool = True) -> list[tuple[str, int, bool, bool,
                     muted = muted if nested else -1
             elif tag == "a":
                 link = -1 if closing else len(stack)
-            elif not closing and tag not in VOID and attributes and _apart(tag, attributes, article > 0, named):
+            elif not closing and tag not in VOID and attributes and _apart(tag, attributes, article > 0, named, marked):
                 mute, nested, muted = tag, 1, len(stack)
             continue
         flush()
@@ -173,14 +190,17 @@ def lines_of(page: str, named: bool = True) -> list[tuple[str, int, bool, bool,
                 k = len(stack) - 1
                 while stack[k][0] != tag:
                     k -= 1
+                change = stack[k][1]
                 leave(k)
+                divide(tag, change)
             continue
         if tag in LOOSE and stack and stack[-1][0] == tag:
             leave(len(stack) - 1)
-        is_apart = _apart(tag, attributes, article > 0, named)
-        is_article = tag in ("article", "main") and not is_apart
+        is_apart = _apart(tag, attributes, article > 0, named, marked)
+        is_article = marked and tag in ("article", "main") and not is_apart
         heading = tag in HEADINGS
-        change = -apart if tag == "main" else int(is_apart)  # the main part isn't apart, whatever surrounds it
+        change = -apart if marked and tag == "main" else int(is_apart)  # the main part isn't apart, whatever surrounds it
+        divide(tag, change)
         stack.append((tag, change, is_article))
         open_tags[tag] += 1
         apart, article = apart + change, article + is_article
@@ -190,54 +210,47 @@ def lines_of(page: str, named: bool = True) -> list[tuple[str, int, bool, bool,
     return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The lines between the first surge and the last dive, joined by one space."""
     if not page:
         return ""
     # an unclosed advert may swallow a page, and a page be named like a sidebar: then names don't count
-    return _kept(lines_of(page)) or _kept(lines_of(page, named=False))
+    return kept(lines_of(page), window, surge) or kept(lines_of(page, named=False), window, surge)
 
 
-def weights_of(lines: list[tuple[str, int, bool, bool, bool]]) -> list[int]:
+def counts_of(lines: list[tuple[str, int, bool, bool]]) -> list[int]:
     """How much each line counts; markup has no other say."""
-    marked = any(text and inside and not apart for text, _, apart, inside, _ in lines)
-    out = []
-    for text, linked, apart, inside, _ in lines:
-        if apart or marked and not inside:
-            out.append(0)
-        else:
-            out.append(MARKED * len(text) if marked else max(0, len(text) - 2 * linked))
-    return out
+    if any(inside for _, _, inside, _ in lines):
+        return [len(text) if inside else max(0, len(text) - 2 * linked) // BESIDE for text, linked, inside, _ in lines]
+    return [max(0, len(text) - 2 * linked) for text, linked, _, _ in lines]
 
 
-def _kept(lines: list[tuple[str, int, bool, bool, bool]]) -> str:
-    lines = [line for line in lines if line[0]]
-    weights, marked = weights_of(lines), any(inside for _, _, _, inside, _ in lines)
-    n = len(lines)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    surges = [i for i in range(n) if weights[i] and sums[i] >= SURGE]
-    if not surges:  # a short page is its own only block
-        return " ".join(line[0] for line, w in zip(lines, weights, strict=True) if w)
+def kept(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, surge: int = SURGE) -> str:
+    """The main text of a page's lines."""
+    counts, n = counts_of(lines), len(lines)
+    before = [0, *accumulate(counts)]
+    sums = [before[min(n, i + window)] - before[i] for i in range(n)]
+    least = min(surge, max(sums, default=0))
+    surges = [i for i in range(n) if counts[i] and sums[i] >= least]
+    if not surges:
+        return ""
     first, stop = surges[0], surges[-1]
-    while first and not lines[first - 1][2] and (weights[first - 1] or lines[first - 1][4] and not marked):
+    while first and lines[first - 1][0] and (counts[first - 1] or lines[first - 1][3]):
         first -= 1  # the lines that lead up to a surge belong to it
     while stop < n and sums[stop]:
         stop += 1
-    while not weights[stop - 1]:
+    while not counts[stop - 1]:
         stop -= 1
     out, i = [], first
     while i < stop:
-        if weights[i]:
-            out.append(lines[i][0])
-            i += 1
-            continue
         to = i
-        while to < stop and not weights[to]:
+        while not counts[to]:
             to += 1
         # lines of links: a list of them is a menu, fewer belong to the text
-        links = [line[0] for line in lines[i:to] if not line[2] and (line[3] or not marked)]
+        links = [text for text, *_ in lines[i:to] if text]
         out += links if len(links) < WINDOW else []
-        i = to
+        out.append(lines[to][0])
+        i = to + 1
     return " ".join(out)
 
 

@@ -367,22 +367,32 @@ def test_html_takes_time_in_proportion(part):
 
 
 class _Plain(HTMLParser):
-    """Lines of a well-formed page by the standard library: text, characters in links, apart, in the article."""
+    """Lines of a well-formed page by the standard library: text, characters in links, whether in the article; no text where blank."""
 
-    def __init__(self):
+    PARTS = ("body", "nav", "footer", "div", "article")
+
+    def __init__(self, markup):
         super().__init__()
         self.lines, self.held, self.linked, self.depth = [], "", 0, {"apart": 0, "article": 0, "a": 0, "raw": 0}
-        self.open = []
+        self.open, self.markup = [], markup
 
     def cut(self):
-        if text := " ".join(self.held.split()):
-            self.lines.append((text, self.linked, self.depth["apart"] > 0, self.depth["article"] > 0))
+        text = " ".join(self.held.split())
+        if text and not self.depth["apart"]:
+            self.lines.append((text, self.linked, self.depth["article"] > 0))
         self.held, self.linked = "", 0
 
+    def blank(self, tag, kind):
+        if tag in self.PARTS and not self.depth["article"] and (tag, kind) != ("div", "apart"):
+            self.lines += [("", 0, False)] * 3
+
     def handle_starttag(self, tag, attrs):
         if tag not in ("b", "a"):
             self.cut()
-        kind = "a" if tag == "a" else "raw" if tag in ("head", "script", "style") else "article" if tag == "article" else "apart" if tag in ("nav", "footer") or ("class", "ad") in attrs else ""
+        kind = "a" if tag == "a" else "raw" if tag in ("head", "script", "style") else ""
+        if self.markup:
+            kind = "article" if tag == "article" else "apart" if tag in ("nav", "footer") or ("class", "ad") in attrs else kind
+        self.blank(tag, kind)
         if tag not in ("br", "meta", "p", "b"):
             self.open.append((tag, kind))
             if kind:
@@ -396,6 +406,7 @@ class _Plain(HTMLParser):
             if kind:
                 self.depth[kind] -= 1
             if t == tag:
+                self.blank(tag, kind)
                 break
 
     def handle_data(self, data):
@@ -404,35 +415,68 @@ class _Plain(HTMLParser):
             self.linked += len(data) * (self.depth["a"] > 0)
 
 
-def by_line_blocks(page):
+def by_line_blocks(page, markup):
     """The method once more, as written: line lengths, sums of three, first surge to last dive."""
-    parser = _Plain()
+    parser = _Plain(markup)
     parser.feed(page)
     parser.close()
     parser.cut()
-    marked = any(inside and not apart for _, _, apart, inside in parser.lines)
-    w = [0 if apart or marked and not inside else 4 * len(t) if marked else max(0, len(t) - 2 * linked) for t, linked, apart, inside in parser.lines]
-    surges = [i for i in range(len(w)) if w[i] and sum(w[i : i + 3]) >= 80]
+    inside = any(x for _, _, x in parser.lines)
+    w = [len(t) if x else max(0, len(t) - 2 * linked) // (8 if inside else 1) for t, linked, x in parser.lines]
+    sums = [sum(w[i : i + 3]) for i in range(len(w))]
+    surges = [i for i in range(len(w)) if w[i] and sums[i] >= min(140, max(sums))]
     if not surges:
-        return " ".join(t for (t, *_), x in zip(parser.lines, w, strict=True) if x)
+        return ""
     first, last = surges[0], surges[-1]
     while first and w[first - 1]:
         first -= 1
-    while last < len(w) and sum(w[last : last + 3]):
+    while last < len(w) and sums[last]:
         last += 1
     return " ".join(t for (t, *_), x in list(zip(parser.lines, w, strict=True))[first:last] if x)
 
 
-@pytest.mark.parametrize("marked", [True, False])
-def test_pages_of_the_corpus(marked):
-    """A second implementation agrees on every page, with and without the marks of the article; both give the article."""
+def _given_pages(*sizes):
     import pyarrow.parquet as pq
 
-    for text in [t for size in ("sf0.001", "sf0.01") for t in pq.read_table(f"/root/testdata/{size}/pages.parquet", columns=["html"])["html"].to_pylist()]:
+    for text in [t for size in sizes for t in pq.read_table(f"/root/testdata/{size}/pages.parquet", columns=["html"])["html"].to_pylist()]:
         inner = re.search(r"<article>(.*?)(</article>|$)", text, re.S)[1]
-        article = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
-        page = text if marked else re.sub("</?article>", "", text)
-        assert html_text.main_text(page) == by_line_blocks(page) == article
+        yield text, " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+@pytest.mark.parametrize("tags", [True, False])
+def test_pages_of_the_corpus(tags):
+    """A second implementation agrees on every page, with and without the tags of the article; both give the article."""
+    for text, article in _given_pages("sf0.001", "sf0.01"):
+        page = text if tags else re.sub("</?article>", "", text)
+        assert html_text.main_text(page) == by_line_blocks(page, True) == article
+
+
+def test_line_blocks_find_the_article_without_markup():
+    """Without names, article marks and tags of page parts the distribution alone finds it, and depends on window and surge."""
+    right, other = [], {(1, 200): 0, (10, 20): 0, (3, 80): 0, (6, 140): 0}
+    for page, article in _given_pages("sf0.01", "sf0.1"):
+        lines = html_text.lines_of(page, named=False, marked=False)
+        text = html_text.kept(lines)
+        assert text == by_line_blocks(page, False)
+        right.append(text == article)
+        for setting in other:
+            other[setting] += html_text.kept(lines, *setting) == article
+    assert sum(right) >= 0.95 * len(right)
+    assert all(n < sum(right) for n in other.values())
+    assert other[3, 80] < 0.6 * len(right) and other[6, 140] == 0
+
+
+def test_unnamed_parts_never_surge():
+    words = "word " * 40
+    page = f"<body><div><p>Buy this now</p></div><div><h2>Title</h2><p>{words}<p>Short.</div><div><p>All rights reserved, to whom they belong</p></div></body>"
+    assert html_text.main_text(page) == f"Title {words}Short."
+    assert html_text.main_text(page, surge=10) != f"Title {words}Short."
+    # a page of short lines: its greatest window
+    assert html_text.main_text("<div>ab</div><div><p>A few words.<p>More.</div><div>c</div>") == "A few words. More."
+    # beside a marked article a part counts an eighth
+    assert html_text.main_text(f"<article><p>{words}</p></article><div><p>{words * 2}</p></div>") == words.strip()
+    # a part named as an advert doesn't divide the text around it
+    assert html_text.main_text(f"<div><p>{words}</p><div class=ad>Buy</div><p>End.</p></div>") == f"{words}End."
 
 
 def test_pipeline(spark):
