@@ -8,9 +8,11 @@ own offset.  So documents meet windows only through their rarest words; length
 and position bounds drop places where the window can't lie, the next-rarest
 word must stand at its offset, and what is left is compared word by word.
 
-The windows of a block of items travel to the tasks in a broadcast of at most
-``BLOCK_BYTES`` of item text; larger benchmarks are joined block by block, each
-a narrow pass over the documents.  Nothing is shuffled but the word counts,
+Items are cut into pieces of ``PIECE_BYTES``, each window in one of them, and
+equal pieces of an item become one; pieces are dealt by hash to blocks of
+``BLOCK_BYTES`` of text, whatever the rows and the length of one item.  A
+block's windows travel to the tasks in a broadcast; larger benchmarks are
+joined block by block, each a narrow pass over the documents.  Nothing is shuffled but the word counts,
 which are summed per task first.  Null texts have no words.  Null item ids and
 items without words are left out.  Repeated rows are judged alike.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm.common import cut, slices
 
-WINDOW, BLOCK_BYTES, CANDIDATES = 10, 8 << 20, 1 << 18
+WINDOW, BLOCK_BYTES, PIECE_BYTES, CANDIDATES = 10, 8 << 20, 64 << 10, 1 << 18
 
 #: A-Z to a-z; other ASCII that is no letter or digit to a blank; bytes of other characters stay.
 _table = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -38,6 +40,22 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_table).split()
 
 
+def pieces_of(text: str | None, window: int = WINDOW, most: int = PIECE_BYTES) -> Iterator[str]:
+    """Runs of an item's words that hold each of its windows once: of ``most`` bytes, or of one window where that is longer."""
+    words = words_of(text)
+    start = 0
+    while start < len(words):
+        stop = min(len(words), start + window)
+        size = sum(map(len, words[start:stop])) + stop - start
+        while stop < len(words) and size + len(words[stop]) < most:
+            size += len(words[stop]) + 1
+            stop += 1
+        yield b" ".join(words[start:stop]).decode("utf-8", "surrogatepass")
+        if stop == len(words):
+            return
+        start = stop - window + 1
+
+
 class Windows:
     """The distinct windows of a block of items, as places in one array of word numbers, and who owns them.
 
@@ -197,13 +215,27 @@ def _joined(docs: DataFrame, windows) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind.simpleString()}, text string, n_words bigint, spans {SPANS}, items {items_kind.simpleString()}")
 
 
+def _pieces(items: DataFrame, window: int) -> DataFrame:
+    """The distinct pieces of each of ``items(item, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                name = batch.column(0).slice(row, 1)
+                for piece in pieces_of(batch.column(1)[row].as_py(), window, PIECE_BYTES):
+                    yield pa.RecordBatch.from_arrays([name, pa.array([piece], pa.string())], ["item", "text"])
+
+    return items.mapInArrow(run, f"item {items.schema['item'].dataType.simpleString()}, text string").distinct()
+
+
 def _blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> Iterator[Windows]:
     """Windows of each block of items, ordered by the word counts over ``docs(text)``."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = cut(_pieces(items, window))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
     for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         windows = Windows(((r["item"], r["text"]) for r in block.toLocalIterator()), window)
         counts = np.zeros(len(windows.vocabulary), np.int64)
         if len(windows):

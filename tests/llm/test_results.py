@@ -245,6 +245,38 @@ def test_contamination_blocks(spark, monkeypatch):
     assert bad and {r[0] for r in docs.select("doc_id").collect()} - {r[0] for r in decontamination.keep_uncontaminated(docs, items).select("doc_id").collect()} == bad
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "ccc"]), max_size=60), st.integers(1, 12), st.integers(1, 40))
+def test_pieces_hold_each_window_once(words, window, most):
+    pieces = [p.split() for p in decontamination.pieces_of("-".join(words), window, most)]
+    held = [p[i : i + window] for p in pieces for i in range(max(1, len(p) - window + 1))]
+    assert held == ([words[i : i + window] for i in range(max(1, len(words) - window + 1))] if words else [])
+    assert all(len(" ".join(p)) <= most or len(p) <= window for p in pieces)
+
+
+def test_an_item_larger_than_a_block(spark, monkeypatch):
+    """One id with many rows and one huge text are spread over blocks; the windows found stay the same."""
+    rare = [f"w{i}" for i in range(4000)]
+    items = spark.createDataFrame([("big", " ".join(rare))] + [("many", f"{k} " + " ".join(rare[k : k + 9])) for k in range(300)] * 2, "item_id string, text string")
+    docs = spark.createDataFrame([(k, "x " + " ".join(rare[300 * k : 300 * k + 12 - 4 * (k % 2)]) + " y") for k in range(13)], "doc_id long, text string")
+    a = decontamination.contamination_report(docs, items).orderBy("doc_id").collect()
+    assert [r["n_hit"] for r in a] == [0 if k % 2 else 12 for k in range(13)]
+    sizes = []
+
+    made = decontamination.Windows.__init__
+
+    def noted(self, rows, window):
+        rows = list(rows)
+        sizes.append(sum(len(t) for _, t in rows))
+        made(self, rows, window)
+
+    monkeypatch.setattr(decontamination.Windows, "__init__", noted)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 16000)
+    monkeypatch.setattr(decontamination, "PIECE_BYTES", 500)
+    assert decontamination.contamination_report(docs, items).orderBy("doc_id").collect() == a
+    assert len(sizes) > 2 and max(sizes) < 2 * 16000
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=60), st.lists(st.lists(st.sampled_from("abcd"), max_size=14), max_size=4))
 def test_contamination_of_words(doc, items):
