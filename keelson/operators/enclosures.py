@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import vec
 from keelson.operators import oriented
-from keelson.operators.blocks import against
+from keelson.operators.blocks import against, measured
 from keelson.operators.lineage import cut
 from keelson.operators.search import heads
 
@@ -289,6 +289,20 @@ def passes(summary: DataFrame, queries: DataFrame, dim: int, names: list[str]) -
     return both.select("query_id", "cluster", "size", *[(BOUNDS[n](dim) + slack > F.col("t")).alias(n) for n in names])
 
 
+def passes_of(summary: DataFrame, queries: DataFrame, pairs: DataFrame, dim: int, names: list[str]) -> DataFrame:
+    """The same for ``pairs(query_id, cluster)`` alone."""
+    both = pairs.join(summary, "cluster").join(measured(queries.select("query_id", "query", "t")), "query_id")
+    slack = F.lit(vec.SLACK) * F.greatest(F.abs("t"), F.lit(1.0))
+    return both.select("query_id", "cluster", "size", *[(BOUNDS[n](dim) + slack > F.col("t")).alias(n) for n in names])
+
+
+def as_products(boxes: DataFrame, queries: DataFrame, upper: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``boxes(..., lo, hi)`` as keys and queries whose product is the largest (or least) q.k of the box: a query's positive parts meet one corner, its negative ones the other."""
+    one, other = ("hi", "lo") if upper else ("lo", "hi")
+    parts = F.concat(F.transform(vec.doubles("query"), lambda x: F.greatest(x, F.lit(0.0))), F.transform(vec.doubles("query"), lambda x: F.least(x, F.lit(0.0))))
+    return boxes.withColumn("key", F.concat(vec.doubles(one), vec.doubles(other))).withColumn("pos", F.monotonically_increasing_id()), queries.withColumn("query", parts)
+
+
 def scanned(passed: DataFrame, names: list[str]) -> DataFrame:
     """query_id, enclosing, scanned: share of keys whose cluster passes."""
     wide = passed.groupBy("query_id").agg(*[(F.sum(F.when(F.col(n), F.col("size")).otherwise(0)) / F.sum("size")).alias(n) for n in names])
