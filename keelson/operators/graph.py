@@ -10,7 +10,9 @@ thinned out, so that a shard's lowest level is in one piece.  No shard's keys ar
 Shards are dealt by a hash of the position, SHARD keys or so in each, which bounds
 a task's memory and time; a shard's graph is a set of rows of the stored table,
 and a search visits every shard and ranks what the shards return.  Search is
-approximate: ``recall`` is measured, not promised.
+approximate: the beam that finds enough depends on the keys and on how many a shard holds,
+so every shard widens its own until it finds ENOUGH of what a full scan of the shard gives
+TRIED of the queries.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from keelson.operators.search import FOUND, heads, summed, top_k
 
 #: Keys of a shard, links of a key (twice as many on the lowest level), and the width of the beam while building.
 SHARD, LINKS, BUILD_BEAM = 1 << 14, 12, 64
+#: Queries of a block that a shard tries its beam on, the share of their best keys that it must find, and its first width.
+TRIED, ENOUGH, BEAM = 64, 0.95, 64
 ROW = "shard bigint, pos bigint, key array<double>, links array<array<int>>"
 
 
@@ -143,6 +147,24 @@ class Graph:
         return [j for _, j in self.beam(q, self._descend(q, 0), max(width, k), 0)[:k]] if self.links else []
 
 
+    def nearby(self, q: np.ndarray, x: np.ndarray, k: int, width: int) -> np.ndarray:
+        """Places of the k keys of ``x`` with the largest products among those that a beam finds: the graph goes by angles, so the whole beam is scored anew."""
+        best = np.array(self.search(q / max(np.linalg.norm(q), 1e-12), max(k, width), width), np.int64)
+        return best[np.argsort(-(x[best] @ q), kind="stable")[:k]]
+
+    def wide_enough(self, queries: np.ndarray, x: np.ndarray, k: int, width: int = BEAM) -> int:
+        """The least doubling of ``width`` whose beams find ENOUGH of the k best keys of ``queries``; as many as there are keys finds all."""
+        k = min(k, len(x))
+        scores = queries @ x.T
+        least = np.partition(scores, len(x) - k, axis=1)[:, len(x) - k] - 1e-9 * np.abs(scores).max(axis=1, initial=0.0) if k else None
+        while k and width < len(x):
+            hits = sum(int((scores[i, self.nearby(q, x, k, width)] >= least[i]).sum()) for i, q in enumerate(queries))
+            if hits >= ENOUGH * k * len(queries):
+                break
+            width *= 2
+        return width
+
+
 def _units(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
@@ -174,11 +196,11 @@ class GraphIndex:
     def shards(self) -> int:
         return self.rows.select(*heads(self.rows), "shard").distinct().count()
 
-    def search(self, queries: DataFrame, k: int, width: int = 64) -> DataFrame:
-        """query_id, pos, score, rank: the best of what every shard's graph returns, by the product with the key itself."""
+    def search(self, queries: DataFrame, k: int, width: int | None = None) -> DataFrame:
+        """query_id, pos, score, rank: the best of what every shard's graph returns, by the product with the key itself; beams of ``width``, or as wide as a shard needs."""
         return top_k(reduce(DataFrame.union, [self._block(part, k, width) for part in split(queries)]), k)
 
-    def _block(self, queries: DataFrame, k: int, width: int) -> DataFrame:
+    def _block(self, queries: DataFrame, k: int, width: int | None) -> DataFrame:
         own, of = heads(self.rows), heads(self.rows, queries)
         asked = queries.select("query_id", *of, vec.doubles("query").alias("query")).toPandas()  # a block
         q = np.array(asked["query"].tolist(), float).reshape(len(asked), -1)
@@ -188,11 +210,15 @@ class GraphIndex:
             ids, vectors, head = shared.value
             group = group.sort_values("pos", kind="stable")
             x, pos = np.array(group["key"].tolist(), float), group["pos"].to_numpy()
+            mine = np.arange(len(ids)) if head is None else np.flatnonzero(head == group["head"].iloc[0])
             graph = Graph(_units(x), [[list(level) for level in links] for links in group["links"]])
+            tried = mine[:: max(1, -(-len(mine) // TRIED))]
+            beam = width or graph.wide_enough(vectors[tried], x, k, max(k, BEAM))
             out = []
-            for i in range(len(ids)) if head is None else np.flatnonzero(head == group["head"].iloc[0]):
-                # the whole beam is scored anew: the graph goes by angles, the result by products
-                best = np.array(graph.search(vectors[i] / max(np.linalg.norm(vectors[i]), 1e-12), max(k, width), width), np.int64)
+            for i in mine:
+                best = np.arange(len(x))  # a beam as wide as the shard reaches every key
+                if max(k, beam) < len(x):
+                    best = np.array(graph.search(vectors[i] / max(np.linalg.norm(vectors[i]), 1e-12), max(k, beam), beam), np.int64)
                 score = summed(x[best], np.broadcast_to(vectors[i], x[best].shape))
                 by = np.lexsort((pos[best], -score))[:k]
                 out.append(pd.DataFrame({"query_id": ids[i], "pos": pos[best[by]], "score": score[by]}))

@@ -56,3 +56,13 @@ def test_given_keys(spark):
     keys, q = keys_of(spark, "/root/testdata/sf0.001"), queries_of(spark, "/root/testdata/sf0.001")
     found = GraphIndex.build(keys).search(q, 20).select("query_id", "pos")
     assert metrics.recall_at(found, search.best(q, keys, 20).select("query_id", "pos")).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_beams_grow_until_enough_is_found(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1200, 96))
+    keys = spark.createDataFrame([(p, v.tolist()) for p, v in enumerate(x)], "pos long, key array<double>")
+    q = keys.where("pos % 40 = 0").select(F.col("pos").alias("query_id"), F.col("key").alias("query"))
+    graph, best = GraphIndex.build(keys), search.best(q, keys, 60).select("query_id", "pos")
+    share = lambda found: metrics.recall_at(found.select("query_id", "pos"), best).agg(F.avg("recall")).first()[0]
+    assert share(graph.search(q, 60, 64)) < 0.9 <= share(graph.search(q, 60))  # 64 was every search's width
