@@ -39,8 +39,11 @@ def _half_boxes(dim: int, side: bool) -> list[Column]:
     return [vec.each_dim(dim, lambda i: F.min(own(i))).alias(f"lo_{side}"), vec.each_dim(dim, lambda i: F.max(own(i))).alias(f"hi_{side}")]
 
 
-def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",), tight: bool = True) -> DataFrame:
-    """Statistics of each cluster of ``members([head, ]cluster, pos, key)``; the iterated and anchored balls and the boxes along axes only if ``tight``."""
+def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",), tight: bool = True, shared: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Statistics of each cluster of ``members([head, ]cluster, pos, key)``; the iterated and anchored balls and the boxes along axes only if ``tight``.
+
+    A head's axes go to ``shared``, if it is given, and not into every row.
+    """
     by = (*(h for h in heads(members) if h not in by), *by)
     on = list(by)
     m = members.select(*by, "pos", vec.doubles("key").alias("k"), vec.norm("key").alias("kn"))
@@ -106,7 +109,7 @@ def summaries(members: DataFrame, dim: int, by: tuple[str, ...] = ("cluster",),
         F.max(F.when(inner, F.col("d"))).alias("inner_radius"),
     )
     out = first.join(second, on).join(third, on)
-    return oriented.with_axis_boxes(cut(_with_tight_balls(cut(out), m, dim, on)), members, dim, on) if tight else out
+    return oriented.with_axis_boxes(cut(_with_tight_balls(cut(out), m, dim, on)), members, dim, on, shared) if tight else out
 
 
 def _with_tight_balls(summary: DataFrame, members: DataFrame, dim: int, on: list[str], rounds: int = 10) -> DataFrame:

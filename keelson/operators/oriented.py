@@ -123,8 +123,11 @@ BOXES: dict[str, tuple[int | None, str, str | None]] = {
 }
 
 
-def with_axis_boxes(summary: DataFrame, members: DataFrame, dim: int, by: list[str]) -> DataFrame:
-    """``summary([by, ]..., center)`` with, for every kind, a struct of its axes, intervals, residual and origin."""
+def with_axis_boxes(summary: DataFrame, members: DataFrame, dim: int, by: list[str], shared: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``summary([by, ]..., center)`` with, for every kind, a struct of its axes, intervals, residual and origin.
+
+    Axes that belong to a head are left out of the rows and put into ``shared``, if it is given, by kind: [head, ]mean, axes.
+    """
     own = heads(members)
     out, m = summary, members.select(*by, "key")
     bases: dict[tuple, DataFrame] = {}
@@ -136,6 +139,10 @@ def with_axis_boxes(summary: DataFrame, members: DataFrame, dim: int, by: list[s
         axes = bases[key].withColumnRenamed("mean", "origin")
         axes = axes.drop("origin") if origin is None else axes
         boxes = axis_boxes(m, measured(axes), tuple(by), on)
+        if shared is not None and scope == "head":
+            shared[name] = bases[key]
+            out = out.join(cut(boxes.select(*by, F.struct("lo", "hi", "rest").alias(name))), by)
+            continue
         both = boxes.join(measured(axes), list(on)) if on else boxes.crossJoin(F.broadcast(axes))  # one row
         fields = ["axes", "lo", "hi", "rest", *(["origin"] if origin else [])]
         out = out.join(cut(both.select(*by, F.struct(*fields).alias(name))), by)
