@@ -8,9 +8,11 @@ threshold.  All bounds are safe for queries of any length.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from keelson.functions import vec
 from keelson.operators import oriented
 from keelson.operators.blocks import against, measured
 from keelson.operators.lineage import cut
-from keelson.operators.search import heads
+from keelson.operators.search import Asked, ask, heads, matrix, meet, summed
 
 #: Share of keys that ``hot_key_aabb`` checks one by one; random directions of the slab bundle.
 HOT_SHARE, SLABS = 0.03, 8
@@ -368,11 +370,60 @@ def refine(members: DataFrame, queries: DataFrame, dim: int, least: int = 2, rou
 
     now = members
     for _ in range(rounds):
-        summary = centers(now, dim)
-        passed = against(summary, queries.select("query_id", "query", "t")).where(box() + vec.SLACK > F.col("t")).select("query_id", "cluster")
-        useless = passed.join(hull_passes(now, queries), ["query_id", "cluster"], "left_anti").select("cluster").distinct()
+        summary, useless = cut(centers(now, dim)), useless_boxes(now, queries)
         spans = summary.where(F.col("size") > least).select("cluster", F.zip_with("lo", "hi", lambda a, b: b - a).alias("span"))
         axis = spans.join(useless, "cluster", "left_semi").select("cluster", (F.array_position("span", F.array_max("span")) - 1).cast("int").alias("axis"))
         half = F.ntile(2).over(Window.partitionBy("cluster").orderBy(F.get(vec.doubles("key"), F.col("axis")), "pos"))
-        now = now.join(axis, "cluster", "left").withColumn("cluster", F.when(F.col("axis").isNull(), F.col("cluster") * 2).otherwise(F.col("cluster") * 2 + half - 1)).select(*members.columns)
+        now = cut(now.join(axis, "cluster", "left").withColumn("cluster", F.when(F.col("axis").isNull(), F.col("cluster") * 2).otherwise(F.col("cluster") * 2 + half - 1)).select(*members.columns))
     return now
+
+
+#: Pairs of a member and a query that are multiplied at once, and how far a matrix product may lie from the sum in order, relatively.
+PAIRS, APART = 1 << 20, 1e-13
+
+
+def useless_boxes(members: DataFrame, queries: DataFrame) -> DataFrame:
+    """The clusters of ``members(cluster, key)`` whose box passes for a query that none of their members reaches.
+
+    A cluster's members come to one task one after another, which keeps the box and the
+    best score of each query of the one cluster that is not complete.
+    """
+    rows = members.select("cluster", "key").repartition("cluster").sortWithinPartitions("cluster")
+
+    def make(asked: Asked, batch: pa.RecordBatch, state: dict) -> Iterator[dict]:
+        x, cluster = matrix(batch.column("key")), batch.column("cluster").to_numpy()
+        for at in range(0, len(x), step := max(1, PAIRS // len(asked.ids))):
+            yield from _judged(asked, x[at : at + step], cluster[at : at + step], state)
+
+    def end(asked: Asked, state: dict) -> Iterator[dict]:
+        if state:
+            yield from _complete(asked, state["cluster"], *(state[c][None] for c in ("best", "lo", "hi")))
+
+    found = [meet(rows, shared, "cluster bigint", make, end) for shared in ask(queries.select("query_id", "query", "t"))]
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _judged(asked: Asked, x: np.ndarray, cluster: np.ndarray, state: dict) -> Iterator[dict]:
+    """Clusters that end among these members; the last one stays in ``state``."""
+    s = x @ asked.vectors.T
+    limit = asked.limits - vec.SLACK
+    row, col = np.nonzero(np.abs(s - limit) <= APART * (asked.norms * np.sqrt((x * x).sum(1).max()) + np.abs(limit)))
+    s[row, col] = summed(x[row], asked.vectors[col])
+    first = np.flatnonzero(np.diff(cluster, prepend=cluster[0] - 1))
+    names, best, lo, hi = cluster[first], np.maximum.reduceat(s, first), np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
+    if state and state["cluster"][0] == names[0]:
+        best[0], lo[0], hi[0] = np.maximum(best[0], state["best"]), np.minimum(lo[0], state["lo"]), np.maximum(hi[0], state["hi"])
+    elif state:
+        yield from _complete(asked, state["cluster"], *(state[c][None] for c in ("best", "lo", "hi")))
+    yield from _complete(asked, names[:-1], best[:-1], lo[:-1], hi[:-1])
+    state |= {"cluster": names[-1:], "best": best[-1].copy(), "lo": lo[-1].copy(), "hi": hi[-1].copy()}
+
+
+def _complete(asked: Asked, cluster: np.ndarray, best: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[dict]:
+    up, down, t = np.maximum(asked.vectors, 0), np.minimum(asked.vectors, 0), asked.limits
+    bound = hi @ up.T + lo @ down.T
+    row, col = np.nonzero(np.abs(bound + vec.SLACK - t) <= APART * (asked.norms * np.sqrt(np.maximum(lo * lo, hi * hi).sum(1).max(initial=0.0)) + np.abs(t)))
+    bound[row, col] = summed(np.where(asked.vectors[col] > 0, hi[row], lo[row]), asked.vectors[col])
+    some = ((bound + vec.SLACK > t) & ~(best + vec.SLACK >= t)).any(axis=1)
+    if some.any():
+        yield {"cluster": cluster[some]}
