@@ -8,7 +8,8 @@ place.  Each window of LENGTH bytes names one anchor, the leftmost least hash
 of the GRAM-byte strings in it, which depends on the window alone.  So equal
 windows have equal anchors, and only anchors that occur twice can carry a
 repeat.  Around those, the bytes of the anchor's windows travel to a bucket
-chosen by the anchor's hash.  A bucket's contexts are cut into shards; each
+chosen by the anchor's hash.  Equal contexts of a bucket are merged as one, and
+one that is alone with its anchor is not.  The others are cut into shards; each
 shard's Burrows-Wheeler transform is built column by column, and the shards
 are merged by refining their interleave: from the interleave of suffixes that
 begin one column further right, the preceding characters give the next one by
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,27 +43,52 @@ from keelson.llm.common import cut, map_columns, slices
 LENGTH, GRAM = 100, 32
 #: Buckets of a task; starts of hot windows gathered at once.
 BUCKETS, STRETCH = 16, 4096
-#: Bytes hashed at once, contexts of a bucket and of a shard, occurrences of a hot anchor, hot anchors, bytes of the filter, rows of the broadcast copies and hot windows.
-BLOCK, BUCKET, SHARD, HOT, MOST_HOT, FILTER_BYTES, MOST_COPIES, MOST_WINDOWS = 1 << 19, 16_384, 4_096, 20_000, 1_000_000, 32 << 20, 500_000, 200_000
+#: Bytes hashed at once (places take 15 bits), contexts of a bucket and of a shard, occurrences of a hot anchor, hot anchors, bytes of the filter, rows of the broadcast copies and hot windows.
+BLOCK, BUCKET, SHARD, HOT, MOST_HOT, FILTER_BYTES, MOST_COPIES, MOST_WINDOWS = (1 << 15) - LENGTH, 16_384, 4_096, 20_000, 1_000_000, 32 << 20, 500_000, 200_000
 LEFT = LENGTH - GRAM  # bytes of a window before and after its anchor, at most
 WIDTH = LEFT + LENGTH
 FIRST_ID = -(1 << 63)
 
 
-def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all GRAM-byte strings, by doubling."""
-    h = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    size = 1
-    while size < GRAM:
-        h = h[:-size] * np.uint64(0xD6E8FEB86659FD93 + 2 * size) + (h[size:] ^ (h[size:] >> np.uint64(31)))
-        size *= 2
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     return h
 
 
+def gram_hashes(x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the GRAM-byte strings at these places."""
+    words = np.lib.stride_tricks.sliding_window_view(x, GRAM)[places].view(np.uint64)
+    h = np.full(len(places), 0x9E3779B97F4A7C15, np.uint64)
+    for j in range(GRAM // 8):
+        h = _mixed((h ^ words[:, j]) * np.uint64(0xD6E8FEB86659FD93))
+    return h
+
+
+#: Numbers of the bytes, and the factors by which halves of a string are told apart.
+BYTE_NUMBERS = np.random.default_rng(42).integers(0, 1 << 32, 256, np.uint32)
+FACTORS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
+
+
+def _least_grams(x: np.ndarray) -> np.ndarray:
+    """The place of the leftmost least hash of the GRAM-byte strings in each window of LENGTH bytes; 32,768 bytes at most.
+
+    Hashes of 17 bits and places of 15 share a number; arrays of this size stay in the processor's cache.
+    """
+    h, size = BYTE_NUMBERS.take(x), 1
+    for factor in FACTORS:
+        h, size = h[:-size] * factor + h[size:], size * 2
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h &= np.uint32(0xFFFF8000)
+    h |= np.arange(len(h), dtype=np.uint32)
+    span, size, m = LENGTH - GRAM + 1, 1, h
+    while size * 2 <= span:
+        m, size = np.minimum(m[:-size], m[size:]), size * 2
+    return np.minimum(m[: len(h) - span + 1], m[span - size :]) & np.uint32(0x7FFF)
+
+
 def anchors(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of documents laid end to end: hash, place, first and last window start of every anchor, and its document.
 
@@ -69,30 +96,22 @@ def anchors(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """
     out = []
     begins = np.concatenate([[0], ends[:-1]])
+    edges = np.unique(np.concatenate([begins, ends - LENGTH + 1]))  # where a document begins, and its first start without a window
     for at in range(0, max(0, len(x) - LENGTH + 1), BLOCK):
         part = x[at : at + BLOCK + LENGTH - 1]
-        h = gram_hashes(part)
-        v = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        span, m = LENGTH - GRAM + 1, v
-        size = 1
-        while size * 2 <= span:
-            m = np.minimum(m[:-size], m[size:])
-            size *= 2
-        m = np.minimum(m[: len(v) - span + 1], m[span - size :])
-        place = (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        start = np.arange(len(place))
-        doc = np.searchsorted(ends, start + at, "right")
-        valid = start + at + LENGTH <= ends[doc]
-        new = valid.copy()
-        new[1:] &= ~valid[:-1] | (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+        place = _least_grams(part)
+        own = edges[np.searchsorted(edges, at, "right") : np.searchsorted(edges, at + len(place))] - at
+        new = np.ones(len(place), bool)
+        np.not_equal(place[1:], place[:-1], out=new[1:])
+        new[own] = True
         first = np.flatnonzero(new)
-        if not len(first):
-            continue
-        stop = valid.copy()
-        stop[:-1] &= ~valid[1:] | new[1:]
-        last = np.flatnonzero(stop)
-        d = doc[first]
-        out.append((h[place[first]], place[first] + at - begins[d], first + at - begins[d], last + at - begins[d], d))
+        last = np.append(first[1:], len(place)) - 1
+        doc = np.searchsorted(ends, first + at, "right")
+        some = np.flatnonzero(first + (at + LENGTH) <= ends[doc])
+        first, last, doc = first[some], last[some], doc[some]
+        if len(first):
+            d, found = begins[doc] - at, place[first].astype(np.int64)
+            out.append((gram_hashes(part, found), found - d, first - d, last - d, doc))
     if not out:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 4
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -103,11 +122,11 @@ class ShardBWT:
 
     def __init__(self, rows: np.ndarray):
         n, width = rows.shape
-        order = np.arange(n)
+        order, columns = np.arange(n), np.ascontiguousarray(rows.T)
         self.chars = np.empty((width, n), np.uint8)
         self.order = np.empty((width, n), np.int32)
         for j in range(width - 1, -1, -1):
-            self.chars[j] = rows[order, j]
+            self.chars[j] = columns[j][order]
             order = order[np.argsort(self.chars[j], kind="stable")]
             self.order[j] = order
 
@@ -120,29 +139,25 @@ def _range_minima(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np
         t = table[-1]
         table.append(np.minimum(t[:-size], t[size:]))
         size *= 2
-    out = np.empty(len(left), values.dtype)
-    level = np.frexp((right - left + 1).astype(np.float64))[1] - 1
-    by = np.argsort(level, kind="stable")
-    edges = np.searchsorted(level[by], np.arange(len(table) + 1))
-    for k, t in enumerate(table):
-        i = by[edges[k] : edges[k + 1]]
-        if len(i):
-            out[i] = np.minimum(t[left[i]], t[right[i] - (1 << k) + 1])
-    return out
+    # of equal lengths, so that one flat index finds level and place
+    flat = np.concatenate([np.pad(t, (0, len(values) - len(t))) for t in table])
+    level = np.frexp((right - left + 1).astype(np.float32))[1].astype(np.int64) - 1
+    at = level * len(values)
+    return np.minimum(flat[at + left], flat[at + right + 1 - (1 << level)])
 
 
-def merge(shards: list[ShardBWT]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Column by column from the right: (column, rows in suffix order, common prefix with the row before).
+def merge(shards: list[ShardBWT], upto: int = WIDTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Column by column from the right, of those up to ``upto``: (column, rows in suffix order, common prefix with the row before).
 
     Rows are numbered through the shards.  ``source`` is the interleave: whose suffix stands at each place.
     """
     sizes = [s.order.shape[1] for s in shards]
     base = np.cumsum([0, *sizes[:-1]])
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
+    source = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), sizes)
+    places = np.arange(len(source))
     prefix = np.full(len(source), 255, np.uint8)  # nothing is known to differ yet: beyond the last column all are equal
     prefix[:1] = 0
     for j in range(shards[0].order.shape[0] - 1, -1, -1):
-        places = np.argsort(source, kind="stable")
         chars = np.empty(len(source), np.uint8)
         chars[places] = np.concatenate([s.chars[j] for s in shards])
         moved = np.argsort(chars, kind="stable")
@@ -153,8 +168,11 @@ def merge(shards: list[ShardBWT]) -> Iterator[tuple[int, np.ndarray, np.ndarray]
             least = _range_minima(prefix, moved[same - 1] + 1, moved[same])
             common[same] = np.minimum(least, 254) + 1
         prefix = common
+        places = np.argsort(source, kind="stable")
+        if j > upto:
+            continue
         rows = np.empty(len(source), np.int64)
-        rows[np.argsort(source, kind="stable")] = np.concatenate([s.order[j] + b for s, b in zip(shards, base, strict=True)])
+        rows[places] = np.concatenate([s.order[j] + b for s, b in zip(shards, base, strict=True)])
         yield j, rows, prefix
 
 
@@ -173,9 +191,7 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, windows: np.ndar
     out = np.zeros((n, LEFT + 1), bool)
     low, high = LEFT - before, LEFT - before + windows
     far = np.iinfo(np.int64).max
-    for j, order, prefix in merge(shards):
-        if j > LEFT:
-            continue
+    for j, order, prefix in merge(shards, LEFT):
         first = np.flatnonzero(prefix < LENGTH)
         inside = (low[order] <= j) & (j < high[order])
         own = np.where(inside, rank[order], far)
@@ -184,6 +200,41 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, windows: np.ndar
     return out
 
 
+def resolved(keys: np.ndarray, contexts: list[bytes], before: np.ndarray, windows: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The same, with as many contexts merged as it takes.
+
+    Of equal contexts those of the least rank are merged, as one; all windows of the others start earlier there.  A context
+    alone with its anchor (``keys``: the anchors' hashes) has no window that another one has: equal windows have equal anchors.
+    Within it a window is at one column only.
+    """
+    n = len(contexts)
+    codes, _ = pd.factorize(np.fromiter(contexts, object, n))
+    same = pd.DataFrame({"code": codes, "before": before, "windows": windows, "rank": rank, "key": keys.view(np.int64)})
+    group = same.groupby(["key", "code", "before", "windows"], sort=False)
+    number, least = group.ngroup().to_numpy(), group["rank"].transform("min").to_numpy()
+    head = np.unique(number, return_index=True)[1]  # of each group of equal contexts
+    several = head[same["key"].iloc[head].duplicated(keep=False).to_numpy()]
+    out, column = np.zeros((n, LEFT + 1), bool), np.arange(LEFT + 1)
+    if len(several):
+        made = repeated_windows([contexts[i] for i in several], before[several], windows[several], least[several])
+        where = np.full(len(head), -1)
+        where[number[several]] = np.arange(len(several))
+        some = np.flatnonzero(where[number] >= 0)
+        out[some] = made[where[number[some]]]
+    later = np.flatnonzero(rank > least)
+    low = LEFT - before[later, None]
+    out[later] = (low <= column) & (column < low + windows[later, None])
+    return out
+
+
+def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings without nulls, laid end to end, and where each ends."""
+    flat = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
+    _, offsets, data = flat.buffers()
+    at = np.frombuffer(offsets, np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at[1:] - at[0]
+
+
 def _candidates(docs: DataFrame, schema: str, make) -> DataFrame:
     """Run ``make(buffer, ids, keys, *anchors)`` over the texts that aren't copies; it returns columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -194,12 +245,10 @@ def _candidates(docs: DataFrame, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, 4 << 20):
-                texts = [t.encode("utf-8", "surrogatepass") for t in piece.column(2).to_pylist()]
-                x = np.frombuffer(b"".join(texts), np.uint8)
-                ends = np.cumsum([len(t) for t in texts])
+                x, ends = _text_bytes(piece.column(2))
                 if len(x) < LENGTH:
                     continue
-                begins = ends - np.fromiter(map(len, texts), np.int64, len(texts))
+                begins = np.append(0, ends[:-1])
                 found = anchors(x, ends)
                 cols = make(x, begins, piece.column(0).to_numpy(), piece.column(1).to_numpy(), *found)
                 n = len(cols[0])
@@ -277,7 +326,6 @@ def _spans(docs: DataFrame) -> DataFrame:
     near = _candidates(docs, with_key, contexts)
     if not small:  # the filter would be too large to broadcast: candidates meet the repeated anchors in a join
         near = near.join(counted.select(F.col("h").alias("a")), "a", "left_semi")
-    near = near.drop("a")
 
     def resolve(group: pd.DataFrame) -> pd.DataFrame:
         ids, place = group["id"].to_numpy(np.int64), group["place"].to_numpy(np.int64)
@@ -286,7 +334,7 @@ def _spans(docs: DataFrame) -> DataFrame:
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(step)
         before = group["before"].to_numpy(np.int64)
-        again = repeated_windows(list(group["context"]), before, group["windows"].to_numpy(np.int64), rank)
+        again = resolved(group["a"].to_numpy(np.int64), list(group["context"]), before, group["windows"].to_numpy(np.int64), rank)
         edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, start = np.nonzero(edge > 0)
         _, stop = np.nonzero(edge < 0)
@@ -348,18 +396,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for piece in slices(batch):
                 rows = []
-                for text, first, spans in zip(*(piece.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    if first is not None and len(raw) >= LENGTH:
-                        spans = [{"start": 0, "end": len(raw)}]
+                x, ends = _text_bytes(piece.column(1))
+                data, copies, spans = x.tobytes(), piece.column(2).is_valid().to_pylist(), piece.column(3)
+                flat = spans.flatten()
+                starts, stops = (flat.field(i).to_pylist() for i in (0, 1))
+                counts = np.cumsum(np.append(0, pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy()))
+                for begin, end, copy, a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), copies, counts[:-1].tolist(), counts[1:].tolist(), strict=True):
+                    raw = data[begin:end]
+                    own = [(0, len(raw))] if copy and len(raw) >= LENGTH else sorted(zip(starts[a:b], stops[a:b], strict=True))
                     kept, at, n_spans, removed = [], 0, 0, 0
-                    for s in sorted(spans or (), key=lambda s: s["start"]):
-                        if s["start"] > at or not n_spans:
-                            kept.append(raw[at : s["start"]])
+                    for start, stop in own:
+                        if start > at or not n_spans:
+                            kept.append(raw[at:start])
                             n_spans += 1
-                            at = s["start"]
-                        removed += max(0, s["end"] - at)
-                        at = max(at, s["end"])
+                            at = start
+                        removed += max(0, stop - at)
+                        at = max(at, stop)
                     kept.append(raw[at:])
                     rows.append((len(raw), removed, n_spans, b"".join(kept)))
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]

@@ -323,6 +323,38 @@ def test_repeats(spark, monkeypatch, hot, bucket, shard, filtered):
     assert got == repeats.brute_force(rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_equal_contexts_are_merged_once(monkeypatch, seed):
+    """Copies of a passage in other documents, some cut off by a document's end, one context alone with its anchor."""
+    rng = np.random.default_rng(seed)
+    passages = [bytes(rng.integers(97, 100, 168, np.uint8)) for _ in range(5)]
+    passages[1] = passages[0][:150] + passages[1][150:]
+    pick, before = rng.integers(0, 4, 200), rng.choice([68, 40], 200)
+    pick[0], before[0] = 4, 68
+    contexts = [passages[k][68 - b :][: 168 - (b % 3)] for k, b in zip(pick, before, strict=True)]
+    windows = np.array([len(c) - 99 for c in contexts])
+    rank, keys = rng.integers(0, 150, 200), np.where(pick == 1, 0, pick).astype(np.int64)
+    want, plain, merged = repeats.repeated_windows(contexts, before, windows, rank), repeats.repeated_windows, []
+    monkeypatch.setattr(repeats, "repeated_windows", lambda c, *rest: merged.append(len(c)) or plain(c, *rest))
+    assert (repeats.resolved(keys, contexts, before, windows, rank) == want).all() and want.any()
+    assert sum(merged) <= 8
+
+
+@pytest.mark.parametrize("sizes", [[5000, 0, 3, 99, 100, 101, 40_000, 150, 250], [99], [100], [70_000]])
+def test_every_window_has_the_anchor_that_its_bytes_name(sizes):
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 99 if k % 2 else 120, n, np.uint8)) for k, n in enumerate(sizes)]
+    texts.append(texts[0][:3000])
+    found = repeats.anchors(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+    named, seen = {}, []
+    for h, place, first, last, doc in zip(*(c.tolist() for c in found), strict=True):
+        for start in range(first, last + 1):
+            assert start <= place <= start + repeats.LEFT
+            assert named.setdefault(texts[doc][start : start + 100], (h, place - start)) == (h, place - start)
+            seen.append((doc, start))
+    assert sorted(seen) == [(d, i) for d, t in enumerate(texts) for i in range(len(t) - 99)]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.binary(min_size=168, max_size=168).map(lambda b: bytes(x & 1 for x in b)), min_size=1, max_size=12), st.integers(1, 5))
 def test_merged_order_is_the_suffix_order(rows, shard):
