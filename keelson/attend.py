@@ -138,8 +138,12 @@ class SparseIndex:
 
     def attend(self, queries: DataFrame, scaling: float | dict[int, float] = 1.0) -> DataFrame:
         """query_id, output: softmax over survivors and buffer, zeros where both are empty."""
-        scale = self.config.scale or self.config.dim**-0.5
-        return attention.attend(self.selected(queries, scaling), queries, self.config.dim, scale)
+        dim, scale = self.config.dim, self.config.scale or self.config.dim**-0.5
+        sums = attention.partial_of(self.search(queries, scaling, ("value",)).select("query_id", "score", "value"), dim, scale)
+        if self.buffer is not None:  # most of the rows, while a decode fills it
+            keys = self.buffer if scaling == 1.0 else self.buffer.withColumn("key", vec.scaled("key", search.factor(scaling)))
+            sums = sums.union(attention.partial_over(queries.select("query_id", *search.heads(queries, keys), "query"), keys, dim, scale))
+        return attention.merged(sums, queries, dim, scale)
 
     def metrics(self) -> DataFrame:
         """n_nodes, n_children, bytes, n_buffered."""
