@@ -20,7 +20,7 @@ from keelson.functions import vec
 from keelson.operators import oriented
 from keelson.operators.blocks import against, measured
 from keelson.operators.lineage import cut
-from keelson.operators.search import Asked, ask, heads, matrix, meet, summed
+from keelson.operators.search import Asked, ask, halfspace_blocks, heads, matrix, meet, near, summed, tiles
 
 #: Share of keys that ``hot_key_aabb`` checks one by one; random directions of the slab bundle.
 HOT_SHARE, SLABS = 0.03, 8
@@ -315,9 +315,12 @@ def scanned(passed: DataFrame, names: list[str]) -> DataFrame:
 
 
 def hull_passes(members: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, cluster of clusters whose convex hull reaches the threshold: its best vertex is its best member."""
-    best = against(members, queries.select("query_id", "query", "t")).groupBy("query_id", "cluster", "t").agg(F.max(vec.dot("query", "key")).alias("best"))
-    return best.where(F.col("best") + F.lit(vec.SLACK) >= F.col("t")).select("query_id", "cluster")
+    """query_id, cluster of clusters whose convex hull reaches the threshold: its best vertex is its best member, so only members that reach it are found."""
+    asked = cut(queries.select("query_id", "query", "t"))
+    wide = asked.withColumn("t", F.col("t") - 2 * vec.SLACK * F.greatest(F.abs("t"), F.lit(1.0)))
+    found = halfspace_blocks(wide, members.select(F.col("cluster").alias("pos"), "key")).withColumnRenamed("pos", "cluster")
+    limits = measured(asked.select("query_id", "t"))
+    return found.join(limits, "query_id").where(F.col("score") + F.lit(vec.SLACK) >= F.col("t")).select("query_id", "cluster").distinct()
 
 
 def intersecting(passed: DataFrame, clusters: int) -> DataFrame:
