@@ -338,19 +338,45 @@ def parts_passes(members: DataFrame, queries: DataFrame, dim: int, parts: int =
     return against(boxes, queries.select("query_id", "query", "t")).where(box() + vec.SLACK > F.col("t")).select("query_id", "cluster").distinct()
 
 
-def query_mean_passes(members: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
-    """query_id, cluster where the interval along the mean query's direction, with the rest across it, reaches the threshold, and so does the ball."""
+def query_mean_counts(members: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
+    """query_id, count of clusters where the interval along the mean query's direction, with the rest across it, reaches the threshold, and so does the ball.
+
+    Bounds are matrix products of ball centres and queries; a task sends a number a query, and queries that no cluster reaches have no row.
+    """
     from keelson.operators.index import balls
 
     mean = queries.agg(vec.each_dim(dim, lambda i: F.avg(F.get(vec.doubles("query"), F.lit(i)))).alias("m")).select(vec.unit("m").alias("mean"))
     own = [*heads(members), "cluster"]
-    along = vec.dot("key", "mean")
-    rest = F.sqrt(F.greatest(F.lit(0.0), vec.dot("key", "key") - along * along))
-    lines = members.crossJoin(F.broadcast(mean)).groupBy(*own).agg(F.first("mean").alias("mean"), F.min(along).alias("low"), F.max(along).alias("high"), F.max(rest).alias("far"))  # one row
-    both = against(lines.join(balls(members, dim).select(*own, "center", "radius"), own), queries.select("query_id", *heads(members, queries), "query", "t"), heads(members, queries) or None)
-    a = vec.dot("query", "mean")
-    line = F.greatest(a * F.col("low"), a * F.col("high")) + F.col("far") * F.sqrt(F.greatest(F.lit(0.0), vec.dot("query", "query") - a * a))
-    return both.where(F.least(line, ball()) + F.lit(vec.SLACK) > F.col("t")).select("query_id", *own)
+    across = lambda v: F.sqrt(F.greatest(F.lit(0.0), vec.dot(v, v) - vec.dot(v, "mean") * vec.dot(v, "mean")))
+    turned = members.crossJoin(F.broadcast(mean)).select(*own, vec.dot("key", "mean").alias("along"), across("key").alias("rest"))  # one row
+    lines = turned.groupBy(*own).agg(F.min("along").alias("low"), F.max("along").alias("high"), F.max("rest").alias("far"))
+    rows = lines.join(balls(members, dim).select(*own, "center", "radius"), own).select(*heads(members, queries), F.col("center").alias("key"), "radius", "low", "high", "far")
+    asked = queries.crossJoin(F.broadcast(mean)).withColumns({"along": vec.dot("query", "mean"), "rest": across("query"), "length": vec.norm("query")})  # one row
+
+    def make(asked: Asked, batch: pa.RecordBatch, state: dict) -> Iterator[dict]:
+        if not state:
+            state["count"] = np.zeros(len(asked.ids), np.int64)
+        radius, low, high, far = (batch.column(c).to_numpy() for c in ("radius", "low", "high", "far"))
+        for own, part, x, s in tiles(asked, batch):
+            t, along, rest, length = asked.limits[own], *(asked.extra[c][own] for c in ("along", "rest", "length"))
+            ball_ = s + length * radius[part, None]
+            line = np.maximum(along * low[part, None], along * high[part, None]) + far[part, None] * rest
+            ok = np.minimum(line, ball_) + vec.SLACK > t
+            row, col = np.nonzero(np.abs(ball_ + vec.SLACK - t) <= near(x, asked, own))
+            if len(row):
+                again = summed(asked.vectors[own[col]], x[row]) + length[col] * radius[part[row]]
+                ok[row, col] = np.minimum(line[row, col], again) + vec.SLACK > t[col]
+            state["count"][own] += np.count_nonzero(ok, axis=0)
+        return iter(())
+
+    def end(asked: Asked, state: dict) -> Iterator[dict]:
+        some = np.flatnonzero(state["count"]) if state else []
+        if len(some):
+            yield {"query_id": asked.ids[some], "count": state["count"][some]}
+
+    shared = ask(asked.select("query_id", *heads(members, queries), "query", "t", "along", "rest", "length"), ("along", "rest", "length"))
+    made = [meet(rows, part, "query_id bigint, count bigint", make, end) for part in shared]
+    return reduce(DataFrame.union, made).groupBy("query_id").agg(F.sum("count").alias("count"))
 
 
 def basis_of(kind: str, keys: DataFrame, queries: DataFrame, dim: int, parts: int = 4) -> np.ndarray:
