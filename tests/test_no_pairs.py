@@ -2,11 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keelson.attend import Config, SparseIndex
 from keelson.functions import vec
-from keelson.operators import attention, enclosures, index, search
+from keelson.operators import attention, enclosures, index, metrics, search, thresholds
 from keelson.operators.blocks import against
 from keelson.plans import catalog
 
@@ -108,3 +109,43 @@ def test_attention_over_a_buffer(spark, scaling):
     q = asked(spark, 6).withColumn("head", (F.col("query_id") % 2).cast("int"))
     built = SparseIndex.build(keys.where("pos < 30"), Config(dim=DIM, bf=4)).append(keys.where("pos >= 30"))
     assert got(built.attend(q, scaling)) == [(i, [pytest.approx(x) for x in v]) for i, v in got(attention.attend(built.selected(q, scaling), q, DIM, DIM**-0.5))]
+
+
+@pytest.mark.parametrize("odd", [None, "null", "twice"])
+def test_pages(spark, data, odd):
+    d = data("pages", odd)
+    q, k = catalog.queries_of(spark, d), catalog.keys_of(spark, d)
+    paged = k.where("pos < 208").withColumn("page", F.floor(F.col("pos") / 16).cast("long"))
+    s = against(paged, q).groupBy("query_id", "page").agg(F.max(vec.dot("query", "key")).alias("s"))
+    want = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "page"))).where("r <= 4").select("query_id", "page")
+    found = attention.best_pages(q, paged, 4).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "page"))).where("r <= 4")
+    assert got(found.select("query_id", "page")) == got(want)
+    none = spark.createDataFrame([(0, None), (1, None)], "query_id long, query array<float>")
+    assert got(attention.best_pages(none, paged, 4).groupBy("query_id").agg(F.count("*"), F.count("s"))) == [(0, 13, 0), (1, 13, 0)]
+
+
+@pytest.mark.parametrize("odd", [None, "null", "twice"])
+def test_rolling(spark, data, monkeypatch, odd):
+    monkeypatch.setattr(metrics, "STRETCH", 16)  # many stretches
+    d = data("rolling", odd)
+    s = search.scores(catalog.queries_of(spark, d), catalog.keys_of(spark, d)).select("query_id", "pos", "score")
+    want = metrics.rolling(s, "score", "pos", "query_id", 3).select("query_id", "pos", *[F.round(c, 6) + 0.0 for c in ("median", "low", "high")])
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(map(tuple, catalog.rolling_scores(spark, d).collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+
+
+def test_rounding_is_that_of_the_column():
+    x = np.array([0.1234565, -0.1234565, 0.0000005, -0.0000004, 1.0000005, 2.5, 0.30000049999999997])
+    assert metrics.rounded(x, 6).tolist() == [0.123457, -0.123457, 0.000001, 0.0, 1.000001, 2.5, 0.3]
+
+
+@pytest.mark.parametrize("odd", [None, "null", "twice"])
+def test_series(spark, data, odd):
+    d = data("series", odd)
+    s = search.scores(catalog.queries_of(spark, d), catalog.keys_of(spark, d), F.col("pos") <= F.col("query_id")).select("query_id", "pos", (F.col("score") * 0.125).alias("score")).checkpoint()
+    wide = metrics.concentration(attention.weights(s, 1.0)).select("query_id", "cov50")
+    names = ("sample_max", "sample_mean_max", "budget")
+    want = thresholds.online_series(s, s.where("pos % 8 = 0"), names).join(wide, "query_id").join(s.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+    found = thresholds.series_over_keys(catalog.queries_of(spark, d).withColumn("until", F.col("query_id")), catalog.keys_of(spark, d), lambda k: k.where("pos % 8 = 0"), 0.125)
+    columns = ["query_id", "n", "cov50", *[f"tau_{n}" for n in names]]
+    assert got(found.select(columns)) == got(want.select(columns))
