@@ -83,3 +83,25 @@ def test_nearest_other_is_exact_among_copies_and_near_ties(order, shift):
             gap = np.abs(x[i] - x[k])
             d.append(np.inf if k == i else gap.max() if order == np.inf else np.cumsum(gap if order == 1 else gap * gap)[-1])
         assert free[int(np.argmin(d))] == b and min(d) == f
+
+
+@pytest.mark.parametrize("name", ["kmeans", "batch_nn", "linf_nn", "balanced_kcenter", "ball_ratio_kmeans"])
+def test_a_comparison_looks_at_whole_heads(spark, monkeypatch, name):
+    """Pairs of keys lie a block apart: a method that saw one block at a time would have no ball of radius 0.01."""
+    monkeypatch.setattr(clusterings, "BLOCK", 64)
+    x = np.random.default_rng(1).standard_normal((64, 5)) * 10
+    rows = [(h, i, (x[i % 64] + (0.01 if i >= 64 else 0) + 100 * h).tolist()) for h in (0, 1) for i in range(128)]
+    keys = spark.createDataFrame(rows, "head int, pos long, key array<double>")
+    got = clusterings.local_balls(keys, 2, [name]).collect()
+    assert sum(r["size"] for r in got) == 256
+    want = np.concatenate([np.bincount(clusterings.LOCAL[name](np.array([r[2] for r in rows if r[0] == h]), 2, np.random.default_rng(12345 + 9973 * h))) for h in (0, 1)])
+    assert sorted(r["size"] for r in got) == sorted(n for n in want.tolist() if n)
+    assert sum(r["size"] == 2 and r["radius"] < 0.02 for r in got) >= 50
+
+
+@pytest.mark.parametrize("name", ["kmeans", "kcenter_meb", "ball_ratio_kcenter", "balanced_kmeans", "gmm_diag", "pq_balanced_span"])
+def test_few_distances_at_a_time_give_the_same(monkeypatch, name):
+    x = np.random.default_rng(4).standard_normal((300, 8))
+    want = clusterings.LOCAL[name](x, 8, np.random.default_rng(0))
+    monkeypatch.setattr(clusterings, "CHUNK", 1000)
+    assert (clusterings.LOCAL[name](x, 8, np.random.default_rng(0)) == want).all()
