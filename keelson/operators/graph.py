@@ -12,13 +12,15 @@ a task's memory and time; a shard's graph is a set of rows of the stored table,
 and a search visits every shard and ranks what the shards return.  Search is
 approximate: the beam that finds enough depends on the keys and on how many a shard holds,
 so every shard widens its own until it finds ENOUGH of what a full scan of the shard gives
-TRIED of the queries.
+TRIED of the queries.  A beam that holds a quarter of a shard's keys looks at about all of them: there
+the queries meet the shard as one matrix product.  A task keeps the best of all its shards.
 """
 
 from __future__ import annotations
 
 import heapq
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,12 +32,14 @@ from keelson.functions import vec
 from keelson.operators.blocks import split
 from keelson.operators.lineage import shared_folder
 from keelson.operators.quantizers import mixed
-from keelson.operators.search import FOUND, heads, summed, top_k
+from keelson.operators.search import FOUND, NEAR, PAIRS, heads, k_best, summed, summed_at, top_k
 
 #: Keys of a shard, links of a key (twice as many on the lowest level), and the width of the beam while building.
 SHARD, LINKS, BUILD_BEAM = 1 << 14, 12, 64
 #: Queries of a block that a shard tries its beam on, the share of their best keys that it must find, and its first width.
 TRIED, ENOUGH, BEAM = 64, 0.95, 64
+#: Keys of a shard for each that a beam holds, up to which all are compared instead.
+SPARSE = 4
 ROW = "shard bigint, pos bigint, key array<double>, links array<array<int>>"
 
 
@@ -52,13 +56,16 @@ class Graph:
     def __init__(self, units: np.ndarray, links: list[list[list[int]]], most: int = LINKS):
         self.units, self.links, self.most = units, links, most
         self.tied: list[set[int]] = []  # while building: the tree that holds the lowest level together
+        self.small = False  # while building: few enough keys to compare a new one with all
         self.entry = max(range(len(links)), key=lambda i: len(links[i]), default=-1)
 
     @classmethod
     def build(cls, units: np.ndarray, levels: list[int], most: int = LINKS, beam: int = BUILD_BEAM) -> Graph:
         graph = cls(units, [], most)
+        graph.small = len(units) <= SPARSE * beam
         for i, level in enumerate(levels):
             graph._insert(i, level, beam)
+        graph.small = False
         return graph
 
     def _insert(self, i: int, level: int, beam: int) -> None:
@@ -109,6 +116,9 @@ class Graph:
 
     def beam(self, q: np.ndarray, start: list[int], width: int, level: int) -> list[tuple[float, int]]:
         """(similarity, key) of the ``width`` best keys that links from ``start`` lead to, best first."""
+        if level == 0 and self.small:  # links lead everywhere on the lowest level
+            sims = self.units[: len(self.tied)] @ q
+            return sorted(zip(sims.tolist(), range(len(sims)), strict=True), reverse=True)[: width + 1]
         best = [(float(s), j) for s, j in zip(self.units[start] @ q, start, strict=True)]
         seen, todo = set(start), [(-s, j) for s, j in best]
         heapq.heapify(best)
@@ -133,12 +143,14 @@ class Graph:
 
     def _spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Of keys by similarity, those that are nearer to the new one than to any taken before; the nearest others fill up."""
-        taken, passed = [], []
-        for s, j in found:
+        taken, passed, own = [], [], self.units[[j for _, j in found]]
+        between, least = own @ own.T, np.full(len(found), -np.inf)  # how near each is to the nearest one taken
+        for i, (s, j) in enumerate(found):
             if len(taken) == most:
                 break
-            if not taken or s > float((self.units[taken] @ self.units[j]).max()):
+            if s > least[i]:
                 taken.append(j)
+                np.maximum(least, between[i], out=least)
             else:
                 passed.append(j)
         return taken + passed[: most - len(taken)]
@@ -206,22 +218,63 @@ class GraphIndex:
         q = np.array(asked["query"].tolist(), float).reshape(len(asked), -1)
         shared = self.rows.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(np.int64), q, asked["head"].to_numpy() if of else None))
 
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            ids, vectors, head = shared.value
-            group = group.sort_values("pos", kind="stable")
+        by, size = [*own, "shard"], SPARSE * max(k, BEAM) if width is None else max(k, width)
+
+        def found(group: pd.DataFrame, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """Queries, positions and scores of a shard; those below a query's ``least`` may be left out."""
+            _, vectors, head = shared.value
             x, pos = np.array(group["key"].tolist(), float), group["pos"].to_numpy()
-            mine = np.arange(len(ids)) if head is None else np.flatnonzero(head == group["head"].iloc[0])
-            graph = Graph(_units(x), [[list(level) for level in links] for links in group["links"]])
-            tried = mine[:: max(1, -(-len(mine) // TRIED))]
-            beam = width or graph.wide_enough(vectors[tried], x, k, max(k, BEAM))
-            out = []
-            for i in mine:
-                best = np.arange(len(x))  # a beam as wide as the shard reaches every key
-                if max(k, beam) < len(x):
+            mine = np.arange(len(vectors)) if head is None else np.flatnonzero(head == group["head"].iloc[0])
+            beam, graph = len(x), None
+            if len(x) > size:
+                graph = Graph(_units(x), [[list(level) for level in links] for links in group["links"]])
+                beam = width or graph.wide_enough(vectors[mine[:: max(1, -(-len(mine) // TRIED))]], x, k, max(k, BEAM))
+            if max(k, beam) * (SPARSE if width is None else 1) < len(x):
+                for i in mine:
                     best = np.array(graph.search(vectors[i] / max(np.linalg.norm(vectors[i]), 1e-12), max(k, beam), beam), np.int64)
-                score = summed(x[best], np.broadcast_to(vectors[i], x[best].shape))
-                by = np.lexsort((pos[best], -score))[:k]
-                out.append(pd.DataFrame({"query_id": ids[i], "pos": pos[best[by]], "score": score[by]}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "pos": [], "score": []})
-
-        return self.rows.groupBy(*own, "shard").applyInPandas(run, FOUND)
+                    yield np.full(len(best), i), pos[best], summed(x[best], np.broadcast_to(vectors[i], x[best].shape))
+                return
+            far = np.sqrt((x * x).sum(axis=1).max())
+            for at in range(0, len(mine), step := max(1, PAIRS // len(x))):
+                part = mine[at : at + step]
+                q = np.ascontiguousarray(vectors[part].T)
+                rough, apart = x @ q, NEAR * far * np.sqrt((q * q).sum(axis=0)) + 1e-300
+                limit = least[part] - apart
+                if len(x) > k:
+                    limit = np.maximum(limit, np.partition(rough, len(x) - k, axis=0)[len(x) - k] - 2 * apart)
+                row, col = np.nonzero(rough >= limit)
+                yield part[col], pos[row], summed_at(x, q, row, col)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids = shared.value[0]
+            held, rows, least = [], 0, np.full(len(ids), -np.inf)
+            for group in _groups(frames, by):
+                for more in found(group, least):
+                    held.append(more)
+                    rows += len(more[0])
+                    if rows > 4 * k * len(ids) + PAIRS:
+                        held = [k_best(held, k)]
+                        col, _, s = held[0]
+                        rows, full = len(col), np.bincount(col, minlength=len(ids)) == k
+                        np.minimum.at(last := np.full(len(ids), np.inf), col, s)
+                        least[full] = last[full]
+            if held:
+                col, pos, s = k_best(held, k)
+                yield pd.DataFrame({"query_id": ids[col], "pos": pos, "score": s})
+
+        parts = max(1, min(self.shards(), 4 * self.rows.sparkSession.sparkContext.defaultParallelism))
+        return self.rows.repartition(parts, *by).sortWithinPartitions(*by, "pos").mapInPandas(run, FOUND)
+
+
+def _groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that come group after group."""
+    held, last = [], None
+    for frame in frames:
+        for name, group in frame.groupby(by, sort=False):
+            if held and name != last:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            last = name
+            held.append(group)
+    if held:
+        yield pd.concat(held, ignore_index=True)

@@ -66,3 +66,15 @@ def test_beams_grow_until_enough_is_found(spark):
     graph, best = GraphIndex.build(keys), search.best(q, keys, 60).select("query_id", "pos")
     share = lambda found: metrics.recall_at(found.select("query_id", "pos"), best).agg(F.avg("recall")).first()[0]
     assert share(graph.search(q, 60, 64)) < 0.9 <= share(graph.search(q, 60))  # 64 was every search's width
+
+
+def test_small_shards_are_compared_whole(spark):
+    """Beams that hold a quarter of a shard's keys: the best keys are those of a full scan, over several shards a task, copies of a query included."""
+    rng = np.random.default_rng(8)
+    keys = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 32)))], "pos long, key array<double>").checkpoint()
+    q = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((30, 32)))]
+    q = spark.createDataFrame([*q, q[3]], "query_id long, query array<double>").checkpoint()
+    index = GraphIndex.build(keys, 150)
+    assert 2 < index.shards() < 9
+    found = lambda df: sorted((r["query_id"], r["pos"], r["score"]) for r in df.collect())
+    assert found(index.search(q, 20)) == found(search.best(q, keys, 20))
