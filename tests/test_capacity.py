@@ -97,3 +97,11 @@ def test_what_is_left_is_settled_at_once(spark, monkeypatch, heads):
     assert not ended
     monkeypatch.setattr(capacity, "FINISH", 0)
     assert same(capacity.matched(keys, centers, 4)) == at_once and len(at_once) == 40 and len(ended) > 2
+
+
+def test_positions_that_come_twice(spark):
+    """Rows of a position are settled together, round by round, also when no centre has room for the last ones."""
+    keys = spark.createDataFrame([(i // 2, [float(i // 2)]) for i in range(12)], "pos long, key array<double>")
+    centers = spark.createDataFrame([(0, [0.0]), (1, [5.0])], "cluster long, center array<double>")
+    got = capacity.matched(keys, centers, 4).collect()
+    assert {(r["pos"], r["cluster"]) for r in got} == {(0, 0), (5, 1)}
